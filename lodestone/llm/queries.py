@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, quality, secrets, suffix_dedup
+from . import bpe, ngram_join, quality, secrets, suffix_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op5_bpe": bpe.query,
     "op6_quality": quality.query,
+    "op7_topk": topk.query,
     "op10_ngram_join": ngram_join.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_topk": topk.SQL}
