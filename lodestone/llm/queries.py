@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, ngram_join, quality, secrets, suffix_dedup, topk
+from . import bpe, decontaminate, ngram_join, quality, secrets, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
     "op3_suffix_dedup": suffix_dedup.query,
+    "op4_decontaminate": decontaminate.query,
     "op5_bpe": bpe.query,
     "op6_quality": quality.query,
     "op7_topk": topk.query,
+    "op8_toxicity": toxicity.query,
     "op10_ngram_join": ngram_join.query,
 }
 
