@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .text_arrays import Prefix, pieces, utf8
+from .text_arrays import Prefix, mix, pieces, utf8
 
 LENGTH, SEED = 50, 20
 #: Bytes of stored input for each bucket, and the limits of a piece's text.
@@ -143,7 +143,8 @@ def sample(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return None
     at = at[string]
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (string[1:] != string[:-1] + 1)])
-    return string[first], np.diff(np.r_[first, len(string)]), seeds[at[first]], prefix
+    # least fingerprints are small; mixed again, they fill all buckets alike
+    return string[first], np.diff(np.r_[first, len(string)]), mix(seeds[at[first]]), prefix
 
 
 def bucket_of(seed: np.ndarray, buckets: int) -> np.ndarray:
