@@ -28,7 +28,7 @@ from .text_arrays import LOWER, Prefix, mix, pieces, row_starts, utf8
 
 BITS = 18
 #: The most labelled documents, and sentences without a toxic token, that training reads.
-SAMPLE_ROWS, CLEAN_SENTENCES = 5000, 20_000
+SAMPLE_ROWS, CLEAN_SENTENCES = 3000, 12_000
 STEPS, RATE, PENALTY = 60, 0.5, 1e-4
 #: A token explains toxic documents if so many have it and so small a share of its documents is clean.
 LEAST_DOCUMENTS, MOST_CLEAN = 3, 0.1
@@ -124,25 +124,30 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(a * greatest + b * np.log1p(total) + c, -40, 40)))
 
 
-def toxic_words(t: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """The tokens and prefixes that mark toxic documents. ``toxic`` is of rows.
-
-    First greedily those that explain the most documents still unexplained. Then all that no clean document has, that
-    enough toxic ones have, and that stand after ever other tokens: what comes with copies of one text doesn't.
-    """
-    rows = len(toxic)
+def evidence(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens and prefixes of each row, the row, and a token that one stands after."""
     left = np.roll(t.word, 1)
     left[t.first] = 0
-    word, row, left = [t.word], [t.row], [left]
+    word, row, before = [t.word], [t.row], [left]
     for prefix in t.prefix:
         has = prefix > 0
-        word, row, left = [*word, prefix[has]], [*row, t.row[has]], [*left, left[0][has]]
-    word, row, left = map(np.concatenate, (word, row, left))
+        word, row, before = [*word, prefix[has]], [*row, t.row[has]], [*before, left[has]]
+    word, row, before = map(np.concatenate, (word, row, before))
     order = np.lexsort((word, row))
-    word, row, left = word[order], row[order], left[order]
+    word, row, before = word[order], row[order], before[order]
     fresh = np.r_[True, (word[1:] != word[:-1]) | (row[1:] != row[:-1])][: len(word)]
-    row, left = row[fresh], left[fresh]
-    word, at = np.unique(word[fresh], return_inverse=True)
+    return word[fresh], row[fresh].astype(np.int32), before[fresh].astype(np.uint32)
+
+
+def toxic_words(word: np.ndarray, row: np.ndarray, left: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The tokens and prefixes that mark toxic documents, of their ``evidence``. ``toxic`` is of rows.
+
+    First greedily those that explain the most documents still unexplained. Then all that no clean document has, that
+    enough toxic ones have, and that stand after ever other tokens: what comes with copies of one text doesn't.
+    """
+    rows = len(toxic)
+    word, at = np.unique(word, return_inverse=True)
+    at = at.astype(np.int32)
     clean = np.bincount(at[~toxic[row]], minlength=len(word))
     marked = np.bincount(at[toxic[row]], minlength=len(word))
     chosen, open_ = np.zeros(len(word), bool), toxic.copy()
@@ -162,25 +167,41 @@ def toxic_words(t: Tokens, toxic: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[int]) -> Field:
+    """Trains on whole texts. Prefixes are held as 64-bit numbers for the tokens of these texts only; ``SAMPLE_ROWS``
+    bounds them."""
     data, offsets = utf8(pa.array(texts, pa.string()))
     field = Field(np.zeros((3 + len(PREFIXES)) << BITS, np.float32), -4.0, np.zeros((2, 2)))
     toxic = np.array(labels, bool)
-    t = tokenise(data, offsets)
-    if not toxic.any() or not len(t.word):
+    if not toxic.any():
+        return field
+
+    def runs() -> Iterator[tuple[int, Tokens]]:
+        for a, b in pieces(offsets):
+            yield a, tokenise(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+    found, sentences = [], 0
+    for a, t in runs():
+        word, row, left = evidence(t)
+        found.append((word, row + np.int32(a), left))
+        sentences += len(t.first)
+    if not sentences:
         return field
-    lexicon = toxic_words(t, toxic)
-    label = (np.isin(t.word, lexicon) | np.isin(t.prefix, lexicon).any(0)) & toxic[t.row]
-    sentence = np.repeat(np.arange(len(t.first)), t.size)
-    hit = np.bincount(sentence[label], minlength=len(t.first)) > 0
-    quiet = np.flatnonzero(~hit)
-    quiet = quiet[np.argsort(mix(quiet.astype(np.uint64)))[:CLEAN_SENTENCES]]
-    keep = np.sort(np.r_[np.flatnonzero(hit), quiet])
-    inside = np.zeros(len(t.first), bool)
-    inside[keep] = True
-    chosen = inside[sentence]
-    size = t.size[keep]
-    part = Tokens(t.start[chosen], t.end[chosen], t.row[chosen], t.word[chosen], t.prefix[:, chosen], np.cumsum(size) - size, size)
-    y, feature = label[chosen].astype(np.float64), feature_numbers(part)
+    lexicon = toxic_words(*map(np.concatenate, zip(*found, strict=True)), toxic)
+    del found
+    # all sentences with a toxic token, and a share of the others
+    share, number, kept = CLEAN_SENTENCES / sentences, 0, []
+    for a, t in runs():
+        label = (np.isin(t.word, lexicon) | np.isin(t.prefix, lexicon).any(0)) & toxic[a + t.row]
+        sentence = np.repeat(np.arange(len(t.first)), t.size)
+        hit = np.bincount(sentence[label], minlength=len(t.first)) > 0
+        hit |= mix(np.arange(number, number + len(t.first)).astype(np.uint64)) < np.uint64(min(share, 0.999) * 2.0**64)
+        number += len(t.first)
+        chosen = hit[sentence]
+        kept.append((t.word[chosen], t.prefix[:, chosen], t.size[hit], label[chosen]))
+    size = np.concatenate([k[2] for k in kept])
+    none = np.zeros(0, np.int64)
+    part = Tokens(none, none, none, np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept], axis=1), np.cumsum(size) - size, size)
+    y, feature = np.concatenate([k[3] for k in kept]).astype(np.float64), feature_numbers(part)
     pair = np.ones(len(y), bool)
     pair[part.first] = False
     pair = np.flatnonzero(pair)
