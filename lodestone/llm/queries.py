@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, ngram_join, quality, secrets, suffix_dedup, topk, toxicity
+from . import bpe, decontaminate, ngram_join, piece_counts, quality, secrets, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.query,
     "op7_topk": topk.query,
     "op8_toxicity": toxicity.query,
+    "op9_token_counts": piece_counts.query,
     "op10_ngram_join": ngram_join.query,
 }
 
