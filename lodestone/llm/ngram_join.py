@@ -353,5 +353,13 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", th
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
+def representatives(df: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``df`` whose doc_id is the least of its component, with all their columns; of rows that repeat, one.
+    Rows with a null doc_id stay."""
+    gone = join(df, threshold=threshold, size=size).where("component_id <> doc_id").select("doc_id").distinct()
+    named = df.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
+    return named.dropDuplicates(["doc_id", "_text"]).select(*df.columns).union(df.where("doc_id IS NULL"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(runtime.table(spark, sf_dir, "documents"))

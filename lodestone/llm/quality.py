@@ -156,6 +156,17 @@ def score(documents: DataFrame, model: Model, *columns: str) -> DataFrame:
     return frame.mapInArrow(run, f"{kept}, score double")
 
 
+def keep(documents: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows that score ``threshold`` or more, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.scores(batch["text"]) >= threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 

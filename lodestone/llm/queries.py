@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, ngram_join, piece_counts, quality, secrets, suffix_dedup, topk, toxicity
+from . import bpe, decontaminate, html_extract, ngram_join, piece_counts, quality, secrets, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
+    "op2_html_extract": html_extract.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_decontaminate": decontaminate.query,
     "op5_bpe": bpe.query,
