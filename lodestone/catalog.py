@@ -1,15 +1,15 @@
-"""The registered queries of the reference's operators and their SQL."""
+"""The registered queries of the gateway's operators and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from lodestone.plans import corpus, integrity
+from lodestone.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "entry", "integrity"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """The flagship query: the verdict table."""
+    return integrity.verdicts(spark, sf_dir)
