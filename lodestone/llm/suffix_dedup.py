@@ -204,7 +204,7 @@ def shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = np.unique(np.concatenate([twice, *(seed[many] for _, seed, many in got)]))
         out = []
         for number, seed, _ in got:
-            own = seed[np.isin(seed, shared)]
+            own = seed[shared[np.minimum(np.searchsorted(shared, seed), len(shared) - 1)] == seed] if len(shared) else seed[:0]
             if len(own):
                 out.append((bucket, number, False, squeeze(own)))
         yield messages(out)
@@ -259,10 +259,12 @@ class IndexFamily:
 
     @staticmethod
     def array(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((owners, keys))
+        order = np.argsort(keys, kind="stable")  # linear where two sorted levels meet
         keys, owners = keys[order], owners[order]
-        fresh = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-        return keys[fresh], owners[fresh]
+        if not len(keys):
+            return keys, owners
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        return keys[first], np.minimum.reduceat(owners, first)
 
     def add(self, keys: np.ndarray, owners: np.ndarray) -> None:
         """A new level of rank 0; levels of equal rank merge into one of the next."""
