@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import policy
 from lodestone.operators import changes, index, risk, workflow
 from lodestone.sources import tables
+from lodestone.streaming import queue
 
 from .corpus import NUMERIC
 from .registry import PAIRS, register
@@ -184,3 +185,9 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def artifact_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted distinct artifact types and their count."""
     return hard_blocks(spark, sf_dir).groupBy("hard_block").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.count("*").alias("n"))
+
+
+@register("x4_queue_transitions")
+def queue_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change queue's transitions, folded over stored events as the stream does it."""
+    return queue.queue_batch(queue.file_events(tables.read(spark, sf_dir, "events")))
