@@ -32,9 +32,9 @@ from . import runtime
 from .text_arrays import Prefix
 
 #: The most pieces that a worker keeps encoded; beyond it the cache starts anew.
-CACHE = 800_000
+CACHE = 200_000
 #: The most entries of the pair-compatibility table that a worker keeps.
-PAIRS = 1_000_000
+PAIRS = 200_000
 #: Kinds of code points in the split pattern.
 OTHER, LETTER, NUMBER, WHITE = range(4)
 #: Code points that Unicode 17 made letters or numbers; the tokenizer, of an earlier version, has them as other.

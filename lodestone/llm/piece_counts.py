@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import runtime
 from .text_arrays import Prefix
 
-CACHE = 1_000_000
+CACHE = 300_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
