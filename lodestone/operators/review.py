@@ -49,3 +49,21 @@ def digest(*fields: Column) -> Column:
     """SHA-256 over fields with their lengths before them, so that no two lists of fields look alike."""
     parts = [F.concat(F.octet_length(f).cast("string"), F.lit(":"), f) for f in fields]
     return F.sha2(F.concat(*parts), 256)
+
+
+def authority_issues(status: DataFrame, analysis: DataFrame) -> DataFrame:
+    """(key, issue): every rule on which a projected status and its analysis disagree; no command may go out while one
+    does. Rules compare null-safely, so what is missing on one side only is an issue."""
+    s, a = (lambda c, p=p: F.col(f"{p}.{c}") for p in ("s", "a"))
+    differ = lambda x, y: ~x.eqNullSafe(y)
+    rules = [
+        ("ANALYSIS_IDENTITY_MISMATCH", differ(s("analysis_id"), a("analysis_id"))),
+        ("ANALYSIS_REVISION_MISMATCH", differ(s("version"), a("version"))),
+        ("STATUS_METADATA_MISMATCH", differ(s("changed_by"), a("changed_by"))),
+        ("BASELINE_SHA_MISMATCH", differ(a("diff_base_sha256"), a("base_sha256"))),
+        ("CANDIDATE_SHA_MISMATCH", differ(s("cand_sha256"), a("cand_sha256"))),
+        ("AUDIT_CHAIN_INVALID", ~F.coalesce(s("chain_valid"), F.lit(False))),
+        ("POLICY_SHA_MISMATCH", s("policy_sha256").isNotNull() & differ(s("policy_sha256"), a("cand_sha256"))),
+    ]
+    joined = status.alias("s").join(analysis.alias("a"), s("key").eqNullSafe(a("key")))
+    return joined.select(s("key").alias("key"), F.explode(F.array_compact(F.array(*[F.when(bad, code) for code, bad in rules]))).alias("issue"))

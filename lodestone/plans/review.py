@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import review
+from lodestone.operators import layout, review
 from lodestone.sources import tables
 
 from .integrity import _EVENTS, workflow_state
@@ -80,3 +80,34 @@ def newest_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("analysis_id")).agg(F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("created_at"))
     top = rows.orderBy(F.desc("created_at"), F.desc("analysis_id")).limit(1000)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), F.desc("analysis_id"))))
+
+
+_BOXES = """
+u AS (SELECT doc_id AS page, line, unit FROM (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS unit FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r') AS l FROM documents)) WHERE regexp_matches(unit, '\\S')),
+c AS (SELECT page, line + 1 AS seq, (line + 1) * 10.0 AS y0, (line + 1) * 10.0 + 9 AS y1, length(unit) * 1.0 AS x1 FROM u WHERE regexp_matches(unit, '[0-9]'))"""
+
+
+@register("p22_occlusion", f"WITH {_BOXES} SELECT page, CAST(line AS INTEGER) AS line FROM u WHERE EXISTS (SELECT 1 FROM c WHERE c.page = u.page AND c.seq > u.line - 1 AND c.y0 = u.line * 10.0 AND least(c.x1, length(u.unit)) / length(u.unit) >= 0.8)")
+def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a later opaque box hides; a line with a digit covers the one below it."""
+    units = tables.units(tables.documents(spark, sf_dir).select(F.col("doc_id").alias("page"), "text"))
+    line = F.col("line")
+    texts = units.select("page", "line", (line - 1).alias("seq"), F.lit(0.0).alias("x0"), (line * 10.0).cast("double").alias("y0"), F.length("unit").cast("double").alias("x1"), (line * 10.0 + 8).cast("double").alias("y1"))
+    below = (line + 1) * 10.0
+    covers = units.where(F.col("unit").rlike("[0-9]")).select("page", (line + 1).alias("seq"), F.lit(0.0).alias("x0"), below.cast("double").alias("y0"), F.length("unit").cast("double").alias("x1"), (below + 9).cast("double").alias("y1"), F.lit(1.0).alias("opacity"))
+    return layout.occluded(texts, covers).select("page", "line")
+
+
+@register("p15_authority_issues", """
+WITH f AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)
+SELECT doc_id, unnest(list_filter([CASE WHEN n % 31 = 0 THEN 'ANALYSIS_IDENTITY_MISMATCH' END, CASE WHEN n % 29 = 0 THEN 'ANALYSIS_REVISION_MISMATCH' END, CASE WHEN n % 23 = 0 THEN 'STATUS_METADATA_MISMATCH' END,
+  CASE WHEN n % 19 = 0 THEN 'BASELINE_SHA_MISMATCH' END, CASE WHEN n % 17 = 0 THEN 'CANDIDATE_SHA_MISMATCH' END, CASE WHEN n % 13 = 0 THEN 'AUDIT_CHAIN_INVALID' END, CASE WHEN n % 11 = 0 THEN 'POLICY_SHA_MISMATCH' END], lambda x: x IS NOT NULL)) AS issue FROM f""")
+def authority_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a status and its analysis disagree, with faults by the length of the text."""
+    docs = tables.documents(spark, sf_dir)
+    n = F.length(F.coalesce("text", F.lit("")))
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    analysis = docs.select(F.col("doc_id").alias("key"), F.col("doc_id").cast("string").alias("analysis_id"), F.lit(1).alias("version"), F.lit("op").alias("changed_by"), sha.alias("base_sha256"), F.sha2(sha, 256).alias("cand_sha256"), F.when(n % 19 == 0, "x").otherwise(sha).alias("diff_base_sha256"))
+    faulty = lambda k, bad, good: F.when(n % k == 0, bad).otherwise(good)
+    status = docs.select(F.col("doc_id").alias("key"), faulty(31, F.lit("other"), F.col("doc_id").cast("string")).alias("analysis_id"), faulty(29, F.lit(2), F.lit(1)).alias("version"), faulty(23, F.lit("x"), F.lit("op")).alias("changed_by"), faulty(17, F.lit("x"), F.sha2(sha, 256)).alias("cand_sha256"), (n % 13 != 0).alias("chain_valid"), faulty(11, F.lit("x"), F.sha2(sha, 256)).alias("policy_sha256"))
+    return review.authority_issues(status, analysis).select(F.col("key").alias("doc_id"), "issue")
