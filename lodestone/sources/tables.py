@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone import session
+
 ZERO_WIDTH_SPACE = "​"
 #: By mutation (doc_id mod 8): the last line of the baseline, and that of the candidate.
 LAST_LINES = {
@@ -18,6 +20,7 @@ LAST_LINES = {
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    session.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
