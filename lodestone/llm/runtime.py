@@ -7,12 +7,15 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone import session
+
 #: Arrow batches of text stay near this size whatever the row length, so that a Python worker's memory is bounded.
 BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of this session. A runtime setting; results don't depend on it."""
+    """Sends the package to the executors and bounds the Arrow batches of this session; results don't depend on it."""
+    session.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
