@@ -25,7 +25,9 @@ from .text_arrays import SPACE, Prefix, mix, pieces, row_starts, utf8
 BITS = 20
 #: The most labelled rows that training reads.
 SAMPLE_ROWS = 6000
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 0.02, 0.5
+#: Passes over the sample: at least so many, and more over a small one, up to so many updates.
+EPOCHS, UPDATES = 4, 12_000
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 THRESHOLD = 0.7
 #: Fingerprints of the n-grams "a token, itself again" and "a token, any token, itself again", whatever the token is.
 REPEATS = mix(np.array([101, 102], np.uint64))
@@ -95,7 +97,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
         pull = np.sign(z[at]) * np.maximum(np.abs(z[at]) - L1, 0)
         return -pull / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
 
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, UPDATES // max(1, len(rows)))):
         for feature, value, label in rows:
             at, x = np.r_[feature, bias], np.r_[value, 1.0]
             w = weights(at)
