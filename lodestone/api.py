@@ -22,8 +22,8 @@ def prepare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 
 def assess(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verdicts and findings of prepared pairs."""
-    found = risk.findings(changes.changes(prepared))
-    return risk.verdicts(prepared, found), risk.distinct_findings(found)
+    arrays = changes.change_arrays(prepared)
+    return risk.verdicts(arrays), risk.distinct_findings(risk.findings(arrays))
 
 
 def gate(rows: DataFrame) -> DataFrame:

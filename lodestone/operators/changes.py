@@ -47,11 +47,17 @@ def unit_array(text: F.Column) -> F.Column:
     return F.filter(lines, lambda x: x != "")
 
 
-def changes(pairs: DataFrame) -> DataFrame:
-    """(doc_id, change_index, kind, before, after). Versions with equal normalized units never reach Python."""
+def change_arrays(pairs: DataFrame) -> DataFrame:
+    """(doc_id, changes): each pair's changes as one array, empty where the normalized units are equal; the texts of
+    those never reach Python."""
     both = pairs.select("doc_id", unit_array(F.col("base_text")).alias("b"), unit_array(F.col("cand_text")).alias("a"))
-    differ = both.where(F.xxhash64("b") != F.xxhash64("a"))
-    return differ.select("doc_id", F.inline(aligned_changes("b", "a")))
+    differ = F.xxhash64("b") != F.xxhash64("a")
+    return both.select("doc_id", aligned_changes(F.when(differ, F.col("b")), F.when(differ, F.col("a"))).alias("changes"))
+
+
+def changes(pairs: DataFrame) -> DataFrame:
+    """(doc_id, change_index, kind, before, after)."""
+    return change_arrays(pairs).select("doc_id", F.inline("changes"))
 
 
 def numeric_changes(changed: DataFrame) -> DataFrame:

@@ -83,6 +83,8 @@ def search(index: DataFrame, queries: list[tuple[int, str]], k: int = 5) -> Data
     spark = index.sparkSession
     rows = spark.createDataFrame(asked, "query_id bigint, query string").withColumn("q", policy.casefold(F.col("query")))
     rows = rows.withColumn("terms", F.array_distinct(F.regexp_extract_all("q", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))))
+    if index.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few large files: scoring is the work
+        index = index.repartition(spark.sparkContext.defaultParallelism)
     folded = index.withColumn("t", policy.casefold(F.col("chunk")))
     hit = F.exists("terms", lambda x: F.col("t").contains(x)) | F.col("t").contains(F.col("q"))
     pairs = folded.join(F.broadcast(rows), hit)

@@ -1,6 +1,6 @@
 """Deterministic risk rules over changes, artifacts and hidden units; scores, findings and verdicts.
 
-Rules are unioned rows (doc_id, score, type, severity, rule_order); the verdict is the greatest score, in bands."""
+Findings of a document are one array, made of its array of changes; the verdict is the greatest score, in bands."""
 
 from __future__ import annotations
 
@@ -14,32 +14,52 @@ from lodestone.functions import policy
 BLOCK_FROM, REVIEW_FROM, MOST_FINDINGS = 70, 30, 100
 
 
-def _finding(df: DataFrame, order: int, score: F.Column | int, kind: F.Column | str, before: F.Column, after: F.Column) -> DataFrame:
-    lit = lambda x: x if isinstance(x, F.Column) else F.lit(x)
-    return df.select("doc_id", lit(score).cast("int").alias("score"), lit(kind).alias("type"), F.lit(order).alias("rule_order"), "change_index", before.alias("before"), after.alias("after"))
-
-
-def findings(changed: DataFrame) -> DataFrame:
-    """Rule rows of the changes of documents."""
-    before, after = F.col("before"), F.col("after")
-    policy_change = policy.has_policy_term(before) | policy.has_policy_term(after)
-    facts = changed.select(
-        "doc_id", "change_index", "before", "after", policy_change.alias("policy"),
-        policy.numeric_values(F.coalesce(before, F.lit(""))).alias("nb"), policy.numeric_values(F.coalesce(after, F.lit(""))).alias("na"),
-        policy.date_set(F.coalesce(before, F.lit(""))).alias("db"), policy.date_set(F.coalesce(after, F.lit(""))).alias("da"),
-        policy.has_prompt_injection(after).alias("injected"), (F.size(policy.control_points(F.coalesce(after, F.lit("")))) > 0).alias("controls"),
-    )
-    numbers, dates = ~F.col("nb").eqNullSafe(F.col("na")), ~F.col("db").eqNullSafe(F.col("da"))
-    rules = [
-        _finding(facts.where("controls"), 3, 80, "CONTROL_CHARACTERS", before, after),
-        _finding(facts.where(numbers), 7, F.when(F.col("policy"), 75).otherwise(55), F.when(F.col("policy"), "POLICY_NUMBER_CHANGE").otherwise("NUMBER_CHANGE"), before, after),
-        _finding(facts.where(dates), 8, F.when(F.col("policy"), 70).otherwise(50), F.lit("POLICY_DATE_CHANGE"), before, after),
-        _finding(facts.where("injected"), 9, 85, "PROMPT_INJECTION", before, after),
-        _finding(facts.where(F.col("policy") & ~numbers & ~dates & ~F.col("injected")), 10, 50, "POLICY_SEMANTIC_CHANGE", before, after),
-    ]
-    found = reduce(DataFrame.unionByName, rules)
-    quiet = facts.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    return found.unionByName(_finding(quiet.where("change_index = 0"), 11, 35, "DOCUMENT_CONTENT_CHANGE", before, after))
+def _facts(c: F.Column) -> F.Column:
+    """What the rules ask of one change, each evaluated once."""
+    before, after = F.coalesce(c["before"], F.lit("")), F.coalesce(c["after"], F.lit(""))
+    return F.struct(
+        c["change_index"].alias("change_index"),
+        c["before"].alias("before"),
+        c["after"].alias("after"),
+        (policy.has_policy_term(before) | policy.has_policy_term(after)).alias("policy"),
+        (policy.numeric_values(before) != policy.numeric_values(after)).alias("numbers"),
+        (policy.date_set(before) != policy.date_set(after)).alias("dates"),
+        policy.has_prompt_injection(after).alias("injected"),
+        (F.size(policy.control_points(after)) > 0).alias("controls"),
+    )
+
+
+def _finding(f: F.Column, order: int, score: F.Column | int, kind: F.Column | str) -> F.Column:
+    score, kind = (x if isinstance(x, F.Column) else F.lit(x) for x in (score, kind))
+    return F.struct(score.cast("int").alias("score"), kind.alias("type"), F.lit(order).alias("rule_order"), f["change_index"].alias("change_index"), f["before"].alias("before"), f["after"].alias("after"))
+
+
+def _rules(f: F.Column) -> F.Column:
+    term = f["policy"]
+    unclassified = term & ~f["numbers"] & ~f["dates"] & ~f["injected"]
+    return F.array_compact(
+        F.array(
+            F.when(f["controls"], _finding(f, 3, 80, "CONTROL_CHARACTERS")),
+            F.when(f["numbers"], _finding(f, 7, F.when(term, 75).otherwise(55), F.when(term, "POLICY_NUMBER_CHANGE").otherwise("NUMBER_CHANGE"))),
+            F.when(f["dates"], _finding(f, 8, F.when(term, 70).otherwise(50), "POLICY_DATE_CHANGE")),
+            F.when(f["injected"], _finding(f, 9, 85, "PROMPT_INJECTION")),
+            F.when(unclassified, _finding(f, 10, 50, "POLICY_SEMANTIC_CHANGE")),
+        )
+    )
+
+
+def with_findings(change_arrays: DataFrame) -> DataFrame:
+    """(doc_id, findings) of documents (doc_id, changes): all rules in one pass, without a shuffle. Changes that no rule
+    speaks of make one generic finding."""
+    facts = change_arrays.select("doc_id", F.transform("changes", _facts).alias("facts"))
+    found = facts.select("doc_id", "facts", F.flatten(F.transform("facts", _rules)).alias("findings"))
+    generic = F.transform(F.slice("facts", 1, 1), lambda f: _finding(f, 11, 35, "DOCUMENT_CONTENT_CHANGE"))
+    return found.select("doc_id", F.when(F.size("findings") > 0, F.col("findings")).otherwise(generic).alias("findings"))
+
+
+def findings(change_arrays: DataFrame) -> DataFrame:
+    """(doc_id, score, type, rule_order, change_index, before, after), a row for each finding."""
+    return with_findings(change_arrays).select("doc_id", F.inline("findings"))
 
 
 def distinct_findings(found: DataFrame) -> DataFrame:
@@ -57,10 +77,10 @@ def banded(score: F.Column) -> tuple[F.Column, F.Column]:
     return decision, F.when(score < REVIEW_FROM, "INDEX").when(score < BLOCK_FROM, "HOLD").otherwise("QUARANTINE")
 
 
-def verdicts(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, risk_score, decision, index_action) of every document; without findings the score is 0."""
-    scores = found.groupBy("doc_id").agg(F.max("score").alias("risk_score"))
-    scored = documents.select("doc_id").join(scores, "doc_id", "left").withColumn("risk_score", F.coalesce("risk_score", F.lit(0)))
+def verdicts(change_arrays: DataFrame) -> DataFrame:
+    """(doc_id, risk_score, decision, index_action) of every document: its greatest score, 0 without findings."""
+    score = F.coalesce(F.array_max(F.transform("findings", lambda f: f["score"])), F.lit(0))
+    scored = with_findings(change_arrays).select("doc_id", score.alias("risk_score"))
     decision, action = banded(F.col("risk_score"))
     return scored.select("doc_id", "risk_score", decision.alias("decision"), action.alias("index_action"))
 

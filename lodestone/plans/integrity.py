@@ -26,15 +26,13 @@ d AS (SELECT *, CASE WHEN risk_score < 30 THEN 'ALLOW' WHEN risk_score < 70 THEN
 @register("r12_verdicts", f"WITH {PAIRS}, {VERDICTS} SELECT doc_id, risk_score, decision, index_action FROM d")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict table: every document's candidate, scored."""
-    docs = tables.documents(spark, sf_dir)
-    found = risk.findings(changes.changes(tables.pairs(docs)))
-    return risk.verdicts(docs, found)
+    return risk.verdicts(changes.change_arrays(tables.pairs(tables.documents(spark, sf_dir))))
 
 
 @register("a8_findings")
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct findings in rule order, capped."""
-    return risk.distinct_findings(risk.findings(changes.changes(tables.pairs(tables.documents(spark, sf_dir)))))
+    return risk.distinct_findings(risk.findings(changes.change_arrays(tables.pairs(tables.documents(spark, sf_dir)))))
 
 
 @register("a7_evaluation_rates", f"""

@@ -123,7 +123,7 @@ def test_chain_detects_tampering(spark):
 def test_findings_are_distinct_and_null_scores_block(spark):
     from pyspark.sql import functions as F
 
-    found = risk.findings(changes.changes(tables.pairs(tables.documents(spark, SF))))
+    found = risk.findings(changes.change_arrays(tables.pairs(tables.documents(spark, SF))))
     kept = risk.distinct_findings(found)
     assert kept.groupBy("doc_id", "type", "before", "after").count().where("count > 1").count() == 0
     decision, action = risk.banded(F.col("s"))
