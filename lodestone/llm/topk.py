@@ -75,7 +75,7 @@ def _histogram(blocks, k: int):
     """Of each query: its number, a bin of its range, and how many of the task's best scores fall into it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = np.iinfo(np.int64).min
+        floor = np.iinfo(np.int64).min + 1  # its negative is a long too
         own: dict[int, Block] = blocks.value
         best = {n: np.full((len(b.ids), k), floor) for n, b in own.items()}
         for batch in batches:

@@ -197,6 +197,16 @@ def test_topk(spark, folder):
     assert topk.query(spark, folder(embeddings=embeddings([]))).count() == 0
 
 
+def test_topk_sends_only_what_can_be_among_the_best(spark):
+    """The histograms must find each kth score: else the last pass would send every pair and the ranks still be right."""
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(600)]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), "vec_id", "embedding").cache()
+    sent = topk._block_result(vectors, vectors.where("vec_id % 50 = 0"), 5)
+    most = sent.groupBy("query_id").count().agg({"count": "max"}).first()[0]
+    assert 5 <= most <= 4 + 5 * 3
+
+
 def test_decontamination(spark, folder):
     rng = random.Random(12)
     items = [(i, words(rng, rng.randint(16, 50)) + ". " + words(rng, 6)) for i in range(12)]
