@@ -238,3 +238,24 @@ def test_common_subsequence():
             for j, y in enumerate(b):
                 diagonal, row[j + 1] = row[j + 1], diagonal + 1 if x == y else max(row[j], row[j + 1])
         assert decontaminate.common_subsequence(a, b) == row[-1]
+
+
+def test_decontamination_finds_what_common_allows_at_every_length(spark, folder):
+    """Copies, and items of which a quarter of the words is replaced or dropped, evenly or at random."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("bcdfgklm") + rng.choice("aeiou") for _ in range(rng.randint(3, 5)))
+    items, docs, want = [], [(i, " ".join(word() for _ in range(60))) for i in range(40)], set()
+    for n in (3, 4, 5, 6, 7, 8, 11, 12, 16, 23, 24, 31, 32, 40, 48, 49, 55, 59, 64, 100, 200, 500):
+        w = [word() for _ in range(n)]
+        items.append((n, " ".join(w)))
+        lost, tail = n // 4, max(1, n // 3)
+        even = range(0, 4 * lost, 4)
+        free = rng.sample([*range(n - tail), *rng.sample(range(n - tail, n), tail // 2)], lost)
+        for k, gone in enumerate(((), even, even, free, free)):
+            kept = [(word() if j in gone else x) for j, x in enumerate(w) if k not in (2, 4) or j not in gone]
+            docs.append((1000 * (k + 1) + n, " ".join([word() for _ in range(37)] + kept + [word() for _ in range(29)])))
+            want.add((1000 * (k + 1) + n, n))
+    table = pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "text": [t for _, t in items]})
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.query(spark, folder(docs, benchmark=table)).collect()}
+    assert set(got) == want
+    assert all(r.common >= 0.75 and -1 <= r.cosine <= 1.001 for r in got.values())
