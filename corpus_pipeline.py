@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bpe, decontaminate, ngram_join, quality, runtime, secrets
 
+#: Of the near-copy stage; op10's own are those of its query.
+SHINGLE, NEAR = 5, 80
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
@@ -20,9 +23,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group of near copies; of rows that repeat, one."""
+    """Keeps the document of least doc_id of each group of near copies (``NEAR`` per cent of their shingles of ``SHINGLE``
+    words in common); of rows that repeat, one."""
     runtime.prepare(spark)
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, threshold=NEAR, size=SHINGLE)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

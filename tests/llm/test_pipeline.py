@@ -40,6 +40,40 @@ def test_pipeline(spark, folder):
             assert codec.decode(np.array(r.ids, np.int64)).decode() == want
 
 
+def test_near_copies_of_five_word_shingles(spark, folder):
+    """Copies of similarity 0.75 to 0.95 by edited words and by added or cut passages, against a brute-force join."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7)))
+    docs = []
+    for k, n in enumerate((20, 45, 60, 110, 200, 400)):
+        w = [word() for _ in range(n)]
+        docs.append((100 * k, " ".join(w)))
+        docs += [(100 * k + j, " ".join([*w, *(word() for _ in range(n * j // 100))])) for j in (8, 12, 16, 20, 24, 30)]
+        docs += [(100 * k + j + 1, " ".join(w[: n - n * j // 100])) for j in (8, 12, 16, 20, 24, 30)]
+        for j, share in ((40, 55), (41, 50), (42, 45), (43, 40)):
+            docs.append((100 * k + j, " ".join(word() if i % share == 9 else x for i, x in enumerate(w))))
+    rng.shuffle(docs)
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in docs}
+    parent = {i: i for i in sets}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    middle = 0
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                middle += 100 * both < 90 * (len(sets[a]) + len(sets[b]) - both)
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    path = folder(docs)
+    kept = corpus_pipeline.keep_one_of_each_group(spark, spark.read.parquet(f"{path}/documents.parquet"), path)
+    assert middle > 50 and sorted(r.doc_id for r in kept.collect()) == sorted(i for i in sets if find(i) == i)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
