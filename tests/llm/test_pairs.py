@@ -259,3 +259,18 @@ def test_decontamination_finds_what_common_allows_at_every_length(spark, folder)
     got = {(r.doc_id, r.item_id): r for r in decontaminate.query(spark, folder(docs, benchmark=table)).collect()}
     assert set(got) == want
     assert all(r.common >= 0.75 and -1 <= r.cosine <= 1.001 for r in got.values())
+
+
+def test_decontamination_fits_the_space_on_all_rows(spark, folder, monkeypatch):
+    """Every word of every document and of the items of all blocks has a place in the latent space."""
+    monkeypatch.setattr(decontaminate, "BLOCK", 8)
+    monkeypatch.setattr(decontaminate, "RANK", 40)
+    rng = random.Random(41)
+    docs = [(i, f"doc{i} common words {words(rng, 3)}") for i in range(2300)]
+    items = pa.table({"item_id": pa.array(range(30), pa.int64()), "text": [f"rare{i} in item{i} of all{i} the items{i}" for i in range(30)]})
+    path = folder(docs, benchmark=items)
+    read = lambda name: spark.read.parquet(f"{path}/{name}.parquet")
+    asked = [t for _, t in docs] + items["text"].to_pylist()
+    word = decontaminate.word_tokens(*decontaminate.utf8(pa.array(asked)))[0]
+    spaces = [m.value.space for m in decontaminate.matchers(read("documents").select("doc_id", "text"), read("benchmark"))]
+    assert len(spaces) == 4 and all((np.abs(s[decontaminate.dims(word)]).sum(1) > 0).all() for s in spaces)
