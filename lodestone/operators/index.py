@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,24 +72,24 @@ def current_versions(log: DataFrame) -> DataFrame:
     return folded.select("document_id", F.col("s.current").alias("current_sha256"), F.size("s.kept").alias("versions"), F.col("s.rejected").alias("rejected"))
 
 
-def search(index: DataFrame, queries: list[tuple[int, str]], k: int = 5) -> DataFrame:
-    """(query_id, rank, doc_id, chunk_index, score): the best chunks for each of a bounded set of queries.
+def search(index: DataFrame, queries: list[tuple[int, str]] | DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, rank, doc_id, chunk_index, score): the best chunks for each query (id, text).
 
     Three points for each time the whole query stands in a chunk and one for each time one of its distinct words does.
-    The queries are constants of the plan (``MOST_QUERIES`` at most); chunks are scored once against all of them, and
-    only the best of each partition are shuffled.
+    Queries are dealt by hash into blocks of about ``MOST_QUERIES``, each of which is broadcast to the chunks; only the
+    best of each partition are shuffled.
     """
-    asked = [(i, q) for i, q in queries if q and q.strip()]
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries at once")
     spark = index.sparkSession
-    rows = spark.createDataFrame(asked, "query_id bigint, query string").withColumn("q", policy.casefold(F.col("query")))
+    asked = queries if isinstance(queries, DataFrame) else spark.createDataFrame(queries, "query_id bigint, query string")
+    rows = asked.toDF("query_id", "query").where(F.col("query").rlike(r"\S")).withColumn("q", policy.casefold(F.col("query")))
     rows = rows.withColumn("terms", F.array_distinct(F.regexp_extract_all("q", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))))
     if index.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few large files: scoring is the work
         index = index.repartition(spark.sparkContext.defaultParallelism)
     folded = index.withColumn("t", policy.casefold(F.col("chunk")))
     hit = F.exists("terms", lambda x: F.col("t").contains(x)) | F.col("t").contains(F.col("q"))
-    pairs = folded.join(F.broadcast(rows), hit)
+    blocks = max(1, -(-rows.count() // MOST_QUERIES))
+    dealt = [rows.where(F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)) == b) for b in range(blocks)]
+    pairs = reduce(DataFrame.union, [folded.join(F.broadcast(block), hit) for block in dealt])
     terms = F.aggregate("terms", F.lit(0).cast("bigint"), lambda total, x: total + policy.occurrences(F.col("t"), x))
     scored = pairs.withColumn("score", 3 * policy.occurrences(F.col("t"), F.col("q")) + terms).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_index")

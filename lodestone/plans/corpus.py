@@ -192,6 +192,6 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_index, score FROM
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best chunks for the first words of each benchmark item."""
     first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    asked = tables.read(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", first.alias("q")).limit(index.MOST_QUERIES + 1).collect()
+    asked = tables.read(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", first.alias("q"))
     rows = index.chunks(tables.documents(spark, sf_dir).select("doc_id", "text"))
-    return index.search(rows, [(r.item_id, r.q) for r in asked])
+    return index.search(rows, asked)

@@ -28,3 +28,13 @@ def test_facade(spark):
     assert {(r.doc_id, r.type) for r in findings.collect()} == {(1, "POLICY_NUMBER_CHANGE"), (3, "PROMPT_INJECTION")}
     hits = api.search(index.chunks(base), [(7, "approval limit")]).collect()
     assert [(r.query_id, r.doc_id, r.score) for r in hits] == [(7, 1, 5)]
+
+
+def test_search_of_more_queries_than_a_block(spark):
+    from lodestone.operators import index
+
+    chunks = spark.createDataFrame([(d, 0, f"word{d}x shared") for d in range(40)], "doc_id long, chunk_index int, chunk string")
+    queries = [(i, f"word{i}x" if i < 40 else " ") for i in range(index.MOST_QUERIES + 40)] + [(5000 + i, f"nothing{i}") for i in range(index.MOST_QUERIES)]
+    got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in index.search(chunks, queries).collect())
+    want = sorted((q, 1, q, 4) for q in range(40))
+    assert got == want
