@@ -34,7 +34,9 @@ KINDS = ("assign", "access", "hex", "lexed")
 #: An assignment operator, and what may follow it: a quoted literal or a bare word.
 OPERATOR = re.compile(r"""(?<![=!<>:])(?::=|=>|=|:)(?![=/])""")
 VALUE = re.compile(r"""\s{0,64}(?:[rbuf]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|([A-Za-z0-9_$][A-Za-z0-9_$+/.=-]*))""")
-PLUS = re.compile(r"[ \t]*(?:\+|\.\.)(?=[ \t]*[\"'`A-Za-z_])")
+#: What joins values, over line ends too; after a bare word only on its line, as a list may follow.
+PLUS = re.compile(r"\s*(?:\+|\.\.)\s*(?=[\"'`A-Za-z_])")
+PLUS_HERE = re.compile(r"[ \t]*(?:\+|\.\.)\s*(?=[\"'`A-Za-z_])")
 NAME = re.compile(r"""([A-Za-z_$][\w$.-]*)["'\]`]{0,2}[ \t]*\Z""", re.ASCII)
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*\Z", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -48,7 +50,12 @@ SENSITIVE = {
 #: Parts that make a name harmless.
 HARMLESS = {"count": -2.0, "counts": -2.0, "length": -2.0, "limit": -2.0, "name": -1.0, "field": -1.5, "path": -1.5, "file": -1.5, "url": -1.0, "type": -1.5, "max": -1.5, "min": -1.5}
 #: Values that stand for a secret without being one.
-PLACEHOLDER = re.compile(r"(?i)(?:your|my|the|some|example|sample|dummy|test|change|replace|placeholder|todo|none|null|true|false|undefined|xxx+|\*+|\.\.+|<|\$\{|\{\{|%\()")
+PLACEHOLDER = re.compile(
+    r"(?i)(?:(?:your|my|the|some|example|sample|dummy|test|change|replace)(?:pass(?:word|wd)?|secret|token|api_?key|key|value|me|it|this)?(?![A-Za-z0-9])"
+    r"|(?:placeholder|todo|none|null|true|false|undefined)(?![A-Za-z0-9])|xxx+|\*+|\.\.+|<|\$\{|\{\{|%\()"
+)
+#: Further values of a sum of more characters aren't weighed; their spans are kept.
+WEIGHED = 1 << 14
 THRESHOLD = 4.0
 
 
@@ -79,8 +86,10 @@ def literal_weight(value: str) -> float:
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, 3, end) of literals that reach a sensitive name, directly or through constants."""
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    found: dict[tuple[int, int], float] = {}
+    constants: dict[str, int] = {}
+    #: Values: what is weighed of them, and their parts, spans or the numbers of other values, which are shared.
+    values: list[tuple[str, list[tuple[int, int] | int]]] = []
+    sensitive: set[int] = set()
     for op in OPERATOR.finditer(text):
         at = op.start()
         back = at - 1
@@ -90,24 +99,35 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
         value = VALUE.match(text, op.end()) if name else None
         if not value:
             continue
-        whole, spans = "", []
+        texts, room, parts = [], WEIGHED, []
         while value:
+            plus = PLUS
             if value[1] is not None:
-                start, end = value.start(1) + 1, value.end(1) - 1
-                whole, spans = whole + text[start:end], [*spans, (start, end)]
+                parts.append((value.start(1) + 1, value.end(1) - 1))
             elif IDENTIFIER.match(value[2]) and value[2] in constants:
-                known, where = constants[value[2]]
-                whole, spans = whole + known, [*spans, *where]
+                parts.append(constants[value[2]])
             else:
-                whole, spans = whole + value[2], [*spans, (value.start(2), value.end(2))]
-            plus = PLUS.match(text, value.end())
-            value = VALUE.match(text, plus.end()) if plus and len(spans) < 16 else None
-        key = name[1]
-        constants[key] = constants[key.rpartition(".")[2]] = (whole, spans)
+                parts.append((value.start(2), value.end(2)))
+                plus = PLUS_HERE
+            if room > 0:
+                texts.append(values[parts[-1]][0] if isinstance(parts[-1], int) else text[slice(*parts[-1])])
+                room -= len(texts[-1])
+            more = plus.match(text, value.end())
+            value = VALUE.match(text, more.end()) if more else None
+        key, whole, number = name[1], "".join(texts), len(values)
+        values.append((whole, parts))
+        constants[key] = constants[key.rpartition(".")[2]] = number
         weight = name_weight(key)
-        if weight > 0 and (score := weight + literal_weight(whole)) >= THRESHOLD:
-            for span in spans:
-                found[span] = max(score, found.get(span, 0.0))
+        if weight > 0 and weight + literal_weight(whole) >= THRESHOLD:
+            sensitive.add(number)
+    found: dict[tuple[int, int], None] = {}
+    for number in range(len(values) - 1, -1, -1):  # parts are numbered before what they are part of
+        if number in sensitive:
+            for part in values[number][1]:
+                if isinstance(part, int):
+                    sensitive.add(part)
+                else:
+                    found[part] = None
     return [(start, 3, end) for start, end in found]
 
 

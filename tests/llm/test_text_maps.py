@@ -144,3 +144,22 @@ def test_html_field_on_held_out_pages():
         right += sum(int(a) == b for a, b in zip(html_extract.viterbi(field, unary), labels, strict=True))
         total += len(labels)
     assert right / total > 0.95
+
+
+def test_secrets_of_many_parts_lines_and_words():
+    from lodestone.llm import secrets
+
+    key = [f"Qx{i}z7Kp{i}" for i in range(20)]
+    joined = 'secret_key = "' + '" + "'.join(key) + '"'
+    lines = 'private_key = "' + '" +\n      "'.join(key) + '"'
+    before = 'api_secret = "' + '"\n  + "'.join(key) + '"'
+    constant = 'part = "' + '" + "'.join(key) + '"\nclient_secret = part + "Tail9xQ"'
+    for text, more in ((joined, []), (lines, []), (before, []), (constant, ["Tail9xQ"])):
+        assert {text[a:b] for a, _, b in secrets.lexed_spans(text)} == {*key, *more}, text
+    for value in ("MyDog$2019xQ9", "TheRain#88kZq", "none7Qx!pLm2"):
+        text = f'pwd = "{value}"'
+        assert [text[a:b] for a, _, b in secrets.lexed_spans(text)] == [value]
+    for value in ("my_password_here", "changeme", "your-token-goes-here", "none"):
+        assert not secrets.lexed_spans(f'pwd = "{value}"')
+    doubling = 'a = "Zk91xQpL"\n' + "a = a + a\n" * 60 + "password = a"
+    assert [doubling[a:b] for a, _, b in secrets.lexed_spans(doubling)] == ["Zk91xQpL"]
