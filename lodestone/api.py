@@ -20,10 +20,11 @@ def prepare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
     return b.join(c, "doc_id").withColumns({"base_sha256": F.sha2("base_text", 256), "cand_sha256": F.sha2("cand_text", 256)})
 
 
-def assess(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Verdicts and findings of prepared pairs."""
+def assess(prepared: DataFrame, units: DataFrame | None = None, artifacts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Verdicts of prepared pairs with the candidates' units and artifacts (see ``risk.verdicts``), and findings of the
+    changes."""
     arrays = changes.change_arrays(prepared)
-    return risk.verdicts(arrays), risk.distinct_findings(risk.findings(arrays))
+    return risk.verdicts(arrays, units, artifacts), risk.distinct_findings(risk.findings(arrays))
 
 
 def gate(rows: DataFrame) -> DataFrame:

@@ -77,10 +77,21 @@ def banded(score: F.Column) -> tuple[F.Column, F.Column]:
     return decision, F.when(score < REVIEW_FROM, "INDEX").when(score < BLOCK_FROM, "HOLD").otherwise("QUARANTINE")
 
 
-def verdicts(change_arrays: DataFrame) -> DataFrame:
-    """(doc_id, risk_score, decision, index_action) of every document: its greatest score, 0 without findings."""
+def hidden_scores(units: DataFrame) -> DataFrame:
+    """(doc_id, risk_score): the rules of the hidden ones among units (doc_id, text, hidden)."""
+    return units.where("hidden").select("doc_id", F.when(policy.has_prompt_injection(F.coalesce("text", F.lit(""))), 95).otherwise(80).alias("risk_score"))
+
+
+def verdicts(change_arrays: DataFrame, units: DataFrame | None = None, artifacts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, risk_score, decision, index_action) of every document: the greatest score of its changes, of the
+    candidate's units (doc_id, text, hidden) and of its artifacts (doc_id, type, hard_block, empty, size); else 0."""
     score = F.coalesce(F.array_max(F.transform("findings", lambda f: f["score"])), F.lit(0))
     scored = with_findings(change_arrays).select("doc_id", score.alias("risk_score"))
+    more = [] if units is None else [hidden_scores(units)]
+    if artifacts is not None:
+        more.append(artifact_scores(artifacts, "doc_id").select("doc_id", F.col("score").alias("risk_score")))
+    if more:
+        scored = reduce(DataFrame.union, more, scored).groupBy("doc_id").agg(F.max("risk_score").alias("risk_score"))
     decision, action = banded(F.col("risk_score"))
     return scored.select("doc_id", "risk_score", decision.alias("decision"), action.alias("index_action"))
 
