@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .text_arrays import Prefix
+from .text_arrays import distinct
 
 #: The most pieces that a worker keeps encoded; beyond it the cache starts anew.
 CACHE = 200_000
@@ -215,7 +215,7 @@ class Codec:
         start, end, run = pieces_of(runs)
         whole = "".join(runs)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
-        _, first, inverse = np.unique(Prefix(points).spans(start, end), return_index=True, return_inverse=True)
+        first, inverse = distinct(points, start, end)
         get, piece = self.cache.get, self.piece
         words = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         written = np.array([get(w) or piece(w) for w in words], object)[inverse] if len(words) else np.zeros(0, object)
@@ -286,17 +286,22 @@ def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
 
 
 def decode(df: DataFrame, vocabulary: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:
-    """The rows and columns of ``df`` with the text that the ids of each row stand for; null for null."""
+    """The rows and columns of ``df`` with the text that the ids of each row stand for, in place of a column of that
+    name; null for null."""
     content = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text(encoding="utf-8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(content.value)
         for batch in batches:
-            rows = batch[ids_column].to_pylist()
+            rows = batch["_ids"].to_pylist()
             text = [None if r is None else own.decode(np.array(r, np.int64)).decode("utf-8", "replace") for r in rows]
-            yield batch.append_column(text_column, pa.array(text, pa.string()))
+            columns = [batch[i] for i in range(batch.num_columns - 1)] + [pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept_names, text_column])
 
-    return df.mapInArrow(run, df.select("*", F.lit("").alias(text_column)).schema)
+    kept = df.drop(text_column)
+    kept_names = kept.columns
+    shape = kept.select("*", F.lit("").alias(text_column)).schema
+    return df.select(*(F.col(f"`{c}`") for c in kept_names), F.col(ids_column).alias("_ids")).mapInArrow(run, shape)
 
 
 def public_vocabulary() -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .text_arrays import Prefix
+from .text_arrays import distinct
 
 CACHE = 300_000
 SPACE = "▁"
@@ -40,15 +40,16 @@ class Counter:
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
-        self.automaton.make_automaton()
-        self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
+        if pieces:
+            self.automaton.make_automaton()
+        self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.cache: dict[str, int] = {}
 
     def word(self, word: str) -> int:
         """The number of pieces of the best segmentation."""
         n = len(word)
         matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, score) in self.automaton.iter(word):
+        for end, (length, score) in self.automaton.iter(word) if len(self.automaton) else ():
             matches[end + 1 - length].append((end + 1, score))
         best, count, fresh = [0.0] + [0.0] * n, [0] * (n + 1), [True] * (n + 1)
         fresh[0] = False
@@ -84,7 +85,7 @@ class Counter:
         edge[begins[begins < len(points)]] = True
         start = np.flatnonzero(edge)
         end = np.r_[start[1:], len(points)]
-        _, first, inverse = np.unique(Prefix(points).spans(start, end), return_index=True, return_inverse=True)
+        first, inverse = distinct(points, start, end)
         get, count = self.cache.get, self.word
         words = [whole[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         known = np.array([get(w) or count(w) for w in words], np.int64)[inverse]

@@ -33,11 +33,12 @@ KINDS = ("assign", "access", "hex", "lexed")
 
 #: An assignment operator, and what may follow it: a quoted literal or a bare word.
 OPERATOR = re.compile(r"""(?<![=!<>:])(?::=|=>|=|:)(?![=/])""")
-VALUE = re.compile(r"""\s{0,64}(?:[rbuf]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|([A-Za-z0-9_$][A-Za-z0-9_$+/.=-]*))""")
+VALUE = re.compile(r"""\s*(?:[rbuf]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|([A-Za-z0-9_$][A-Za-z0-9_$+/.=-]*))""")
 #: What joins values, over line ends too; after a bare word only on its line, as a list may follow.
 PLUS = re.compile(r"\s*(?:\+|\.\.)\s*(?=[\"'`A-Za-z_])")
 PLUS_HERE = re.compile(r"[ \t]*(?:\+|\.\.)\s*(?=[\"'`A-Za-z_])")
-NAME = re.compile(r"""([A-Za-z_$][\w$.-]*)["'\]`]{0,2}[ \t]*\Z""", re.ASCII)
+#: Backwards from an operator: blanks, closing quotes or brackets, and the name, which begins with a letter, _ or $.
+NAME_BACK = re.compile(r"""[ \t]*["'\]`]{0,2}([\w$.-]*[A-Za-z_$])""", re.ASCII)
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.]*\Z", re.ASCII)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
@@ -90,12 +91,9 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     #: Values: what is weighed of them, and their parts, spans or the numbers of other values, which are shared.
     values: list[tuple[str, list[tuple[int, int] | int]]] = []
     sensitive: set[int] = set()
+    backwards = text[::-1]
     for op in OPERATOR.finditer(text):
-        at = op.start()
-        back = at - 1
-        while back >= 0 and at - back <= 200 and text[back] not in "\n,;({[&?":
-            back -= 1
-        name = NAME.search(text, back + 1, at)
+        name = NAME_BACK.match(backwards, len(text) - op.start())
         value = VALUE.match(text, op.end()) if name else None
         if not value:
             continue
@@ -114,7 +112,7 @@ def lexed_spans(text: str) -> list[tuple[int, int, int]]:
                 room -= len(texts[-1])
             more = plus.match(text, value.end())
             value = VALUE.match(text, more.end()) if more else None
-        key, whole, number = name[1], "".join(texts), len(values)
+        key, whole, number = name[1][::-1], "".join(texts), len(values)
         values.append((whole, parts))
         constants[key] = constants[key.rpartition(".")[2]] = number
         weight = name_weight(key)

@@ -1,7 +1,8 @@
 """Array views of text columns: bytes, word spans and 64-bit fingerprints, all vectorised over an Arrow batch.
 
 The operators of this subpackage work inside ``mapInArrow`` tasks. A batch of texts is seen as one byte array with
-document offsets; words, shingles and fixed-length windows are computed for the whole batch by numpy.
+document offsets; words, shingles and fixed-length windows are computed for the whole batch by numpy. Where equality
+decides a result, ``distinct`` compares the contents; fingerprints alone only choose features and candidates.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Odd multiplier of the polynomial fingerprint and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
@@ -66,6 +68,61 @@ class Prefix:
         return mix((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+#: Spans of more bytes are hashed and compared one by one.
+LONG = 512
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, with zeros after the end."""
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def prints(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, mixed eight bytes at a time."""
+    size, eight = end - start, eights(data)
+    out = mix(size.astype(np.uint64) + np.uint64(seed * BASE & (1 << 64) - 1))
+    rows, at, left = np.flatnonzero(size <= LONG), start, size
+    at, left = at[rows], left[rows]
+    while len(rows):
+        out[rows] = mix(out[rows] * np.uint64(BASE) + (eight[at] & _LOW_BYTES[np.minimum(left, 8)]))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return out
+
+
+def same_as(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span holds the same bytes as the span whose number is in ``other``."""
+    size, eight = end - start, eights(data)
+    out = size == size[other]
+    rows = np.flatnonzero(out & (size <= LONG) & (other != np.arange(len(size))))
+    at, by, left = start[rows], start[other[rows]], size[rows]
+    while len(rows):
+        out[rows[((eight[at] ^ eight[by]) & _LOW_BYTES[np.minimum(left, 8)]) != 0]] = False
+        more = left > 8
+        rows, at, by, left = rows[more], at[more] + 8, by[more] + 8, left[more] - 8
+    for i in np.flatnonzero(out & (size > LONG) & (other != np.arange(len(size)))).tolist():
+        out[i] = np.array_equal(data[start[i] : end[i]], data[start[other[i]] : end[other[i]]])
+    return out
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans of an array: one span of each content, and for every span the number of its content. Hashes group the
+    spans and their bytes decide: what differs from its group's first span is told apart by its bytes alone."""
+    wide = data.dtype.itemsize
+    raw, a, b = data.view(np.uint8), start * wide, end * wide
+    _, first, inverse = np.unique(prints(raw, a, b), return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~same_as(raw, a, b, first[inverse])).tolist()
+    found: dict[bytes, int] = {}
+    for i in odd:
+        inverse[i] = found.setdefault(raw[a[i] : b[i]].tobytes(), len(first) + len(found))
+    more = {inverse[i]: i for i in reversed(odd)}
+    return np.r_[first, np.array([more[k] for k in sorted(more)], first.dtype)], inverse
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -82,11 +82,45 @@ def test_bpe_is_the_tokenizer(spark, folder):
     assert bpe.query(spark, folder([])).count() == 0
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_long_words_of_equal_sums_stay_apart(spark, folder):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer.from_file(bpe.public_vocabulary())
+    words = [w for n in (1024, 2048) for w in (thue_morse(n), thue_morse(n).translate(str.maketrans("ab", "ba")))]
+    docs = [(i, w) for i, w in enumerate([*words, " ".join(words)])]
+    with open(piece_counts.public_vocabulary(), "rb") as f:
+        counter = piece_counts.Counter(piece_counts.ordinary_pieces(f.read()))
+    counts = {r.doc_id: r.n_pieces for r in piece_counts.query(spark, folder(docs)).collect()}
+    for r in bpe.query(spark, folder(docs)).collect():
+        assert r.ids_sha256 == SHA(",".join(map(str, own.encode(docs[r.doc_id][1], add_special_tokens=False).ids)))
+        assert r.decoded_sha256 == SHA(docs[r.doc_id][1])
+        assert counts[r.doc_id] == sum(counter.word("▁" + w) for w in docs[r.doc_id][1].split())
+
+
+def test_distinct_compares_contents(monkeypatch):
+    from lodestone.llm import text_arrays
+
+    np = text_arrays.np
+    data = np.frombuffer(b"abcabdabcxabc" + b"y" * 1300, np.uint8)
+    start, end = np.array([0, 3, 6, 10, 13, 663, 2]), np.array([3, 6, 9, 13, 663, 1313, 3])
+    for weak in (False, True):
+        if weak:
+            monkeypatch.setattr(text_arrays, "prints", lambda d, a, b, seed=0: np.zeros(len(a), np.uint64))
+        first, inverse = text_arrays.distinct(data, start, end)
+        name = [bytes(data[a:b]) for a, b in zip(start, end, strict=True)]
+        assert len(first) == 4 and [name[first[i]] for i in inverse] == name
+
+
 def test_bpe_round_trip(spark, folder):
     df = spark.read.parquet(folder([(1, "naïve 漢字 text"), (2, ""), (3, None)]) + "/documents.parquet")
     ids = bpe.encode(df, bpe.public_vocabulary(), keep_ids=True)
     back = {r.doc_id: r.text for r in bpe.decode(ids.select("doc_id", "ids"), bpe.public_vocabulary()).collect()}
     assert back == {1: "naïve 漢字 text", 2: "", 3: ""}
+    clash = bpe.decode(ids.selectExpr("ids", "doc_id AS text"), bpe.public_vocabulary())
+    assert clash.columns == ["ids", "text"] and {r.text for r in clash.collect()} == set(back.values())
 
 
 def brute_pieces(word, scores, unknown):
@@ -123,8 +157,9 @@ def pages(rows):
 
 def test_html_extraction(spark, folder):
     article = "<article><h1>A  title</h1><p>One &amp; two&nbsp;three.<br>Four.<p>Last <b>one</b> here &lt;x&gt;.</p></article>"
-    around = "<html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>{}<div class='comments'><h2>Replies</h2><div class='comment'><p>I agree with all.</p></div></div><footer>&copy; me</footer><script>var a='<p>no</p>';</script></body></html>"
-    rows = [(1, "u", around.format(article)), (2, None, None), (3, "u", ""), (4, "u", around.format(article)[: around.index("{}") + 60]), (1, "u", around.format(article))]
+    around = "<html><head><title>T</title><style>p{color:red}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>ARTICLE<div class='comments'><h2>Replies</h2><div class='comment'><p>I agree with all.</p></div></div><footer>&copy; me</footer><script>var a='<p>no</p>';</script></body></html>"
+    whole = around.replace("ARTICLE", article)
+    rows = [(1, "u", whole), (2, None, None), (3, "u", ""), (4, "u", whole[: around.index("ARTICLE") + 60]), (1, "u", whole)]
     got = html_extract.query(spark, folder(pages=pages(rows))).collect()
     assert len(got) == 5
     by = {r.page_id: r for r in got}
@@ -146,6 +181,15 @@ def test_html_field_on_held_out_pages():
     assert right / total > 0.95
 
 
+def test_secrets_of_far_names_and_wide_gaps():
+    for text in ("client_" + "x" * 400 + '_password = "AbC9xy12Zq88"', 'client_password' + " " * 300 + '= "AbC9xy12Zq88"', "client_password =" + " " * 200 + '"AbC9xy12Zq88"'):
+        assert [text[a:b] for a, _, b in secrets.lexed_spans(text)] == ["AbC9xy12Zq88"]
+
+
+def test_token_counts_of_an_empty_vocabulary():
+    assert piece_counts.Counter([]).texts(["ab", ""]).tolist() == [3 + 2, 0]
+
+
 def test_secrets_of_many_parts_lines_and_words():
     from lodestone.llm import secrets
 
