@@ -3,25 +3,25 @@
 A byte goes if it lies in a 50-byte string that also starts in a document with a smaller doc_id; the input decides,
 not what is left of it, and matches never cross documents.
 
-Plan. Suffixes are sampled so that any two equal 50-byte strings hold the same sampled suffix (the least fingerprint
-of the 31 20-byte seeds in the string, leftmost on ties). Then:
-
-1. Texts are packed into pieces (compressed blobs of many documents), dealt out once by piece.
-2. Each piece sends its distinct seeds, 4 bytes each, to the bucket of the seed's fingerprint; the bucket sends back
-   those that more than one document has. Most suffixes end here.
-3. Each piece sends the strings around its shared suffixes to their buckets, once for all copies within the piece. A
-   bucket holds an index family: each arriving batch gets its suffix array (sorted 50-byte string fingerprints with the
-   least doc_id of each), equal-sized levels merge geometrically, and every batch is merge-scanned against the levels
-   for strings that an earlier document has.
-4. Covered strings go back to their pieces, which cut them out.
-
-A seed or string that a third of all documents share reaches its bucket once a piece, not once a document. Buckets and
-pieces are counts from the input size. Suffixes are ordered by 64-bit fingerprints in place of their bytes, so that
-buckets are even; equal fingerprints count as equal strings (for n strings, a chance of about n * n / 2**65).
+Plan. Suffixes are sampled so that any two equal 50-byte strings hold the same sampled suffix (the one whose 20-byte seed
+has the least hash of the 31 in the string, leftmost on ties). Then:
+
+1. Texts are packed into pieces (compressed blobs of many documents), written once to the shared folder.
+2. Each piece sends its distinct seeds, 4 bytes each, to the bucket of the seed's hash; the bucket sends back those that
+   more than one document has. Most suffixes end here.
+3. Each piece sends the regions around its shared suffixes to their buckets, once for all copies within the piece. A
+   bucket holds an index family: each arriving batch gets the suffix array of its distinct regions, in byte order to
+   the depth of a match, is merge-scanned against the existing levels, and levels merge geometrically by size. So each
+   string gets one number whatever region it comes in, and with it the least doc_id that has it.
+4. Strings of which an earlier document has the number go back to their pieces, which cut them out.
+
+Hashes only deal and filter; strings, and the regions that are joined before they are sent, are compared as bytes. A seed or
+region that a third of all documents share reaches its bucket once a piece, not once a document. There are never more
+messages than regions, as empty ones aren't sent. The family lives as long as its task; between runs it isn't stored.
 
 Defined cases: null or empty text has no bytes and no spans; a null doc_id takes no part (nothing is removed from its
 row, nor for it); rows of one doc_id never remove each other's bytes; extra columns are ignored; an empty table gives
-an empty result. The input must give the same partitions when read again, as files do.
+an empty result.
 """
 
 from __future__ import annotations
@@ -30,17 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .text_arrays import Prefix, mix, pieces, utf8
+from .text_arrays import BASE, distinct, eights, mix, pieces, utf8
 
 LENGTH, SEED = 50, 20
 #: Bytes of stored input for each bucket, and the limits of a piece's text.
-BUCKET_BYTES, LEAST_PIECE, MOST_PIECE = 8 << 20, 256 << 10, 8 << 20
+BUCKET_BYTES, LEAST_PIECE, MOST_PIECE = 6 << 20, 256 << 10, 8 << 20
+#: Bytes of messages of a batch of a bucket, and strings that are copied at once.
+BATCH_BYTES, SLICE = 1 << 20, 1 << 17
 
 PIECE = "piece bigint, ids binary, known binary, sizes binary, body binary"
 MESSAGE = "bucket int, piece bigint, done boolean, body binary"
@@ -102,29 +105,35 @@ class Piece:
         self.offsets = np.r_[0, np.cumsum(np.frombuffer(sizes, np.int64))]
         self.data = np.frombuffer(zstandard.decompress(body), np.uint8)
 
-    def suffixes(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For runs of documents: first string and number of strings of each sampled suffix, its seed, its document,
-        and the fingerprint of all its strings together."""
+    def suffixes(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For runs of documents: first string and number of strings of each sampled suffix, its seed and its document."""
         for a, b in pieces(self.offsets):
             low = int(self.offsets[a])
             data, offsets = self.data[low : self.offsets[b]], self.offsets[a : b + 1] - low
             found = sample(data, offsets)
             if found is None:
                 continue
-            start, count, seed, prefix = found
+            start, count, seed = found
             row = np.searchsorted(offsets, start, "right") - 1
             keep = self.known[row + a]
             start, count, seed, row = start[keep], count[keep], seed[keep], row[keep]
-            yield start + low, count, seed, row + a, prefix.spans(start, start + count + (LENGTH - 1))
+            yield start + low, count, seed, row + a
 
 
-def sample(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Prefix] | None:
+def seed_prints(data: np.ndarray) -> np.ndarray:
+    """A hash of the ``SEED`` bytes from each place on."""
+    eight, n = eights(data), len(data) - SEED + 1
+    value = mix(eight[:n] + np.uint64(SEED))
+    value = mix(value * np.uint64(BASE) + eight[8 : n + 8])
+    return mix(value * np.uint64(BASE) + (eight[16 : n + 16] & np.uint64(0xFFFFFFFF)))
+
+
+def sample(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Runs of 50-byte strings (first, count) that share a sampled suffix, and the suffix's seed."""
     if len(data) < LENGTH:
         return None
-    prefix = Prefix(data)
-    seeds = prefix.windows(SEED)
-    bits = np.uint64(len(data).bit_length())
+    seeds = seed_prints(data)
+    bits = np.uint64(32)  # the same everywhere, so that ties are the same everywhere
     least = (seeds >> bits << bits) | np.arange(len(seeds), dtype=np.uint64)
     width, reach = LENGTH - SEED + 1, 1
     while reach * 2 <= width:
@@ -144,7 +153,7 @@ def sample(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     at = at[string]
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (string[1:] != string[:-1] + 1)])
     # least fingerprints are small; mixed again, they fill all buckets alike
-    return string[first], np.diff(np.r_[first, len(string)]), mix(seeds[at[first]]), prefix
+    return string[first], np.diff(np.r_[first, len(string)]), mix(seeds[at[first]])
 
 
 def bucket_of(seed: np.ndarray, buckets: int) -> np.ndarray:
@@ -164,7 +173,7 @@ def send_seeds(buckets: int):
         for batch in batches:
             for number, *parts in zip(*(batch[i].to_pylist() for i in range(5)), strict=True):
                 piece = Piece(*parts)
-                got = [(seed, piece.ids[row]) for _, _, seed, row, _ in piece.suffixes()]
+                got = [(seed, piece.ids[row]) for _, _, seed, row in piece.suffixes()]
                 seed, owner = concat([g[0] for g in got], "u8"), concat([g[1] for g in got], "i8")
                 order = np.lexsort((owner, seed))
                 seed, owner = seed[order], owner[order]
@@ -179,25 +188,22 @@ def send_seeds(buckets: int):
     return run
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]], list[tuple[int, int, bool, bytes]]]]:
-    """(bucket, its messages, messages that only pass) of rows sorted by bucket."""
-    bucket, held, passing = None, [], []
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(bucket, its messages) of rows sorted by bucket."""
+    bucket, held = None, []
     for batch in batches:
-        for k, number, done, body in zip(*(batch[i].to_pylist() for i in range(4)), strict=True):
+        for k, number, body in zip(batch["bucket"].to_pylist(), batch["piece"].to_pylist(), batch["body"].to_pylist(), strict=True):
             if k != bucket and bucket is not None:
-                yield bucket, held, passing
-                held, passing = [], []
+                yield bucket, held
+                held = []
             bucket = k
-            if done:
-                passing.append((k, number, True, body))
-            else:
-                held.append((number, body))
+            held.append((number, body))
     if bucket is not None:
-        yield bucket, held, passing
+        yield bucket, held
 
 
 def shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, held, _ in by_bucket(batches):
+    for bucket, held in by_bucket(batches):
         got = [(number, *spread(body, "u4", "?")) for number, body in held]
         seeds = np.sort(concat([g[1] for g in got], "u4"))
         twice = seeds[1:][seeds[1:] == seeds[:-1]]
@@ -222,18 +228,19 @@ def send_strings(buckets: int):
             wanted = concat([np.uint64(k << 32) | spread(body, "u4")[0].astype(np.uint64) for k, body in zip(right["bucket"].to_pylist(), right["body"].to_pylist(), strict=True)], "u8")
             wanted.sort()
             kept = []
-            for start, count, seed, row, whole in piece.suffixes():
+            for start, count, seed, row in piece.suffixes():
                 key = (bucket_of(seed, buckets).astype(np.uint64) << np.uint64(32)) | (seed & np.uint64(0xFFFFFFFF))
                 hit = np.searchsorted(wanted, key)
                 keep = wanted[np.minimum(hit, len(wanted) - 1)] == key
-                kept.append((start[keep], count[keep], seed[keep], piece.ids[row[keep]], whole[keep]))
-            start, count, seed, owner, whole = (concat([k[i] for k in kept], t) for i, t in enumerate(("i8", "i8", "u8", "i8", "u8")))
-            order = np.lexsort((owner, whole))
-            start, count, seed, owner, whole = start[order], count[order], seed[order], owner[order], whole[order]
-            if len(whole):
-                first = np.flatnonzero(np.r_[True, whole[1:] != whole[:-1]])
-                earliest = np.repeat(owner[first], np.diff(np.r_[first, len(whole)]))
-                later = owner > earliest
+                kept.append((start[keep], count[keep], seed[keep], piece.ids[row[keep]]))
+            start, count, seed, owner = (concat([k[i] for k in kept], t) for i, t in enumerate(("i8", "i8", "u8", "i8")))
+            if len(start):
+                order = np.argsort(owner, kind="stable")
+                start, count, seed, owner = start[order], count[order], seed[order], owner[order]
+                first, same = distinct(piece.data, start, start + count + LENGTH - 1)
+                least = np.full(len(first), np.iinfo(np.int64).max)
+                np.minimum.at(least, same, owner)
+                later = owner > least[same]
                 if later.any():
                     out.append((number % buckets, number, True, squeeze(start[later].astype(np.uint32), count[later].astype(np.uint32))))
                 start, count, seed, owner = start[~later], count[~later], seed[~later], owner[~later]
@@ -252,66 +259,136 @@ def send_strings(buckets: int):
 
 
 class IndexFamily:
-    """A logarithmic family of suffix arrays: sorted fingerprints of strings, each with the least doc_id that has it."""
+    """A logarithmic family of suffix arrays over one bucket.
+
+    A level is the suffix array of so many strings, in the order of their first ``LENGTH`` bytes, with the number of
+    each distinct string. A new batch gets a suffix array of its own, is merge-scanned against every level for strings
+    that are there already, and what is new in it becomes a level; a level merges with the one before it while that is
+    not at least twice its size, so that sizes fall geometrically and every string is merged a logarithmic number of times.
+    """
 
     def __init__(self):
-        self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        #: Of each distinct string: the least doc_id that has it so far.
+        self.least = np.zeros(0, np.int64)
 
     @staticmethod
-    def array(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(keys, kind="stable")  # linear where two sorted levels meet
-        keys, owners = keys[order], owners[order]
-        if not len(keys):
-            return keys, owners
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[first], np.minimum.reduceat(owners, first)
-
-    def add(self, keys: np.ndarray, owners: np.ndarray) -> None:
-        """A new level of rank 0; levels of equal rank merge into one of the next."""
-        rank, (keys, owners) = 0, self.array(keys, owners)
-        while self.levels and self.levels[-1][0] == rank:
-            _, other, others = self.levels.pop()
-            keys, owners = self.array(np.concatenate([other, keys]), np.concatenate([others, owners]))
-            rank += 1
-        self.levels.append((rank, keys, owners))
-
-    def earliest(self, keys: np.ndarray) -> np.ndarray:
-        """The least doc_id that has each string: a scan of the sorted batch against every level."""
-        order = np.argsort(keys, kind="stable")
-        ordered, best = keys[order], np.full(len(keys), np.iinfo(np.int64).max)
-        for _, level, owners in self.levels:
-            at = np.minimum(np.searchsorted(level, ordered), len(level) - 1)
-            best = np.where(level[at] == ordered, np.minimum(best, owners[at]), best)
-        out = np.empty_like(best)
-        out[order] = best
+    def merged(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two sorted arrays as one, and its order: a stable sort merges two sorted runs in linear time."""
+        both = np.concatenate([one, other])
+        order = np.argsort(both, kind="stable")
+        return both[order], order
+
+    def scan(self, strings: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """The number of each string of a batch, which is in the family from now on."""
+        order = np.argsort(strings, kind="stable")  # the batch's suffix array
+        ranked = strings[order]
+        first = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, np.int64)
+        keys, low = ranked[first], np.minimum.reduceat(owners[order], first) if len(first) else owners
+        number = np.full(len(keys), -1)
+        for level, numbers in self.levels:
+            both, place = self.merged(level, keys)
+            same = np.flatnonzero(both[1:] == both[:-1])  # a level's string stands right before the batch's
+            number[place[same + 1] - len(level)] = numbers[place[same]]
+        new = number < 0
+        number[new] = np.arange(new.sum()) + len(self.least)
+        self.least = np.concatenate([self.least, np.full(new.sum(), np.iinfo(np.int64).max)])
+        self.least[number] = np.minimum(self.least[number], low)
+        if new.any():
+            self._add(keys[new], number[new])
+        out = np.empty(len(strings), np.int64)
+        out[order] = np.repeat(number, np.diff(np.r_[first, len(ranked)]))
         return out
 
+    def _add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        while self.levels and len(self.levels[-1][0]) < 2 * len(keys):
+            level, others = self.levels.pop()
+            keys, order = self.merged(level, keys)
+            numbers = np.concatenate([others, numbers])[order]
+        self.levels.append((keys, numbers))
+
 
-def _strings(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place in the piece, fingerprint and owner of each string of a message."""
-    start, count, owner, text = spread(body, "u4", "u1", "i8", "u1")
+def _regions(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of a batch of messages: message, first string and number of strings of each region, its owner, and the bytes of
+    all regions with where each begins."""
+    parts = [spread(body, "u4", "u1", "i8", "u1") for body in bodies]
+    message = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    start, count, owner = (np.concatenate([p[i] for p in parts]) for i in range(3))
     count = count.astype(np.int64)
-    ends = np.cumsum(count)
-    step = np.arange(ends[-1]) - np.repeat(ends - count, count)
     size = count + LENGTH - 1
-    place = np.repeat(np.cumsum(size) - size, count) + step
-    return np.repeat(start.astype(np.int64), count) + step, Prefix(text).windows(LENGTH)[place], np.repeat(owner, count)
+    return message, start.astype(np.int64), count, owner, np.concatenate([p[3] for p in parts]), np.cumsum(size) - size
+
+
+class Batches:
+    """The messages of one bucket, taken into its index family batch by batch."""
+
+    def __init__(self):
+        self.family = IndexFamily()
+        #: Of each batch: its pieces, its regions, and the numbers of the strings of its distinct regions.
+        self.done: list[tuple[list[int], tuple[np.ndarray, ...]]] = []
+        self.numbers: list[int] = []
+        self.bodies: list[bytes] = []
+        self.size = 0
+
+    def add(self, number: int, body: bytes) -> None:
+        self.numbers.append(number)
+        self.bodies.append(body)
+        self.size += len(body)
+        if self.size >= BATCH_BYTES:
+            self.close()
+
+    def close(self) -> None:
+        if not self.bodies:
+            return
+        message, start, count, owner, text, at = _regions(self.bodies)
+        first, same = distinct(text, at, at + count + LENGTH - 1)
+        least = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, owner)
+        step = np.cumsum(count[first]) - count[first]
+        place = np.repeat(at[first] - step, count[first]) + np.arange(int(count[first].sum()))
+        windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
+        strings = np.concatenate([windows[place[i : i + SLICE]].reshape(-1).view(f"S{LENGTH}") for i in range(0, len(place), SLICE)]) if len(place) else np.zeros(0, f"S{LENGTH}")
+        ids = self.family.scan(strings, np.repeat(least, count[first]))
+        self.done.append((self.numbers, (message.astype(np.int32), start.astype(np.uint32), count.astype(np.uint8), owner, same.astype(np.int32), ids.astype(np.int32), step)))
+        self.numbers, self.bodies, self.size = [], [], 0
+
+    def covered(self) -> Iterator[tuple[int, bytes]]:
+        """Of each piece: runs of strings that an earlier document has, as first and count."""
+        self.close()
+        for numbers, (message, start, count, owner, same, ids, step) in self.done:
+            count = count.astype(np.int64)
+            ends = np.cumsum(count)
+            inside = np.arange(int(count.sum())) - np.repeat(ends - count, count)
+            gone = self.family.least[ids[np.repeat(step[same], count) + inside]] < np.repeat(owner, count)
+            place, of = (np.repeat(start.astype(np.int64), count) + inside)[gone], np.repeat(message, count)[gone]
+            bounds = np.searchsorted(of, np.arange(len(numbers) + 1))
+            for number, a, b in zip(numbers, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if b > a:
+                    own = np.sort(place[a:b])
+                    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1] + 1])
+                    yield number, squeeze(own[first].astype(np.uint32), np.diff(np.r_[first, len(own)]).astype(np.uint32))
 
 
 def covered_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for bucket, held, passing in by_bucket(batches):
-        family = IndexFamily()
-        for _, body in held:
-            _, key, owner = _strings(body)
-            family.add(key, owner)
-        out = passing
-        for number, body in held:
-            place, key, owner = _strings(body)
-            place = np.sort(place[family.earliest(key) < owner])
-            if len(place):
-                first = np.flatnonzero(np.r_[True, place[1:] != place[:-1] + 1])
-                out.append((bucket, number, True, squeeze(place[first].astype(np.uint32), np.diff(np.r_[first, len(place)]).astype(np.uint32))))
-        yield messages(out)
+    """Of rows sorted by bucket: what to cut of each piece."""
+    bucket, own = None, Batches()
+
+    def close() -> pa.RecordBatch:
+        return messages([(bucket, number, True, body) for number, body in own.covered()])
+
+    for batch in batches:
+        passing = batch.filter(batch["done"])
+        if passing.num_rows:
+            yield passing
+        batch = batch.filter(pc.invert(batch["done"]))
+        for k, number, body in zip(batch["bucket"].to_pylist(), batch["piece"].to_pylist(), batch["body"].to_pylist(), strict=True):
+            if k != bucket:
+                if bucket is not None:
+                    yield close()
+                bucket, own = k, Batches()
+            own.add(number, body)
+    if bucket is not None:
+        yield close()
 
 
 RESULT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
@@ -346,7 +423,7 @@ def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     docs = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     buckets = runtime.parts(docs, BUCKET_BYTES)
     piece_bytes = min(MOST_PIECE, max(LEAST_PIECE, runtime.size_in_bytes(docs) // 64))
-    packed = docs.mapInArrow(pack(piece_bytes), PIECE)
+    packed = runtime.checkpoint(docs.mapInArrow(pack(piece_bytes), PIECE))
 
     def dealt(sent: DataFrame) -> DataFrame:
         return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "piece")

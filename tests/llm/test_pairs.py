@@ -62,17 +62,62 @@ def test_suffix_dedup(spark, folder):
     assert suffix_dedup.query(spark, folder([])).count() == 0
 
 
-def test_index_family_merges_geometrically():
+def test_index_family_scans_batches_and_merges_by_size():
     family, rng = suffix_dedup.IndexFamily(), np.random.default_rng(2)
-    seen = defaultdict(lambda: np.iinfo(np.int64).max)
-    for i in range(13):
-        keys, owners = rng.integers(0, 500, 80).astype(np.uint64), rng.integers(0, 100, 80)
-        family.add(keys, owners)
-        for k, o in zip(keys.tolist(), owners.tolist(), strict=True):
-            seen[k] = min(seen[k], o)
-        assert len(family.levels) == (i + 1).bit_count()
-    asked = np.arange(500, dtype=np.uint64)
-    assert family.earliest(asked).tolist() == [seen[k] for k in range(500)]
+    seen, numbers = {}, {}
+    for i in range(40):
+        strings = rng.integers(97, 99, (int(rng.integers(1, 60)), 50)).astype(np.uint8)
+        strings[:, 9:] = 97  # few enough distinct ones that batches meet
+        strings[0, 0] = 0
+        keys, owners = strings.reshape(-1).view("S50"), rng.integers(0, 100, len(strings))
+        got = family.scan(keys, owners)
+        for k, o, n in zip(map(bytes, strings), owners.tolist(), got.tolist(), strict=True):
+            assert numbers.setdefault(k, n) == n
+            seen[k] = min(seen.get(k, o), o)
+        sizes = [len(level) for level, _ in family.levels]
+        assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:]))
+        assert all((level[1:] > level[:-1]).all() for level, _ in family.levels)
+    assert len(set(numbers.values())) == len(numbers) == sum(len(level) for level, _ in family.levels)
+    assert {k: family.least[n] for k, n in numbers.items()} == seen
+
+
+def test_batches_of_a_bucket(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 400)
+    monkeypatch.setattr(suffix_dedup, "SLICE", 7)
+    rng = np.random.default_rng(8)
+    base = rng.integers(97, 123, 80).astype(np.uint8).tobytes()
+    own, sent = suffix_dedup.Batches(), []
+    for number in range(60):
+        rows = []
+        for j in range(int(rng.integers(1, 4))):
+            count = int(rng.integers(1, 31))
+            at = int(rng.integers(0, 32 - count))
+            text = bytearray(base[at : at + count + 49])
+            if rng.random() < 0.5:
+                text[int(rng.integers(len(text)))] = 65
+            rows.append((100 * j, count, int(rng.integers(0, 30)), bytes(text)))
+        start, count, owner, text = zip(*rows, strict=True)
+        own.add(number, suffix_dedup.squeeze(np.array(start, np.uint32), np.array(count, np.uint8), np.array(owner, np.int64), np.frombuffer(b"".join(text), np.uint8)))
+        sent.append(rows)
+    least = {}
+    for rows in sent:
+        for _, count, owner, text in rows:
+            for i in range(count):
+                least[text[i : i + 50]] = min(owner, least.get(text[i : i + 50], owner))
+    got = {}
+    for number, body in own.covered():
+        first, count = suffix_dedup.spread(body, "u4", "u4")
+        got[number] = {p for a, n in zip(first.tolist(), count.tolist(), strict=True) for p in range(a, a + n)}
+    want = {number: {a + i for a, count, owner, text in rows for i in range(count) if least[text[i : i + 50]] < owner} for number, rows in enumerate(sent)}
+    assert got == {k: v for k, v in want.items() if v} and len(own.done) > 5 and len(own.family.levels) > 1
+
+
+def test_suffix_dedup_of_rows_without_files(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs far away"
+    rows = [(2, text), (1, "a " + text), (3, "nothing of the kind")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: len(r.spans) for r in suffix_dedup.dedup(df.join(df.select("doc_id"), "doc_id")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
 
 
 def joined(docs):
