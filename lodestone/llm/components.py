@@ -16,10 +16,11 @@ def _state(edges: DataFrame) -> tuple[int, int]:
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, component) for every node of ``edges(u, v)``; component is the least node that can be reached.
 
-    Each round is two grouped minima with joins, and is checkpointed; the number of rounds grows with the logarithm of
-    the longest chain. The driver sees a count and a checksum a round, never edges.
+    Each round is two grouped minima with joins, written to the shared folder in place of the round before; the number of
+    rounds grows with the logarithm of the longest chain. The driver sees a count and a checksum a round, never edges.
     """
-    edges = runtime.checkpoint(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct())
+    spark = edges.sparkSession
+    edges, path = runtime.written(edges.where("u <> v").selectExpr("greatest(u, v) AS u", "least(u, v) AS v").distinct())
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,8 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = runtime.checkpoint(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        old = path
+        edges, path = runtime.written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         before, state = state, _state(edges)
+        runtime.forget(spark, old)
         if state == before:
             break
     roots = edges.select(F.col("v").alias("doc_id")).distinct()

@@ -1,19 +1,23 @@
 """N-gram Jaccard join by signature trees: documents whose word-shingle sets are similar, exactly, as components.
 
-1. Candidates. Linked sets differ in few shingles: |A xor B| <= (1-t)/(1+t) * (|A|+|B|). The fingerprint space is
-   dealt into so many parts that one part of any linked pair differs in at most one shingle; each part has four
-   subparts, and leaving one out gives a signature that both documents share. Signatures depend on a size class, and a
-   document also signs for the next class, so that any two sizes that can link meet. Signatures go to buckets as arrays,
-   one entry for each signature and piece of documents; a bucket returns a star of edges for each shared signature.
-2. Candidate components are found by large-star and small-star rounds. They hold every link.
-3. Each component's sets meet in one task as a signature tree: leaves are documents, nodes hold OR-combined token
-   bitmaps and size ranges. A dual traversal drops node pairs whose greatest possible overlap is too small or whose
-   documents are connected already, and compares the remaining sets exactly. Components over ``CHUNK`` documents are
-   dealt into chunks, and each pair of chunks is a task of its own.
-4. Links become components again; equal sets are one class, joined by (size, fingerprint of the set).
-
-No task holds a group of copies: equal sets of a piece sign once, hot classes are joined by keys that adaptive
-execution can split, and the tree compares chunks. Nothing but counts reaches the driver. Fingerprints have 64 bits.
+1. Order. Shingles are ordered by how frequent they are in all documents (a table of fixed size, by hash; any order gives
+   right results, this one keeps what is common out of the way).
+2. Candidates. Of linked sets, each has one of the other's shingles among its first size - ceil(threshold * size) + 1.
+   A document goes to the buckets of those, as its size and a bitmap of its shingles. A bucket is a signature tree:
+   leaves are (shingle, document), nodes hold OR-combined bitmaps, size ranges and ranges of shingles. A dual traversal
+   drops node pairs that have no shingle in common, whose sizes can't link, whose greatest possible overlap is too
+   small, or whose documents are connected already; what is left at the leaves gives candidate edges, a forest at most.
+   Shingles that more than ``HOT`` documents may have go by (shingle, size class), and those of one class are taken as
+   candidates of one another: a document holds them among its first only if nearly all of it is as common.
+3. Components of the candidate edges hold every link. Their sets meet in tasks as signature trees of exact sets, whose
+   shingles are numbered by their words, not by hashes, and the same traversal compares what it can't drop. Components of
+   over ``CHUNK`` shingles are dealt: every chunk meets itself and a fixed number of pivots, which joins most copies; then
+   only documents that are still apart from the largest part of their component meet all chunks.
+4. Links become components again; equal sets are one class, joined by (size, 128-bit print of the set), salted.
+
+No task holds a group of copies and no group is expanded into its pairs; nothing but counts and the table of frequencies
+reaches the driver. Hashes of shingles have 64 bits; they decide which sets are equal (by prints of 128 bits) and the size
+of a set, while links between different sets are decided by words.
 
 Defined cases: null or empty text, or text of white space, has no shingles and is linked with nothing; a null doc_id
 takes no part and has a null component; rows of one doc_id are nodes of one name; extra columns are ignored; an empty
@@ -22,26 +26,33 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
 from .components import components
 from .suffix_dedup import concat, spread, squeeze
-from .text_arrays import mix, pieces, row_starts, shingles, utf8
+from .text_arrays import mix, numbered_shingles, pieces, row_starts, shingles, utf8
 
 #: Links need 100 * intersection >= THRESHOLD * union.
 SHINGLE, THRESHOLD = 3, 90
 BUCKET_BYTES = 6 << 20
-#: The most documents of a component that one task holds twice over.
-CHUNK = 2048
-FANOUT, SMALL = 8, 8
-SUBPARTS = 4
+#: Shingles of a task of exact sets; documents of a component that meet all its chunks.
+CHUNK, PIVOTS = 1 << 20, 256
+#: Children of a tree's node, node pairs looked at once, 64-bit words of a bitmap of a candidate.
+FANOUT, BLOCK, WORDS = 8, 4096, 4
+#: Cells of the table of frequencies, and from how many documents on a shingle is hot.
+CELLS, HOT = 1 << 20, 1 << 14
+#: Partial sums of a hot class of equal sets.
+SALTS = 64
+#: Entries that a task holds before it sends them.
+HELD = 1 << 19
 
 
 @lru_cache(maxsize=4)
@@ -53,49 +64,156 @@ def classes(threshold: int) -> np.ndarray:
     return np.array(out)
 
 
-def set_prints(value: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A fingerprint of each row's whole set; 0 where it is empty."""
-    sums = np.r_[np.uint64(0), np.cumsum(mix(value), dtype=np.uint64)]
-    return np.where(np.diff(starts) > 0, mix(sums[starts[1:]] - sums[starts[:-1]] + np.diff(starts).astype(np.uint64)), np.uint64(0))
-
-
-def signatures(value: np.ndarray, row: np.ndarray, size: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of sorted sets and the row of each."""
-    bounds, keys, rows = classes(threshold), [], []
-    own = np.searchsorted(bounds, size, "right") - 1
-    for step in (0, 1):
-        tag = own + step
-        differ = 2 * (bounds[tag + 1] - 1) * (100 - threshold) // (100 + threshold)
-        split = SUBPARTS * ((differ + 2) // 2)
-        base = np.r_[0, np.cumsum(split)]
-        at = base[row] + ((value >> np.uint64(32)) * split[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-        sums = np.zeros(base[-1], np.uint64)
-        if len(first):
-            sums[at[first]] = np.add.reduceat(mix(value), first)
-        sums = sums.reshape(-1, SUBPARTS)
-        owner = np.repeat(np.arange(len(size)), split // SUBPARTS)
-        part = np.arange(len(owner)) - base[owner] // SUBPARTS
-        salt = mix((tag[owner].astype(np.uint64) << np.uint64(40)) + part.astype(np.uint64))
-        whole = sums.sum(1, dtype=np.uint64)
-        for leave in range(SUBPARTS):
-            keys.append(mix((whole - sums[:, leave]) ^ mix(salt + np.uint64(leave))))
-            rows.append(owner)
-    return np.concatenate(keys), np.concatenate(rows)
-
-
-SENT = "bucket int, body binary, u bigint, v bigint"
-
-
-def _sent(rows: list[tuple[int, bytes]], edges: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+def set_prints(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit prints of each row's whole set; 0 where it is empty."""
+    size = np.diff(starts)
+    out = []
+    for salt in (0, 0x5851F42D4C957F2D):
+        sums = np.r_[np.uint64(0), np.cumsum(mix(value ^ np.uint64(salt)), dtype=np.uint64)]
+        out.append(np.where(size > 0, mix(sums[starts[1:]] - sums[starts[:-1]] + size.astype(np.uint64)), np.uint64(0)))
+    return out[0], out[1]
+
+
+def bitmaps(value: np.ndarray, row: np.ndarray, rows: int, words: int) -> np.ndarray:
+    """Of each row: a bit for each of its values, by its low bits."""
+    out = np.zeros((rows, words), np.uint64)
+    at = (value & np.uint64(words * 64 - 1)).astype(np.int64)
+    np.bitwise_or.at(out.reshape(-1), row * words + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def connect(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels after joining ``u`` and ``v``; each is the least number of its component, before and after."""
+    while True:
+        a, b = label[u], label[v]
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if (low == high).all():
+            return label
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+class SignatureTree:
+    """Levels of nodes over sets: OR-combined bitmaps, size ranges, ranges of the values that they are ordered by, and by
+    how much sets outnumber their bits. ``owner`` names the node of a component graph that each set belongs to."""
+
+    def __init__(self, bits: np.ndarray, size: np.ndarray, order: np.ndarray, owner: np.ndarray):
+        self.owner, self.n = owner, len(size)
+        slack = size - np.bitwise_count(bits).sum(1)
+        self.levels = [(bits, size, size, slack, order, order)]
+        while len(self.levels[-1][1]) > FANOUT:
+            bits, low, high, slack, first, last = self.levels[-1]
+            at = np.arange(0, len(low), FANOUT)
+            ends = np.r_[at[1:], len(low)] - 1
+            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at), first[at], last[ends]))
+
+    def names(self, label: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest label of the sets of each node."""
+        at, own = np.arange(0, self.n, FANOUT**level), label[self.owner]
+        return np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
+
+
+Leaf = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def traverse(left: SignatureTree, right: SignatureTree, label: np.ndarray, threshold: int, leaf: Leaf, ordered: bool = False) -> np.ndarray:
+    """Labels after the dual traversal of two trees; a tree may meet itself. ``leaf`` says of set pairs that can't be
+    dropped and aren't connected which to join. With ``ordered`` only sets of equal order values meet."""
+    itself = left is right
+
+    def walk(level: int, x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+        a, b = left.levels[level], right.levels[level]
+        for i in range(0, len(x), BLOCK):
+            p, q = x[i : i + BLOCK], y[i : i + BLOCK]
+            fits = (100 * a[2][p] >= threshold * b[1][q]) & (100 * b[2][q] >= threshold * a[1][p])
+            if ordered:
+                fits &= (a[4][p] <= b[5][q]) & (b[4][q] <= a[5][p])
+            p, q = p[fits], q[fits]
+            most = np.bitwise_count(a[0][p] & b[0][q]).sum(1) + np.minimum(a[3][p], b[3][q])
+            fits = (100 + threshold) * most >= threshold * (a[1][p] + b[1][q])
+            p, q = p[fits], q[fits]
+            (low, high), (other, top) = left.names(label, level), right.names(label, level)
+            apart = ~((low[p] == high[p]) & (other[q] == top[q]) & (low[p] == other[q]))
+            p, q = p[apart], q[apart]
+            if not len(p):
+                continue
+            if level:
+                step = np.arange(FANOUT)
+                u = np.broadcast_to(p[:, None, None] * FANOUT + step[:, None], (len(p), FANOUT, FANOUT)).ravel()
+                v = np.broadcast_to(q[:, None, None] * FANOUT + step[None, :], (len(q), FANOUT, FANOUT)).ravel()
+                keep = (u < len(left.levels[level - 1][1])) & (v < len(right.levels[level - 1][1]))
+                if itself:
+                    keep &= u <= v
+                label = walk(level - 1, u[keep], v[keep], label)
+            else:
+                keep = leaf(p, q, label)
+                label = connect(label, left.owner[p[keep]], right.owner[q[keep]])
+        return label
+
+    level = min(len(left.levels), len(right.levels)) - 1
+    x, y = (g.ravel() for g in np.meshgrid(np.arange(len(left.levels[level][1])), np.arange(len(right.levels[level][1])), indexing="ij"))
+    keep = x <= y if itself else np.ones(len(x), bool)
+    return walk(level, x[keep], y[keep], label)
+
+
+def _fresh(value: np.ndarray, row: np.ndarray, ids: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(values, rows, sizes, doc_ids) of the sets that can link with another: of equal ones only that of the least
+    doc_id, and none that is too small to differ and link."""
+    starts = row_starts(row, len(ids))
+    count = np.diff(starts)
+    one, two = set_prints(value, starts)
+    order = np.lexsort((ids, two, one))
+    fresh = np.zeros(len(ids), bool)
+    fresh[order[np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])]]] = True
+    fresh &= 100 * count >= threshold * (count + 1)
+    keep = fresh[row]
+    return value[keep], np.cumsum(fresh)[row[keep]] - 1, count[fresh], ids[fresh]
+
+
+def _documents(batches: Iterator[pa.RecordBatch], threshold: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        batch = batch.filter(batch["doc_id"].is_valid())
+        data, offsets = utf8(batch["text"])
+        ids = batch["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in pieces(offsets):
+            value, row = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+            value, row, count, own = _fresh(value, row, ids[a:b], threshold)
+            if len(value):
+                yield value, row, count, own
+
+
+def _cell(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
+
+
+def frequencies(docs: DataFrame, threshold: int, size: int) -> np.ndarray:
+    """The binary logarithm of how many documents have a shingle of each cell of the table. Cells that a task meets once
+    aren't sent, so rare ones count as 0; the driver sees a number a cell at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for value, *_ in _documents(batches, threshold, size):
+            total += np.bincount(_cell(value), minlength=CELLS)
+        at = np.flatnonzero(total > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+    counted = docs.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 4").toArrow()
+    out = np.zeros(CELLS, np.uint8)
+    out[counted["cell"].to_numpy()] = np.log2(counted["n"].to_numpy()).astype(np.uint8)
+    return out
+
+
+SENT = "bucket int, body binary, hot binary, u bigint, v bigint"
+
+
+def _sent(rows: list[tuple[int, bytes | None, bytes | None]], u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     """Messages for buckets, and edges that only pass through."""
-    n = len(edges[0])
-    bucket = pa.array([r[0] for r in rows] + [0] * n, pa.int32())
-    if n:
-        bucket = pa.array(np.r_[np.array([r[0] for r in rows], np.int32), (edges[0] % 1021).astype(np.int32)])
-    body = pa.array([r[1] for r in rows] + [None] * n, pa.binary())
-    u, v = (pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(e, pa.int64())]) for e in edges)
-    return pa.RecordBatch.from_arrays([bucket, body, u, v], ["bucket", "body", "u", "v"])
+    n = len(u)
+    bucket = pa.array(np.r_[np.array([r[0] for r in rows], np.int32), (u % 1021).astype(np.int32)])
+    blobs = [pa.array([r[i] for r in rows] + [None] * n, pa.binary()) for i in (1, 2)]
+    ends = [pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(e, pa.int64())]) for e in (u, v)]
+    return pa.RecordBatch.from_arrays([bucket, *blobs, *ends], ["bucket", "body", "hot", "u", "v"])
 
 
 def _star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,103 +227,135 @@ def _star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return key[first], doc[first], edge[0], edge[1]
 
 
-def _sign(buckets: int, threshold: int, size: int):
+def first_shingles(value: np.ndarray, row: np.ndarray, count: np.ndarray, weight: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(value, row, how many of the set come from it on) of the shingles by which a set can't miss one that it links with."""
+    order = np.lexsort((value, weight[_cell(value)], row))
+    value, starts = value[order], np.cumsum(count) - count
+    place = np.arange(len(row)) - starts[row]
+    keep = place < (count + 1 - -(-threshold * count // 100))[row]
+    return value[keep], row[keep], (count[row] - place)[keep]
+
+
+def _sign(buckets: int, threshold: int, size: int, shared):
+    bounds = classes(threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        total = 0
+        weight = shared.value
+        held: list[tuple[np.ndarray, ...]] = []
+        total = sets = 0
 
-        def send() -> pa.RecordBatch:
-            key, doc, u, v = _star(concat([h[0] for h in held], "u8"), concat([h[1] for h in held], "i8"))
-            top = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            bounds = np.searchsorted(top, np.arange(buckets + 1))
-            return _sent([(k, squeeze(key[a:b], doc[a:b])) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a], (u, v))
+        def bucket_of(value: np.ndarray) -> np.ndarray:
+            return ((mix(value) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
-        for batch in batches:
-            batch = batch.filter(batch["doc_id"].is_valid())
-            data, offsets = utf8(batch["text"])
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in pieces(offsets):
-                value, row = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                starts = row_starts(row, b - a)
-                count, own = np.diff(starts), ids[a:b]
-                # of equal sets only the least doc_id signs; sets too small to differ and link don't either
-                whole = set_prints(value, starts)
-                order = np.lexsort((own, whole))
-                fresh = np.zeros(b - a, bool)
-                fresh[order[np.r_[True, whole[order][1:] != whole[order][:-1]]]] = True
-                fresh &= 100 * count >= threshold * (count + 1)
-                keep = fresh[row]
-                value, row = value[keep], np.cumsum(fresh)[row[keep]] - 1
-                if len(value):
-                    key, at = signatures(value, row, count[fresh], threshold)
-                    held.append((key, own[fresh][at]))
-                    total += len(key)
-                if total > 1 << 20:
-                    yield send()
-                    held, total = [], 0
+        def send() -> pa.RecordBatch:
+            value, at, rest = (np.concatenate([h[i] for h in held]) for i in range(3))
+            ids, count, bits = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5))
+            out: dict[int, list[bytes | None]] = {}
+            hot = weight[_cell(value)] >= HOT.bit_length() - 1
+            own = np.searchsorted(bounds, count[at[hot]], "right") - 1
+            tagged = [mix(value[hot] ^ mix((own + step).astype(np.uint64) + np.uint64(1))) for step in (0, 1)]
+            key, doc, u, v = _star(np.concatenate(tagged), np.tile(ids[at[hot]], 2))
+            for blobs, place, entries in ((0, bucket_of(value[~hot]), (value[~hot], at[~hot], rest[~hot])), (1, bucket_of(key), (key, doc))):
+                order = np.argsort(place, kind="stable")
+                place, entries = place[order], [e[order] for e in entries]
+                edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
+                for a, b in zip(edge.tolist(), [*edge.tolist(), len(place)][1:], strict=True):
+                    if blobs:
+                        body = squeeze(entries[0][a:b], entries[1][a:b])
+                    else:
+                        rows, inverse = np.unique(entries[1][a:b], return_inverse=True)
+                        body = squeeze(ids[rows], count[rows], bits[rows].reshape(-1), entries[0][a:b], inverse.astype(np.uint32), entries[2][a:b].astype(np.uint32))
+                    out.setdefault(int(place[a]), [None, None])[blobs] = body
+            return _sent([(k, *two) for k, two in out.items()], u, v)
+
+        for value, row, count, own in _documents(batches, threshold, size):
+            bits = bitmaps(value, row, len(own), WORDS)
+            value, row, rest = first_shingles(value, row, count, weight, threshold)
+            held.append((value, row + sets, rest, own, count, bits))
+            total, sets = total + len(value), sets + len(own)
+            if total > HELD:
+                yield send()
+                held, total, sets = [], 0, 0
         if held:
             yield send()
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between the documents that share a signature. Rows are sorted by bucket."""
+def _candidates(bodies: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of edges that connects the documents of a bucket that may link."""
+    parts = [spread(body, "i8", "i8", "u8", "u8", "u4", "u4") for body in bodies]
+    shift = np.cumsum([0, *(len(p[0]) for p in parts)])
+    ids, size, value = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
+    bits = np.concatenate([p[2] for p in parts]).reshape(-1, WORDS)
+    owner = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift[:-1].tolist(), strict=True)])
+    rest = np.concatenate([p[5] for p in parts]).astype(np.int64)
+    # a value that comes once joins nothing
+    order = np.argsort(value, kind="stable")
+    ranked = value[order]
+    twin = np.zeros(len(order), bool)
+    twin[1:] = ranked[1:] == ranked[:-1]
+    twin[:-1] |= twin[1:]
+    order = order[twin]
+    order = order[np.lexsort((bits[owner[order], 0], size[owner[order]], value[order]))]
+    value, owner, rest = value[order], owner[order], rest[order]
+    # rows of one doc_id are one node
+    name, label = np.unique(ids, return_inverse=True)
+    owner, of = label[owner], owner
+    label = np.arange(len(name))
+    if not len(value):
+        return ids[:0], ids[:0]
+    tree = SignatureTree(bits[of], size[of], value, owner)
+
+    def leaf(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> np.ndarray:
+        both = size[of[p]] + size[of[q]]
+        return (value[p] == value[q]) & ((100 + threshold) * np.minimum(rest[p], rest[q]) >= threshold * both)
+
+    # neighbours first: most copies are connected before any pairs of nodes are looked at
+    p = np.arange(len(value) - 1)
+    one, two = tree.levels[0][0][p], tree.levels[0][0][p + 1]
+    most = np.bitwise_count(one & two).sum(1) + np.minimum(tree.levels[0][3][p], tree.levels[0][3][p + 1])
+    near = ((100 + threshold) * most >= threshold * (size[of[p]] + size[of[p + 1]])) & leaf(p, p + 1, label)
+    label = connect(label, owner[p[near]], owner[p[near] + 1])
+    label = traverse(tree, tree, label, threshold, leaf, ordered=True)
+    other = np.flatnonzero(label != np.arange(len(label)))
+    return name[other], name[label[other]]
+
+
+def _meet(threshold: int):
+    """Candidate edges of buckets. Rows are sorted by bucket."""
     none = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=none)
 
-    bucket, held = None, []
-    for batch in batches:
-        passing = batch.filter(batch["u"].is_valid())
-        if passing.num_rows:
-            yield pa.RecordBatch.from_arrays([passing["u"], passing["v"]], schema=none)
-        batch = batch.filter(batch["body"].is_valid())
-        for k, body in zip(batch["bucket"].to_pylist(), batch["body"].to_pylist(), strict=True):
-            if k != bucket and held:
-                yield edges(*_star(*(np.concatenate(x) for x in zip(*held, strict=True)))[2:])
-                held = []
-            bucket = k
-            held.append(spread(body, "u8", "i8"))
-    if held:
-        yield edges(*_star(*(np.concatenate(x) for x in zip(*held, strict=True)))[2:])
-
-
-class Union:
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def find(self, a: int) -> int:
-        while self.parent[a] != a:
-            self.parent[a] = self.parent[self.parent[a]]
-            a = self.parent[a]
-        return a
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        self.parent[max(a, b)] = min(a, b)
+    def close(held: list[tuple[bytes | None, bytes | None]]) -> Iterator[pa.RecordBatch]:
+        if bodies := [h[0] for h in held if h[0] is not None]:
+            yield edges(*_candidates(bodies, threshold))
+        if hot := [spread(h[1], "u8", "i8") for h in held if h[1] is not None]:
+            yield edges(*_star(*(np.concatenate(x) for x in zip(*hot, strict=True)))[2:])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+        for batch in batches:
+            passing = batch.filter(batch["u"].is_valid())
+            if passing.num_rows:
+                yield pa.RecordBatch.from_arrays([passing["u"], passing["v"]], schema=none)
+            batch = batch.filter(pc.is_null(batch["u"]))
+            for k, body, hot in zip(batch["bucket"].to_pylist(), batch["body"].to_pylist(), batch["hot"].to_pylist(), strict=True):
+                if k != bucket and held:
+                    yield from close(held)
+                    held = []
+                bucket = k
+                held.append((body, hot))
+        if held:
+            yield from close(held)
 
-class SignatureTree:
-    """Levels of nodes over sets: OR-combined bitmaps, size ranges, and by how much sets outnumber their bits."""
-
-    def __init__(self, sets: list[np.ndarray], words: int):
-        self.sets = sets
-        bits = np.zeros((len(sets), words), np.uint64)
-        for i, s in enumerate(sets):
-            at = (s & np.uint64(words * 64 - 1)).astype(np.int64)
-            np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        size = np.array([len(s) for s in sets])
-        slack = size - np.bitwise_count(bits).sum(1)
-        self.levels = [(bits, size, size, slack)]
-        while len(self.levels[-1][1]) > FANOUT:
-            bits, low, high, slack = self.levels[-1]
-            at = np.arange(0, len(low), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(slack, at)))
+    return run
 
 
-def _similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
+    """Whether two sorted sets link."""
     if len(a) > len(b):
         a, b = b, a
     if 100 * len(a) < threshold * len(b):
@@ -214,98 +364,81 @@ def _similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def traverse(left: SignatureTree, right: SignatureTree, union: Union, shift: int, threshold: int) -> None:
-    """Joins the sets of the two trees that link; ``shift`` is added to the right tree's places. A tree may meet itself."""
-    itself = left is right
-
-    def walk(level: int, x: np.ndarray, y: np.ndarray) -> None:
-        a, b = left.levels[level], right.levels[level]
-        for i in range(0, len(x), 2048):
-            p, q = x[i : i + 2048], y[i : i + 2048]
-            fits = (100 * a[2][p] >= threshold * b[1][q]) & (100 * b[2][q] >= threshold * a[1][p])
-            p, q = p[fits], q[fits]
-            most = np.bitwise_count(a[0][p] & b[0][q]).sum(1) + np.minimum(a[3][p], b[3][q])
-            fits = (100 + threshold) * most >= threshold * (a[1][p] + b[1][q])
-            p, q = p[fits], q[fits]
-            if level:
-                name = np.array([union.find(j) for j in range(len(union.parent))])
-                spans = []
-                for side, n, move in ((p, len(left.sets), 0), (q, len(right.sets), shift)):
-                    width = FANOUT**level
-                    at = np.arange(0, n, width)
-                    spans.append((np.minimum.reduceat(name[move : move + n], at)[side], np.maximum.reduceat(name[move : move + n], at)[side]))
-                (low, high), (other, top) = spans
-                open_ = ~((low == high) & (other == top) & (low == other))
-                p, q = p[open_], q[open_]
-                step = np.arange(FANOUT)
-                u = (p[:, None, None] * FANOUT + step[None, :, None] + 0 * step[None, None, :]).ravel()
-                v = (q[:, None, None] * FANOUT + 0 * step[None, :, None] + step[None, None, :]).ravel()
-                keep = (u < len(left.levels[level - 1][1])) & (v < len(right.levels[level - 1][1]))
-                if itself:
-                    keep &= u <= v
-                walk(level - 1, u[keep], v[keep])
-            else:
-                for j, k in zip(p.tolist(), q.tolist(), strict=True):
-                    if union.find(j) != union.find(k + shift) and _similar(left.sets[j], right.sets[k], threshold):
-                        union.join(j, k + shift)
-
-    top = min(len(left.levels), len(right.levels)) - 1
-    grid = np.meshgrid(np.arange(len(left.levels[top][1])), np.arange(len(right.levels[top][1])), indexing="ij")
-    x, y = (g.ravel() for g in grid)
-    keep = x <= y if itself else np.ones(len(x), bool)
-    walk(top, x[keep], y[keep])
+def linked(value: np.ndarray, starts: np.ndarray, side: np.ndarray, name: np.ndarray, threshold: int) -> np.ndarray:
+    """Labels of ``name``'s nodes after joining those whose sets link; sets of two sides meet across, else all."""
+    label = np.arange(int(name.max(initial=-1)) + 1)
+    count = np.diff(starts)
+    use = np.flatnonzero(count > 0)
+    # near copies mostly share their least shingle, so neighbours in this order fill a node well
+    use = use[np.lexsort((count[use], value[starts[:-1][use]], side[use]))]
+    sets = [value[starts[i] : starts[i + 1]] for i in use.tolist()]
+    count, side, name = count[use], side[use], name[use]
+    if not len(sets):
+        return label
+    for i in range(1, len(sets)):
+        if side[i] == side[i - 1] and label[name[i]] != label[name[i - 1]] and similar(sets[i - 1], sets[i], threshold):
+            label = connect(label, name[i - 1 : i], name[i : i + 1])
+    words = 1 << max(3, int(4 * count.max()).bit_length() - 6)
+    words = min(words, 1 << max(3, int((64 << 20) // len(sets)).bit_length() - 4))
+    n = int((side == 0).sum())
+    trees = []
+    for a, b in ((0, n), (n, len(sets))):
+        if b > a:
+            flat = np.concatenate(sets[a:b])
+            trees.append((a, SignatureTree(bitmaps(mix(flat), np.repeat(np.arange(b - a), count[a:b]), b - a, words), count[a:b], np.zeros(b - a), name[a:b])))
+
+    def leaf_of(x: int, y: int) -> Leaf:
+        def leaf(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> np.ndarray:
+            keep, joined = np.zeros(len(p), bool), {}
+
+            def find(k: int) -> int:
+                while k in joined:
+                    k = joined[k]
+                return k
+
+            for at, (j, k) in enumerate(zip((p + x).tolist(), (q + y).tolist(), strict=True)):
+                u, v = find(int(label[name[j]])), find(int(label[name[k]]))
+                if u != v and similar(sets[j], sets[k], threshold):
+                    keep[at] = True
+                    joined[max(u, v)] = min(u, v)
+            return keep
+
+        return leaf
+
+    (x, left), (y, right) = trees[0], trees[-1]
+    return traverse(left, right, label, threshold, leaf_of(x, y))
 
 
 def _link(threshold: int, size: int):
-    """Of rows sorted by task: (doc_id, the least doc_id that it is linked with here)."""
-
-    def solve(ids: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        # near copies mostly share their least shingle, so neighbours in this order fill a node well
-        order = sorted(range(len(ids)), key=lambda i: (side[i], int(sets[i][0]), len(sets[i])))
-        ids, side, sets = ids[order], side[order], [sets[i] for i in order]
-        union, n = Union(len(ids)), int((side == 0).sum())
-        if len(ids) <= SMALL:
-            for i in range(len(ids)):
-                for j in range(i):
-                    if union.find(i) != union.find(j) and _similar(sets[i], sets[j], threshold):
-                        union.join(i, j)
-        else:
-            for i in range(1, len(ids)):
-                if _similar(sets[i - 1], sets[i], threshold):
-                    union.join(i - 1, i)
-            words = 1 << max(3, int(4 * max(map(len, sets))).bit_length() - 6)
-            left = SignatureTree(sets[:n], words)
-            if n < len(ids):
-                traverse(left, SignatureTree(sets[n:], words), union, n, threshold)
-            else:
-                traverse(left, left, union, 0, threshold)
-        name = np.array([union.find(i) for i in range(len(ids))])
-        least = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(least, name, ids)
-        return ids, least[name]
+    """Of rows sorted by task: (doc_id, the least doc_id that it is linked with here). Small tasks share a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, ids, side, sets = None, [], [], []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        total, task = 0, None
 
         def flush() -> pa.RecordBatch:
-            u, v = solve(np.array(ids, np.int64), np.array(side), sets)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            ids, side, data = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
+            offsets = np.cumsum(np.r_[0, np.concatenate([h[2] for h in held])])
+            value, row = numbered_shingles(data, offsets, size)
+            names, name = np.unique(ids, return_inverse=True)
+            label = linked(value, row_starts(row, len(ids)), side, name, threshold)
+            other = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays([pa.array(names[other]), pa.array(names[label[other]])], ["u", "v"])
 
         for batch in batches:
+            tasks, sides = batch["task"].to_numpy(zero_copy_only=False), batch["side"].to_numpy(zero_copy_only=False)
             data, offsets = utf8(batch["text"])
-            value, row = shingles(data, offsets, size)
-            starts = row_starts(row, batch.num_rows)
-            keys = list(zip(batch["component"].to_pylist(), batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True))
-            for i, (key, doc, which) in enumerate(zip(keys, batch["doc_id"].to_pylist(), batch["side"].to_pylist(), strict=True)):
-                if key != task and ids:
+            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.r_[True, (tasks[1:] != tasks[:-1])]).tolist() if len(tasks) else []
+            for a, b in zip(edge, [*edge, len(tasks)][1:], strict=True):
+                # a task of two sides is alone in its tree; others join until there is enough text
+                if held and tasks[a] != task and (total > 1 << 22 or sides[a] >= 0 or held[-1][1][-1] >= 0):
                     yield flush()
-                    ids, side, sets = [], [], []
-                task = key
-                if starts[i + 1] > starts[i]:
-                    ids.append(doc)
-                    side.append(which)
-                    sets.append(value[starts[i] : starts[i + 1]].copy())
-        if ids:
+                    held, total = [], 0
+                task = tasks[a]
+                held.append((ids[a:b].astype(np.int64), sides[a:b].astype(np.int64), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]]))
+                total += int(offsets[b] - offsets[a])
+        if held:
             yield flush()
 
     return run
@@ -315,50 +448,84 @@ def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch["text"])
-            count, whole = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            out = np.zeros((3, batch.num_rows), np.int64)
             for a, b in pieces(offsets):
                 value, row = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 starts = row_starts(row, b - a)
-                count[a:b], whole[a:b] = np.diff(starts), set_prints(value, starts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(count), pa.array(whole)], ["doc_id", "n_shingles", "whole"])
+                out[:, a:b] = np.diff(starts), *(x.view(np.int64) for x in set_prints(value, starts))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *map(pa.array, out)], ["doc_id", "n_shingles", "one", "two"])
 
     return run
 
 
-def links(docs: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
+def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """(doc_id, component) of documents(doc_id, text) that are linked with another text; equal sets may be left out
-    but for one of them."""
+    but for one of them. ``sets`` holds the size of each document's set."""
+    spark = docs.sparkSession
     buckets = runtime.parts(docs, BUCKET_BYTES)
-    sent = docs.mapInArrow(_sign(buckets, threshold, size), SENT)
-    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "u bigint, v bigint")
-    candidates = components(met)
-    sizes = candidates.groupBy("component").count().select("component", F.ceil(F.col("count") / CHUNK).alias("chunks"))
-    placed = candidates.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("doc_id"), "chunks"))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(
-        "doc_id", "component", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "chunks"
-    )
-    dealt = docs.join(tasks, "doc_id").repartition(buckets, "component", "a", "b").sortWithinPartitions("component", "a", "b")
-    found = dealt.select("component", "a", "b", "side", "doc_id", "text").mapInArrow(_link(threshold, size), "u bigint, v bigint")
-    return components(found)
+    shared = spark.sparkContext.broadcast(frequencies(docs, threshold, size))
+    sent = docs.mapInArrow(_sign(buckets, threshold, size, shared), SENT)
+    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "u bigint, v bigint")
+    candidates, path = runtime.written(components(met))
+    shared.destroy()
+
+    def compared(tasks: DataFrame) -> DataFrame:
+        """Edges found in tasks(doc_id, task, side)."""
+        dealt = docs.join(tasks, "doc_id").repartition(buckets, "task").sortWithinPartitions("task", "side")
+        return dealt.select("task", "side", "doc_id", "text").mapInArrow(_link(threshold, size), "u bigint, v bigint")
+
+    weight = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("n_shingles").alias("weight"))
+    weighed = candidates.join(weight, "doc_id")
+    totals = weighed.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.sum("weight") / CHUNK).alias("chunks"))
+    placed = candidates.join(totals, "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), "chunks"))
+    chunked = F.xxhash64("component", "chunk")
+    own = placed.select("doc_id", F.when(F.col("chunks") > 1, chunked).otherwise(F.col("component")).alias("task"), F.lit(-1).alias("side"))
+    pivots = placed.where((F.col("chunks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), "n") < PIVOTS))
+    pivots = pivots.withColumn("mine", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).where("chunk <> mine")
+    found, kept = runtime.written(compared(own.union(pivots.select("doc_id", chunked.alias("task"), F.lit(-1).alias("side")))))
+    large = placed.where("chunks > 1")
+    if large.limit(1).count():
+        named = large.join(components(found).withColumnRenamed("component", "part"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+        sizes = named.groupBy("component", "part").count()
+        main = sizes.groupBy("component").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+        apart = named.join(main, "component").withColumn("rest", F.col("part") != F.col("main"))
+        groups = apart.where("rest").join(weight, "doc_id").groupBy("component").agg(F.ceil(F.sum("weight") / CHUNK).alias("groups"))
+        apart = apart.join(groups, "component").withColumn("group", F.pmod(F.xxhash64("doc_id"), "groups"))
+        pair = F.xxhash64("component", "group", "chunk")
+        spread_ = lambda name, count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)).alias(name)
+        first = apart.where("rest").select("doc_id", "component", "group", spread_("chunk", "chunks")).select("doc_id", pair.alias("task"), F.lit(0).alias("side"))
+        second = apart.select("doc_id", "component", "chunk", spread_("group", "groups")).select("doc_id", pair.alias("task"), F.lit(1).alias("side"))
+        found = found.union(compared(first.union(second)))
+    out, last = runtime.written(components(found))
+    for old in (path, kept):
+        runtime.forget(spark, old)
+    return out
 
 
 def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """One row per input row: doc_id, n_shingles and component_id, the least doc_id that links reach."""
     docs = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    found = links(docs, threshold, size)
-    sets = docs.mapInArrow(_sets(size), "doc_id bigint, n_shingles bigint, whole bigint")
-    named = sets.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    least = named.where("n_shingles > 0").groupBy("n_shingles", "whole").agg(F.min("component").alias("least"))
-    out = named.join(least, ["n_shingles", "whole"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    sets, _ = runtime.written(docs.mapInArrow(_sets(size), "doc_id bigint, n_shingles bigint, one bigint, two bigint"))
+    found = links(docs, sets, threshold, size)
+    named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    named = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    # the least of a class by way of partial ones, and back to no more rows than there are partial ones of it
+    by = ["n_shingles", "one", "two"]
+    partial = named.groupBy(*by, "salt").agg(F.min("component").alias("least"))
+    least = partial.join(partial.groupBy(*by).agg(F.min("least").alias("class")), by).select(*by, "salt", "class")
+    out = named.join(least, [*by, "salt"]).select("doc_id", "n_shingles", F.col("class").alias("component_id"))
+    return out.union(sets.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", "doc_id"))
 
 
 def representatives(df: DataFrame, threshold: int = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """The rows of ``df`` whose doc_id is the least of its component, with all their columns; of rows that repeat, one.
-    Rows with a null doc_id stay."""
+    """The rows of ``df`` whose doc_id is the least of its component, with all their columns. Of rows with equal doc_id and
+    text one stays, whatever their other columns hold. Rows with a null doc_id stay."""
     gone = join(df, threshold=threshold, size=size).where("component_id <> doc_id").select("doc_id").distinct()
-    named = df.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn("_text", F.xxhash64("text"))
-    return named.dropDuplicates(["doc_id", "_text"]).select(*df.columns).union(df.where("doc_id IS NULL"))
+    digest = "_text"
+    while digest in df.columns:
+        digest += "_"
+    named = df.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").withColumn(digest, F.sha2("text", 256))
+    return named.dropDuplicates(["doc_id", digest]).select(*(F.col(f"`{c}`") for c in df.columns)).union(df.where("doc_id IS NULL"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

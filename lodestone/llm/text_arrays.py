@@ -175,17 +175,38 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     start, end, row = words(low, offsets)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    word = Prefix(low).spans(start, end)
+    word = prints(low, start, end)
+    return _distinct_runs(word, row, size, lambda value, later, i: mix(value * np.uint64(BASE) + later + np.uint64(i)))
+
+
+def numbered_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingles``, but with numbers that are equal only where the words are: words are told apart by their bytes,
+    and longer runs by the numbers of their words."""
+    low = LOWER[data]
+    start, end, row = words(low, offsets)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    first, word = distinct(low, start, end)
+    word = word.astype(np.uint64) + np.uint64(1)
+    kinds = np.uint64(len(first) + 1)
+
+    def step(value: np.ndarray, later: np.ndarray, i: int) -> np.ndarray:
+        return later if not i else np.unique(value * kinds + later, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+
+    return _distinct_runs(word, row, size, step)
+
+
+def _distinct_runs(word: np.ndarray, row: np.ndarray, size: int, step) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each row's runs of ``size`` words, sorted; a word beyond the row counts as 0."""
     first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     count = np.diff(np.r_[first, len(row)])
     n = len(word)
-    value = np.zeros(n, np.uint64)
-    whole = np.ones(n, bool)
+    value, whole = np.zeros(n, np.uint64), np.ones(n, bool)
     for i in range(size):
         later = np.minimum(np.arange(n) + i, n - 1)
         same = (np.arange(n) + i < n) & (row[later] == row)
         whole &= same
-        value = np.where(same, mix(value * np.uint64(BASE) + word[later] + np.uint64(i)), value)
+        value = step(value, np.where(same, word[later], np.uint64(0)), i)
     keep = whole
     keep[first[count < size]] = True
     value, row = value[keep], row[keep]

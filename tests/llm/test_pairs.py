@@ -177,35 +177,77 @@ def test_signature_tree_finds_every_link():
             s[rng.choice(120, int(rng.integers(0, 9)), replace=False)] = rng.integers(0, 1 << 62, 1).astype(np.uint64)
             sets.append(np.unique(s))
     rng.shuffle(sets)
-    brute, union, halves = ngram_join.Union(200), ngram_join.Union(200), ngram_join.Union(200)
-    for i in range(200):
+    sets += [sets[0][:0], sets[3][:1]]
+
+    def brute(pairs):
+        label = np.arange(len(sets))
+        for i, j in pairs:
+            if len(sets[i]) and len(sets[j]) and ngram_join.similar(sets[i], sets[j], 90):
+                label = ngram_join.connect(label, np.array([i]), np.array([j]))
+        return label.tolist()
+
+    n = len(sets)
+    value, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    one, two = np.full(n, -1), (np.arange(n) >= 90).astype(int)
+    assert ngram_join.linked(value, starts, one, np.arange(n), 90).tolist() == brute((i, j) for i in range(n) for j in range(i))
+    across = ngram_join.linked(value, starts, two, np.arange(n), 90)
+    want = brute((i, j) for i in range(n) for j in range(i) if two[i] != two[j])
+    everything = brute((i, j) for i in range(n) for j in range(i))
+    # what links across is found; sets of a side may be joined besides, but only where they link
+    for i in range(n):
+        assert across[i] <= want[i] and everything[across[i]] == everything[i]
+
+
+@pytest.mark.parametrize("threshold", [90, 80])
+def test_candidates_hold_every_link(threshold):
+    rng = np.random.default_rng(threshold)
+    weight = rng.integers(0, 5, ngram_join.CELLS).astype(np.uint8)
+    sets, docs = [], []
+    for n in (4, 5, 9, 10, 19, 57, 300):
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        for _ in range(12):
+            s = base.copy()
+            s[rng.choice(n, int(rng.integers(0, n // 8 + 1)), replace=False)] = rng.integers(0, 1 << 63, 1).astype(np.uint64)
+            sets.append(np.unique(np.r_[s, rng.integers(0, 1 << 63, int(rng.integers(0, n // 8 + 2))).astype(np.uint64)]))
+            docs.append(len(docs) * 3 + 1)
+    value, count = np.concatenate(sets), np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), count)
+    bits = ngram_join.bitmaps(value, row, len(sets), ngram_join.WORDS)
+    first, at, rest = ngram_join.first_shingles(value, row, count, weight, threshold)
+    body = lambda own: ngram_join.squeeze(np.array(docs)[own], count[own], bits[own].reshape(-1), first[np.isin(at, own)], (at[np.isin(at, own)] - own[0]).astype(np.uint32), rest[np.isin(at, own)].astype(np.uint32))
+    u, v = ngram_join._candidates([body(np.arange(0, 40)), body(np.arange(40, len(sets)))], threshold)
+    label = ngram_join.connect(np.arange(3 * len(sets) + 1), u, v)
+    links = 0
+    for i in range(len(sets)):
         for j in range(i):
-            if ngram_join._similar(sets[i], sets[j], 90):
-                brute.join(i, j)
-    tree = ngram_join.SignatureTree(sets, 16)
-    ngram_join.traverse(tree, tree, union, 0, 90)
-    left, right = ngram_join.SignatureTree(sets[:90], 16), ngram_join.SignatureTree(sets[90:], 16)
-    for a, b, shift in ((left, left, 0), (left, right, 90)):
-        ngram_join.traverse(a, b, halves, shift, 90)
-    for i in range(90, 200):
-        for j in range(90, i):
-            if ngram_join._similar(sets[i], sets[j], 90):
-                halves.join(i, j)
-    want = [brute.find(i) for i in range(200)]
-    assert [union.find(i) for i in range(200)] == want == [halves.find(i) for i in range(200)]
-
-
-@pytest.mark.parametrize("seed", range(2))
-def test_signatures_meet_at_the_threshold(seed):
-    rng = np.random.default_rng(seed)
-    for n in (9, 10, 19, 57, 300):
-        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        for extra in range(int(n / 9) + 1):
-            b = np.sort(np.concatenate([a, rng.integers(0, 1 << 63, extra).astype(np.uint64)]))
-            if 100 * len(a) < 90 * len(b):
-                continue
-            x, y = (set(ngram_join.signatures(s, np.zeros(len(s), np.int64), np.array([len(s)]), 90)[0].tolist()) for s in (a, b))
-            assert x & y
+            if ngram_join.similar(sets[i], sets[j], threshold):
+                links += 1
+                assert label[docs[i]] == label[docs[j]]
+    assert links > 30 and len(np.unique(label[docs])) > 3
+
+
+def test_ngram_join_of_large_components_hot_shingles_and_rows_without_files(spark, monkeypatch):
+    """Chunks, pivots, what stays apart of them, and shingles that many have, at limits small enough to be met."""
+    rng = random.Random(12)
+    base = words(rng, 60)
+    docs = [(i, t) for i, t in enumerate(near_copies(rng, base, 40, 1))]
+    far = " ".join(base.split()[:30]) + " " + words(rng, 30)
+    docs += [(100 + i, t) for i, t in enumerate(near_copies(rng, far, 6, 1))] + [(200, thue := "".join("ab"[bin(i).count("1") & 1] for i in range(1024)) + " x y z"), (201, thue.translate(str.maketrans("ab", "ba")))]
+    docs = [(i, t.translate(str.maketrans({})) if i != 201 else t.rsplit(" ", 3)[0] + " x y z") for i, t in docs]
+    for name, value in (("CHUNK", 400), ("PIVOTS", 3), ("HOT", 8)):
+        monkeypatch.setattr(ngram_join, name, value)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in ngram_join.join(df).collect()]
+    assert sorted(got) == sorted(joined(docs))
+
+
+def test_representatives_keep_columns_of_clashing_names(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y"), (2, "A b c d", "z"), (3, None, "w"), (None, "a b c d", "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string")
+    got = ngram_join.representatives(df)
+    assert got.columns == df.columns
+    kept = sorted((tuple(r) for r in got.collect()), key=str)
+    assert [r[0] for r in kept] == [1, 3, None] and {r[2] for r in kept} <= {"x", "y", "w", "n"}
 
 
 def test_components(spark):
