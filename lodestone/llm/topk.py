@@ -1,18 +1,19 @@
 """Exact top-k search by distributed histogram selection.
 
-Components become integers floor(256 * x); a score is an integer inner product. For each block of queries, every task
-scores all its vectors; a histogram over the score range tells in which bin each query's kth score lies, the bin
-becomes the range of the next, finer histogram, until a bin is one score wide. A last pass keeps what scores more than
-the kth value and, among equals, the smallest vec_ids.
+Components become integers floor(256 * x); a score is an integer inner product. Of each query of a block, every task scores
+all its vectors and counts all their scores in a histogram of ``BINS`` bins over the query's range; the summed histograms
+tell in which bin the kth score lies, that bin becomes the range of the next, finer histogram, until a bin is one score
+wide. A last pass keeps what scores more than the kth value and, among equals, the smallest vec_ids.
 
-A task sends, of each query, only bins that its own k best scores below the range's end fall into: lower ones can't
-hold the kth value of all. Queries are taken in blocks of about ``BLOCK`` rows, which bounds what is broadcast and
-what the driver sees (one range a query); candidates are read once a block and round and never shuffled.
+A task sends the bins from the top down to the one in which its own count reaches the count still wanted: lower ones
+can't hold the kth value of all. Bins are powers of two, so that a bin's number is a shift. A block is about ``BLOCK``
+queries, which bounds what is broadcast, counted in a task and seen by the driver (one range a query); candidates are
+read once a block and round and never shuffled.
 
 Defined cases: vectors that are null or hold a null or non-finite component, and rows with a null vec_id, take no
 part; vectors of another length than the query's are no candidates; rows of the query's own vec_id are its own; a
 query that repeats is asked once, a candidate that repeats counts each time; extra columns are ignored; without
-queries or candidates the result is empty. Scores must fit a long; products are exact in doubles below 2**53 and
+queries or candidates the result is empty. Twice the greatest score that the components allow must fit a long; products are exact in doubles below 2**53 and
 in longs beyond.
 """
 
@@ -29,20 +30,25 @@ from pyspark.sql import functions as F
 from . import runtime
 
 K, SCALE, STEP = 5, 256, 50
-#: Queries of a block, bins of a histogram, candidates scored at once.
-BLOCK, BINS, ROWS = 4096, 4096, 512
+#: Queries of a block, bins of a histogram (a power of two), and queries and candidates that are scored at once.
+BLOCK, BINS, ROWS = 16384, 512, 512
 
 
 @dataclass
 class Block:
-    """Queries of one length, and for each the range [low, low + width) that holds its kth score; done where known."""
+    """Queries of one length, and for each the range [low, low + 2**bits) that holds its kth score; 0 bits where known."""
 
     ids: np.ndarray
     vectors: np.ndarray
     low: np.ndarray
-    width: np.ndarray
+    bits: np.ndarray
     need: np.ndarray
 
+    @property
+    def shift(self) -> np.ndarray:
+        """Bits of a bin."""
+        return np.maximum(0, self.bits - (BINS.bit_length() - 1))
+
 
 def quantised(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     x = F.col(vector_column)
@@ -71,31 +77,28 @@ def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return queries @ rows.T
 
 
-def _histogram(blocks, k: int):
-    """Of each query: its number, a bin of its range, and how many of the task's best scores fall into it."""
+def _histogram(blocks):
+    """Of each query: its number, a bin of its range, and how many of the task's scores fall into it, from the top."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = np.iinfo(np.int64).min + 1  # its negative is a long too
-        own: dict[int, Block] = blocks.value
-        best = {n: np.full((len(b.ids), k), floor) for n, b in own.items()}
+        own: dict[int, Block] = {n: b for n, b in blocks.value.items() if (b.bits > 0).any()}
+        counts = {n: np.zeros((len(b.ids), BINS), np.int32) for n, b in own.items()}
         for batch in batches:
             for ids, rows in _matrices(batch):
                 if (b := own.get(rows.shape[1])) is None:
                     continue
-                score = _scores(b.vectors, rows)
-                score[(score >= (b.low + b.width)[:, None]) | (score < b.low[:, None]) | (b.ids[:, None] == ids)] = floor
-                score = np.concatenate([best[rows.shape[1]], score], axis=1)
-                best[rows.shape[1]] = -np.partition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else score
-        out = []
+                for i in range(0, len(b.ids), ROWS):
+                    at = slice(i, i + ROWS)
+                    above = _scores(b.vectors[at], rows) - b.low[at, None]
+                    place = above >> b.shift[at, None]
+                    mine = (above >= 0) & (place < (1 << np.minimum(b.bits[at], BINS.bit_length() - 1))[:, None]) & (b.ids[at, None] != ids)
+                    place += np.arange(len(place))[:, None] * BINS
+                    counts[rows.shape[1]][at] += np.bincount(place[mine], minlength=len(place) * BINS).reshape(-1, BINS)
         for n, b in own.items():
-            at, _ = np.nonzero(best[n] > floor)
-            score = best[n][best[n] > floor]
-            step = np.maximum(1, -(-b.width[at] // BINS))
-            key, count = np.unique(np.stack([np.full(len(at), n), at, (score - b.low[at]) // step]), axis=1, return_counts=True)
-            out.append((key, count))
-        if out:
-            key, count = np.concatenate([o[0] for o in out], axis=1), np.concatenate([o[1] for o in out])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*key, count)], ["n", "q", "bin", "count"])
+            down = counts[n][:, ::-1]
+            before = np.cumsum(down, axis=1, dtype=np.int64) - down
+            q, place = np.nonzero((down > 0) & (before < b.need[:, None]) & (b.bits > 0)[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(q), n), q, BINS - 1 - place, down[q, place])], ["n", "q", "bin", "count"])
 
     return run
 
@@ -115,21 +118,23 @@ def _best(blocks):
                 n = vectors.shape[1]
                 if (b := own.get(n)) is None:
                     continue
-                score = _scores(b.vectors, vectors)
-                other = b.ids[:, None] != ids
-                q, c = np.nonzero((score > b.low[:, None]) & other)
-                if len(q):
-                    yield rows(b.ids[q], ids[c], score[q, c])
-                q, c = np.nonzero((score == b.low[:, None]) & other)
-                order = np.lexsort((ids[c], q))
-                q, c = q[order], c[order]
-                rank = np.arange(len(q)) - np.searchsorted(q, q)
-                keep = rank < b.need[q]
-                for i, j in zip(q[keep].tolist(), ids[c[keep]].tolist(), strict=True):
-                    held = equal.setdefault((n, i), [])
-                    held.append(j)
-                    if len(held) > 4 * b.need[i]:
-                        equal[n, i] = sorted(held)[: b.need[i]]
+                for start in range(0, len(b.ids), ROWS):
+                    at = slice(start, start + ROWS)
+                    score = _scores(b.vectors[at], vectors)
+                    other = b.ids[at, None] != ids
+                    q, c = np.nonzero((score > b.low[at, None]) & other)
+                    if len(q):
+                        yield rows(b.ids[q + start], ids[c], score[q, c])
+                    q, c = np.nonzero((score == b.low[at, None]) & other)
+                    order = np.lexsort((ids[c], q))
+                    q, c = q[order] + start, c[order]
+                    rank = np.arange(len(q)) - np.searchsorted(q, q)
+                    keep = rank < b.need[q]
+                    for i, j in zip(q[keep].tolist(), ids[c[keep]].tolist(), strict=True):
+                        held = equal.setdefault((n, i), [])
+                        held.append(j)
+                        if len(held) > 4 * b.need[i]:
+                            equal[n, i] = sorted(held)[: b.need[i]]
         got = [(own[n].ids[i], j, own[n].low[i]) for (n, i), held in equal.items() for j in sorted(held)[: own[n].need[i]]]
         if got:
             yield rows(*map(np.array, zip(*got, strict=True)))
@@ -137,39 +142,52 @@ def _best(blocks):
     return run
 
 
-def _block_result(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    spark = vectors.sparkSession
-    held: dict[int, dict[int, list[int]]] = {}
-    for r in queries.collect():
-        held.setdefault(len(r.v), {}).setdefault(r.vec_id, r.v)
-    most = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
+def _narrowed(b: Block, q: np.ndarray, place: np.ndarray, count: np.ndarray) -> None:
+    """Takes the bin of each query's kth score as its range. Rows are sorted by query, highest bin first."""
+    first = np.searchsorted(q, np.arange(len(b.ids) + 1))
+    total = np.cumsum(count)
+    before = total - count
+    above = before - before[np.minimum(first[q], max(0, len(q) - 1))] if len(q) else before
+    hit = np.flatnonzero((above < b.need[q]) & (above + count >= b.need[q]))
+    open_ = b.bits > 0
+    # fewer than k candidates: all of them
+    few = open_.copy()
+    few[q[hit]] = False
+    b.low[few] -= 1
+    b.bits[few] = 0
+    shift = b.shift
+    b.low[q[hit]] += place[hit] << shift[q[hit]]
+    b.need[q[hit]] -= above[hit]
+    b.bits[q[hit]] = shift[q[hit]]
+
+
+def _block_result(vectors: DataFrame, queries: DataFrame, k: int, most: int) -> DataFrame:
+    """The k best and what ties with them task by task; ``most`` bounds the components."""
+    context = vectors.sparkSession.sparkContext
     blocks = {}
-    for n, rows in held.items():
-        v = np.array(list(rows.values()), np.int64).reshape(len(rows), n)
+    table = queries.toArrow()
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for batch in table.to_batches():
+        for ids, rows in _matrices(batch):
+            held.setdefault(rows.shape[1], []).append((ids, rows))
+    for n, parts in held.items():
+        ids, first = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+        v = np.concatenate([p[1] for p in parts])[first]
         bound = np.abs(v).sum(1) * most + 1
-        blocks[n] = Block(np.array(list(rows)), v, -bound, 2 * bound + 1, np.full(len(rows), k))
-    while any((b.width > 1).any() for b in blocks.values()):
-        sent = spark.sparkContext.broadcast(blocks)
-        counts = vectors.mapInArrow(_histogram(sent, k), "n bigint, q bigint, bin bigint, count bigint").groupBy("n", "q", "bin").agg(F.sum("count").alias("count"))
+        bits = np.array([int(2 * x + 1).bit_length() for x in bound])
+        blocks[n] = Block(ids, v, -bound, bits, np.full(len(ids), k))
+    while any((b.bits > 0).any() for b in blocks.values()):
+        sent = context.broadcast(blocks)
+        counts = vectors.mapInArrow(_histogram(sent), "n bigint, q bigint, bin bigint, count bigint").groupBy("n", "q", "bin").agg(F.sum("count").alias("count"))
         # only the k highest of the bins of a query can hold its kth score
-        top = counts.withColumn("r", F.row_number().over(Window.partitionBy("n", "q").orderBy(F.desc("bin")))).where(F.col("r") <= k)
-        bins: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for r in top.collect():
-            bins.setdefault((r.n, r.q), []).append((r.bin, r["count"]))
+        top = counts.withColumn("r", F.row_number().over(Window.partitionBy("n", "q").orderBy(F.desc("bin")))).where(F.col("r") <= k).toArrow()
+        found = [top[c].to_numpy() for c in ("n", "q", "bin", "count")]
+        sent.destroy()
         for n, b in blocks.items():
-            for q in range(len(b.ids)):
-                if b.width[q] <= 1:
-                    continue
-                step, above = max(1, -(-int(b.width[q]) // BINS)), 0
-                for at, count in sorted(bins.get((n, q), []), reverse=True):
-                    if above + count >= b.need[q]:
-                        b.low[q], b.width[q], b.need[q] = b.low[q] + at * step, min(step, b.low[q] + b.width[q] - (b.low[q] + at * step)), b.need[q] - above
-                        break
-                    above += count
-                else:  # fewer than k candidates: all of them
-                    b.low[q], b.width[q] = b.low[q] - 1, 1
-        sent.unpersist()
-    return vectors.mapInArrow(_best(spark.sparkContext.broadcast(blocks)), "query_id bigint, vec_id bigint, score bigint")
+            q, place, count = (x[found[0] == n] for x in found[1:])
+            order = np.lexsort((-place, q))
+            _narrowed(b, q[order], place[order], count[order])
+    return vectors.mapInArrow(_best(context.broadcast(blocks)), "query_id bigint, vec_id bigint, score bigint")
 
 
 def search(df: DataFrame, is_query: F.Column, k: int = K, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -177,9 +195,10 @@ def search(df: DataFrame, is_query: F.Column, k: int = K, id_column: str = "vec_
     vectors = quantised(df, id_column, vector_column)
     queries = quantised(df.where(is_query), id_column, vector_column)
     blocks = -(-queries.count() // BLOCK)
+    most = vectors.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0 if blocks else 0
     found = None
     for i in range(blocks):
-        part = _block_result(vectors, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k)
+        part = _block_result(vectors, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k, most)
         found = part if found is None else found.union(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")

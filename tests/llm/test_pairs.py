@@ -282,6 +282,24 @@ def test_topk(spark, folder):
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{path}/embeddings.parquet'")
     assert got == sorted(duckdb.sql(topk.SQL).fetchall())
     assert topk.query(spark, folder(embeddings=embeddings([]))).count() == 0
+    # queries without any candidate of their length, and none that can take part
+    assert topk.query(spark, folder(embeddings=embeddings([(50, [1.0]), (51, [1.0, 2.0]), (100, None)]))).count() == 0
+
+
+def test_topk_counts_all_scores_in_blocks(spark, monkeypatch):
+    """Histograms of a few bins over blocks of a few queries give the same ranks, and count every score of a range."""
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 0.25, 0.5, 1.0]) for _ in range(4)]) for i in range(300)]
+    for name, value in (("BLOCK", 2), ("BINS", 4), ("ROWS", 3)):
+        monkeypatch.setattr(topk, name, value)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.search(df, df.vec_id % 50 == 0).collect())
+    v = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows}
+    want = []
+    for q in range(0, 300, 50):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[i], strict=True)), i) for i in v if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
 
 
 def test_topk_sends_only_what_can_be_among_the_best(spark):
@@ -289,7 +307,7 @@ def test_topk_sends_only_what_can_be_among_the_best(spark):
     rng = random.Random(9)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(600)]
     vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), "vec_id", "embedding").cache()
-    sent = topk._block_result(vectors, vectors.where("vec_id % 50 = 0"), 5)
+    sent = topk._block_result(vectors, vectors.where("vec_id % 50 = 0"), 5, 300)
     most = sent.groupBy("query_id").count().agg({"count": "max"}).first()[0]
     assert 5 <= most <= 4 + 5 * 3
 
