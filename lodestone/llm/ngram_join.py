@@ -3,7 +3,8 @@
 1. Order. Shingles are ordered by how frequent they are in all documents (a table of fixed size, by hash; any order gives
    right results, this one keeps what is common out of the way).
 2. Candidates. Of linked sets, each has one of the other's shingles among its first size - ceil(threshold * size) + 1.
-   A document goes to the buckets of those, as its size and a bitmap of its shingles. A bucket is a signature tree:
+   A document goes to the buckets of those, as its size and a bitmap of its shingles, whose length follows from the size
+   (the tree of the next shorter bitmaps gets folded ones of sets that can link into it). A bucket holds signature trees:
    leaves are (shingle, document), nodes hold OR-combined bitmaps, size ranges and ranges of shingles. A dual traversal
    drops node pairs that have no shingle in common, whose sizes can't link, whose greatest possible overlap is too
    small, or whose documents are connected already; what is left at the leaves gives candidate edges, a forest at most.
@@ -45,10 +46,12 @@ SHINGLE, THRESHOLD = 3, 90
 BUCKET_BYTES = 6 << 20
 #: Shingles of a task of exact sets; documents of a component that meet all its chunks.
 CHUNK, PIVOTS = 1 << 20, 256
-#: Children of a tree's node, node pairs looked at once, 64-bit words of a bitmap of a candidate.
-FANOUT, BLOCK, WORDS = 8, 4096, 4
+#: Children of a tree's node, node pairs looked at once.
+FANOUT, BLOCK = 8, 4096
+#: Least and most 64-bit words of a candidate's bitmap, and how many shingles there are at most for each word between them.
+LEAST_WORDS, MOST_WORDS, PER_WORD = 4, 64, 80
 #: Cells of the table of frequencies, and from how many documents on a shingle is hot.
-CELLS, HOT = 1 << 20, 1 << 14
+CELLS, HOT = 1 << 22, 1 << 14
 #: Partial sums of a hot class of equal sets.
 SALTS = 64
 #: Entries that a task holds before it sends them.
@@ -74,14 +77,26 @@ def set_prints(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def bitmaps(value: np.ndarray, row: np.ndarray, rows: int, words: int) -> np.ndarray:
-    """Of each row: a bit for each of its values, by its low bits."""
-    out = np.zeros((rows, words), np.uint64)
-    at = (value & np.uint64(words * 64 - 1)).astype(np.int64)
-    np.bitwise_or.at(out.reshape(-1), row * words + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+def words_of(size: np.ndarray) -> np.ndarray:
+    """Words of a candidate's bitmap: a power of two."""
+    need = np.clip(-(-size // PER_WORD), LEAST_WORDS, MOST_WORDS)
+    return (1 << np.ceil(np.log2(need)).astype(np.int64)).astype(np.int64)
+
+
+def flat_bitmaps(value: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Bitmaps of so many words one after the other: a bit for each of a row's values, by its low bits."""
+    out = np.zeros(int(words.sum()), np.uint64)
+    at = (value & (words[row] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_or.at(out, (np.cumsum(words) - words)[row] + (at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
     return out
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size."""
+    ends = np.cumsum(size)
+    return np.arange(int(size.sum())) + np.repeat(start - (ends - size), size)
+
+
 def connect(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Labels after joining ``u`` and ``v``; each is the least number of its component, before and after."""
     while True:
@@ -188,17 +203,17 @@ def _cell(value: np.ndarray) -> np.ndarray:
 
 
 def frequencies(docs: DataFrame, threshold: int, size: int) -> np.ndarray:
-    """The binary logarithm of how many documents have a shingle of each cell of the table. Cells that a task meets once
-    aren't sent, so rare ones count as 0; the driver sees a number a cell at most."""
+    """The binary logarithm of how many documents have a shingle of each cell of the table. A task sends only cells that
+    stand out, the others count as 0; the driver sees a number a cell at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros(CELLS, np.int32)
         for value, *_ in _documents(batches, threshold, size):
-            total += np.bincount(_cell(value), minlength=CELLS)
-        at = np.flatnonzero(total > 1)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+            np.add.at(total, _cell(value), 1)
+        at = np.flatnonzero(total >= max(2, 3 * int(total.sum(dtype=np.int64)) // CELLS))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["cell", "n"])
 
-    counted = docs.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where("n >= 4").toArrow()
+    counted = docs.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS, np.uint8)
     out[counted["cell"].to_numpy()] = np.log2(counted["n"].to_numpy()).astype(np.uint8)
     return out
@@ -250,6 +265,8 @@ def _sign(buckets: int, threshold: int, size: int, shared):
         def send() -> pa.RecordBatch:
             value, at, rest = (np.concatenate([h[i] for h in held]) for i in range(3))
             ids, count, bits = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5))
+            words = words_of(count)
+            begins = np.cumsum(words) - words
             out: dict[int, list[bytes | None]] = {}
             hot = weight[_cell(value)] >= HOT.bit_length() - 1
             own = np.searchsorted(bounds, count[at[hot]], "right") - 1
@@ -264,12 +281,12 @@ def _sign(buckets: int, threshold: int, size: int, shared):
                         body = squeeze(entries[0][a:b], entries[1][a:b])
                     else:
                         rows, inverse = np.unique(entries[1][a:b], return_inverse=True)
-                        body = squeeze(ids[rows], count[rows], bits[rows].reshape(-1), entries[0][a:b], inverse.astype(np.uint32), entries[2][a:b].astype(np.uint32))
+                        body = squeeze(ids[rows], count[rows], bits[ranges(begins[rows], words[rows])], entries[0][a:b], inverse.astype(np.uint32), entries[2][a:b].astype(np.uint32))
                     out.setdefault(int(place[a]), [None, None])[blobs] = body
             return _sent([(k, *two) for k, two in out.items()], u, v)
 
         for value, row, count, own in _documents(batches, threshold, size):
-            bits = bitmaps(value, row, len(own), WORDS)
+            bits = flat_bitmaps(value, row, words_of(count))
             value, row, rest = first_shingles(value, row, count, weight, threshold)
             held.append((value, row + sets, rest, own, count, bits))
             total, sets = total + len(value), sets + len(own)
@@ -286,40 +303,52 @@ def _candidates(bodies: list[bytes], threshold: int) -> tuple[np.ndarray, np.nda
     """A forest of edges that connects the documents of a bucket that may link."""
     parts = [spread(body, "i8", "i8", "u8", "u8", "u4", "u4") for body in bodies]
     shift = np.cumsum([0, *(len(p[0]) for p in parts)])
-    ids, size, value = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 3))
-    bits = np.concatenate([p[2] for p in parts]).reshape(-1, WORDS)
-    owner = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift[:-1].tolist(), strict=True)])
+    ids, size, flat, value = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    row = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift[:-1].tolist(), strict=True)])
     rest = np.concatenate([p[5] for p in parts]).astype(np.int64)
-    # a value that comes once joins nothing
+    words = words_of(size)
+    begins = np.cumsum(words) - words
+    # rows of one doc_id are one node; a value that comes once joins nothing
+    name, node = np.unique(ids, return_inverse=True)
+    label = np.arange(len(name))
     order = np.argsort(value, kind="stable")
     ranked = value[order]
     twin = np.zeros(len(order), bool)
     twin[1:] = ranked[1:] == ranked[:-1]
     twin[:-1] |= twin[1:]
-    order = order[twin]
-    order = order[np.lexsort((bits[owner[order], 0], size[owner[order]], value[order]))]
-    value, owner, rest = value[order], owner[order], rest[order]
-    # rows of one doc_id are one node
-    name, label = np.unique(ids, return_inverse=True)
-    owner, of = label[owner], owner
-    label = np.arange(len(name))
-    if not len(value):
-        return ids[:0], ids[:0]
-    tree = SignatureTree(bits[of], size[of], value, owner)
+    shared = order[twin]
+    for width in np.unique(words[row[shared]]).tolist():
+        # sets of twice the width that can link with one of this width come folded
+        folded = (words == 2 * width) & (threshold * size <= 100 * width * PER_WORD)
+        bits = np.zeros((len(size), width), np.uint64)
+        own = np.flatnonzero(words == width)
+        bits[own] = flat[ranges(begins[own], words[own])].reshape(-1, width)
+        two = np.flatnonzero(folded)
+        bits[two] = np.bitwise_or.reduce(flat[ranges(begins[two], words[two])].reshape(-1, 2, width), axis=1)
+        use = shared[((words == width) | folded)[row[shared]]]
+        use = use[np.lexsort((bits[row[use], 0], size[row[use]], value[use]))]
+        label = _grown(label, value[use], row[use], rest[use], bits, size, node, threshold)
+    other = np.flatnonzero(label != np.arange(len(label)))
+    return name[other], name[label[other]]
+
+
+def _grown(label: np.ndarray, value: np.ndarray, row: np.ndarray, rest: np.ndarray, bits: np.ndarray, size: np.ndarray, node: np.ndarray, threshold: int) -> np.ndarray:
+    """Labels after joining the nodes of rows that share a value and may link, by the traversal of one tree."""
+    if len(value) < 2:
+        return label
+    size, owner = size[row], node[row]
+    tree = SignatureTree(bits[row], size, value, owner)
 
     def leaf(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> np.ndarray:
-        both = size[of[p]] + size[of[q]]
-        return (value[p] == value[q]) & ((100 + threshold) * np.minimum(rest[p], rest[q]) >= threshold * both)
+        return (value[p] == value[q]) & ((100 + threshold) * np.minimum(rest[p], rest[q]) >= threshold * (size[p] + size[q]))
 
     # neighbours first: most copies are connected before any pairs of nodes are looked at
     p = np.arange(len(value) - 1)
-    one, two = tree.levels[0][0][p], tree.levels[0][0][p + 1]
-    most = np.bitwise_count(one & two).sum(1) + np.minimum(tree.levels[0][3][p], tree.levels[0][3][p + 1])
-    near = ((100 + threshold) * most >= threshold * (size[of[p]] + size[of[p + 1]])) & leaf(p, p + 1, label)
+    slack = tree.levels[0][3]
+    most = np.concatenate([np.bitwise_count(tree.levels[0][0][p[i : i + BLOCK]] & tree.levels[0][0][p[i : i + BLOCK] + 1]).sum(1) for i in range(0, len(p), BLOCK)])
+    near = ((100 + threshold) * (most + np.minimum(slack[:-1], slack[1:])) >= threshold * (size[:-1] + size[1:])) & leaf(p, p + 1, label)
     label = connect(label, owner[p[near]], owner[p[near] + 1])
-    label = traverse(tree, tree, label, threshold, leaf, ordered=True)
-    other = np.flatnonzero(label != np.arange(len(label)))
-    return name[other], name[label[other]]
+    return traverse(tree, tree, label, threshold, leaf, ordered=True)
 
 
 def _meet(threshold: int):
@@ -385,7 +414,7 @@ def linked(value: np.ndarray, starts: np.ndarray, side: np.ndarray, name: np.nda
     for a, b in ((0, n), (n, len(sets))):
         if b > a:
             flat = np.concatenate(sets[a:b])
-            trees.append((a, SignatureTree(bitmaps(mix(flat), np.repeat(np.arange(b - a), count[a:b]), b - a, words), count[a:b], np.zeros(b - a), name[a:b])))
+            trees.append((a, SignatureTree(flat_bitmaps(mix(flat), np.repeat(np.arange(b - a), count[a:b]), np.full(b - a, words)).reshape(-1, words), count[a:b], np.zeros(b - a), name[a:b])))
 
     def leaf_of(x: int, y: int) -> Leaf:
         def leaf(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> np.ndarray:

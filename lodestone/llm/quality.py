@@ -23,8 +23,8 @@ from . import runtime
 from .text_arrays import SPACE, Prefix, mix, pieces, row_starts, utf8
 
 BITS = 20
-#: The most labelled rows that training reads.
-SAMPLE_ROWS = 6000
+#: The most labelled rows that training reads, and the longest texts among them in bytes.
+SAMPLE_ROWS, SAMPLE_BYTES = 6000, 64 << 10
 #: Passes over the sample: at least so many, and more over a small one, up to so many updates.
 EPOCHS, UPDATES = 4, 12_000
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
@@ -122,9 +122,10 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, label: str, usable: F.Column, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``rows`` labelled rows that are usable, by a hash of doc_id.
+    """(doc_id, text, label) of at most ``rows`` labelled rows that are usable, by a hash of doc_id; one text of each
+    doc_id, of ``SAMPLE_BYTES`` at most.
 
-    The chosen ids are at most ``rows``, which bounds the broadcast.
+    The chosen ids are at most ``rows``, which bounds the broadcast, and with it what is collected.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & usable)
@@ -133,13 +134,14 @@ def training_sample(documents: DataFrame, labels: DataFrame, label: str, usable:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    short = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    return short.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def train(documents: DataFrame, labels: DataFrame, usable: F.Column, rows: int = SAMPLE_ROWS) -> Model:
     sample = training_sample(documents, labels, "quality", usable, rows)
-    got = sample.mapInArrow(_sparse, "label int, feature binary, value binary").collect()
-    got = sorted((bytes(r.feature), bytes(r.value), r.label) for r in got)
+    got = sample.select("label", "text").mapInArrow(_sparse, "label int, feature binary, value binary").toArrow()
+    got = sorted(zip(*(got[c].to_pylist() for c in ("feature", "value", "label")), strict=True))
     order = np.random.default_rng(7).permutation(len(got))
     return fit([(np.frombuffer(got[i][0], np.int32), np.frombuffer(got[i][1], np.float32), got[i][2]) for i in order])
 

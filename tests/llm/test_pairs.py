@@ -203,7 +203,7 @@ def test_candidates_hold_every_link(threshold):
     rng = np.random.default_rng(threshold)
     weight = rng.integers(0, 5, ngram_join.CELLS).astype(np.uint8)
     sets, docs = [], []
-    for n in (4, 5, 9, 10, 19, 57, 300):
+    for n in (4, 5, 9, 10, 19, 57, 300, 319, 322, 330, 640, 700):
         base = rng.integers(0, 1 << 63, n).astype(np.uint64)
         for _ in range(12):
             s = base.copy()
@@ -212,9 +212,11 @@ def test_candidates_hold_every_link(threshold):
             docs.append(len(docs) * 3 + 1)
     value, count = np.concatenate(sets), np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), count)
-    bits = ngram_join.bitmaps(value, row, len(sets), ngram_join.WORDS)
+    words = ngram_join.words_of(count)
+    bits = ngram_join.flat_bitmaps(value, row, words)
+    begins = np.cumsum(words) - words
     first, at, rest = ngram_join.first_shingles(value, row, count, weight, threshold)
-    body = lambda own: ngram_join.squeeze(np.array(docs)[own], count[own], bits[own].reshape(-1), first[np.isin(at, own)], (at[np.isin(at, own)] - own[0]).astype(np.uint32), rest[np.isin(at, own)].astype(np.uint32))
+    body = lambda own: ngram_join.squeeze(np.array(docs)[own], count[own], bits[ngram_join.ranges(begins[own], words[own])], first[np.isin(at, own)], (at[np.isin(at, own)] - own[0]).astype(np.uint32), rest[np.isin(at, own)].astype(np.uint32))
     u, v = ngram_join._candidates([body(np.arange(0, 40)), body(np.arange(40, len(sets)))], threshold)
     label = ngram_join.connect(np.arange(3 * len(sets) + 1), u, v)
     links = 0
@@ -377,5 +379,5 @@ def test_decontamination_fits_the_space_on_all_rows(spark, folder, monkeypatch):
     read = lambda name: spark.read.parquet(f"{path}/{name}.parquet")
     asked = [t for _, t in docs] + items["text"].to_pylist()
     word = decontaminate.word_tokens(*decontaminate.utf8(pa.array(asked)))[0]
-    spaces = [m.value.space for m in decontaminate.matchers(read("documents").select("doc_id", "text"), read("benchmark"))]
+    spaces = [m.value.space for m in decontaminate.matchers(read("documents").select("doc_id", "text"), read("benchmark"), fit_documents=None)]
     assert len(spaces) == 4 and all((np.abs(s[decontaminate.dims(word)]).sum(1) > 0).all() for s in spaces)
