@@ -3,7 +3,6 @@ and BPE encoding. Each stage's rows are written as Parquet and read again by the
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,10 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over the documents of ``sf_dir``."""
-    folder = f"{runtime.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = runtime.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    """All stages in order over the documents of ``sf_dir``; a stage's table goes once the next one's is written."""
+    docs, before = runtime.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs, path = runtime.written(stage(spark, docs, sf_dir))
+        if before:
+            runtime.forget(spark, before)
+        before = path
     return docs
