@@ -210,7 +210,8 @@ def frequencies(docs: DataFrame, threshold: int, size: int) -> np.ndarray:
         total = np.zeros(CELLS, np.int32)
         for value, *_ in _documents(batches, threshold, size):
             np.add.at(total, _cell(value), 1)
-        at = np.flatnonzero(total >= max(2, 3 * int(total.sum(dtype=np.int64)) // CELLS))
+        mean = float(total.sum(dtype=np.int64)) / CELLS
+        at = np.flatnonzero(total > mean + 6 * mean**0.5 + 3)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["cell", "n"])
 
     counted = docs.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()

@@ -41,7 +41,7 @@ from .text_arrays import BASE, distinct, eights, mix, pieces, utf8
 
 LENGTH, SEED = 50, 20
 #: Bytes of stored input for each bucket, and the limits of a piece's text.
-BUCKET_BYTES, LEAST_PIECE, MOST_PIECE = 6 << 20, 256 << 10, 8 << 20
+BUCKET_BYTES, LEAST_PIECE, MOST_PIECE = 6 << 20, 256 << 10, 4 << 20
 #: Bytes of messages of a batch of a bucket, and strings that are copied at once.
 BATCH_BYTES, SLICE = 1 << 20, 1 << 17
 
@@ -247,12 +247,12 @@ def send_strings(buckets: int):
                 bucket = bucket_of(seed, buckets)
                 order = np.argsort(bucket, kind="stable")
                 start, count, owner, bucket = start[order], count[order], owner[order], bucket[order]
-                size = count + LENGTH - 1
-                ends = np.cumsum(size)
-                text = piece.data[np.arange(ends[-1]) + np.repeat(start - (ends - size), size)] if len(ends) else piece.data[:0]
-                for k in np.unique(bucket):
-                    a, b = np.searchsorted(bucket, [k, k + 1])
-                    out.append((int(k), number, False, squeeze(start[a:b].astype(np.uint32), count[a:b].astype(np.uint8), owner[a:b], text[ends[a] - size[a] : ends[b - 1]])))
+                edge = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist() if len(bucket) else []
+                for a, b in zip(edge, [*edge, len(bucket)][1:], strict=True):
+                    size = count[a:b] + LENGTH - 1
+                    ends = np.cumsum(size)
+                    text = piece.data[np.arange(ends[-1]) + np.repeat(start[a:b] - (ends - size), size)]
+                    out.append((int(bucket[a]), number, False, squeeze(start[a:b].astype(np.uint32), count[a:b].astype(np.uint8), owner[a:b], text)))
         return pa.Table.from_batches([messages(out)])
 
     return run
@@ -402,8 +402,10 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     runs = [spread(body, "u4", "u4") for body in right["body"].to_pylist()]
     start, count = (concat([r[i] for r in runs], "u4").astype(np.int64) for i in (0, 1))
     n = len(piece.data)
-    change = np.bincount(start, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(start + count + LENGTH - 1, n), minlength=n + 1)[: n + 1]
-    gone = np.cumsum(change[:n]) > 0
+    change = np.zeros(n + 1, np.int32)
+    np.add.at(change, start, 1)
+    np.add.at(change, np.minimum(start + count + LENGTH - 1, n), -1)
+    gone = np.cumsum(change[:n], dtype=np.int32) > 0
     offsets = piece.offsets
     border = np.zeros(n + 1, bool)
     border[offsets] = True
