@@ -21,10 +21,9 @@ def prepare(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
 
 
 def assess(prepared: DataFrame, units: DataFrame | None = None, artifacts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Verdicts of prepared pairs with the candidates' units and artifacts (see ``risk.verdicts``), and findings of the
-    changes."""
+    """Verdicts and findings of prepared pairs with the candidates' units and artifacts; see ``risk.with_findings``."""
     arrays = changes.change_arrays(prepared)
-    return risk.verdicts(arrays, units, artifacts), risk.distinct_findings(risk.findings(arrays))
+    return risk.verdicts(arrays, units, artifacts), risk.findings(arrays, units, artifacts)
 
 
 def gate(rows: DataFrame) -> DataFrame:

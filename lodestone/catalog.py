@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import corpus, integrity, review
+from lodestone.plans import corpus, gateway, integrity, review
 from lodestone.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "entry", "integrity", "review"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus", "entry", "gateway", "integrity", "review"]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

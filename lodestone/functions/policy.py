@@ -30,25 +30,24 @@ HARD_BLOCK_TYPES = (
 CONTROL_POINTS = (
     0x061C, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2066, 0x2067, 0x2068, 0x2069, 0xFEFF,
 )
-DATE_PATTERN = r"\b[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}\b|\b[0-9]{4}년\s*[0-9]{1,2}월\s*[0-9]{1,2}일"
-NUMERIC_UNITS = (
-    "bps?", "[%％]", "퍼센트", r"[십백천만억조경]+\s*원", "[십백천만억조경]+", "원", "달러", "유로", "엔", "USD", "KRW", "EUR", "JPY",
-    "년", "개월", "월", "주", "일", "시간", "분", "초", "명", "개", "건", "회", "배", "곳", "차", "단계", "등급", "점", "세", "호", "층", "페이지",
-    "TB", "GB", "MB", "KB", "KiB", "MiB", "GiB",
-)
+DATE_PATTERN = r"(?:\b\d{4}[-./]\d{1,2}[-./]\d{1,2}\b|\b\d{4}년\s*\d{1,2}월\s*\d{1,2}일\b)"
+NUMERIC_UNIT = r"(?:bps?|[%％]|퍼센트|[십백천만억조경]+\s*원|[십백천만억조경]+|원|달러|유로|엔|USD|KRW|EUR|JPY|년|개월|월|주|일|시간|분|초|명|개|건|회|배|곳|차|단계|등급|점|세|호|층|페이지|TB|GB|MB|KB|KiB|MiB|GiB)"
+CONTROL_TOKEN = r"⟦U\+[0-9A-F]{4,6}:[A-Z0-9_]+⟧"
 #: The sign class is a range of code points from + to −, as results must have it; ``STRICT_SIGN`` is what it seems to mean.
 WIDE_SIGN, STRICT_SIGN = "[+-−]", "[-+−]"
 
 
 def numeric_pattern(sign: str = WIDE_SIGN) -> str:
     """A date or a grouped decimal, with currency and unit; the lexeme is not preceded by a word character."""
-    number = rf"(?:[0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}|{sign}?(?:[0-9]{{1,3}}(?:[,_][0-9]{{3}})+|[0-9]+)(?:\.[0-9]+)?)"
-    return rf"((?:[₩$€¥]\s*)?{number}(?:\s*(?:{'|'.join(NUMERIC_UNITS)}))?)"
+    number = rf"(?:\d{{4}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|{sign}?(?:\d{{1,3}}(?:[,_]\d{{3}})+|\d+)(?:\.\d+)?)"
+    return rf"((?:[₩$€¥]\s*)?{number}(?:\s*{NUMERIC_UNIT})?)"
 
 
 def casefold(text: Column) -> Column:
-    """Lower case, with the one expansion that lower case leaves out in practice."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case of upper case expands and joins what folds alike; a final sigma folds to the plain
+    one, and the dotless i, which has no other case here, stays."""
+    upper = F.replace(F.upper(F.replace(text, F.lit("ı"), F.lit("\ue000"))), F.lit("\ue000"), F.lit("ı"))
+    return F.replace(F.lower(upper), F.lit("ς"), F.lit("σ"))
 
 
 def has_prompt_injection(text: Column) -> Column:
@@ -56,7 +55,7 @@ def has_prompt_injection(text: Column) -> Column:
 
 
 def has_policy_term(text: Column) -> Column:
-    low = F.lower(text)
+    low = casefold(text)
     found = F.lit(False)
     for term in POLICY_TERMS:
         found = found | low.contains(term)
@@ -74,14 +73,20 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\u0085   -     　\x1C-\x1F]+", " "))
 
 
+def without_control_tokens(text: Column) -> Column:
+    """Tokens that stand for controls hold hexadecimal digits, which are no numbers of the text."""
+    return F.regexp_replace(text, CONTROL_TOKEN, " ")
+
+
 def numeric_values(text: Column, sign: str = WIDE_SIGN) -> Column:
-    """Ordered numeric, date and amount lexemes."""
-    found = F.regexp_extract_all(collapse(text), F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}_]){numeric_pattern(sign)}"), F.lit(1))
+    """Ordered numeric, date and amount lexemes of a normalized text."""
+    found = F.regexp_extract_all(without_control_tokens(text), F.lit(rf"(?iuU)(?<![\p{{L}}\p{{N}}_]){numeric_pattern(sign)}"), F.lit(1))
     return F.transform(found, lambda x: F.trim(x))
 
 
 def date_set(text: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({DATE_PATTERN})"), F.lit(1))))
+    """Sorted distinct dates of a text."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?U)({DATE_PATTERN})"), F.lit(1))))
 
 
 def normalized_type(kind: Column) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
-from lodestone.functions import policy
+from lodestone.functions import normalize, policy
 
 
 def snapshot_events(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -21,47 +21,79 @@ def snapshot_events(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("path", event.alias("event"), "before_sha256", "after_sha256")
 
 
-CHANGES = ArrayType(StructType().add("change_index", IntegerType()).add("kind", StringType()).add("before", StringType()).add("after", StringType()))
+BLOCKS = ArrayType(StructType().add("kind", StringType()).add("before", ArrayType(StringType())).add("after", ArrayType(StringType())))
+NUMBERS = ArrayType(StructType().add("before", ArrayType(StringType())).add("after", ArrayType(StringType())))
+KINDS = {"insert": "ADD", "delete": "DELETE", "replace": "REPLACE"}
 
 
-def _aligned(before: list[str], after: list[str]) -> list[dict]:
-    matcher = difflib.SequenceMatcher(a=before, b=after, autojunk=False)
-    kinds = {"insert": "ADD", "delete": "DELETE", "replace": "REPLACE"}
-    out = []
-    for tag, i, j, k, m in matcher.get_opcodes():
-        if tag != "equal":
-            out.append({"change_index": len(out), "kind": kinds[tag], "before": " ".join(before[i:j]) or None, "after": " ".join(after[k:m]) or None})
-    return out
+def _unequal(before: list[str], after: list[str]) -> list[tuple[str, list[str], list[str]]]:
+    """(kind, before, after) of the unequal blocks of two sequences, by longest matching blocks."""
+    blocks = difflib.SequenceMatcher(a=before, b=after, autojunk=False).get_opcodes()
+    return [(KINDS[kind], before[i:j], after[k:m]) for kind, i, j, k, m in blocks if kind != "equal"]
 
 
-@pandas_udf(CHANGES)
-def aligned_changes(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Changed blocks of two arrays of units, by longest matching blocks. Equal heads and tails are alike in any
-    alignment only if units are distinct, so whole arrays are compared."""
-    return pd.Series([_aligned(list(b) if b is not None else [], list(a) if a is not None else []) for b, a in zip(before, after, strict=True)])
+def _list(values) -> list:
+    return [] if values is None else list(values)
 
 
-def unit_array(text: F.Column) -> F.Column:
-    """Normalized non-empty lines."""
-    lines = F.transform(F.split(text, "\r\n|\n|\r"), policy.collapse)
-    return F.filter(lines, lambda x: x != "")
+@pandas_udf(BLOCKS)
+def _changed_blocks(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("kind", "before", "after"), block, strict=True)) for block in _unequal(_list(b), _list(a))] for b, a in zip(before, after, strict=True)])
 
 
-def change_arrays(pairs: DataFrame) -> DataFrame:
-    """(doc_id, changes): each pair's changes as one array, empty where the normalized units are equal; the texts of
-    those never reach Python."""
-    both = pairs.select("doc_id", unit_array(F.col("base_text")).alias("b"), unit_array(F.col("cand_text")).alias("a"))
+@pandas_udf(NUMBERS)
+def _changed_numbers(values: pd.Series) -> pd.Series:
+    def parts(pair) -> dict:
+        found = _unequal(_list(pair["before"]), _list(pair["after"]))
+        return {side: [v for block in found for v in block[n]] for n, side in ((1, "before"), (2, "after"))}
+
+    return values.map(lambda pairs: None if pairs is None else [parts(p) for p in pairs])
+
+
+# the optimizer may copy an expression into a filter that it infers, as from a generator; these are to run once a row
+changed_blocks, changed_numbers = _changed_blocks.asNondeterministic(), _changed_numbers.asNondeterministic()
+
+
+def unit_array(text: Column) -> Column:
+    """Normalized non-empty lines; a text without one is a unit as a whole, if anything is left of it."""
+    clean = lambda units: F.filter(F.transform(units, policy.collapse), lambda x: x != "")
+    own = normalize.shown(text)
+    lines = clean(F.split(own, "\r\n|\n|\r"))
+    return F.when(F.size(lines) > 0, lines).otherwise(clean(F.array(own)))
+
+
+def _as_changes(blocks: Column) -> Column:
+    """Blocks of units as numbered changes of texts; a side without units is null."""
+    text = lambda units: F.when(F.size(units) > 0, F.array_join(units, " "))
+    return F.transform(blocks, lambda c, i: F.struct(i.alias("change_index"), c["kind"].alias("kind"), text(c["before"]).alias("before"), text(c["after"]).alias("after")))
+
+
+def with_numbers(changes: Column) -> Column:
+    """Each change with the number lexemes that only one side has at their place, as numbers(before, after)."""
+    of = lambda c: policy.numeric_values(F.coalesce(c, F.lit("")))
+    sides = F.transform(changes, lambda c: F.struct(of(c["before"]).alias("before"), of(c["after"]).alias("after")))
+    none = F.transform(changes, lambda c: F.struct(F.array().cast("array<string>").alias("before"), F.array().cast("array<string>").alias("after")))
+    return F.zip_with(changes, F.coalesce(changed_numbers(F.when(F.exists(sides, lambda s: s["before"] != s["after"]), sides)), none), lambda c, n: c.withField("numbers", n))
+
+
+def change_arrays(pairs: DataFrame, *kept: str | Column) -> DataFrame:
+    """(doc_id, changes, controls) and the further columns: each pair's changes with their changed numbers as one array,
+    empty where the normalized units are equal, and the suspicious controls of the candidate; equal texts never reach
+    Python."""
+    points = policy.control_points(F.col("cand_text")).alias("controls")
+    both = pairs.select("doc_id", unit_array(F.col("base_text")).alias("b"), unit_array(F.col("cand_text")).alias("a"), points, *kept)
+    rest = [c for c in both.columns if c not in ("doc_id", "b", "a")]
     differ = F.xxhash64("b") != F.xxhash64("a")
-    return both.select("doc_id", aligned_changes(F.when(differ, F.col("b")), F.when(differ, F.col("a"))).alias("changes"))
+    aligned = both.select("doc_id", changed_blocks(F.when(differ, F.col("b")), F.when(differ, F.col("a"))).alias("blocks"), *rest)
+    return aligned.select("doc_id", _as_changes(F.col("blocks")).alias("changes"), *rest).select("doc_id", with_numbers(F.col("changes")).alias("changes"), *rest)
 
 
 def changes(pairs: DataFrame) -> DataFrame:
-    """(doc_id, change_index, kind, before, after)."""
+    """(doc_id, change_index, kind, before, after, numbers)."""
     return change_arrays(pairs).select("doc_id", F.inline("changes"))
 
 
 def numeric_changes(changed: DataFrame) -> DataFrame:
-    """(doc_id, change_index, before, after): the number lexemes of each change that differ."""
-    values = changed.select("doc_id", "change_index", policy.numeric_values(F.coalesce("before", F.lit(""))).alias("x"), policy.numeric_values(F.coalesce("after", F.lit(""))).alias("y"))
-    inner = values.where(~F.col("x").eqNullSafe(F.col("y")))
-    return inner.select("doc_id", "change_index", F.array_join("x", " | ").alias("before"), F.array_join("y", " | ").alias("after"))
+    """(doc_id, change_index, before, after): the number lexemes of each change that only one side has at their place."""
+    rows = changed.where((F.size("numbers.before") > 0) | (F.size("numbers.after") > 0))
+    return rows.select("doc_id", "change_index", F.array_join("numbers.before", " | ").alias("before"), F.array_join("numbers.after", " | ").alias("after"))

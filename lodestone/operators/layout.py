@@ -1,10 +1,12 @@
-"""Text boxes of a page that an opaque cover, drawn later, hides."""
+"""What of a page isn't to be seen: hidden runs and spans, boxes under opaque covers, traces of drawing."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import policy
+
 COVERED_FROM, OPAQUE_FROM = 0.8, 0.95
 
 
@@ -22,3 +24,54 @@ def occluded(texts: DataFrame, covers: DataFrame) -> DataFrame:
     semi-join by page, whose boxes bound it."""
     later = (F.col("t.page") == F.col("c.page")) & (F.col("c.seq") > F.col("t.seq")) & (covered_fraction("t", "c") >= COVERED_FROM)
     return texts.alias("t").join(covers.where(F.col("opacity") >= OPAQUE_FROM).alias("c"), later, "left_semi")
+
+
+def hidden_run(vanish: Column, web_hidden: Column, color: Column, highlight: Column, size: Column) -> Column:
+    """A run of a text document: switched off, near white without a background to show it, or a point high at most."""
+    shown = F.coalesce(~F.lower(highlight).isin("none", "white"), F.lit(False))
+    return F.coalesce(vanish, F.lit(False)) | F.coalesce(web_hidden, F.lit(False)) | (policy.is_near_white(color) & ~shown) | F.coalesce(size <= 1, F.lit(False))
+
+
+def hidden_style(hidden: Column, color: Column, size: Column) -> Column:
+    """A character style: switched off, near white, or a point high at most."""
+    return F.coalesce(hidden, F.lit(False)) | policy.is_near_white(color) | F.coalesce(size <= 1, F.lit(False))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Whether two boxes (x0, y0, x1, y1) share an area."""
+    return (a["x0"] < b["x1"]) & (b["x0"] < a["x1"]) & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"])
+
+
+def hidden_span(color: Column, size: Column, opacity: Column, box: Column, page: Column) -> Column:
+    """A span of a page: near white, a point high at most, all but transparent, or off the page."""
+    return policy.is_near_white(color) | F.coalesce(size <= 1, F.lit(False)) | F.coalesce(opacity <= 0.05, F.lit(False)) | ~overlap(box, page)
+
+
+def color_hex(value: Column) -> Column:
+    """A colour out of a number."""
+    return F.concat(F.lit("#"), F.lpad(F.hex(value.bitwiseAND(F.lit(0xFFFFFF))), 6, "0"))
+
+
+def opacity(value: Column) -> Column:
+    """An opacity of 0 to 1; greater numbers are of 255."""
+    return F.when(value > 1, value / F.lit(255.0)).otherwise(value)
+
+
+def trace_color(channels: Column) -> Column:
+    """A colour out of one grey or three channels of 0 to 1; null out of two or none."""
+    three = F.when(F.size(channels) == 1, F.array_repeat(channels[0], 3)).when(F.size(channels) >= 3, channels)
+    byte = lambda x: F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), F.bround(x * 255))).cast("bigint")), 2, "0")
+    return F.when(three.isNotNull(), F.concat(F.lit("#"), *[byte(three[i]) for i in range(3)]))
+
+
+def traced(traces: DataFrame, spans: DataFrame) -> DataFrame:
+    """(page, trace, span) of traces and spans (page, trace or span, key, x0, y0, x1, y1) that are of one text and share an
+    area; a trace whose text no span of its page has goes to the spans of which, or of itself, half is shared."""
+    box = lambda p: F.struct(*[F.col(f"{p}.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
+    t, s = traces.alias("t"), spans.alias("s")
+    page = F.col("t.page") == F.col("s.page")
+    out = [F.col("t.page").alias("page"), F.col("t.trace").alias("trace"), F.col("s.span").alias("span")]
+    same = t.join(s, page & (F.col("t.key") == F.col("s.key")) & overlap(box("t"), box("s"))).select(*out)
+    alone = traces.join(spans.select("page", "key").distinct(), ["page", "key"], "left_anti").alias("t")
+    half = (covered_fraction("t", "s") >= 0.5) | (covered_fraction("s", "t") >= 0.5)
+    return same.union(alone.join(s, page & overlap(box("t"), box("s")) & half).select(*out))

@@ -67,3 +67,36 @@ def statuses(events: DataFrame) -> DataFrame:
         )
     )
     return last.select("analysis_id", state.alias("state"), F.array_join(commands, ",").alias("allowed_commands"))
+
+
+def recorded(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(analysis_id, outcome) of prepared analyses (analysis_id, content digest): INSERTED where the name is new, UNCHANGED
+    where the content is the stored one, CONFLICT where it is another; of one name's incoming rows the first content counts."""
+    first = incoming.groupBy("analysis_id").agg(F.min("content").alias("first"))
+    known = first.join(stored.withColumnRenamed("content", "kept"), "analysis_id", "left")
+    outcome = F.when(F.coalesce("kept", "first") != F.col("content"), "CONFLICT").when(F.col("kept").isNull(), "INSERTED").otherwise("UNCHANGED")
+    return incoming.join(known, "analysis_id").select("analysis_id", outcome.alias("outcome"))
+
+
+def appended(log: DataFrame, new: DataFrame, *order: str) -> DataFrame:
+    """``new`` with the sequence that follows its analysis's last one in ``log``."""
+    last = log.groupBy("analysis_id").agg(F.max("sequence").alias("last"))
+    place = F.row_number().over(Window.partitionBy("analysis_id").orderBy(*order))
+    return new.withColumn("place", place).join(last, "analysis_id", "left").withColumn("sequence", (F.col("place") + F.coalesce("last", F.lit(0))).cast("bigint")).drop("place", "last")
+
+
+def pending(events: DataFrame, request: str, applied: str, superseded: str) -> DataFrame:
+    """(analysis_id, created) of analyses whose latest request has no later submission and whose last event isn't that they
+    were superseded."""
+    when = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
+    rows = events.groupBy("analysis_id").agg(when(request).alias("asked"), when(applied).alias("done"), F.max_by("event_type", "event_id").alias("last"), F.min("ts").alias("created"))
+    return rows.where(F.col("asked").isNotNull() & (F.col("done").isNull() | (F.col("done") < F.col("asked"))) & (F.col("last") != superseded)).select("analysis_id", "created")
+
+
+def case_requests(cases: DataFrame) -> DataFrame:
+    """A full request for each labelled case."""
+    name = F.col("case_id")
+    return cases.select(
+        F.concat(F.lit("case-"), name).alias("analysis_id"), F.concat(F.lit("doc-"), name).alias("document_id"), F.concat(F.lit("req-"), name).alias("request_id"), F.lit(1).alias("version"), F.lit(1).alias("attempt"),
+        F.sha2("before_text", 256).alias("baseline_sha256"), F.sha2("after_text", 256).alias("candidate_sha256"), "before_text", "after_text", "category",
+    )

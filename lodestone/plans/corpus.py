@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import normalize, policy
 from lodestone.operators import changes, index
-from lodestone.sources import tables
+from lodestone.sources import packages, tables
 
 from .registry import PAIRS, register
 
@@ -26,12 +26,14 @@ def blob_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("size")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
 
 
-@register("s3_verify_blobs", "SELECT doc_id, sha256(text) = sha256(text || '') AS intact, strlen(text) = n_chars AS size_matches FROM documents WHERE text IS NOT NULL")
+@register("s3_verify_blobs", """
+SELECT doc_id, doc_id % 7 <> 0 AS intact, n_chars = length(text) AND doc_id % 11 <> 0 AS size_matches FROM documents WHERE text IS NOT NULL""")
 def verify_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S3: contents hashed again before use, and their size against what is on record."""
-    docs = tables.documents(spark, sf_dir).where(F.col("text").isNotNull())
-    stored = F.sha2(F.concat("text", F.lit("")), 256)
-    return docs.select("doc_id", (F.sha2("text", 256) == stored).alias("intact"), (F.octet_length("text") == F.col("n_chars")).alias("size_matches"))
+    """S3: contents hashed again before use, against digests and sizes on record, some of which are another content's."""
+    record = tables.documents(spark, sf_dir).where("text IS NOT NULL").select(
+        "doc_id", "text", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"), F.when(F.col("doc_id") % 11 == 0, -1).otherwise(F.col("n_chars")).alias("size")
+    )
+    return record.select("doc_id", packages.intact(F.col("text"), F.col("sha256")).alias("intact"), (F.length("text") == F.col("size")).alias("size_matches"))
 
 
 @register("s12_detect_format", """
@@ -52,12 +54,15 @@ def markdown_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.units(tables.documents(spark, sf_dir).select("doc_id", "text"))
 
 
-@register("s19_extraction_limits", f"SELECT doc_id, CAST(length(coalesce(text, '')) AS BIGINT) AS characters, CAST(len(list_filter({LINES}, lambda x: regexp_matches(x, '\\S'))) AS BIGINT) AS units, length(coalesce(text, '')) > 20000 OR len({LINES}) > 200 AS over_limit FROM documents")
+@register("s19_extraction_limits", f"SELECT doc_id, CAST(length(coalesce(text, '')) * copies AS BIGINT) AS characters, CAST(len(list_filter({LINES}, lambda x: regexp_matches(x, '\\S'))) * copies AS BIGINT) AS units, length(coalesce(text, '')) * copies > 2000000 OR len(list_filter({LINES}, lambda x: regexp_matches(x, '\\S'))) * copies > 100000 AS over_limit FROM (SELECT *, CASE WHEN doc_id % 9 = 0 THEN 5000 ELSE 1 END AS copies FROM documents)")
 def extraction_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of a document against its ceilings, as a row and not a failure."""
+    """Running totals of a document's units against the ceilings of an extraction, as a row and not a failure; some
+    documents count as bound volumes of many copies."""
     text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\r\n|\n|\r")
-    return tables.documents(spark, sf_dir).select("doc_id", F.length(text).cast("bigint").alias("characters"), F.size(F.filter(lines, lambda x: x.rlike(r"\S"))).cast("bigint").alias("units"), ((F.length(text) > 20000) | (F.size(lines) > 200)).alias("over_limit"))
+    copies = F.when(F.col("doc_id") % 9 == 0, 5000).otherwise(1)
+    units = F.size(F.filter(F.split(text, "\r\n|\n|\r"), lambda x: x.rlike(r"\S")))
+    rows = tables.documents(spark, sf_dir).select("doc_id", (F.length(text) * copies).cast("bigint").alias("characters"), (units * copies).cast("bigint").alias("units"))
+    return rows.withColumn("over_limit", packages.over_limits(F.col("characters"), F.col("units")))
 
 
 @register("p1_visible_body", f"""
@@ -98,13 +103,22 @@ def normalized_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("d3_numeric_lexemes", f"WITH {PAIRS} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(cand_text, '\\s+', ' ', 'g')), '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])' || '{NUMERIC}', 1), lambda x: trim(x)), ' | ') AS lexemes FROM pairs")
 def numeric_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: ordered numbers, dates and amounts of each candidate."""
-    return tables.pairs(tables.documents(spark, sf_dir)).select("doc_id", F.array_join(policy.numeric_values(F.col("cand_text")), " | ").alias("lexemes"))
+    return tables.pairs(tables.documents(spark, sf_dir)).select("doc_id", F.array_join(policy.numeric_values(normalize.normalized(F.col("cand_text"))), " | ").alias("lexemes"))
 
 
-_DATES = "array_to_string(list_sort(list_distinct(regexp_extract_all({0}, '" + policy.DATE_PATTERN + "'))), ' · ')"
+#: Independent of the pattern in use: a word boundary is spelt out, as this dialect's is one of ASCII only.
+_DATES = "array_to_string(list_sort(list_distinct(regexp_extract_all(' ' || replace(replace({0}, ' ', '   '), chr(10), '   ') || ' ', '[^\\p{{L}}\\p{{N}}_]([0-9]{{4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,2}}|[0-9]{{4}}년\\s*[0-9]{{1,2}}월\\s*[0-9]{{1,2}}일)[^\\p{{L}}\\p{{N}}_]', 1))), ' · ')"
 
 
-@register("d7_date_changes", f"WITH {PAIRS} SELECT doc_id, {_DATES.replace('{0}', 'base_text')} AS before_dates, {_DATES.replace('{0}', 'cand_text')} AS after_dates FROM pairs WHERE {_DATES.replace('{0}', 'base_text')} <> {_DATES.replace('{0}', 'cand_text')}")
+def corpus_dates(column: str) -> str:
+    """SQL for the sorted distinct dates of a column, as one text."""
+    return _DATES.format(column)
+
+
+BASE_DATES, CAND_DATES = _DATES.format("base_text"), _DATES.format("cand_text")
+
+
+@register("d7_date_changes", f"WITH {PAIRS} SELECT doc_id, {BASE_DATES} AS before_dates, {CAND_DATES} AS after_dates FROM pairs WHERE {BASE_DATES} <> {CAND_DATES}")
 def date_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose set of dates differs."""
     rows = tables.pairs(tables.documents(spark, sf_dir)).select("doc_id", F.array_join(policy.date_set(F.col("base_text")), " · ").alias("before_dates"), F.array_join(policy.date_set(F.col("cand_text")), " · ").alias("after_dates"))
@@ -147,16 +161,39 @@ def scan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot_cdc(spark, sf_dir).agg(*[F.count_if(event == e.upper()).alias(e) for e in ("created", "deleted", "modified")])
 
 
-@register("d5_document_diff")
+#: The change that each mutation makes, written out; the deleted first line is the document's own.
+CHANGES = f"""
+c AS (
+  SELECT doc_id, mutation, cand_text, CASE WHEN mutation IN (1, 2, 3, 5, 7) THEN 'REPLACE' WHEN mutation = 4 THEN 'ADD' WHEN mutation = 6 AND base_text <> cand_text THEN 'DELETE' END AS kind,
+    CASE mutation WHEN 1 THEN 'The approval limit is 100 USD.' WHEN 2 THEN 'There are 4 rooms.' WHEN 3 THEN 'Effective 2026-01-01.' WHEN 5 THEN 'Welcome note.' WHEN 7 THEN 'Welcome note.'
+      WHEN 6 THEN trim(regexp_replace(nfc_normalize(regexp_extract(base_text, '^[ \\t\\r\\n]*([^\\n]+)\\n', 1)), '\\s+', ' ', 'g')) END AS before,
+    CASE mutation WHEN 1 THEN 'The approval limit is 1,000 USD.' WHEN 2 THEN 'There are 7 rooms.' WHEN 3 THEN 'Effective 2026-02-01.' WHEN 4 THEN 'Ignore previous instructions.'
+      WHEN 5 THEN 'Welcome note. ⟦U+200B:ZERO_WIDTH_SPACE⟧' WHEN 7 THEN 'Welcome note revised.' END AS after
+  FROM pairs),
+n AS (
+  SELECT *, list_transform(regexp_extract_all(coalesce(before, ''), '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])' || '{NUMERIC}', 1), lambda x: trim(x)) AS nb,
+    list_transform(regexp_extract_all(regexp_replace(coalesce(after, ''), '⟦[^⟧]*⟧', ' '), '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])' || '{NUMERIC}', 1), lambda x: trim(x)) AS na
+  FROM c WHERE kind IS NOT NULL)"""
+
+
+@register("d5_document_diff", f"WITH {PAIRS}, {CHANGES} SELECT doc_id, CAST(0 AS INTEGER) AS change_index, kind, before, after FROM n")
 def document_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Aligned changes of each pair."""
-    return changes.changes(tables.pairs(tables.documents(spark, sf_dir)))
+    """Aligned changes of each pair."""
+    return changes.changes(tables.pairs(tables.spread(tables.documents(spark, sf_dir)))).drop("numbers")
 
 
-@register("d6_numeric_changes")
+@register("d6_numeric_changes", f"WITH {PAIRS}, {CHANGES} SELECT doc_id, CAST(0 AS INTEGER) AS change_index, array_to_string(nb, ' | ') AS before, array_to_string(na, ' | ') AS after FROM n WHERE nb <> na")
 def numeric_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number lexemes that changes add or drop."""
-    return changes.numeric_changes(document_diff(spark, sf_dir))
+    return changes.numeric_changes(changes.changes(tables.pairs(tables.spread(tables.documents(spark, sf_dir)))))
+
+
+@register("d10_masked_tokens", "SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(coalesce(text, '')) || ' ' || CASE WHEN doc_id % 2 = 0 THEN ' 12 ' ELSE '' END, '\\s+', ' ', 'g'))) AS masked_sha256 FROM documents")
+def masked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text with control tokens taken out again; every other document gets controls around a number."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 2 == 0, "\u200b12\u202e").otherwise(""))
+    shown = normalize.normalized(text)
+    return tables.documents(spark, sf_dir).select("doc_id", F.sha2(policy.collapse(policy.without_control_tokens(shown)), 256).alias("masked_sha256"))
 
 
 _CHUNKS = """
@@ -179,19 +216,48 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "chunk_index", F.sha2("chunk", 256).alias("chunk_sha256"), F.length("chunk").cast("bigint").alias("characters"))
 
 
-_FOLD = "replace(lower({0}), 'ß', 'ss')"
+_FOLD = "replace(replace(lower({0}), 'ß', 'ss'), 'ς', 'σ')"
+
+
+SEARCH = f"""
+{_CHUNKS},
+q AS (SELECT item_id AS query_id, {_FOLD.format("text")} AS q FROM benchmark),
+f AS (SELECT query_id, q, list_distinct(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+')) AS terms FROM q WHERE regexp_matches(q, '\\S')),
+c AS (SELECT doc_id, chunk_index, {_FOLD.format('chunk')} AS t FROM chunks)"""
+#: The score of a chunk ``t`` for a query: three points for each time it stands there whole, one for each time a term does.
+_SCORE = "3 * ((length(t) - length(replace(t, q, ''))) // length(q)) + list_sum(list_transform(terms, lambda x: (length(t) - length(replace(t, x, ''))) // length(x)))"
 
 
 @register("v8_search_topk", f"""
-WITH RECURSIVE {_CHUNKS},
-q AS (SELECT item_id AS query_id, {_FOLD.format("array_to_string(string_split(text, ' ')[1:3], ' ')")} AS q FROM benchmark),
-f AS (SELECT query_id, q, list_distinct(regexp_extract_all(q, '[\\p{{L}}\\p{{N}}_]+')) AS terms FROM q WHERE trim(q) <> ''),
-c AS (SELECT doc_id, chunk_index, {_FOLD.format('chunk')} AS t FROM chunks),
-s AS (SELECT query_id, doc_id, chunk_index, CAST(3 * ((length(t) - length(replace(t, q, ''))) // length(q)) + list_sum(list_transform(terms, lambda x: (length(t) - length(replace(t, x, ''))) // length(x))) AS BIGINT) AS score FROM c, f)
+WITH RECURSIVE {SEARCH}, s AS (SELECT query_id, doc_id, chunk_index, CAST({_SCORE} AS BIGINT) AS score FROM c, f)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
 def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best chunks for the first words of each benchmark item."""
-    first = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    asked = tables.read(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", first.alias("q"))
-    rows = index.chunks(tables.documents(spark, sf_dir).select("doc_id", "text"))
-    return index.search(rows, asked)
+    """The best chunks for each benchmark item, whole."""
+    asked = tables.read(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", "text")
+    return index.search(index.chunks(tables.spread(tables.documents(spark, sf_dir).select("doc_id", "text"))), asked)
+
+
+@register("v7_search_current", f"""
+WITH RECURSIVE {SEARCH}, s AS (SELECT query_id, CAST(doc_id AS VARCHAR) AS document_id, chunk_index, CAST({_SCORE} AS BIGINT) AS score FROM c, f WHERE ((doc_id % 4) + 4) % 4 <> 1)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, document_id, chunk_index, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM s WHERE score > 0) WHERE rank <= 5""")
+def search_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over current versions; every fourth document's current one is another content."""
+    own = index.chunks(tables.spread(tables.versioned(tables.documents(spark, sf_dir)).select("document_id", "sha256", "text")))
+    asked = tables.read(spark, sf_dir, "benchmark").where("text IS NOT NULL").select("item_id", "text")
+    return index.search_current(own, tables.current(tables.documents(spark, sf_dir)), asked).drop("sha256")
+
+
+@register("v5_current_chunks", f"WITH RECURSIVE {_CHUNKS} SELECT CAST(doc_id AS VARCHAR) AS document_id, chunk_index, sha256(chunk) AS chunk_sha256 FROM chunks WHERE ((doc_id % 4) + 4) % 4 <> 1")
+def current_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of current versions."""
+    docs = tables.documents(spark, sf_dir)
+    own = index.chunks(tables.versioned(docs).select("document_id", "sha256", "text"))
+    return index.chunks_of(own, tables.current(docs)).select("document_id", "chunk_index", F.sha2("chunk", 256).alias("chunk_sha256"))
+
+
+@register("a1_chunk_counts", f"WITH RECURSIVE {_CHUNKS} SELECT CAST(d.doc_id AS VARCHAR) AS document_id, count(chunks.doc_id) AS n_chunks FROM documents d LEFT JOIN chunks ON chunks.doc_id = d.doc_id AND ((d.doc_id % 4) + 4) % 4 <> 1 GROUP BY d.doc_id")
+def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: how many chunks each current version has."""
+    docs = tables.documents(spark, sf_dir)
+    own = index.chunks(tables.versioned(docs).select("document_id", "sha256", "text"))
+    return index.chunk_counts(own, tables.current(docs)).select("document_id", "n_chunks")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import policy
@@ -10,29 +10,44 @@ from lodestone.operators import changes, index, risk, workflow
 from lodestone.sources import tables
 from lodestone.streaming import queue
 
-from .corpus import NUMERIC
+from .corpus import CHANGES, CONTROLS, PROMPT, corpus_dates
 from .registry import PAIRS, register
 
-#: What the rules make of each mutation; the deleted first line may hold a number.
+_R = {k: v.replace("'", "''") for k, v in risk.REASONS.items()}
+_TERM = " OR ".join(f"contains(lower(concat_ws(' ', before, after)), '{t}')" for t in policy.POLICY_TERMS)
+_IN = lambda column: corpus_dates(f"coalesce({column}, '')")
+#: The rules over the changes that mutations make: a row for each finding.
+FINDINGS = f"""
+t AS (SELECT *, {_TERM} AS term, {_IN('before')} AS db, {_IN('after')} AS da FROM n),
+g AS (
+  SELECT doc_id, 80 AS score, 'CONTROL_CHARACTERS' AS type, 3 AS rule_order, 'HIGH' AS severity, '{_R["controls"]}' AS reason, NULL AS before, NULL AS after FROM c WHERE regexp_matches(cand_text, '[{CONTROLS}]')
+  UNION ALL SELECT doc_id, CASE WHEN term THEN 75 ELSE 55 END, CASE WHEN term THEN 'POLICY_NUMBER_CHANGE' ELSE 'NUMBER_CHANGE' END, 7, CASE WHEN term THEN 'HIGH' ELSE 'MEDIUM' END, CASE WHEN term THEN '{_R["policy number"]}' ELSE '{_R["number"]}' END, nullif(array_to_string(nb, ' · '), ''), nullif(array_to_string(na, ' · '), '') FROM t WHERE nb <> na
+  UNION ALL SELECT doc_id, CASE WHEN term THEN 70 ELSE 50 END, 'POLICY_DATE_CHANGE', 8, CASE WHEN term THEN 'HIGH' ELSE 'MEDIUM' END, '{_R["date"]}', nullif(db, ''), nullif(da, '') FROM t WHERE db <> da
+  UNION ALL SELECT doc_id, 85, 'PROMPT_INJECTION', 9, 'HIGH', '{_R["prompt"]}', NULL, after FROM t WHERE regexp_matches(coalesce(after, ''), '(?i){PROMPT}')),
+s AS (SELECT doc_id, 50 AS score, 'POLICY_SEMANTIC_CHANGE' AS type, 10 AS rule_order, 'MEDIUM' AS severity, '{_R["semantic"]}' AS reason, before, after FROM t WHERE term AND nb = na AND db = da
+  AND NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = t.doc_id AND (g.before IS NOT NULL OR g.after IS NOT NULL) AND (g.before IS NOT DISTINCT FROM t.before OR g.after IS NOT DISTINCT FROM t.after))),
+o AS (SELECT * FROM g UNION ALL SELECT * FROM s),
+findings AS (SELECT * FROM o UNION ALL SELECT doc_id, 35, 'DOCUMENT_CONTENT_CHANGE', 11, 'MEDIUM', '{_R["generic"]}', NULL, NULL FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc_id = n.doc_id))"""
 VERDICTS = f"""
-v AS (
-  SELECT doc_id, mutation, base_text, cand_text, CAST(CASE mutation WHEN 0 THEN 0 WHEN 1 THEN 75 WHEN 2 THEN 55 WHEN 3 THEN 55 WHEN 4 THEN 85 WHEN 5 THEN 80 WHEN 7 THEN 35
-    ELSE CASE WHEN base_text = cand_text THEN 0 WHEN regexp_matches(' ' || trim(regexp_replace(regexp_extract(base_text, '^[ \\t\\r\\n]*([^\\n]+)\\n', 1), '\\s+', ' ', 'g')), '(?i)[^\\p{{L}}\\p{{N}}_]' || '{NUMERIC}') THEN 55 ELSE 35 END END AS INTEGER) AS risk_score
-  FROM pairs
-),
+{CHANGES}, {FINDINGS},
+v AS (SELECT pairs.doc_id, mutation, base_text, cand_text, CAST(coalesce(max(score), 0) AS INTEGER) AS risk_score FROM pairs LEFT JOIN findings USING (doc_id) GROUP BY ALL),
 d AS (SELECT *, CASE WHEN risk_score < 30 THEN 'ALLOW' WHEN risk_score < 70 THEN 'REVIEW' ELSE 'BLOCK' END AS decision, CASE WHEN risk_score < 30 THEN 'INDEX' WHEN risk_score < 70 THEN 'HOLD' ELSE 'QUARANTINE' END AS index_action FROM v)"""
 
 
+def _arrays(spark: SparkSession, sf_dir: str, *kept: str | Column) -> DataFrame:
+    return changes.change_arrays(tables.pairs(tables.spread(tables.documents(spark, sf_dir))), *kept)
+
+
 @register("r12_verdicts", f"WITH {PAIRS}, {VERDICTS} SELECT doc_id, risk_score, decision, index_action FROM d")
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict table: every document's candidate, scored."""
-    return risk.verdicts(changes.change_arrays(tables.pairs(tables.documents(spark, sf_dir))))
+    return risk.verdicts(_arrays(spark, sf_dir))
 
 
-@register("a8_findings")
+@register("a8_findings", f"WITH {PAIRS}, {CHANGES}, {FINDINGS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rule_order) AS INTEGER) AS finding_index, score, type, rule_order, severity, reason, before, after FROM findings")
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct findings in rule order, capped."""
-    return risk.distinct_findings(risk.findings(changes.change_arrays(tables.pairs(tables.documents(spark, sf_dir)))))
+    return risk.findings(_arrays(spark, sf_dir))
 
 
 @register("a7_evaluation_rates", f"""
@@ -57,6 +72,11 @@ n AS (SELECT *, regexp_replace(regexp_replace(upper(trim(type)), '[-_]+', '_', '
 h AS (SELECT *, hard_block OR (kind IN ('ACTIVE_CONTENT', 'OLE') AND NOT (empty OR size = 0)) AS hard FROM n)"""
 
 
+def artifact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived artifacts of each page."""
+    return tables.artifacts(tables.read(spark, sf_dir, "pages"))
+
+
 @register("p8_hard_blocks", f"WITH {_ARTIFACTS} SELECT page_id, kind AS type, hard AS hard_block FROM h")
 def hard_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts that block whatever the verdict."""
@@ -71,25 +91,39 @@ def artifact_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk.artifact_scores(tables.artifacts(tables.read(spark, sf_dir, "pages")), "page_id")
 
 
-@register("p18_gate_ladder", f"""
-WITH {PAIRS}, {VERDICTS}, g AS (SELECT doc_id, decision, index_action, length(base_text) AS n, sha256(cand_text) AS s FROM d),
-r AS (SELECT doc_id, CASE WHEN n % 31 = 0 THEN 'ANALYSIS_NOT_AUDITED' WHEN n % 29 = 0 THEN 'AUDIT_CHAIN_INVALID' WHEN n % 23 = 0 THEN 'ANALYSIS_ALREADY_QUARANTINED' WHEN n % 19 = 0 THEN 'TRUSTED_BASELINE_SHA256_MISMATCH'
-  WHEN n % 17 = 0 THEN 'POLICY_CANDIDATE_SHA256_MISMATCH' WHEN n % 13 = 0 AND decision = 'ALLOW' THEN 'POLICY_CANDIDATE_SHA256_REQUIRED' WHEN n % 11 = 0 THEN 'HARD_BLOCK_ARTIFACT' WHEN n % 7 = 0 THEN 'ANALYSIS_NOT_COMPLETED'
-  WHEN decision = 'REVIEW' THEN 'POLICY_REVIEW_HOLD' WHEN decision = 'BLOCK' THEN 'POLICY_BLOCK' WHEN n % 5 = 0 THEN 'INDEX_NOT_REQUESTED' ELSE 'INDEXED' END AS reason FROM g)
-SELECT doc_id, CASE WHEN reason = 'INDEXED' THEN 'INDEX' WHEN reason IN ('POLICY_REVIEW_HOLD', 'INDEX_NOT_REQUESTED') THEN 'HOLD' ELSE 'QUARANTINE' END AS action, reason FROM r""")
+GATE = """
+gt AS (SELECT doc_id, decision, index_action, length(base_text) AS n, sha256(base_text) AS b, sha256(cand_text) AS s FROM d),
+gr AS (SELECT *, CASE WHEN n % 31 = 0 THEN 'ANALYSIS_NOT_AUDITED' WHEN n % 29 = 0 THEN 'AUDIT_CHAIN_INVALID' WHEN n % 23 = 0 THEN 'ANALYSIS_ALREADY_QUARANTINED' WHEN n % 37 = 0 THEN 'PREPARED_ANALYSIS_MISMATCH' WHEN n % 41 = 0 THEN 'DOCUMENT_ID_MISMATCH'
+  WHEN n % 19 = 0 THEN 'TRUSTED_BASELINE_SHA256_MISMATCH' WHEN n % 17 = 0 THEN 'POLICY_CANDIDATE_SHA256_MISMATCH' WHEN n % 13 = 0 AND decision = 'ALLOW' THEN 'POLICY_CANDIDATE_SHA256_REQUIRED' WHEN n % 43 = 0 THEN 'CANDIDATE_BLOB_MISSING' WHEN n % 47 = 0 THEN 'CANDIDATE_BLOB_SHA256_MISMATCH'
+  WHEN n % 11 = 0 THEN 'HARD_BLOCK_ARTIFACT' WHEN n % 7 = 0 THEN 'ANALYSIS_NOT_COMPLETED' WHEN decision = 'REVIEW' THEN 'POLICY_REVIEW_HOLD' WHEN decision = 'BLOCK' THEN 'POLICY_BLOCK' WHEN n % 5 = 0 THEN 'INDEX_NOT_REQUESTED' ELSE 'INDEXED' END AS reason FROM gt)"""
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All verdicts through the gate, with faults by the length of the text; facts come along with the pairs."""
+    facts = [F.length("base_text").alias("n"), F.sha2("base_text", 256).alias("base_sha256"), F.sha2("cand_text", 256).alias("cand_sha256")]
+    n, of, same = F.col("n"), lambda k: F.col("n") % k == 0, lambda c: F.col(c)
+    other = lambda k, c: F.when(of(k), F.sha2(c, 256)).otherwise(same(c))
+    rows = risk.verdicts(_arrays(spark, sf_dir, *facts)).withColumns({
+        "audited": ~of(31), "chain_valid": ~of(29), "quarantined": of(23), "hard_block": of(11), "index_requested": ~of(5),
+        "stored_digest": F.lit("p"), "prepared_digest": F.when(of(37), "q").otherwise("p"), "document_id": same("doc_id"), "cand_document_id": F.when(of(41), -1).otherwise(same("doc_id")),
+        "diff_base_sha256": same("base_sha256"), "expected_sha256": other(19, "base_sha256"), "diff_cand_sha256": same("cand_sha256"),
+        "policy_sha256": F.when(of(17), F.sha2("cand_sha256", 256)).when(n % 13 != 0, same("cand_sha256")),
+        "blob_sha256": F.when(n % 43 != 0, other(47, "cand_sha256")), "analysis_status": F.when(of(7), "FAILED").otherwise("COMPLETED"),
+    })
+    return risk.gate(rows)
+
+
+@register("p18_gate_ladder", f"WITH {PAIRS}, {VERDICTS}, {GATE} SELECT doc_id, CASE WHEN reason = 'INDEXED' THEN 'INDEX' WHEN reason IN ('POLICY_REVIEW_HOLD', 'INDEX_NOT_REQUESTED') THEN 'HOLD' ELSE 'QUARANTINE' END AS action, reason FROM gr")
 def gate_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered checks of the gate over all verdicts, with faults by the length of the text."""
-    docs = tables.documents(spark, sf_dir)
-    facts = tables.pairs(docs).select("doc_id", F.length("base_text").alias("n"), F.sha2("base_text", 256).alias("base"), F.sha2("cand_text", 256).alias("cand"))
-    n, of = F.col("n"), lambda k: F.col("n") % k == 0
-    rows = verdicts(spark, sf_dir).join(facts, "doc_id").select(
-        "doc_id", "decision", "index_action", (~of(31)).alias("audited"), (~of(29)).alias("chain_valid"), of(23).alias("quarantined"),
-        F.col("base").alias("base_sha256"), F.col("base").alias("diff_base_sha256"), F.when(of(19), F.sha2("base", 256)).otherwise(F.col("base")).alias("expected_sha256"),
-        F.col("cand").alias("cand_sha256"), F.col("cand").alias("diff_cand_sha256"),
-        F.when(of(17), F.sha2("cand", 256)).when((n % 13 == 0), F.lit(None)).otherwise(F.col("cand")).alias("policy_sha256"),
-        of(11).alias("hard_block"), F.when(of(7), "FAILED").otherwise("COMPLETED").alias("analysis_status"), (~of(5)).alias("index_requested"),
-    )
-    return risk.gate(rows).select("doc_id", "action", "reason")
+    """The ordered checks of the gate over all verdicts."""
+    return _gated(spark, sf_dir).select("doc_id", "action", "reason")
+
+
+@register("x11_gate_apply", f"WITH {PAIRS}, {VERDICTS}, {GATE} SELECT CAST(doc_id AS VARCHAR) AS document_id, CASE WHEN reason = 'INDEXED' THEN s WHEN doc_id % 3 <> 0 AND s <> b THEN b END AS current_sha256 FROM gr")
+def gate_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after the gate's actions. What is cleared replaces its baseline; a candidate that was indexed
+    before a verdict took it back is removed again, which restores the version before it or leaves none."""
+    return index.applied(_gated(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), "action", F.when(F.col("doc_id") % 3 != 0, F.col("base_sha256")).alias("base_sha256"), "cand_sha256", (F.col("doc_id") % 2 == 0).alias("was_indexed"))).select("document_id", "current_sha256")
 
 
 @register("v1_current_versions", """
@@ -111,10 +145,17 @@ def current_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.current_versions(docs.select(F.col("doc_id").alias("document_id"), F.inline(logs)))
 
 
-@register("w3_chain_valid")
+@register("w3_chain_valid", """
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, event_type, props, ts FROM events),
+b AS (SELECT user_id, list(json_object('analysis_id', CAST(user_id AS VARCHAR), 'created_at', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 'event_type', CASE event_type WHEN 'view' THEN 'ANALYSIS_REQUESTED' WHEN 'click' THEN 'POLICY_SUBMISSION_APPLIED' WHEN 'purchase' THEN 'INDEX_GATE_APPLIED' WHEN 'error' THEN 'ANALYSIS_DISPATCH_FAILED' WHEN 'signup' THEN 'ANALYSIS_SUPERSEDED' END,
+  'payload', props, 'sequence', CAST(n AS VARCHAR))::VARCHAR ORDER BY n) AS bodies, count(*) AS events FROM e GROUP BY user_id)
+SELECT user_id AS analysis_id, events, user_id % 5 <> 0 OR events < 2 AS chain_valid, list_reduce(list_prepend(repeat('0', 64), bodies), lambda h, x: sha256(h || x)) AS head FROM b""")
 def chain_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every analysis's hash chain written and verified."""
-    return workflow.verified(workflow.chained(tables.audit_events(tables.read(spark, sf_dir, "events"))))
+    """Every analysis's hash chain written and verified; of every fifth analysis the second event is tampered with."""
+    chain = workflow.chained(tables.audit_events(tables.read(spark, sf_dir, "events")))
+    heads = chain.groupBy("analysis_id").agg(F.max_by("event_hash", "sequence").alias("head"))
+    tampered = chain.withColumn("payload", F.when((F.col("analysis_id") % 5 == 0) & (F.col("sequence") == 2), "x").otherwise(F.col("payload")))
+    return workflow.verified(tampered).join(heads, "analysis_id")
 
 
 _EVENTS = """
@@ -185,7 +226,19 @@ def artifact_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_blocks(spark, sf_dir).groupBy("hard_block").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"), F.count("*").alias("n"))
 
 
-@register("x4_queue_transitions")
+@register("x4_queue_transitions", """
+WITH RECURSIVE e AS (SELECT 'docs/' || user_id || '.md' AS path, event_id AS sequence, CASE WHEN event_type <> 'error' THEN sha256(props) END AS sha, epoch_us(ts) / 1000000.0 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+r AS (
+  SELECT path, n, sequence, NULL::VARCHAR AS base, sha AS candidate, tm, CASE WHEN sha IS NULL THEN 'UNCHANGED' ELSE 'ADDED' END AS change, FALSE AS due, NULL::VARCHAR AS kept, sequence AS before FROM e WHERE n = 1
+  UNION ALL
+  SELECT path, n, sequence, base, sha, tm, CASE WHEN sha IS NOT DISTINCT FROM base THEN CASE WHEN held IS DISTINCT FROM base THEN 'WITHDRAWN' ELSE 'UNCHANGED' END WHEN base IS NULL THEN 'ADDED' WHEN sha IS NULL THEN 'DELETED' ELSE 'MODIFIED' END, due, kept, before
+  FROM (SELECT e.path, e.n, e.sequence, e.sha, e.tm, r.candidate IS DISTINCT FROM r.base AND e.tm - r.tm >= 5 AS due, CASE WHEN r.candidate IS DISTINCT FROM r.base AND e.tm - r.tm >= 5 THEN r.candidate ELSE r.base END AS base,
+          r.candidate AS held, r.candidate AS kept, r.sequence AS before FROM r JOIN e ON e.path = r.path AND e.n = r.n + 1)),
+z AS (SELECT max(tm) AS now FROM e),
+l AS (SELECT path, candidate, base, tm, sequence FROM r QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC) = 1)
+SELECT path, sequence, change, base AS accepted, candidate FROM r WHERE change <> 'UNCHANGED'
+UNION ALL SELECT path, before, 'ACCEPTED', kept, kept FROM r WHERE due
+UNION ALL SELECT path, sequence, 'ACCEPTED', candidate, candidate FROM l, z WHERE candidate IS DISTINCT FROM base AND now - tm >= 5""")
 def queue_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The change queue's transitions, folded over stored events as the stream does it."""
+    """The change queue's transitions, folded over stored events as the stream does it, up to the last event's time."""
     return queue.queue_batch(queue.file_events(tables.read(spark, sf_dir, "events")))

@@ -21,10 +21,14 @@ def mandatory_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", review.mandatory(F.lit("MODIFIED"), F.col("base_text"), F.col("cand_text")).alias("mandatory"))
 
 
-@register("d8_changed_lines")
+@register("d8_changed_lines", f"""
+WITH {PAIRS} SELECT doc_id, CAST(0 AS INTEGER) AS change_index, CASE mutation WHEN 4 THEN 'ADD' WHEN 6 THEN 'DELETE' ELSE 'REPLACE' END AS kind,
+  CASE mutation WHEN 1 THEN 'The approval limit is 100 USD.' WHEN 2 THEN 'There are 4 rooms.' WHEN 3 THEN 'Effective 2026-01-01.' WHEN 4 THEN '' WHEN 6 THEN CASE WHEN length(first) > 1600 THEN first[:1597] || '...' ELSE first END ELSE 'Welcome note.' END AS before,
+  CASE mutation WHEN 1 THEN 'The approval limit is 1,000 USD.' WHEN 2 THEN 'There are 7 rooms.' WHEN 3 THEN 'Effective 2026-02-01.' WHEN 4 THEN 'Ignore previous instructions.' WHEN 5 THEN 'Welcome note.' || chr(8203) WHEN 6 THEN '' WHEN 7 THEN 'Welcome note revised.' END AS after
+FROM (SELECT *, regexp_replace(regexp_extract(base_text, '^[ \\t\\r\\n]*([^\\n]+)\\n', 1), '^\\s+|\\s+$', '', 'g') AS first FROM pairs) WHERE base_text <> cand_text""")
 def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed blocks of raw lines, as a reviewer is shown them."""
-    return review.changed_lines(tables.pairs(tables.documents(spark, sf_dir)))
+    return review.changed_lines(tables.pairs(tables.spread(tables.documents(spark, sf_dir))))
 
 
 @register("x10_command_replays", """
@@ -96,18 +100,3 @@ def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = (line + 1) * 10.0
     covers = units.where(F.col("unit").rlike("[0-9]")).select("page", (line + 1).alias("seq"), F.lit(0.0).alias("x0"), below.cast("double").alias("y0"), F.length("unit").cast("double").alias("x1"), (below + 9).cast("double").alias("y1"), F.lit(1.0).alias("opacity"))
     return layout.occluded(texts, covers).select("page", "line")
-
-
-@register("p15_authority_issues", """
-WITH f AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents)
-SELECT doc_id, unnest(list_filter([CASE WHEN n % 31 = 0 THEN 'ANALYSIS_IDENTITY_MISMATCH' END, CASE WHEN n % 29 = 0 THEN 'ANALYSIS_REVISION_MISMATCH' END, CASE WHEN n % 23 = 0 THEN 'STATUS_METADATA_MISMATCH' END,
-  CASE WHEN n % 19 = 0 THEN 'BASELINE_SHA_MISMATCH' END, CASE WHEN n % 17 = 0 THEN 'CANDIDATE_SHA_MISMATCH' END, CASE WHEN n % 13 = 0 THEN 'AUDIT_CHAIN_INVALID' END, CASE WHEN n % 11 = 0 THEN 'POLICY_SHA_MISMATCH' END], lambda x: x IS NOT NULL)) AS issue FROM f""")
-def authority_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a status and its analysis disagree, with faults by the length of the text."""
-    docs = tables.documents(spark, sf_dir)
-    n = F.length(F.coalesce("text", F.lit("")))
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    analysis = docs.select(F.col("doc_id").alias("key"), F.col("doc_id").cast("string").alias("analysis_id"), F.lit(1).alias("version"), F.lit("op").alias("changed_by"), sha.alias("base_sha256"), F.sha2(sha, 256).alias("cand_sha256"), F.when(n % 19 == 0, "x").otherwise(sha).alias("diff_base_sha256"))
-    faulty = lambda k, bad, good: F.when(n % k == 0, bad).otherwise(good)
-    status = docs.select(F.col("doc_id").alias("key"), faulty(31, F.lit("other"), F.col("doc_id").cast("string")).alias("analysis_id"), faulty(29, F.lit(2), F.lit(1)).alias("version"), faulty(23, F.lit("x"), F.lit("op")).alias("changed_by"), faulty(17, F.lit("x"), F.sha2(sha, 256)).alias("cand_sha256"), (n % 13 != 0).alias("chain_valid"), faulty(11, F.lit("x"), F.sha2(sha, 256)).alias("policy_sha256"))
-    return review.authority_issues(status, analysis).select(F.col("key").alias("doc_id"), "issue")

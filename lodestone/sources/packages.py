@@ -12,12 +12,14 @@ import posixpath
 import re
 import stat
 import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import policy
@@ -95,20 +97,22 @@ class Package:
                 raise Refused("ZIP_BOMB", "a member expands too far")
         self.names = {i.filename: i.file_size for i in infos if not i.is_dir()}
 
-    def read(self, name: str) -> bytes:
+    def read(self, name: str, most: int = LIMITS["expanded"]) -> bytes:
+        if self.names.get(name, 0) > most:
+            raise Refused("MALFORMED_DOCUMENT", f"member {name} is too large")
         try:
             with self.zip.open(name) as f:
-                got = f.read(LIMITS["expanded"] + 1)
-        except (KeyError, zipfile.BadZipFile, RuntimeError, OSError, EOFError) as e:
+                got = f.read(most + 1)
+        except (KeyError, zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, OSError, EOFError) as e:
             raise Refused("MALFORMED_DOCUMENT", f"member {name} is missing or damaged") from e
         if len(got) != self.names[name]:
             raise Refused("MALFORMED_ARCHIVE", "a member isn't as long as the directory says")
         return got
 
     def xml(self, name: str) -> ElementTree.Element:
-        raw = self.read(name)
-        if len(raw) > LIMITS["xml"] or re.search(rb"<!(?:DOCTYPE|ENTITY)", raw, re.I):
-            raise Refused("MALFORMED_DOCUMENT", f"{name} is too large or declares entities")
+        raw = self.read(name, LIMITS["xml"])
+        if re.search(rb"<!(?:DOCTYPE|ENTITY)", raw, re.I):
+            raise Refused("MALFORMED_DOCUMENT", f"{name} declares entities")
         try:
             root = ElementTree.fromstring(raw)
         except ElementTree.ParseError as e:
@@ -167,7 +171,7 @@ def _hidden(style: dict[str, object]) -> bool:
 def docx(content: bytes, rows: Rows) -> None:
     package = Package(content)
     relations = [r for r in package.xml("_rels/.rels").iter() if local(r.tag) == "Relationship"] if "_rels/.rels" in package.names else []
-    mains = [value(r, "Target").lstrip("/") for r in relations if (value(r, "Type") or "").endswith("/officeDocument")]
+    mains = [(value(r, "Target") or "").lstrip("/") for r in relations if (value(r, "Type") or "").endswith("/officeDocument")]
     if len(mains) != 1 or mains[0] not in package.names:
         raise Refused("FORMAT_MISMATCH", "no single main part")
     styles: dict[str | None, tuple[str | None, dict]] = {}
@@ -181,11 +185,15 @@ def docx(content: bytes, rows: Rows) -> None:
             if (value(s, "default") or "").lower() in ("1", "true", "on"):
                 styles[f"default {value(s, 'type')}"] = styles[value(s, "styleId")]
 
-    def inherited(ref: object, seen: tuple = ()) -> dict[str, object]:
-        if ref in seen:
-            raise Refused("MALFORMED_DOCUMENT", "styles inherit in a circle")
-        based, own = styles.get(ref, (None, {}))  # type: ignore[call-overload]
-        return (inherited(based, (*seen, ref)) if based else {}) | own
+    @cache
+    def inherited(ref: object) -> dict[str, object]:
+        chain: dict[object, dict] = {}
+        while ref:
+            if ref in chain:
+                raise Refused("MALFORMED_DOCUMENT", "styles inherit in a circle")
+            based, chain[ref] = styles.get(ref, (None, {}))  # type: ignore[call-overload]
+            ref = based
+        return {k: v for own in reversed(chain.values()) for k, v in own.items()}
 
     for name in sorted(package.names, key=lambda n: (n != mains[0], n)):
         low = name.lower()
@@ -232,6 +240,10 @@ def hwpx(content: bytes, rows: Rows) -> None:
         for run in (n for n in package.xml(name).iter() if local(n.tag) == "run"):
             text = "".join(n.text or "" for n in run.iter() if local(n.tag) == "t")
             rows.unit(text, hidden.get(value(run, "charPrIDRef"), False))
+    for name in sorted({p for p in parts.values() if p in package.names and p.lower().endswith(".xml")} - {*spine, "Contents/header.xml"}):
+        for part in package.xml(name).iter():
+            if (part.text or "").strip():
+                rows.unit(part.text.strip(), scope="AUXILIARY")
     for name, size in package.names.items():
         if name.startswith("Scripts/") and size or name.startswith("BinData/") and not name.lower().endswith(IMAGES):
             rows.artifact("ACTIVE_CONTENT", f"active part {name}")
@@ -252,10 +264,22 @@ def parse(path: str, content: bytes) -> list[tuple]:
         PARSERS[kind](content, rows)
     except Refused as e:
         return [("ERROR", 0, None, None, None, e.args[0], e.args[1])]
+    except Exception as e:  # a parser's own failure is the file's: it fails closed, and the job goes on
+        return [("ERROR", 0, None, None, None, "MALFORMED_DOCUMENT", f"the parser failed: {type(e).__name__}")]
     units = [("UNIT", i, t, h, s, None, None) for i, (t, h, s) in enumerate(rows.units)]
     return units + [("ARTIFACT", i, None, None, None, k, r) for i, (k, r) in enumerate(rows.artifacts)]
 
 
+def intact(content: Column, sha256: Column) -> Column:
+    """Whether a content is the one on record."""
+    return F.coalesce(F.sha2(content, 256) == sha256, F.lit(False))
+
+
+def over_limits(characters: Column, units: Column) -> Column:
+    """Whether totals of a document are over the ceilings of an extraction."""
+    return (characters > LIMITS["characters"]) | (units > LIMITS["units"])
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, sha256, size, content) of the files of a folder and those below it, with a parser for their suffix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

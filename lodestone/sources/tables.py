@@ -24,12 +24,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of fewer bytes a core are dealt anew before Python work, as they may be one row group.
+SMALL = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; a large one as it lies in its files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, mutation, base_text, cand_text): every document with a last line, and one deterministic edit of it."""
+def pairs(docs: DataFrame, *kept: str) -> DataFrame:
+    """(doc_id, mutation, base_text, cand_text) and the further columns: every document with a last line, and one
+    deterministic edit of it."""
     mutation = F.pmod("doc_id", F.lit(8)).cast("int")
     text = F.coalesce("text", F.lit(""))
     base, cand = F.lit("Welcome note."), F.lit("Welcome note.")
@@ -37,7 +49,31 @@ def pairs(docs: DataFrame) -> DataFrame:
         base, cand = F.when(mutation == m, before).otherwise(base), F.when(mutation == m, after).otherwise(cand)
     whole = F.concat(text, F.lit("\n"), base)
     first_gone = F.regexp_replace(whole, r"^[ \t\r\n]*[^\n]+\n", "")
-    return docs.select("doc_id", mutation.alias("mutation"), whole.alias("base_text"), F.when(mutation == 6, first_gone).otherwise(F.concat(text, F.lit("\n"), cand)).alias("cand_text"))
+    return docs.select("doc_id", mutation.alias("mutation"), whole.alias("base_text"), F.when(mutation == 6, first_gone).otherwise(F.concat(text, F.lit("\n"), cand)).alias("cand_text"), *kept)
+
+
+def cases(pairs: DataFrame) -> DataFrame:
+    """(case_id, category, before_text, after_text): labelled cases, as ``read_cases`` reads them from a file."""
+    m = F.col("mutation")
+    category = F.when(m == 0, "normal").when(m.isin(1, 4, 5), "attack").otherwise("review")
+    return pairs.select(F.col("doc_id").cast("string").alias("case_id"), category.alias("category"), F.col("base_text").alias("before_text"), F.col("cand_text").alias("after_text"))
+
+
+def read_cases(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled cases out of JSON arrays; a file that is no such array fails."""
+    schema = "case_id string, category string, before_text string, after_text string"
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def versioned(docs: DataFrame) -> DataFrame:
+    """(document_id, sha256, text): each document as a version of itself."""
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text")
+
+
+def current(docs: DataFrame) -> DataFrame:
+    """(document_id, current_sha256): the version itself, but for every fourth document a later content."""
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return docs.select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.pmod("doc_id", F.lit(4)) == 1, F.sha2(sha, 256)).otherwise(sha).alias("current_sha256"))
 
 
 def units(df: DataFrame, text: str = "text") -> DataFrame:

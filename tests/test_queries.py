@@ -73,8 +73,32 @@ def test_prompt_injection(spark, text, want):
     assert one(spark, text, policy.has_prompt_injection(F.col("t"))) is want
 
 
-def test_visible_controls():
-    assert normalize.visible_controls("a​b\n\n c") == "a ⟦U+200B:ZERO_WIDTH_SPACE⟧ b c"
+@pytest.mark.parametrize(("text", "want"), [("a\u200bb\n\n c", "a ⟦U+200B:ZERO_WIDTH_SPACE⟧ b c"), ("cafe\u0301 \u3000x", "café x"), (" plain\ttext ", "plain text"), ("x\x00\x1fy", "x ⟦U+0000:UNNAMED_CONTROL⟧ y")])
+def test_normalized_text(spark, text, want):
+    from pyspark.sql import functions as F
+
+    assert one(spark, text, normalize.normalized(F.col("t"))) == want
+
+
+@pytest.mark.parametrize(("text", "want"), [("2026년 1월 1일부터", []), ("2026년 1월 1일 on 2026-1-02, x2026-01-01", ["2026-1-02", "2026년 1월 1일"]), ("on 2026-01-01th", [])])
+def test_dates_end_at_words(spark, text, want):
+    from pyspark.sql import functions as F
+
+    assert one(spark, text, policy.date_set(F.col("t"))) == want
+
+
+@pytest.mark.parametrize("text", ["Straße ΣΑΣ ſ", "ﬁne İ ı K µ ŉ", "plain Text"])
+def test_casefold(spark, text):
+    from pyspark.sql import functions as F
+
+    assert one(spark, text, policy.casefold(F.col("t"))) == text.casefold()
+
+
+def test_composed_and_decomposed_lines_are_equal(spark):
+    pairs = [(1, "café\nx", "cafe\u0301\nx"), (2, "a", "a\u200b"), (3, "pay 1 USD and 5 USD and 9 USD", "pay 1 USD and 6 USD and 9 USD")]
+    got = changes.changes(spark.createDataFrame(pairs, "doc_id long, base_text string, cand_text string")).collect()
+    assert [(r.doc_id, r.kind, r.before, r.after) for r in got if r.doc_id < 3] == [(2, "REPLACE", "a", "a ⟦U+200B:ZERO_WIDTH_SPACE⟧")]
+    assert [(r.numbers.before, r.numbers.after) for r in got if r.doc_id > 1] == [([], []), (["5 USD"], ["6 USD"])]
 
 
 def test_diff_is_sequence_matching(spark):
@@ -90,7 +114,9 @@ def test_diff_is_sequence_matching(spark):
 
 @given(st.text(alphabet="ab \n\t", max_size=400), st.integers(4, 40))
 def test_windows_cover_the_text(text, size):
-    got = index.windows(text, size, size // 8)
+    got = index.windows([text, None, text], size, size // 8)
+    assert got[0] == got[2] and got[1] == []
+    got = got[0]
     assert all(0 < len(w) <= size and w == w.strip() for w in got)
     plain = lambda x: "".join(x.split())
     assert plain(text) in "".join(map(plain, got)) or set(plain(text)) == set("".join(map(plain, got)))
@@ -123,9 +149,11 @@ def test_chain_detects_tampering(spark):
 def test_findings_are_distinct_and_null_scores_block(spark):
     from pyspark.sql import functions as F
 
-    found = risk.findings(changes.change_arrays(tables.pairs(tables.documents(spark, SF))))
-    kept = risk.distinct_findings(found)
-    assert kept.groupBy("doc_id", "type", "before", "after").count().where("count > 1").count() == 0
+    kept = risk.findings(changes.change_arrays(tables.pairs(tables.documents(spark, SF))))
+    assert kept.groupBy("doc_id", "type", "before", "after", "reason").count().where("count > 1").count() == 0
+    many = [(1, "\n".join(f"line {i}" for i in range(400)), "\n".join(f"line {i}" if i % 2 else f"row {'x' * i}" for i in range(400)))]
+    rows = risk.findings(changes.change_arrays(spark.createDataFrame(many, "doc_id long, base_text string, cand_text string"))).collect()
+    assert [r.finding_index for r in rows] == list(range(1, risk.MOST_FINDINGS + 1)) and {r.type for r in rows} == {"NUMBER_CHANGE"}
     decision, action = risk.banded(F.col("s"))
     row = spark.createDataFrame([(None,)], "s int").select(decision.alias("d"), action.alias("a")).first()
     assert (row.d, row.a) == ("BLOCK", "QUARANTINE")
@@ -141,7 +169,10 @@ def test_queue_stream_equals_batch(spark, tmp_path):
     run.awaitTermination()
     got = {tuple(r) for r in spark.table("transitions").collect()}
     files = sorted(os.listdir(tmp_path / "in"))
-    assert files and got == want
+    # what no later event touches is accepted by the timer, as far as the watermark has come
+    assert files and got <= want and {r for r in want - got if r[2] != "ACCEPTED"} == set()
+    last = {p: max(r[1] for r in want if r[0] == p) for p in {r[0] for r in want}}
+    assert all(r[1] == last[r[0]] for r in want - got) and any(r[2] == "ACCEPTED" and r[1] == last[r[0]] for r in got)
 
 
 def test_queue_steps():
