@@ -381,3 +381,37 @@ def test_decontamination_fits_the_space_on_all_rows(spark, folder, monkeypatch):
     word = decontaminate.word_tokens(*decontaminate.utf8(pa.array(asked)))[0]
     spaces = [m.value.space for m in decontaminate.matchers(read("documents").select("doc_id", "text"), read("benchmark"), fit_documents=None)]
     assert len(spaces) == 4 and all((np.abs(s[decontaminate.dims(word)]).sum(1) > 0).all() for s in spaces)
+
+
+def test_retrieval_against_all_pairs(spark, folder):
+    """What the retrieval finds against every item at every place of every document."""
+    rng = random.Random(77)
+    vocabulary = [words(rng, 1) + str(i) for i in range(400)]
+    line = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [line(n) for n in (6, 9, 15, 22, 30, 41, 59, 90, 140)]
+    docs = []
+    for d in range(150):
+        w = line(rng.randint(20, 160))
+        if d % 3:
+            item = list(rng.choice(items))
+            for _ in range(rng.randint(0, len(item) // 3)):
+                at = rng.randrange(len(item))
+                item[at : at + 1] = rng.choice(([], line(1), [item[at], *line(1)]))
+            at = rng.randint(0, len(w))
+            w[at:at] = item
+        docs.append((d, " ".join(w)))
+    path = folder(docs, benchmark=pa.table({"item_id": pa.array(range(len(items)), pa.int64()), "text": [" ".join(i) for i in items]}))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.query(spark, path).collect()}
+    of = decontaminate.items_of([(i, " ".join(w)) for i, w in enumerate(items)])
+    close, wide = set(), set()
+    for d, text in docs:
+        w = decontaminate.word_tokens(*decontaminate.utf8(pa.array([text])))[0].tolist()
+        for item in of:
+            n = len(item.words)
+            share = lambda region, item=item: decontaminate.common_subsequence(item.words, region) >= 0.75 * len(item.words) and decontaminate.common_subsequence(item.answer, region) >= 0.5 * len(item.answer)
+            if any(share(w[s : s + n]) for s in range(max(1, len(w) - n + 1))):
+                close.add((d, item.number))  # within a window of the item's own length
+            if share(w):
+                wide.add((d, item.number))
+    assert got <= wide and len(close) > 60
+    assert len(got & close) >= 0.9 * len(close)

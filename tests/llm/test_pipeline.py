@@ -40,6 +40,22 @@ def test_pipeline(spark, folder):
             assert codec.decode(np.array(r.ids, np.int64)).decode() == want
 
 
+def test_pipeline_of_empty_long_and_repeated_texts(spark, folder):
+    labels = lambda known: pa.table({"doc_id": pa.array([k for k, _ in known], pa.int64()), "quality": pa.array([q for _, q in known], pa.int32()), "toxic": pa.array([0] * len(known), pa.int32())})
+    none = pa.table({"item_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+    assert corpus_pipeline.run(spark, folder([], labels=labels([]), benchmark=none)).count() == 0
+    rng = random.Random(3)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    docs = [(i, prose(50) if i % 3 else "&&& ### " * 20) for i in range(90)]
+    long = prose(150_000)
+    docs += [(200, long), (199, long), (198, long + " end"), (197, ""), (196, None), (None, None), (1, docs[1][1]), (1, docs[1][1])]
+    known = [(i, int(bool(i % 3))) for i in range(90)]
+    rows = corpus_pipeline.run(spark, folder(docs, labels=labels(known), benchmark=none)).collect()
+    ids = [r.doc_id for r in rows]
+    assert ids.count(1) == 1 and 198 in ids and not {199, 200} & set(ids) and not {i for i in range(90) if i % 3 == 0} & set(ids)
+    assert {i for i in range(90) if i % 3} <= set(ids)
+
+
 def test_near_copies_of_five_word_shingles(spark, folder):
     """Copies of similarity 0.75 to 0.95 by edited words and by added or cut passages, against a brute-force join."""
     rng = random.Random(5)
