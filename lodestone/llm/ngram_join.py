@@ -43,7 +43,8 @@ from .text_arrays import mix, numbered_shingles, pieces, row_starts, shingles, u
 
 #: Links need 100 * intersection >= THRESHOLD * union.
 SHINGLE, THRESHOLD = 3, 90
-BUCKET_BYTES = 6 << 20
+#: Bytes of stored input for each bucket, and for each partition, which may hold several buckets.
+BUCKET_BYTES, PARTITION_BYTES = 6 << 20, 32 << 20
 #: Shingles of a task of exact sets; documents of a component that meet all its chunks.
 CHUNK, PIVOTS = 1 << 20, 256
 #: Children of a tree's node, node pairs looked at once.
@@ -492,16 +493,16 @@ def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: in
     """(doc_id, component) of documents(doc_id, text) that are linked with another text; equal sets may be left out
     but for one of them. ``sets`` holds the size of each document's set."""
     spark = docs.sparkSession
-    buckets = runtime.parts(docs, BUCKET_BYTES)
+    buckets, partitions = runtime.parts(docs, BUCKET_BYTES), runtime.parts(docs, PARTITION_BYTES, 24)
     shared = spark.sparkContext.broadcast(frequencies(docs, threshold, size))
     sent = docs.mapInArrow(_sign(buckets, threshold, size, shared), SENT)
-    met = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "u bigint, v bigint")
+    met = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "u bigint, v bigint")
     candidates, path = runtime.written(components(met))
     shared.destroy()
 
     def compared(tasks: DataFrame) -> DataFrame:
         """Edges found in tasks(doc_id, task, side)."""
-        dealt = docs.join(tasks, "doc_id").repartition(buckets, "task").sortWithinPartitions("task", "side")
+        dealt = docs.join(tasks, "doc_id").repartition(partitions, "task").sortWithinPartitions("task", "side")
         return dealt.select("task", "side", "doc_id", "text").mapInArrow(_link(threshold, size), "u bigint, v bigint")
 
     weight = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("n_shingles").alias("weight"))

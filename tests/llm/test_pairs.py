@@ -415,3 +415,14 @@ def test_retrieval_against_all_pairs(spark, folder):
                 wide.add((d, item.number))
     assert got <= wide and len(close) > 60
     assert len(got & close) >= 0.9 * len(close)
+
+
+def test_sizes_of_tables_without_files(spark, folder):
+    from lodestone.llm import runtime
+
+    path = folder([(i, "x" * 3000) for i in range(100)])
+    files = spark.read.parquet(f"{path}/documents.parquet")
+    own = spark.createDataFrame([(i, "x" * 3000) for i in range(100)], "doc_id long, text string")
+    for df in (own, own.join(own.select("doc_id"), "doc_id"), files.join(files.select("doc_id"), "doc_id")):
+        assert 50_000 < runtime.size_in_bytes(df) < 2_000_000 and runtime.parts(df, 10_000) < 200
+    assert runtime.parts(files, 1 << 30) == 12 and runtime.parts(own.limit(0), 1) == 12
