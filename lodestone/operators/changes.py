@@ -21,6 +21,18 @@ def snapshot_events(before: DataFrame, after: DataFrame) -> DataFrame:
     return joined.select("path", event.alias("event"), "before_sha256", "after_sha256")
 
 
+def scan_events(scans: DataFrame) -> DataFrame:
+    """(scan, path, event, before_sha256, after_sha256) of scans (scan, path, sha256), numbered without gaps: what each found
+    against the one before; the first is the baseline."""
+    last = scans.agg(F.max("scan").alias("last"), F.min("scan").alias("first"))
+    known = scans.join(F.broadcast(last))
+    before = known.where("scan < last").select((F.col("scan") + 1).alias("scan"), "path", F.col("sha256").alias("before_sha256"))
+    after = known.where("scan > first").select("scan", "path", F.col("sha256").alias("after_sha256"))
+    event = F.when(F.col("before_sha256").isNull(), "CREATED").when(F.col("after_sha256").isNull(), "DELETED").otherwise("MODIFIED")
+    joined = before.join(after, ["scan", "path"], "full_outer").where(~F.col("before_sha256").eqNullSafe(F.col("after_sha256")))
+    return joined.select("scan", "path", event.alias("event"), "before_sha256", "after_sha256")
+
+
 BLOCKS = ArrayType(StructType().add("kind", StringType()).add("before", ArrayType(StringType())).add("after", ArrayType(StringType())))
 NUMBERS = ArrayType(StructType().add("before", ArrayType(StringType())).add("after", ArrayType(StringType())))
 KINDS = {"insert": "ADD", "delete": "DELETE", "replace": "REPLACE"}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import policy
 from lodestone.operators import changes, layout, review, risk, workflow
-from lodestone.sources import tables
+from lodestone.sources import cursor, packages, tables
 from lodestone.streaming import queue
 
 from .corpus import CHANGES, CONTROLS, PROMPT
@@ -287,6 +287,50 @@ def snapshot_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.documents(spark, sf_dir).select(F.concat(F.substring(sha, 1, 2), F.lit("/"), sha).alias("blob"), F.octet_length(text).cast("bigint").alias("size")).distinct()
 
 
+@register("s8_cursor_records", f"""
+WITH {FACTS} SELECT doc_id, CASE WHEN n % 31 = 0 THEN 'VERSION' WHEN n % 29 = 0 THEN 'ROOT_MISSING' WHEN n % 23 = 0 THEN 'OTHER_ROOT' WHEN n % 19 = 0 THEN 'PATH' WHEN n % 17 = 0 THEN 'SUFFIX' WHEN n % 13 = 0 THEN 'FIELDS' WHEN n % 11 = 0 THEN 'FORMAT'
+  WHEN n % 7 = 0 THEN 'SHA256' WHEN n % 5 = 0 THEN 'SIZE' WHEN n % 3 = 0 THEN 'MTIME' END AS issue FROM f""")
+def cursor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a saved cursor, each with the first thing that is wrong with it."""
+    h, pick = F.col("h"), lambda k, bad, good: F.when(_of(k), bad).otherwise(good)
+    name = F.col("doc_id").cast("string")
+    path = F.concat(pick(19, "../", "docs/"), name, pick(17, ".txt", ".md"))
+    record = F.concat(
+        F.lit('{"format": "'), pick(11, "TXT", "MD"), F.lit('", "sha256": "'), F.when(_of(7), F.upper(h)).otherwise(h), F.lit('", "size": '), pick(5, "-1", "12"),
+        F.lit(', "mtime_ns": '), pick(3, "true", "1700000000000000000"), pick(13, ', "owner": "x"}', "}"),
+    )
+    rows = _facts(spark, sf_dir).select("doc_id", "n", pick(31, 2, 1).alias("version"), F.when(~_of(29), pick(23, "/other", "/watched")).alias("root"), path.alias("path"), record.alias("record"))
+    return cursor.checked(rows, "/watched").select("doc_id", "issue")
+
+
+@register("x3_poll_events", f"""
+WITH {FACTS}, s AS (SELECT scan, 'docs/' || doc_id || '.md' AS path, sha256(h || (scan // 2)) AS sha256 FROM f, (SELECT unnest([0, 1, 2, 3]) AS scan) WHERE (n + scan) % 5 <> 0),
+p AS (SELECT scan + 1 AS scan, path, sha256 FROM s WHERE scan < 3)
+SELECT coalesce(s.scan, p.scan) AS scan, coalesce(s.path, p.path) AS path, CASE WHEN p.sha256 IS NULL THEN 'CREATED' WHEN s.sha256 IS NULL THEN 'DELETED' ELSE 'MODIFIED' END AS event, p.sha256 AS before_sha256, s.sha256 AS after_sha256
+FROM (SELECT * FROM s WHERE scan > 0) s FULL JOIN p ON s.scan = p.scan AND s.path = p.path WHERE s.sha256 IS DISTINCT FROM p.sha256""")
+def poll_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events between each scan of a watched folder and the one before."""
+    scans = _facts(spark, sf_dir).select("doc_id", "n", "h", F.explode(F.array(*map(F.lit, range(4)))).alias("scan")).where((F.col("n") + F.col("scan")) % 5 != 0)
+    sha = F.sha2(F.concat("h", F.floor(F.col("scan") / 2).cast("string")), 256)
+    return changes.scan_events(scans.select("scan", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), sha.alias("sha256")))
+
+
+@register("s14_package_units", """
+WITH d AS (SELECT doc_id, doc_id % 17 = 0 AS bad, doc_id % 3 AS kind, list_filter(string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r'), lambda x: regexp_matches(x, '\\S')) AS l FROM documents WHERE doc_id >= 0),
+u AS (SELECT doc_id, kind, generate_subscripts(l, 1) AS line, unnest(l) AS unit, len(l) AS n FROM d WHERE NOT bad)
+SELECT doc_id, CAST(line - 1 AS INTEGER) AS ord, sha256(unit) AS unit_sha256, kind <> 0 AND line = n AND n > 1 AS hidden, NULL AS type FROM u
+UNION ALL SELECT doc_id, 0, NULL, NULL, 'HIDDEN_TEXT' FROM d WHERE NOT bad AND kind <> 0 AND len(l) > 1
+UNION ALL SELECT doc_id, CASE WHEN kind <> 0 AND len(l) > 1 THEN 1 ELSE 0 END, NULL, NULL, 'ACTIVE_CONTENT' FROM d WHERE NOT bad AND kind <> 0 AND doc_id % 13 = 0
+UNION ALL SELECT doc_id, 0, NULL, NULL, CASE WHEN kind = 0 THEN 'MALFORMED_DOCUMENT' ELSE 'FORMAT_MISMATCH' END FROM d WHERE bad""")
+def package_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stored as Markdown, DOCX and HWPX files, parsed to units, artifacts and errors.
+    A package's last line is hidden, some hold scripts, and some files are no files of their kind."""
+    stored = tables.stored(tables.spread(tables.documents(spark, sf_dir)).where("doc_id >= 0"))
+    rows = packages.parsed(stored)
+    name = F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("bigint")
+    return rows.select(name.alias("doc_id"), "ord", F.when(F.col("row_kind") == "UNIT", F.sha2("text", 256)).alias("unit_sha256"), "hidden", "type")
+
+
 # Queue -----------------------------------------------------------------------------------------------------------------
 
 #: Items of the change queue: a pending candidate of each document, against what is accepted for its path, if anything.

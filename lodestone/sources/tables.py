@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +59,44 @@ def pairs(docs: DataFrame, *kept: str) -> DataFrame:
     return docs.select("doc_id", mutation.alias("mutation"), whole.alias("base_text"), F.when(mutation == 6, first_gone).otherwise(F.concat(text, F.lit("\n"), cand)).alias("cand_text"), *kept)
 
 
+def _package(kind: int, lines: list[str], scripts: bool) -> bytes:
+    """Lines as a DOCX or HWPX package whose last line isn't to be seen."""
+    shown = [escape(line) for line in lines]
+    last = len(lines) - 1 if len(lines) > 1 else -1
+    if kind == 1:
+        runs = (f"<w:p><w:r><w:rPr>{'<w:vanish/>' if i == last else ''}</w:rPr><w:t>{line}</w:t></w:r></w:p>" for i, line in enumerate(shown))
+        members = {"_rels/.rels": '<Relationships><Relationship Type="x/officeDocument" Target="word/document.xml"/></Relationships>', "word/document.xml": f'<w:document xmlns:w="w"><w:body>{"".join(runs)}</w:body></w:document>'}
+    else:
+        runs = (f'<run charPrIDRef="{int(i == last)}"><t>{line}</t></run>' for i, line in enumerate(shown))
+        members = {
+            "mimetype": "application/hwp+zip", "Contents/content.hpf": '<package><manifest><item id="s" href="section0.xml"/></manifest><spine><itemref idref="s"/></spine></package>',
+            "Contents/header.xml": '<head><charPr id="0" height="1000"/><charPr id="1" height="1000" hidden="1"/></head>', "Contents/section0.xml": f"<sec>{''.join(runs)}</sec>",
+        }
+    if scripts:
+        members["word/vbaProject.bin" if kind == 1 else "Scripts/a.js"] = "x"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+    return out.getvalue()
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """(path, sha256, content): each document as a file, a Markdown, DOCX or HWPX one by thirds, some damaged."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+                lines = [line for line in re.split("\r\n|\n|\r", text or "") if line.strip()]
+                content = b"\xff\xfe" if doc % 17 == 0 else "\n".join(lines).encode() if doc % 3 == 0 else _package(doc % 3, lines, doc % 13 == 0)
+                rows.append((f"docs/{doc}.{('md', 'docx', 'hwpx')[doc % 3]}", content))
+            yield pd.DataFrame(rows, columns=["path", "content"])
+
+    files = docs.select("doc_id", "text").mapInPandas(run, "path string, content binary")
+    return files.select("path", F.sha2("content", 256).alias("sha256"), "content")
+
+
 def cases(pairs: DataFrame) -> DataFrame:
     """(case_id, category, before_text, after_text): labelled cases, as ``read_cases`` reads them from a file."""
     m = F.col("mutation")
