@@ -47,10 +47,10 @@ SHINGLE, THRESHOLD = 3, 90
 BUCKET_BYTES, PARTITION_BYTES = 6 << 20, 32 << 20
 #: Shingles of a task of exact sets; documents of a component that meet all its chunks.
 CHUNK, PIVOTS = 1 << 20, 256
-#: Children of a tree's node, node pairs looked at once.
-FANOUT, BLOCK = 8, 4096
+#: Children of a tree's node; node pairs looked at once, and words of their bitmaps.
+FANOUT, BLOCK, BLOCK_WORDS = 8, 4096, 1 << 18
 #: Least and most 64-bit words of a candidate's bitmap, and how many shingles there are at most for each word between them.
-LEAST_WORDS, MOST_WORDS, PER_WORD = 4, 64, 80
+LEAST_WORDS, MOST_WORDS, PER_WORD = 4, 64, 40
 #: Cells of the table of frequencies, and from how many documents on a shingle is hot.
 CELLS, HOT = 1 << 22, 1 << 14
 #: Partial sums of a hot class of equal sets.
@@ -137,11 +137,12 @@ def traverse(left: SignatureTree, right: SignatureTree, label: np.ndarray, thres
     """Labels after the dual traversal of two trees; a tree may meet itself. ``leaf`` says of set pairs that can't be
     dropped and aren't connected which to join. With ``ordered`` only sets of equal order values meet."""
     itself = left is right
+    block = max(16, min(BLOCK, BLOCK_WORDS // left.levels[0][0].shape[1]))
 
     def walk(level: int, x: np.ndarray, y: np.ndarray, label: np.ndarray) -> np.ndarray:
         a, b = left.levels[level], right.levels[level]
-        for i in range(0, len(x), BLOCK):
-            p, q = x[i : i + BLOCK], y[i : i + BLOCK]
+        for i in range(0, len(x), block):
+            p, q = x[i : i + block], y[i : i + block]
             fits = (100 * a[2][p] >= threshold * b[1][q]) & (100 * b[2][q] >= threshold * a[1][p])
             if ordered:
                 fits &= (a[4][p] <= b[5][q]) & (b[4][q] <= a[5][p])
@@ -322,24 +323,24 @@ def _candidates(bodies: list[bytes], threshold: int) -> tuple[np.ndarray, np.nda
     for width in np.unique(words[row[shared]]).tolist():
         # sets of twice the width that can link with one of this width come folded
         folded = (words == 2 * width) & (threshold * size <= 100 * width * PER_WORD)
-        bits = np.zeros((len(size), width), np.uint64)
-        own = np.flatnonzero(words == width)
-        bits[own] = flat[ranges(begins[own], words[own])].reshape(-1, width)
-        two = np.flatnonzero(folded)
-        bits[two] = np.bitwise_or.reduce(flat[ranges(begins[two], words[two])].reshape(-1, 2, width), axis=1)
         use = shared[((words == width) | folded)[row[shared]]]
-        use = use[np.lexsort((bits[row[use], 0], size[row[use]], value[use]))]
-        label = _grown(label, value[use], row[use], rest[use], bits, size, node, threshold)
+        own, at = np.unique(row[use], return_inverse=True)
+        bits = np.zeros((len(own), width), np.uint64)
+        plain, two = np.flatnonzero(words[own] == width), np.flatnonzero(folded[own])
+        bits[plain] = flat[ranges(begins[own[plain]], words[own[plain]])].reshape(-1, width)
+        bits[two] = np.bitwise_or.reduce(flat[ranges(begins[own[two]], words[own[two]])].reshape(-1, 2, width), axis=1)
+        order = np.lexsort((bits[at, 0], size[row[use]], value[use]))
+        use, at = use[order], at[order]
+        label = _grown(label, value[use], rest[use], bits[at], size[row[use]], node[row[use]], threshold)
     other = np.flatnonzero(label != np.arange(len(label)))
     return name[other], name[label[other]]
 
 
-def _grown(label: np.ndarray, value: np.ndarray, row: np.ndarray, rest: np.ndarray, bits: np.ndarray, size: np.ndarray, node: np.ndarray, threshold: int) -> np.ndarray:
-    """Labels after joining the nodes of rows that share a value and may link, by the traversal of one tree."""
+def _grown(label: np.ndarray, value: np.ndarray, rest: np.ndarray, bits: np.ndarray, size: np.ndarray, owner: np.ndarray, threshold: int) -> np.ndarray:
+    """Labels after joining the owners of sets that share a value and may link, by the traversal of one tree."""
     if len(value) < 2:
         return label
-    size, owner = size[row], node[row]
-    tree = SignatureTree(bits[row], size, value, owner)
+    tree = SignatureTree(bits, size, value, owner)
 
     def leaf(p: np.ndarray, q: np.ndarray, label: np.ndarray) -> np.ndarray:
         return (value[p] == value[q]) & ((100 + threshold) * np.minimum(rest[p], rest[q]) >= threshold * (size[p] + size[q]))
@@ -522,11 +523,16 @@ def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: in
         apart = named.join(main, "component").withColumn("rest", F.col("part") != F.col("main"))
         groups = apart.where("rest").join(weight, "doc_id").groupBy("component").agg(F.ceil(F.sum("weight") / CHUNK).alias("groups"))
         apart = apart.join(groups, "component").withColumn("group", F.pmod(F.xxhash64("doc_id"), "groups"))
-        pair = F.xxhash64("component", "group", "chunk")
-        spread_ = lambda name, count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)).alias(name)
-        first = apart.where("rest").select("doc_id", "component", "group", spread_("chunk", "chunks")).select("doc_id", pair.alias("task"), F.lit(0).alias("side"))
-        second = apart.select("doc_id", "component", "chunk", spread_("group", "groups")).select("doc_id", pair.alias("task"), F.lit(1).alias("side"))
-        found = found.union(compared(first.union(second)))
+        numbers = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+        named_task = lambda kind, *names: F.xxhash64(F.lit(kind), "component", *names).alias("task")
+        rest = apart.where("rest").select("doc_id", "component", "chunks", "groups", "group")
+        # what is apart meets itself, group by group, and the largest part, chunk by chunk
+        own = rest.withColumn("other", numbers("groups"))
+        side = F.when(F.col("group") == F.col("other"), -1).otherwise((F.col("group") > F.col("other")).cast("int"))
+        within = own.select("doc_id", F.xxhash64(F.lit("rest"), "component", F.least("group", "other"), F.greatest("group", "other")).alias("task"), side.alias("side"))
+        first = rest.withColumn("chunk", numbers("chunks")).select("doc_id", named_task("main", "group", "chunk"), F.lit(0).alias("side"))
+        second = apart.where("NOT rest").withColumn("group", numbers("groups")).select("doc_id", named_task("main", "group", "chunk"), F.lit(1).alias("side"))
+        found = found.union(compared(within.union(first).union(second)))
     out, last = runtime.written(components(found))
     for old in (path, kept):
         runtime.forget(spark, old)
