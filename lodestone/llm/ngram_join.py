@@ -49,10 +49,13 @@ BUCKET_BYTES, PARTITION_BYTES = 6 << 20, 32 << 20
 CHUNK, PIVOTS = 1 << 20, 256
 #: Children of a tree's node; node pairs looked at once, and words of their bitmaps.
 FANOUT, BLOCK, BLOCK_WORDS = 8, 4096, 1 << 18
-#: Least and most 64-bit words of a candidate's bitmap, and how many shingles there are at most for each word between them.
-LEAST_WORDS, MOST_WORDS, PER_WORD = 4, 64, 40
+#: Least and most 64-bit words of a candidate's bitmap; between them there are so many shingles a word, over the part of
+#: two linked sets that may differ.
+LEAST_WORDS, MOST_WORDS, PER_WORD = 4, 64, 4.2
 #: Cells of the table of frequencies, and from how many documents on a shingle is hot.
 CELLS, HOT = 1 << 22, 1 << 14
+#: What comes less often than so is rare, however often.
+COMMON = 8
 #: Partial sums of a hot class of equal sets.
 SALTS = 64
 #: Entries that a task holds before it sends them.
@@ -78,9 +81,14 @@ def set_prints(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def words_of(size: np.ndarray) -> np.ndarray:
+def per_word(threshold: int) -> int:
+    """The most shingles for each word of a bitmap: the less linked sets may differ, the fewer bits tell them from others."""
+    return int(PER_WORD * (100 + threshold) / max(1, 100 - threshold))
+
+
+def words_of(size: np.ndarray, threshold: int) -> np.ndarray:
     """Words of a candidate's bitmap: a power of two."""
-    need = np.clip(-(-size // PER_WORD), LEAST_WORDS, MOST_WORDS)
+    need = np.clip(-(-size // per_word(threshold)), LEAST_WORDS, MOST_WORDS)
     return (1 << np.ceil(np.log2(need)).astype(np.int64)).astype(np.int64)
 
 
@@ -206,17 +214,17 @@ def _cell(value: np.ndarray) -> np.ndarray:
 
 def frequencies(docs: DataFrame, threshold: int, size: int) -> np.ndarray:
     """The binary logarithm of how many documents have a shingle of each cell of the table. A task sends only cells that
-    stand out, the others count as 0; the driver sees a number a cell at most."""
+    stand out of its own, and sums below ``COMMON`` count as 0; the driver sees a number a cell at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int32)
         for value, *_ in _documents(batches, threshold, size):
             np.add.at(total, _cell(value), 1)
         mean = float(total.sum(dtype=np.int64)) / CELLS
-        at = np.flatnonzero(total > mean + 6 * mean**0.5 + 3)
+        at = np.flatnonzero(total > max(1, mean + 1.5 * mean**0.5))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["cell", "n"])
 
-    counted = docs.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counted = docs.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n >= {COMMON}").toArrow()
     out = np.zeros(CELLS, np.uint8)
     out[counted["cell"].to_numpy()] = np.log2(counted["n"].to_numpy()).astype(np.uint8)
     return out
@@ -268,7 +276,7 @@ def _sign(buckets: int, threshold: int, size: int, shared):
         def send() -> pa.RecordBatch:
             value, at, rest = (np.concatenate([h[i] for h in held]) for i in range(3))
             ids, count, bits = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5))
-            words = words_of(count)
+            words = words_of(count, threshold)
             begins = np.cumsum(words) - words
             out: dict[int, list[bytes | None]] = {}
             hot = weight[_cell(value)] >= HOT.bit_length() - 1
@@ -289,7 +297,7 @@ def _sign(buckets: int, threshold: int, size: int, shared):
             return _sent([(k, *two) for k, two in out.items()], u, v)
 
         for value, row, count, own in _documents(batches, threshold, size):
-            bits = flat_bitmaps(value, row, words_of(count))
+            bits = flat_bitmaps(value, row, words_of(count, threshold))
             value, row, rest = first_shingles(value, row, count, weight, threshold)
             held.append((value, row + sets, rest, own, count, bits))
             total, sets = total + len(value), sets + len(own)
@@ -309,7 +317,7 @@ def _candidates(bodies: list[bytes], threshold: int) -> tuple[np.ndarray, np.nda
     ids, size, flat, value = (np.concatenate([p[i] for p in parts]) for i in range(4))
     row = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift[:-1].tolist(), strict=True)])
     rest = np.concatenate([p[5] for p in parts]).astype(np.int64)
-    words = words_of(size)
+    words = words_of(size, threshold)
     begins = np.cumsum(words) - words
     # rows of one doc_id are one node; a value that comes once joins nothing
     name, node = np.unique(ids, return_inverse=True)
@@ -322,7 +330,7 @@ def _candidates(bodies: list[bytes], threshold: int) -> tuple[np.ndarray, np.nda
     shared = order[twin]
     for width in np.unique(words[row[shared]]).tolist():
         # sets of twice the width that can link with one of this width come folded
-        folded = (words == 2 * width) & (threshold * size <= 100 * width * PER_WORD)
+        folded = (words == 2 * width) & (threshold * size <= 100 * width * per_word(threshold))
         use = shared[((words == width) | folded)[row[shared]]]
         own, at = np.unique(row[use], return_inverse=True)
         bits = np.zeros((len(own), width), np.uint64)

@@ -212,7 +212,7 @@ def test_candidates_hold_every_link(threshold):
             docs.append(len(docs) * 3 + 1)
     value, count = np.concatenate(sets), np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), count)
-    words = ngram_join.words_of(count)
+    words = ngram_join.words_of(count, threshold)
     bits = ngram_join.flat_bitmaps(value, row, words)
     begins = np.cumsum(words) - words
     first, at, rest = ngram_join.first_shingles(value, row, count, weight, threshold)
