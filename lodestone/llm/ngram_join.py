@@ -43,8 +43,8 @@ from .text_arrays import mix, numbered_shingles, pieces, row_starts, shingles, u
 
 #: Links need 100 * intersection >= THRESHOLD * union.
 SHINGLE, THRESHOLD = 3, 90
-#: Bytes of stored input for each bucket, and for each partition, which may hold several buckets.
-BUCKET_BYTES, PARTITION_BYTES = 6 << 20, 32 << 20
+#: Bytes of stored input for each bucket, and the most partitions of a shuffle; beyond it one holds several buckets.
+BUCKET_BYTES, MOST_PARTITIONS = 6 << 20, 1 << 16
 #: Shingles of a task of exact sets; documents of a component that meet all its chunks.
 CHUNK, PIVOTS = 1 << 20, 256
 #: Children of a tree's node; node pairs looked at once, and words of their bitmaps.
@@ -502,7 +502,8 @@ def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: in
     """(doc_id, component) of documents(doc_id, text) that are linked with another text; equal sets may be left out
     but for one of them. ``sets`` holds the size of each document's set."""
     spark = docs.sparkSession
-    buckets, partitions = runtime.parts(docs, BUCKET_BYTES), runtime.parts(docs, PARTITION_BYTES, 24)
+    buckets = runtime.parts(docs, BUCKET_BYTES)
+    partitions = min(buckets, MOST_PARTITIONS)
     shared = spark.sparkContext.broadcast(frequencies(docs, threshold, size))
     sent = docs.mapInArrow(_sign(buckets, threshold, size, shared), SENT)
     met = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "u bigint, v bigint")

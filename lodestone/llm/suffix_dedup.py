@@ -42,8 +42,8 @@ from .text_arrays import BASE, distinct, eights, mix, pieces, utf8
 LENGTH, SEED = 50, 20
 #: Bytes of stored input for each bucket, and the limits of a piece's text.
 BUCKET_BYTES, LEAST_PIECE, MOST_PIECE = 6 << 20, 256 << 10, 4 << 20
-#: Bytes of stored input for each partition, which may hold several buckets, one after the other.
-PARTITION_BYTES = 32 << 20
+#: The most partitions of a shuffle; beyond it one holds several buckets, which it takes one after the other.
+MOST_PARTITIONS = 1 << 16
 #: Bytes of messages of a batch of a bucket, and strings that are copied at once.
 BATCH_BYTES, SLICE = 1 << 20, 1 << 17
 
@@ -425,7 +425,8 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
 def dedup(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_bytes, the removed spans (byte offsets, ends exclusive) and the bytes kept."""
     docs = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
-    buckets, partitions = runtime.parts(docs, BUCKET_BYTES), runtime.parts(docs, PARTITION_BYTES, 24)
+    buckets = runtime.parts(docs, BUCKET_BYTES)
+    partitions = min(buckets, MOST_PARTITIONS)
     piece_bytes = min(MOST_PIECE, max(LEAST_PIECE, runtime.size_in_bytes(docs) // 64))
     packed = runtime.checkpoint(docs.mapInArrow(pack(piece_bytes), PIECE))
 
