@@ -69,6 +69,11 @@ def statuses(events: DataFrame) -> DataFrame:
     return last.select("analysis_id", state.alias("state"), F.array_join(commands, ",").alias("allowed_commands"))
 
 
+def events_of(events: DataFrame, asked: DataFrame) -> DataFrame:
+    """The events of the analyses (analysis_id) that are asked for, each once however often it is asked for."""
+    return events.join(asked.select("analysis_id").distinct(), "analysis_id", "left_semi")
+
+
 def recorded(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """(analysis_id, outcome) of prepared analyses (analysis_id, content digest): INSERTED where the name is new, UNCHANGED
     where the content is the stored one, CONFLICT where it is another; of one name's incoming rows the first content counts."""

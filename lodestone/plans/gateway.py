@@ -316,7 +316,7 @@ def poll_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("s14_package_units", """
-WITH d AS (SELECT doc_id, doc_id % 17 = 0 AS bad, doc_id % 3 AS kind, list_filter(string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r'), lambda x: regexp_matches(x, '\\S')) AS l FROM documents WHERE doc_id >= 0),
+WITH d AS (SELECT doc_id, doc_id % 17 = 0 AS bad, doc_id % 3 AS kind, list_filter(string_split_regex(coalesce(text, ''), '\\r\\n|\\n|\\r'), lambda x: regexp_matches(x, '\\S')) AS l FROM documents),
 u AS (SELECT doc_id, kind, generate_subscripts(l, 1) AS line, unnest(l) AS unit, len(l) AS n FROM d WHERE NOT bad)
 SELECT doc_id, CAST(line - 1 AS INTEGER) AS ord, sha256(unit) AS unit_sha256, kind <> 0 AND line = n AND n > 1 AS hidden, NULL AS type FROM u
 UNION ALL SELECT doc_id, 0, NULL, NULL, 'HIDDEN_TEXT' FROM d WHERE NOT bad AND kind <> 0 AND len(l) > 1
@@ -325,7 +325,7 @@ UNION ALL SELECT doc_id, 0, NULL, NULL, CASE WHEN kind = 0 THEN 'MALFORMED_DOCUM
 def package_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents stored as Markdown, DOCX and HWPX files, parsed to units, artifacts and errors.
     A package's last line is hidden, some hold scripts, and some files are no files of their kind."""
-    stored = tables.stored(tables.spread(tables.documents(spark, sf_dir)).where("doc_id >= 0"))
+    stored = tables.stored(tables.spread(tables.documents(spark, sf_dir)))
     rows = packages.parsed(stored)
     name = F.regexp_extract("path", r"([0-9]+)\.[a-z]+$", 1).cast("bigint")
     return rows.select(name.alias("doc_id"), "ord", F.when(F.col("row_kind") == "UNIT", F.sha2("text", 256)).alias("unit_sha256"), "hidden", "type")
@@ -370,22 +370,22 @@ def reverted_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", queue.same_content(F.lit("SUCCESS"), F.col("base_text"), state, F.col("cand_text")).alias("reverted"))
 
 
-@register("t4_queue_by_update", "SELECT user_id AS path_id, event_id AS item, CAST(row_number() OVER (ORDER BY ts DESC, event_id DESC) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 ORDER BY ts DESC, event_id DESC LIMIT 200")
+@register("t4_queue_by_update", "SELECT user_id AS path_id, event_id AS item, strftime(ts, '%Y-%m-%d %H:%M:%S') AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
 def queue_by_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T4: the newest item of each path, by its last update; the length of the list is the report's own."""
+    """T4: the newest item of each path, latest update first."""
     events = tables.read(spark, sf_dir, "events")
-    last = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("e")).select(F.col("user_id").alias("path_id"), "e.ts", F.col("e.event_id").alias("item"))
-    top = last.orderBy(F.desc("ts"), F.desc("item")).limit(200)
-    return top.select("path_id", "item", F.row_number().over(Window.orderBy(F.desc("ts"), F.desc("item"))).alias("place"))
+    last = events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("e")).select(F.col("user_id").alias("path_id"), F.col("e.event_id").alias("item"), F.date_format("e.ts", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+    return last.orderBy(F.desc("updated_at"), F.desc("item"))
 
 
 # Audit -----------------------------------------------------------------------------------------------------------------
 
 
-@register("s20_keyed_scan", "SELECT event_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE user_id = 7")
+@register("s20_keyed_scan", "SELECT event_id, user_id AS analysis_id, event_type FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'error')")
 def keyed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events of one analysis; the filter reaches the scan."""
-    return tables.read(spark, sf_dir, "events").where("user_id = 7").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"))
+    """All events of the analyses that are asked for, here those that ever failed."""
+    events = tables.read(spark, sf_dir, "events").withColumnRenamed("user_id", "analysis_id")
+    return workflow.events_of(events, events.where("event_type = 'error'").select("analysis_id")).select("event_id", "analysis_id", "event_type")
 
 
 @register("s22_audit_records", "SELECT user_id AS analysis_id, count(*) AS events, string_agg(event_type, '>' ORDER BY ts, event_id) AS history FROM events GROUP BY user_id")
