@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import runtime
 from .components import components
 from .suffix_dedup import concat, spread, squeeze
-from .text_arrays import mix, numbered_shingles, pieces, row_starts, shingles, utf8
+from .text_arrays import mix, numbered_shingles, pieces, ranges, row_starts, shingles, utf8
 
 #: Links need 100 * intersection >= THRESHOLD * union.
 SHINGLE, THRESHOLD = 3, 90
@@ -100,12 +100,6 @@ def flat_bitmaps(value: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.nd
     return out
 
 
-def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers from each start on, as many as its size."""
-    ends = np.cumsum(size)
-    return np.arange(int(size.sum())) + np.repeat(start - (ends - size), size)
-
-
 def connect(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Labels after joining ``u`` and ``v``; each is the least number of its component, before and after."""
     while True:
