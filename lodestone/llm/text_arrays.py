@@ -150,8 +150,12 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
 
 def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run without separators, and the row that it is in; runs end with their row."""
-    inside = ~separators[data]
-    if not len(data):
+    return runs(~separators[data], offsets)
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``words``, of a mask of what is inside a run."""
+    if not len(inside):
         none = np.zeros(0, np.int64)
         return none, none, none
     starts = inside.copy()
