@@ -497,12 +497,21 @@ def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: in
     but for one of them. ``sets`` holds the size of each document's set."""
     spark = docs.sparkSession
     buckets = runtime.parts(docs, BUCKET_BYTES)
-    partitions = min(buckets, MOST_PARTITIONS)
     shared = spark.sparkContext.broadcast(frequencies(docs, threshold, size))
     sent = docs.mapInArrow(_sign(buckets, threshold, size, shared), SENT)
-    met = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "u bigint, v bigint")
+    met = sent.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "u bigint, v bigint")
     candidates, path = runtime.written(components(met))
     shared.destroy()
+    out = confirmed(docs, sets, candidates, threshold, size)
+    runtime.forget(spark, path)
+    return out
+
+
+def confirmed(docs: DataFrame, sets: DataFrame, candidates: DataFrame, threshold: int, size: int) -> DataFrame:
+    """(doc_id, component) of the documents whose sets link within components of candidates(doc_id, component), decided by
+    words: the exact step of ``links``, for candidates of any origin."""
+    spark = docs.sparkSession
+    partitions = min(runtime.parts(docs, BUCKET_BYTES), MOST_PARTITIONS)
 
     def compared(tasks: DataFrame) -> DataFrame:
         """Edges found in tasks(doc_id, task, side)."""
@@ -536,9 +545,8 @@ def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: in
         first = rest.withColumn("chunk", numbers("chunks")).select("doc_id", named_task("main", "group", "chunk"), F.lit(0).alias("side"))
         second = apart.where("NOT rest").withColumn("group", numbers("groups")).select("doc_id", named_task("main", "group", "chunk"), F.lit(1).alias("side"))
         found = found.union(compared(within.union(first).union(second)))
-    out, last = runtime.written(components(found))
-    for old in (path, kept):
-        runtime.forget(spark, old)
+    out, _ = runtime.written(components(found))
+    runtime.forget(spark, kept)
     return out
 
 
@@ -547,6 +555,12 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", th
     docs = df.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text"))
     sets, _ = runtime.written(docs.mapInArrow(_sets(size), "doc_id bigint, n_shingles bigint, one bigint, two bigint"))
     found = links(docs, sets, threshold, size)
+    return classed(sets, found)
+
+
+def classed(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of all rows of sets(doc_id, n_shingles, one, two): components of links joined with
+    those of equal sets."""
     named = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     named = named.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     # the least of a class by way of partial ones, and back to no more rows than there are partial ones of it

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_extract, impact_search, ngram_join, piece_counts, quality, secrets, spelling, suffix_dedup, topk, toxicity
+from . import bpe, decontaminate, html_extract, impact_search, minhash_forest, ngram_join, piece_counts, quality, secrets, spelling, suffix_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.query,
@@ -21,6 +21,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_join": ngram_join.query,
     "op11_ranked_search": impact_search.query,
     "op12_spelling": spelling.query,
+    "op13_minhash_dedup": minhash_forest.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_topk": topk.SQL, "op11_ranked_search": impact_search.SQL, "op12_spelling": spelling.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op7_topk": topk.SQL,
+    "op10_ngram_join": minhash_forest.sql(ngram_join.THRESHOLD),
+    "op11_ranked_search": impact_search.SQL,
+    "op12_spelling": spelling.SQL,
+    "op13_minhash_dedup": minhash_forest.SQL,
+}
