@@ -6,7 +6,8 @@ assigned a literal become constants; a later pair whose value is such a name (or
 the constant's value, so that a secret is found where the literal stands. A literal is scored by how sensitive its
 target names are and how much it looks like a credential; those of ``THRESHOLD`` or more are reported.
 
-A map without a shuffle: each text is scanned inside its task, in time linear in its length. Defined cases: null or
+A map without a shuffle: each text is scanned inside its task, in time and memory linear in its length: values keep spans
+and, of what they add up to, a summary of fixed size, never text. Defined cases: null or
 empty text has no spans; rows that repeat are scanned each; extra columns are ignored; an empty table gives an empty
 result. Offsets are code points, ends exclusive.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,8 +57,8 @@ PLACEHOLDER = re.compile(
     r"(?i)(?:(?:your|my|the|some|example|sample|dummy|test|change|replace)(?:pass(?:word|wd)?|secret|token|api_?key|key|value|me|it|this)?(?![A-Za-z0-9])"
     r"|(?:placeholder|todo|none|null|true|false|undefined)(?![A-Za-z0-9])|xxx+|\*+|\.\.+|<|\$\{|\{\{|%\()"
 )
-#: Further values of a sum of more characters aren't weighed; their spans are kept.
-WEIGHED = 1 << 14
+#: So many first characters tell a placeholder.
+HEAD = 32
 THRESHOLD = 4.0
 
 
@@ -75,57 +77,96 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in [*parts, *joined]), default=0.0) + sum(HARMLESS.get(p, 0.0) for p in parts) + 0.25 * (sum(p in SENSITIVE for p in parts) > 1)
 
 
-def literal_weight(value: str) -> float:
-    """By length, variety and mixture of characters; placeholders and prose count against."""
-    if len(value) < 6 or PLACEHOLDER.match(value) or " " in value.strip() and len(value.split()) > 3:
-        return -4.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return 0.5 * (n >= 8) + 0.5 * (n >= 16) + 0.6 * max(0.0, entropy - 2.0) + 0.5 * (kinds - 1)
+#: Lengths and numbers of words from here on weigh the same.
+FULL = 1 << 10
+KINDS_OF = (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum())
+
+
+class Summary:
+    """What is weighed of a value: its length, first characters, words and whether it begins and ends with a blank, the kinds
+    and the set of its characters (ASCII as they are, others by their last five bits), and its variety in bits. Summaries
+    of parts add up to that of their concatenation; the variety of a literal is its entropy, that of a sum the
+    logarithm of how many characters its parts have."""
+
+    __slots__ = ("chars", "edges", "head", "kinds", "length", "variety", "words")
+
+    def __init__(self, length: int, head: str, words: int, edges: tuple[bool, bool], kinds: int, chars: int, variety: float):
+        self.length, self.head, self.words, self.edges, self.kinds, self.chars, self.variety = length, head, words, edges, kinds, chars, variety
+
+    @classmethod
+    def of(cls, value: str) -> Summary:
+        n, count = len(value), Counter(value)
+        kinds = sum(any(map(f, count)) << i for i, f in enumerate(KINDS_OF))
+        chars = 0
+        for o in map(ord, count):
+            chars |= 1 << (o if o < 128 else 128 + o % 32)
+        variety = -sum(c / n * math.log2(c / n) for c in count.values()) if n else 0.0
+        return cls(min(n, FULL), value[:HEAD], min(len(value.split()), FULL), (value[:1].isspace(), value[-1:].isspace()), kinds, chars, variety)
+
+    def __add__(self, other: Summary) -> Summary:
+        if not self.length or not other.length:
+            return self if self.length else other
+        joined = self.words > 0 and other.words > 0 and not self.edges[1] and not other.edges[0]
+        words, chars = min(self.words + other.words - joined, FULL), self.chars | other.chars
+        head = self.head if len(self.head) >= HEAD else (self.head + other.head)[:HEAD]
+        return Summary(min(self.length + other.length, FULL), head, words, (self.edges[0], other.edges[1]), self.kinds | other.kinds, chars, math.log2(chars.bit_count()))
+
+    @property
+    def weight(self) -> float:
+        """By length, variety and mixture of characters; placeholders and prose count against."""
+        if self.length < 6 or PLACEHOLDER.match(self.head) or self.chars >> 32 & 1 and self.words > 3:
+            return -4.0
+        return 0.5 * (self.length >= 8) + 0.5 * (self.length >= 16) + 0.6 * max(0.0, self.variety - 2.0) + 0.5 * (self.kinds.bit_count() - 1)
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, 3, end) of literals that reach a sensitive name, directly or through constants."""
-    constants: dict[str, int] = {}
-    #: Values: what is weighed of them, and their parts, spans or the numbers of other values, which are shared.
-    values: list[tuple[str, list[tuple[int, int] | int]]] = []
-    sensitive: set[int] = set()
+    #: By name: the number of its value, and its summary, or the span of the literal that it is.
+    constants: dict[str, tuple[int, Summary | tuple[int, int]]] = {}
+    #: Parts of values one after the other: a span, or the number of another value and -1; and where each value's begin.
+    first, second, begins = array("q"), array("q"), array("q", [0])
+    sensitive = bytearray()
     backwards = text[::-1]
+
+    def summary(x: Summary | tuple[int, int]) -> Summary:
+        return x if isinstance(x, Summary) else Summary.of(text[x[0] : x[1]])
+
     for op in OPERATOR.finditer(text):
         name = NAME_BACK.match(backwards, len(text) - op.start())
         value = VALUE.match(text, op.end()) if name else None
         if not value:
             continue
-        texts, room, parts = [], WEIGHED, []
+        whole: Summary | tuple[int, int] | None = None
         while value:
             plus = PLUS
             if value[1] is not None:
-                parts.append((value.start(1) + 1, value.end(1) - 1))
-            elif IDENTIFIER.match(value[2]) and value[2] in constants:
-                parts.append(constants[value[2]])
+                part, own = (value.start(1) + 1, value.end(1) - 1), None
             else:
-                parts.append((value.start(2), value.end(2)))
-                plus = PLUS_HERE
-            if room > 0:
-                texts.append(values[parts[-1]][0] if isinstance(parts[-1], int) else text[slice(*parts[-1])])
-                room -= len(texts[-1])
+                own = constants.get(value[2]) if IDENTIFIER.match(value[2]) else None
+                part = (value.start(2), value.end(2))
+                if own is None:
+                    plus = PLUS_HERE
+            first.append(own[0] if own else part[0])
+            second.append(-1 if own else part[1])
+            part = own[1] if own else part
+            whole = part if whole is None else summary(whole) + summary(part)
             more = plus.match(text, value.end())
             value = VALUE.match(text, more.end()) if more else None
-        key, whole, number = name[1][::-1], "".join(texts), len(values)
-        values.append((whole, parts))
-        constants[key] = constants[key.rpartition(".")[2]] = number
+        key, number = name[1][::-1], len(sensitive)
+        begins.append(len(first))
         weight = name_weight(key)
-        if weight > 0 and weight + literal_weight(whole) >= THRESHOLD:
-            sensitive.add(number)
+        if weight > 0:
+            whole = summary(whole)
+        sensitive.append(weight > 0 and weight + whole.weight >= THRESHOLD)
+        constants[key] = constants[key.rpartition(".")[2]] = number, whole
     found: dict[tuple[int, int], None] = {}
-    for number in range(len(values) - 1, -1, -1):  # parts are numbered before what they are part of
-        if number in sensitive:
-            for part in values[number][1]:
-                if isinstance(part, int):
-                    sensitive.add(part)
+    for number in range(len(sensitive) - 1, -1, -1):  # parts are numbered before what they are part of
+        if sensitive[number]:
+            for i in range(begins[number], begins[number + 1]):
+                if second[i] < 0:
+                    sensitive[first[i]] = True
                 else:
-                    found[part] = None
+                    found[first[i], second[i]] = None
     return [(start, 3, end) for start, end in found]
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -207,3 +208,32 @@ def test_secrets_of_many_parts_lines_and_words():
         assert not secrets.lexed_spans(f'pwd = "{value}"')
     doubling = 'a = "Zk91xQpL"\n' + "a = a + a\n" * 60 + "password = a"
     assert [doubling[a:b] for a, _, b in secrets.lexed_spans(doubling)] == ["Zk91xQpL"]
+
+
+def test_summaries_of_values_add_up():
+    rng = random.Random(11)
+    for _ in range(300):
+        parts = ["".join(rng.choice("abC1- é\t,") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(2, 5))]
+        total, whole = secrets.Summary.of(parts[0]), "".join(parts)
+        for part in parts[1:]:
+            total += secrets.Summary.of(part)
+        want = secrets.Summary.of(whole)
+        for name in ("length", "head", "kinds", "chars"):
+            assert getattr(total, name) == getattr(want, name)
+        assert total.words == want.words if whole.strip() else total.words == 0
+        assert total.variety >= want.variety - 1e-9
+
+
+def test_lexing_long_texts_takes_little_memory():
+    for line in ("k = a.b.c + k\n", "a = b + ", "k = k + k\n", 'password = "a1B2" + k\nk = password\n'):
+        text = line * (300_000 // len(line))
+        tracemalloc.start()
+        spans = secrets.lexed_spans(text)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 30 << 20 and (len(spans) > 1000) == ("password" in line)
+
+
+def test_a_sum_without_bound_is_weighed_whole():
+    text = "".join(f'part{i} = "{c}{i % 10}"\n' for i, c in enumerate("aBcDeFgHiJ")) + "all = " + " + ".join(f"part{i}" for i in range(10)) + "\n" + "filler = x + filler\n" * 3000 + "token = all + filler\n"
+    assert {text[a:b] for a, _, b in secrets.lexed_spans(text)} >= {f"{c}{i}" for i, c in enumerate("aBcDeFgHiJ")}
