@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +9,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lodestone.functions import normalize, policy
+from lodestone.operators.alignment import unequal_blocks
 
 
 def snapshot_events(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -35,13 +34,6 @@ def scan_events(scans: DataFrame) -> DataFrame:
 
 BLOCKS = ArrayType(StructType().add("kind", StringType()).add("before", ArrayType(StringType())).add("after", ArrayType(StringType())))
 NUMBERS = ArrayType(StructType().add("before", ArrayType(StringType())).add("after", ArrayType(StringType())))
-KINDS = {"insert": "ADD", "delete": "DELETE", "replace": "REPLACE"}
-
-
-def _unequal(before: list[str], after: list[str]) -> list[tuple[str, list[str], list[str]]]:
-    """(kind, before, after) of the unequal blocks of two sequences, by longest matching blocks."""
-    blocks = difflib.SequenceMatcher(a=before, b=after, autojunk=False).get_opcodes()
-    return [(KINDS[kind], before[i:j], after[k:m]) for kind, i, j, k, m in blocks if kind != "equal"]
 
 
 def _list(values) -> list:
@@ -50,13 +42,13 @@ def _list(values) -> list:
 
 @pandas_udf(BLOCKS)
 def _changed_blocks(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([[dict(zip(("kind", "before", "after"), block, strict=True)) for block in _unequal(_list(b), _list(a))] for b, a in zip(before, after, strict=True)])
+    return pd.Series([[dict(zip(("kind", "before", "after"), block, strict=True)) for block in unequal_blocks(_list(b), _list(a))] for b, a in zip(before, after, strict=True)])
 
 
 @pandas_udf(NUMBERS)
 def _changed_numbers(values: pd.Series) -> pd.Series:
     def parts(pair) -> dict:
-        found = _unequal(_list(pair["before"]), _list(pair["after"]))
+        found = unequal_blocks(_list(pair["before"]), _list(pair["after"]))
         return {side: [v for block in found for v in block[n]] for n, side in ((1, "before"), (2, "after"))}
 
     return values.map(lambda pairs: None if pairs is None else [parts(p) for p in pairs])
@@ -95,7 +87,7 @@ def change_arrays(pairs: DataFrame, *kept: str | Column) -> DataFrame:
     points = policy.control_points(F.col("cand_text")).alias("controls")
     both = pairs.select("doc_id", unit_array(F.col("base_text")).alias("b"), unit_array(F.col("cand_text")).alias("a"), points, *kept)
     rest = [c for c in both.columns if c not in ("doc_id", "b", "a")]
-    differ = F.xxhash64("b") != F.xxhash64("a")
+    differ = F.col("b") != F.col("a")
     aligned = both.select("doc_id", changed_blocks(F.when(differ, F.col("b")), F.when(differ, F.col("a"))).alias("blocks"), *rest)
     return aligned.select("doc_id", _as_changes(F.col("blocks")).alias("changes"), *rest).select("doc_id", with_numbers(F.col("changes")).alias("changes"), *rest)
 
