@@ -34,12 +34,12 @@ NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements whose content isn't page text.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "svg", "math", "object", "select", "title"}
+RAW = {"script", "style", "template", "iframe", "textarea", "select", "title"}
 #: Elements that begin and end a block.
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li",
-    "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
+    "main", "menu", "nav", "noscript", "ol", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 #: What an opening tag ends, if it is open below.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}

@@ -227,10 +227,14 @@ def frequencies(docs: DataFrame, threshold: int, size: int) -> np.ndarray:
 SENT = "bucket int, body binary, hot binary, u bigint, v bigint"
 
 
-def _sent(rows: list[tuple[int, bytes | None, bytes | None]], u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
-    """Messages for buckets, and edges that only pass through."""
+def _bucket(value: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(value) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _sent(rows: list[tuple[int, bytes | None, bytes | None]], u: np.ndarray, v: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Messages for buckets, and edges that only pass through, over all of them."""
     n = len(u)
-    bucket = pa.array(np.r_[np.array([r[0] for r in rows], np.int32), (u % 1021).astype(np.int32)])
+    bucket = pa.array(np.r_[np.array([r[0] for r in rows], np.int32), _bucket(u.view(np.uint64), buckets).astype(np.int32)])
     blobs = [pa.array([r[i] for r in rows] + [None] * n, pa.binary()) for i in (1, 2)]
     ends = [pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(e, pa.int64())]) for e in (u, v)]
     return pa.RecordBatch.from_arrays([bucket, *blobs, *ends], ["bucket", "body", "hot", "u", "v"])
@@ -264,9 +268,6 @@ def _sign(buckets: int, threshold: int, size: int, shared):
         held: list[tuple[np.ndarray, ...]] = []
         total = sets = 0
 
-        def bucket_of(value: np.ndarray) -> np.ndarray:
-            return ((mix(value) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
         def send() -> pa.RecordBatch:
             value, at, rest = (np.concatenate([h[i] for h in held]) for i in range(3))
             ids, count, bits = (np.concatenate([h[i] for h in held]) for i in (3, 4, 5))
@@ -277,7 +278,7 @@ def _sign(buckets: int, threshold: int, size: int, shared):
             own = np.searchsorted(bounds, count[at[hot]], "right") - 1
             tagged = [mix(value[hot] ^ mix((own + step).astype(np.uint64) + np.uint64(1))) for step in (0, 1)]
             key, doc, u, v = _star(np.concatenate(tagged), np.tile(ids[at[hot]], 2))
-            for blobs, place, entries in ((0, bucket_of(value[~hot]), (value[~hot], at[~hot], rest[~hot])), (1, bucket_of(key), (key, doc))):
+            for blobs, place, entries in ((0, _bucket(value[~hot], buckets), (value[~hot], at[~hot], rest[~hot])), (1, _bucket(key, buckets), (key, doc))):
                 order = np.argsort(place, kind="stable")
                 place, entries = place[order], [e[order] for e in entries]
                 edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
@@ -288,7 +289,7 @@ def _sign(buckets: int, threshold: int, size: int, shared):
                         rows, inverse = np.unique(entries[1][a:b], return_inverse=True)
                         body = squeeze(ids[rows], count[rows], bits[ranges(begins[rows], words[rows])], entries[0][a:b], inverse.astype(np.uint32), entries[2][a:b].astype(np.uint32))
                     out.setdefault(int(place[a]), [None, None])[blobs] = body
-            return _sent([(k, *two) for k, two in out.items()], u, v)
+            return _sent([(k, *two) for k, two in out.items()], np.ascontiguousarray(u), v, buckets)
 
         for value, row, count, own in _documents(batches, threshold, size):
             bits = flat_bitmaps(value, row, words_of(count, threshold))
