@@ -44,7 +44,7 @@ from .text_arrays import mix, numbered_shingles, pieces, ranges, row_starts, shi
 #: Links need 100 * intersection >= THRESHOLD * union.
 SHINGLE, THRESHOLD = 3, 90
 #: Bytes of stored input for each bucket, and the most partitions of a shuffle; beyond it one holds several buckets.
-BUCKET_BYTES, MOST_PARTITIONS = 6 << 20, 1 << 16
+BUCKET_BYTES, MOST_PARTITIONS = 2 << 20, 1 << 16
 #: Shingles of a task of exact sets; documents of a component that meet all its chunks.
 CHUNK, PIVOTS = 1 << 20, 256
 #: Children of a tree's node; node pairs looked at once, and words of their bitmaps.
