@@ -15,6 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from lodestone.functions import policy
+from lodestone.operators import inverted
 
 CHUNK, OVERLAP, MOST_QUERIES = 800, 100, 1024
 #: Chunks that are scored at once.
@@ -205,5 +206,5 @@ def search_current(index: DataFrame, versions: DataFrame, queries: DataFrame, k:
     """(query_id, rank, document_id, sha256, chunk_index, score) over current versions only. ``index`` and ``versions``
     are read as they are passed: tables pinned to one version give one consistent answer."""
     own = chunks_of(index, versions)
-    hits = search(own.select(F.struct("document_id", "sha256").alias("doc_id"), "chunk_index", "chunk"), queries, k)
+    hits = inverted.search_once(own.select(F.struct("document_id", "sha256").alias("doc_id"), "chunk_index", "chunk"), queries, k)
     return hits.select("query_id", "rank", "doc_id.document_id", "doc_id.sha256", "chunk_index", "score")

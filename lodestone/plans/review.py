@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import layout, review
 from lodestone.sources import tables
+from lodestone.streaming import desk
 
 from .integrity import _EVENTS, workflow_state
 from .registry import PAIRS, register
@@ -100,3 +101,53 @@ def occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     below = (line + 1) * 10.0
     covers = units.where(F.col("unit").rlike("[0-9]")).select("page", (line + 1).alias("seq"), F.lit(0.0).alias("x0"), below.cast("double").alias("y0"), F.length("unit").cast("double").alias("x1"), (below + 9).cast("double").alias("y1"), F.lit(1.0).alias("opacity"))
     return layout.occluded(texts, covers).select("page", "line")
+
+
+@register("x9_review_desk", """
+WITH RECURSIVE k AS (
+  SELECT *, CASE WHEN event_type = 'purchase' AND event_id % 2 = 1 THEN 'RESTORE' WHEN event_type = 'purchase' THEN 'ACCEPT' WHEN event_type <> 'signup' THEN 'EDIT' WHEN event_id % 3 = 0 THEN 'ACCEPT' WHEN event_id % 3 = 1 THEN 'REJECT' ELSE 'HOLD' END AS kind FROM events
+),
+e AS (
+  SELECT 'docs/' || user_id || '.md' AS path, event_id AS seq, epoch_us(ts) / 1000000.0 AS tm, kind, CASE WHEN kind = 'EDIT' AND event_type <> 'error' THEN sha256(CAST(length(props) + event_id % 4 AS VARCHAR)) END AS sha,
+    user_id || props AS id, CASE WHEN event_id % 7 = 0 THEN 'stale' END AS expected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n,
+    last_value(CASE WHEN kind IN ('ACCEPT', 'REJECT') THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS target
+  FROM k
+),
+r AS (
+  SELECT path, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS acc, FALSE AS pend, CAST(NULL AS VARCHAR) AS cand, FALSE AS auto, CAST(0 AS DOUBLE) AS since, CAST(0 AS BIGINT) AS item,
+    CAST([] AS STRUCT("at" BIGINT, item BIGINT, acc VARCHAR, cand VARCHAR)[]) AS log, CAST([] AS BIGINT[]) AS undone, CAST([] AS STRUCT(id VARCHAR, kind VARCHAR)[]) AS seen,
+    'UNCHANGED' AS change, 0 AS count, FALSE AS due, CAST(0 AS BIGINT) AS due_seq, CAST(NULL AS VARCHAR) AS due_acc
+  FROM (SELECT DISTINCT path FROM e)
+  UNION ALL
+  SELECT path, n, seq,
+    CASE WHEN change IN ('INDEXED', 'REMOVED') THEN cand WHEN change = 'UNDONE' THEN log[pos].acc ELSE acc END,
+    CASE WHEN change IN ('ADDED', 'MODIFIED', 'DELETED', 'UNDONE') THEN TRUE WHEN change IN ('WITHDRAWN', 'UNCHANGED', 'INDEXED', 'REMOVED', 'RESTORED') THEN FALSE ELSE pend END,
+    CASE WHEN change IN ('ADDED', 'MODIFIED', 'DELETED') THEN sha WHEN change = 'UNDONE' THEN log[pos].cand ELSE cand END,
+    CASE WHEN change IN ('ADDED', 'MODIFIED', 'DELETED') THEN TRUE WHEN change IN ('HELD', 'UNDONE') THEN FALSE ELSE auto END,
+    CASE WHEN change IN ('ADDED', 'MODIFIED', 'DELETED') THEN tm ELSE since END,
+    CASE WHEN change IN ('ADDED', 'MODIFIED', 'DELETED') THEN seq WHEN change = 'UNDONE' THEN log[pos].item ELSE item END,
+    CASE WHEN change IN ('INDEXED', 'REMOVED', 'RESTORED') THEN list_append(log, {'at': seq, 'item': item, 'acc': acc, 'cand': cand}) WHEN change = 'UNDONE' THEN log[1:pos - 1] ELSE log END,
+    CASE WHEN change = 'UNDONE' THEN list_concat(undone, list_transform(log[pos:], lambda x: x."at")) ELSE undone END,
+    CASE WHEN kind <> 'EDIT' AND known IS NULL THEN list_append(seen, {'id': id, 'kind': kind}) ELSE seen END,
+    change, CASE WHEN change = 'UNDONE' THEN CAST(len(log) - pos + 1 AS INTEGER) ELSE 0 END, due, due_seq, due_acc
+  FROM (
+    SELECT *, CASE
+        WHEN kind = 'EDIT' THEN CASE WHEN sha IS NOT DISTINCT FROM acc THEN CASE WHEN pend THEN 'WITHDRAWN' ELSE 'UNCHANGED' END WHEN acc IS NULL THEN 'ADDED' WHEN sha IS NULL THEN 'DELETED' ELSE 'MODIFIED' END
+        WHEN known IS NOT NULL THEN CASE WHEN known = kind THEN 'REPLAY' ELSE 'CONFLICT' END
+        WHEN kind = 'RESTORE' THEN CASE WHEN pos > 0 THEN 'UNDONE' WHEN list_contains(undone, target) THEN 'ALREADY' ELSE 'MISSING' END
+        WHEN NOT pend THEN 'MISSING' WHEN expected <> coalesce(cand, '') THEN 'CONFLICT' WHEN kind = 'HOLD' THEN 'HELD' WHEN kind = 'REJECT' THEN 'RESTORED' WHEN cand IS NULL THEN 'REMOVED' ELSE 'INDEXED' END AS change
+    FROM (
+      SELECT *, list_filter(seen, lambda x: x.id = id)[1].kind AS known, coalesce(list_position(list_transform(log, lambda x: x."at"), target), 0) AS pos
+      FROM (
+        SELECT e.path, e.n, e.seq, e.tm, e.kind, e.sha, e.id, e.expected, e.target, undone, seen, cand, auto, since, item,
+          r.pend AND auto AND e.tm - since >= 43200 AS due, item AS due_seq, cand AS due_acc,
+          CASE WHEN r.pend AND auto AND e.tm - since >= 43200 THEN cand ELSE acc END AS acc, r.pend AND NOT (auto AND e.tm - since >= 43200) AS pend,
+          CASE WHEN r.pend AND auto AND e.tm - since >= 43200 THEN list_append(log, {'at': item, 'item': item, 'acc': acc, 'cand': cand}) ELSE log END AS log
+        FROM r JOIN e ON e.path = r.path AND e.n = r.n + 1)))
+)
+SELECT path, seq AS sequence, change, acc AS accepted, CASE WHEN pend THEN cand END AS candidate, count AS undone FROM r WHERE change <> 'UNCHANGED'
+UNION ALL SELECT path, due_seq, 'ACCEPTED', due_acc, NULL, 0 FROM r WHERE due
+UNION ALL SELECT path, item, 'ACCEPTED', cand, NULL, 0 FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY path ORDER BY n DESC) = 1), (SELECT max(tm) AS now FROM e) WHERE pend AND auto AND now - since >= 43200""")
+def review_desk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits, accept, reject, hold, history and restore of each file as one keyed state, over stored inputs."""
+    return desk.desk_batch(desk.inputs_of(tables.read(spark, sf_dir, "events")), delay=43200.0)
