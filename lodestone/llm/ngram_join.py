@@ -44,7 +44,7 @@ from .text_arrays import mix, numbered_shingles, pieces, ranges, row_starts, shi
 #: Links need 100 * intersection >= THRESHOLD * union.
 SHINGLE, THRESHOLD = 3, 90
 #: Bytes of stored input for each bucket, and the most partitions of a shuffle; beyond it one holds several buckets.
-BUCKET_BYTES, MOST_PARTITIONS = 2 << 20, 1 << 16
+BUCKET_BYTES, MOST_PARTITIONS = 6 << 20, 1 << 16
 #: Shingles of a task of exact sets; documents of a component that meet all its chunks.
 CHUNK, PIVOTS = 1 << 20, 256
 #: Children of a tree's node; node pairs looked at once, and words of their bitmaps.
@@ -58,6 +58,8 @@ CELLS, HOT = 1 << 22, 1 << 14
 COMMON = 8
 #: Partial sums of a hot class of equal sets.
 SALTS = 64
+#: Words of the bitmaps of a bucket's tree, but for those of one shingle.
+TREE_WORDS = 1 << 20
 #: Entries that a task holds before it sends them.
 HELD = 1 << 19
 
@@ -312,6 +314,7 @@ def _candidates(bodies: list[bytes], threshold: int) -> tuple[np.ndarray, np.nda
     ids, size, flat, value = (np.concatenate([p[i] for p in parts]) for i in range(4))
     row = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift[:-1].tolist(), strict=True)])
     rest = np.concatenate([p[5] for p in parts]).astype(np.int64)
+    del parts
     words = words_of(size, threshold)
     begins = np.cumsum(words) - words
     # rows of one doc_id are one node; a value that comes once joins nothing
@@ -334,7 +337,11 @@ def _candidates(bodies: list[bytes], threshold: int) -> tuple[np.ndarray, np.nda
         bits[two] = np.bitwise_or.reduce(flat[ranges(begins[own[two]], words[own[two]])].reshape(-1, 2, width), axis=1)
         order = np.lexsort((bits[at, 0], size[row[use]], value[use]))
         use, at = use[order], at[order]
-        label = _grown(label, value[use], rest[use], bits[at], size[row[use]], node[row[use]], threshold)
+        # only equal values meet: a tree over as many of them as a bounded number of bitmaps allows
+        first = np.flatnonzero(np.r_[True, value[use][1:] != value[use][:-1]])
+        runs = first[np.unique(first * width // TREE_WORDS, return_index=True)[1]]
+        for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(use)], strict=True):
+            label = _grown(label, value[use[a:b]], rest[use[a:b]], bits[at[a:b]], size[row[use[a:b]]], node[row[use[a:b]]], threshold)
     other = np.flatnonzero(label != np.arange(len(label)))
     return name[other], name[label[other]]
 
