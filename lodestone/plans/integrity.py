@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import policy
 from lodestone.operators import changes, index, risk, workflow
-from lodestone.sources import tables
-from lodestone.streaming import queue
+from lodestone.sources import scratch, tables
+from lodestone.streaming import gate_sink, queue
 
 from .corpus import CHANGES, CONTROLS, PROMPT, corpus_dates
 from .registry import PAIRS, register
@@ -242,3 +242,33 @@ UNION ALL SELECT path, sequence, 'ACCEPTED', candidate, candidate FROM l, z WHER
 def queue_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change queue's transitions, folded over stored events as the stream does it, up to the last event's time."""
     return queue.queue_batch(queue.file_events(tables.read(spark, sf_dir, "events")))
+
+
+@register("x11_gate_sink", f"""
+WITH {PAIRS}, {VERDICTS}, gs AS (SELECT doc_id, decision, sha256(base_text) AS b, sha256(cand_text) AS s, length(base_text) % 37 = 0 AS lost, length(cand_text) % 43 = 0 AS missing FROM d)
+SELECT 'watch:docs/' || doc_id || '.md' AS document_id, CASE WHEN NOT lost THEN CASE WHEN decision = 'ALLOW' AND NOT missing THEN s ELSE b END END AS current_sha256,
+  array_to_string(list_filter([CASE WHEN lost THEN 'RISK_ANALYSIS_UNAVAILABLE' ELSE 'INDEXED' END,
+    CASE WHEN s <> b AND NOT missing THEN CASE WHEN lost THEN 'RISK_ANALYSIS_UNAVAILABLE' WHEN decision = 'ALLOW' THEN 'INDEXED' WHEN decision = 'REVIEW' THEN 'POLICY_REVIEW_HOLD' ELSE 'POLICY_BLOCK' END END,
+    CASE WHEN doc_id % 4 = 2 THEN CASE WHEN lost THEN 'RISK_ANALYSIS_UNAVAILABLE' ELSE 'STALE_BASELINE_VERSION' END END], lambda x: x IS NOT NULL), ',') AS reasons, TRUE AS chains_valid
+FROM gs""")
+def gated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three polls of a folder through the sink: all files are new; some change; then some come anew over an
+    indexed version, some rest on a baseline that is lost, some are gone. Some contents and some assessments are missing."""
+    pairs = tables.pairs(tables.documents(spark, sf_dir)).select("doc_id", F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "base_text", "cand_text", F.sha2("base_text", 256).alias("b"), F.sha2("cand_text", 256).alias("s"))
+    null, m = F.lit(None).cast("string"), F.col("doc_id") % 4
+    poll = lambda n, rows, event, before, after: rows.select("path", F.lit(n).cast("bigint").alias("sequence"), F.lit(str(n)).alias("at"), event.alias("event"), before.alias("before_sha256"), after.alias("after_sha256"))
+    later = F.when(m == 2, "CREATED").when(m == 1, "MODIFIED").otherwise("DELETED")
+    polls = [
+        poll(0, pairs, F.lit("CREATED"), null, F.col("b")),
+        poll(1, pairs.where("b <> s"), F.lit("MODIFIED"), F.col("b"), F.col("s")),
+        poll(2, pairs.where(m != 0), later, F.when(m == 1, F.lit("lost")).when(m == 3, F.col("b")), F.when(m != 3, F.col("b"))),
+    ]
+    blobs = pairs.select(F.col("b").alias("sha256"), F.col("base_text").alias("text")).union(pairs.where(F.length("cand_text") % 43 != 0).select("s", "cand_text")).dropDuplicates(["sha256"])
+    sink = gate_sink.GateSink(spark, scratch.new_path(spark), lambda: blobs, lambda prepared: gate_sink.assessed(prepared.where(F.length("base_text") % 37 != 0)))
+    for n, rows in enumerate(polls):
+        sink(rows, n)
+    log = sink.audit.read(schema=gate_sink.AUDIT)
+    told = log.select(F.get_json_object("payload", "$.document_id").alias("document_id"), "analysis_id", F.struct("created_at", F.get_json_object("payload", "$.reason").alias("reason")).alias("r"))
+    valid = workflow.verified(log).select("analysis_id", "chain_valid")
+    by = told.join(valid, "analysis_id").groupBy("document_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["reason"]), ",").alias("reasons"), F.bool_and("chain_valid").alias("chains_valid"))
+    return sink.current().select("document_id", "current_sha256").join(by, "document_id")
