@@ -8,16 +8,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestone.functions import policy
-from lodestone.operators import changes, layout, review, risk, workflow
+from lodestone.operators import changes, judge, layout, review, risk, workflow
 from lodestone.sources import cursor, packages, tables
 from lodestone.streaming import queue
 
 from .corpus import CHANGES, CONTROLS, PROMPT
-from .integrity import FINDINGS, artifact_table
+from .integrity import FINDINGS, VERDICTS, artifact_table
 from .registry import PAIRS, register
 
 #: Facts of each document: the length of its text and its digest.
@@ -139,6 +141,66 @@ def bounded_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", F.sha2("before_text", 256).alias("before_sha256"), F.sha2("after_text", 256).alias("after_sha256"), F.size("findings").alias("findings"))
 
 
+#: Raw replies of a model, sound ones and others, with the digest of a document's text in them.
+REPLIES = """
+j AS (SELECT doc_id, '{"risk_score": ' || (n % 130) || ', "findings": [{"type": "T' || doc_id || '", "reason": "' || CASE WHEN doc_id % 11 = 9 THEN '' ELSE 'why' END || '", "severity": "' || ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL', 'SEVERE'][n % 5 + 1] || '", "before": "' || h || '"}]' AS t FROM f),
+q AS (SELECT doc_id, CASE doc_id % 11 WHEN 1 THEN '```json' || chr(10) || t || '}' || chr(10) || '```' WHEN 2 THEN ' <think> ' || chr(10) || '</think>' || t || '}' WHEN 3 THEN '<think>so</think>' || t || '}' WHEN 4 THEN t WHEN 5 THEN t || ', "note": 1}' WHEN 7 THEN t || '} indeed' WHEN 8 THEN '[' || t || '}]' WHEN 6 THEN NULL ELSE t || '}' END AS r FROM j),
+w AS (SELECT doc_id, r, regexp_replace(trim(r), '^<think>\\s*</think>\\s*', '') AS s FROM q),
+y AS (SELECT doc_id, r, TRY_CAST(CASE WHEN regexp_matches(s, '^```[^\\n]*\\n(.|\\n)*\\n[^\\n]*```$') THEN regexp_extract(s, '^```[^\\n]*\\n((?:.|\\n)*)\\n[^\\n]*```$', 1) ELSE s END AS JSON) AS o FROM w)"""
+
+
+@register("r15_model_replies", f"""
+WITH {FACTS}, {REPLIES},
+i AS (SELECT doc_id, o, CASE WHEN r IS NULL THEN 'UNAVAILABLE' WHEN o IS NULL THEN 'NOT_JSON' WHEN json_type(o) <> 'OBJECT' THEN 'SHAPE' WHEN len(list_filter(json_keys(o), lambda k: k NOT IN ('risk_score', 'findings'))) > 0 OR CAST(o->>'risk_score' AS INTEGER) > 100 OR length(json_extract_string(o, '$.findings[0].reason')) = 0 THEN 'SHAPE'
+  WHEN json_extract_string(o, '$.findings[0].severity') NOT IN ('LOW', 'MEDIUM', 'HIGH', 'CRITICAL') THEN 'SEVERITY' END AS issue FROM y)
+SELECT doc_id, issue, CASE WHEN issue IS NULL THEN CAST(o->>'risk_score' AS INTEGER) END AS risk_score, CASE WHEN issue IS NULL THEN json_extract_string(o, '$.findings[0].severity') END AS severity, CASE WHEN issue IS NULL THEN json_extract_string(o, '$.findings[0].before') END AS before FROM i""")
+def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R15, F-strict-json: replies of a model read strictly: one object, in a fence or behind an empty think wrapper or bare."""
+    n, m = F.col("n"), F.col("doc_id") % 11
+    grade = F.element_at(F.array(*map(F.lit, ("LOW", "MEDIUM", "HIGH", "CRITICAL", "SEVERE"))), (n % 5 + 1).cast("int"))
+    t = F.concat(F.lit('{"risk_score": '), (n % 130).cast("string"), F.lit(', "findings": [{"type": "T'), F.col("doc_id").cast("string"), F.lit('", "reason": "'), F.when(m == 9, "").otherwise("why"), F.lit('", "severity": "'), grade, F.lit('", "before": "'), F.col("h"), F.lit('"}]'))
+    text = lambda *parts: F.concat(*[t if x is None else F.lit(x) for x in parts])
+    shapes = {1: ("```json\n", None, "}\n```"), 2: (" <think> \n</think>", None, "}"), 3: ("<think>so</think>", None, "}"), 4: (None,), 5: (None, ', "note": 1}'), 7: (None, "} indeed"), 8: ("[", None, "}]")}
+    raw = reduce(lambda out, x: out.when(m == x[0], text(*x[1])), shapes.items(), F.when(m == 6, F.lit(None).cast("string"))).otherwise(text(None, "}"))
+    reply = judge.with_reply(_facts(spark, sf_dir), raw, "p")
+    first = F.get("p.findings", F.lit(0))
+    return reply.select("doc_id", "p.issue", "p.risk_score", first["severity"].alias("severity"), first["before"].alias("before"))
+
+
+@F.pandas_udf(StringType())
+def _stub_judge(evidence: pd.DataFrame, phase: pd.Series) -> pd.Series:
+    """A judge whose replies follow from the document's number: sound, grave, malformed or none."""
+
+    def reply(number, phase: str) -> str | None:
+        if pd.isna(number):
+            return None
+        number = int(number)
+        if phase == "primary":
+            grave = '[{"type": "MODEL", "reason": "grave", "severity": "HIGH"}]'
+            scored = '{"risk_score": %d, "findings": []}'
+            return {0: scored % (number % 100), 1: f'{{"risk_score": 5, "findings": {grave}}}', 2: "I think it is fine.", 3: None}.get(number % 10, scored % (number % 60))
+        return ('```\n{"risk_score": 1, "findings": [{"type": "AUDIT", "reason": "worse", "severity": "CRITICAL"}]}\n```', '{"risk_score": 1', None)[number % 3]
+
+    return pd.Series([reply(n, p) for n, p in zip(evidence["doc_id"], phase, strict=True)], dtype=object)
+
+
+@register("r14_judged_verdicts", f"""
+WITH {PAIRS}, {VERDICTS},
+j1 AS (SELECT doc_id, risk_score AS s, doc_id % 10 NOT IN (2, 3) AS ok, CASE doc_id % 10 WHEN 0 THEN doc_id % 100 WHEN 1 THEN 80 ELSE doc_id % 60 END AS m FROM d),
+j2 AS (SELECT *, CASE WHEN ok THEN greatest(s, m) ELSE s END AS one FROM j1),
+j3 AS (SELECT *, ok AND one >= 70 AS asks, NOT ok OR (one >= 70 AND doc_id % 3 <> 0) AS failed FROM j2),
+j4 AS (SELECT *, CASE WHEN s >= 100 THEN 100 ELSE greatest(one, CASE WHEN asks AND doc_id % 3 = 0 THEN 100 ELSE 0 END, CASE WHEN failed THEN 50 ELSE 0 END) END AS score FROM j3)
+SELECT doc_id, CAST(score AS INTEGER) AS risk_score, CASE WHEN score < 30 THEN 'ALLOW' WHEN score < 70 THEN 'REVIEW' ELSE 'BLOCK' END AS decision, failed AS unavailable, asks AND doc_id % 3 = 0 AS audited FROM j4""")
+def judged_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R14, R15, E-judge: the rules and a model together, with a second pass over grave cases and a fallback."""
+    pairs = tables.pairs(tables.spread(tables.documents(spark, sf_dir)))
+    shown = review.evidence(risk.with_findings(changes.change_arrays(pairs, "base_text", "cand_text")))
+    evidence = F.struct("doc_id", "before_text", "after_text", F.size("findings").alias("static_findings"))
+    found = judge.judged(shown, _stub_judge.asNondeterministic(), evidence)
+    of = lambda column, value: F.exists("findings", lambda f: f[column] == value)
+    return found.select("doc_id", "risk_score", "decision", of("type", judge.UNAVAILABLE).alias("unavailable"), of("source", "LLM_AUDIT").alias("audited"))
+
+
 # Authority -------------------------------------------------------------------------------------------------------------
 
 AUTHORITY = """
