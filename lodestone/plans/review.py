@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import layout, review
+from lodestone.operators import layout, lineage, review
 from lodestone.sources import tables
-from lodestone.streaming import desk
+from lodestone.streaming import desk, late
 
 from .integrity import _EVENTS, workflow_state
 from .registry import PAIRS, register
@@ -151,3 +151,55 @@ UNION ALL SELECT path, item, 'ACCEPTED', cand, NULL, 0 FROM (SELECT * FROM r QUA
 def review_desk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits, accept, reject, hold, history and restore of each file as one keyed state, over stored inputs."""
     return desk.desk_batch(desk.inputs_of(tables.read(spark, sf_dir, "events")), delay=43200.0)
+
+
+@register("j5_style_chains", """
+WITH RECURSIVE s AS (
+  SELECT user_id AS package, CAST(n AS BIGINT) AS style, CAST(CASE WHEN n % 17 = 0 THEN n + 2 WHEN n % 13 <> 1 THEN n - 1 - event_id % 3 END AS BIGINT) AS based_on, CASE event_type WHEN 'error' THEN TRUE WHEN 'view' THEN FALSE END AS hidden, CASE WHEN value > 80 THEN props END AS color
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+),
+w AS (
+  SELECT package, style, style AS last, based_on, hidden, color, [style] AS path, FALSE AS circle FROM s
+  UNION ALL
+  SELECT w.package, w.style, s.style, s.based_on, coalesce(w.hidden, s.hidden), coalesce(w.color, s.color), list_append(path, s.style), list_contains(path, s.style)
+  FROM w JOIN s ON s.package = w.package AND s.style = w.based_on WHERE NOT w.circle
+),
+l AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY package, style ORDER BY len(path) DESC) = 1)
+SELECT package, style, CASE WHEN NOT circle THEN last END AS root, CASE WHEN NOT circle THEN CAST(len(path) - 1 AS BIGINT) END AS steps, circle, CASE WHEN NOT circle THEN hidden END AS hidden, CASE WHEN NOT circle THEN color END AS color FROM l""")
+def style_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Styles that inherit from one another, however deep: the nearest value that is set, and styles in a circle."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = tables.read(spark, sf_dir, "events").withColumn("n", place.cast("bigint"))
+    based = F.when(F.col("n") % 17 == 0, F.col("n") + 2).when(F.col("n") % 13 != 1, F.col("n") - 1 - F.col("event_id") % 3)
+    hidden = F.when(F.col("event_type") == "error", True).when(F.col("event_type") == "view", False)
+    styles = rows.select(F.col("user_id").alias("package"), F.col("n").alias("style"), based.alias("based_on"), hidden.alias("hidden"), F.when(F.col("value") > 80, F.col("props")).alias("color"))
+    return lineage.chains(styles, ["package"], "style", "based_on", "hidden", "color")
+
+
+@register("x10_analysis_lineage", """
+WITH RECURSIVE a AS (SELECT event_id AS analysis_id, CASE WHEN event_type <> 'view' THEN lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS supersedes, CASE event_type WHEN 'view' THEN 'ANALYSIS_REQUESTED' WHEN 'error' THEN 'ANALYSIS_FAILED' WHEN 'click' THEN 'HOLD' WHEN 'purchase' THEN 'INDEXED' ELSE 'QUARANTINED' END AS state FROM events),
+c AS (SELECT analysis_id AS root, analysis_id, state, 1 AS attempt FROM a WHERE supersedes IS NULL UNION ALL SELECT root, a.analysis_id, a.state, attempt + 1 FROM c JOIN a ON a.supersedes = c.analysis_id)
+SELECT root, CAST(max(attempt) AS BIGINT) AS attempts, arg_max(analysis_id, attempt) AS analysis_id, arg_max(state, attempt) AS state, count(*) - 1 AS superseded FROM c GROUP BY root""")
+def analysis_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of re-analyses by their first one, with the latest attempt and its state."""
+    before = F.lag("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "ANALYSIS_REQUESTED").when(kind == "error", "ANALYSIS_FAILED").when(kind == "click", "HOLD").when(kind == "purchase", "INDEXED").otherwise("QUARANTINED")
+    analyses = tables.read(spark, sf_dir, "events").select(F.col("event_id").alias("analysis_id"), F.when(kind != "view", before).alias("supersedes"), state.alias("state"))
+    return lineage.attempts(analyses)
+
+
+@register("x7_late_results", """
+WITH e AS (SELECT user_id AS id, CAST(event_id % 5 AS VARCHAR) AS digest, event_type, value, ts FROM events),
+q AS (SELECT DISTINCT id, digest, ts AS asked_at FROM e WHERE event_type = 'view'),
+r AS (SELECT id, digest, ts AS answered_at, event_type = 'click' AND value > 30 AS ok FROM e WHERE event_type IN ('click', 'error')),
+j AS (SELECT q.*, min(answered_at) FILTER (ok) AS good, min(answered_at) FILTER (NOT ok) AS bad FROM q LEFT JOIN r ON r.id = q.id AND r.digest = q.digest AND answered_at BETWEEN asked_at AND asked_at + INTERVAL 200000 SECONDS GROUP BY ALL)
+SELECT id, digest, strftime(asked_at, '%Y-%m-%d %H:%M:%S') AS asked, CASE WHEN good IS NOT NULL AND (bad IS NULL OR good <= bad + INTERVAL 3 SECONDS) THEN 'READY' WHEN bad IS NOT NULL THEN 'FAILED' ELSE 'UNAVAILABLE' END AS outcome,
+  strftime(CASE WHEN good IS NOT NULL AND (bad IS NULL OR good <= bad + INTERVAL 3 SECONDS) THEN good ELSE bad END, '%Y-%m-%d %H:%M:%S') AS answered FROM j""")
+def late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of analyses, bound to the content that was asked about: in time, failed, stale or never."""
+    events = tables.read(spark, sf_dir, "events").select(F.col("user_id").alias("id"), (F.col("event_id") % 5).cast("string").alias("digest"), "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    requests = events.where("event_type = 'view'").select("id", "digest", F.col("ts").alias("asked_at"))
+    results = events.where("event_type IN ('click', 'error')").select("id", "digest", F.col("ts").alias("answered_at"), F.expr("event_type = 'click' AND value > 30").alias("ok"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return late.settled(late.answered(requests, results, 200000)).select("id", "digest", shown("asked_at").alias("asked"), "outcome", shown("answered_at").alias("answered"))
