@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,16 +18,29 @@ def canonical(df: DataFrame) -> F.Column:
     return F.to_json(F.struct(*[F.col(n).cast("string").alias(n) for n in names]), {"ignoreNullFields": "false"})
 
 
+LINKED = ["analysis_id", "sequence", "event_type", "payload", "created_at", "previous_hash", "event_hash"]
+
+
 def chained(events: DataFrame) -> DataFrame:
-    """Adds previous_hash and event_hash. Writing a chain is sequential: each analysis is folded as one array, which
-    its own number of events bounds."""
-    entry = events.withColumn("body", canonical(events))
-    logs = entry.groupBy("analysis_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "event_type", "payload", "created_at", "body"))).alias("log"))
-    start = F.array(F.lit(GENESIS))
-    hashes = F.aggregate("log", start, lambda acc, e: F.concat(acc, F.array(F.sha2(F.concat(F.element_at(acc, -1), e["body"]), 256))))
-    linked = logs.select("analysis_id", F.arrays_zip(F.col("log").alias("e"), F.slice(hashes, 1, F.size("log")).alias("p"), F.slice(hashes, 2, F.size("log")).alias("h")).alias("z"))
-    out = linked.select("analysis_id", F.explode("z").alias("z"))
-    return out.select("analysis_id", F.col("z.e.sequence").alias("sequence"), F.col("z.e.event_type").alias("event_type"), F.col("z.e.payload").alias("payload"), F.col("z.e.created_at").alias("created_at"), F.col("z.p").alias("previous_hash"), F.col("z.h").alias("event_hash"))
+    """Adds previous_hash and event_hash. Writing a chain is sequential: the events of an analysis stream through one task in
+    order, which holds the last hash alone."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in LINKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analysis, head = None, GENESIS
+        for batch in batches:
+            before, after = [], []
+            for name, body in zip(batch["analysis_id"].to_pylist(), batch["body"].to_pylist(), strict=True):
+                if name != analysis:
+                    analysis, head = name, GENESIS
+                before.append(head)
+                head = hashlib.sha256((head + body).encode()).hexdigest()
+                after.append(head)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in LINKED[:5]), pa.array(before, pa.string()), pa.array(after, pa.string())], LINKED)
+
+    rows = events.where(F.col("analysis_id").isNotNull()).select(*LINKED[:5], canonical(events).alias("body"))
+    return rows.repartition("analysis_id").sortWithinPartitions("analysis_id", "sequence").mapInArrow(run, schema)
 
 
 def verified(chain: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def normalized_body(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("d3_numeric_lexemes", f"WITH {PAIRS} SELECT doc_id, array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(cand_text, '\\s+', ' ', 'g')), '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])' || '{NUMERIC}', 1), lambda x: trim(x)), ' | ') AS lexemes FROM pairs")
 def numeric_lexemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3: ordered numbers, dates and amounts of each candidate."""
-    return tables.pairs(tables.documents(spark, sf_dir)).select("doc_id", F.array_join(policy.numeric_values(normalize.normalized(F.col("cand_text"))), " | ").alias("lexemes"))
+    return tables.pairs(tables.spread(tables.documents(spark, sf_dir))).select("doc_id", F.array_join(policy.numeric_values(normalize.normalized(F.col("cand_text"))), " | ").alias("lexemes"))
 
 
 #: Independent of the pattern in use: a word boundary is spelt out, as this dialect's is one of ASCII only.
@@ -212,7 +212,7 @@ chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p
 @register("v3_chunks", f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, chunk_index, sha256(chunk) AS chunk_sha256, CAST(length(chunk) AS BIGINT) AS characters FROM chunks")
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping chunks of each document."""
-    rows = index.chunks(tables.documents(spark, sf_dir).select("doc_id", "text"))
+    rows = index.chunks(tables.spread(tables.documents(spark, sf_dir).select("doc_id", "text")))
     return rows.select("doc_id", "chunk_index", F.sha2("chunk", 256).alias("chunk_sha256"), F.length("chunk").cast("bigint").alias("characters"))
 
 
