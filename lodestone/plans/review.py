@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import layout, lineage, review
+from lodestone.operators import changes, layout, lineage, records, review, risk
 from lodestone.sources import tables
 from lodestone.streaming import desk, late
 
-from .integrity import _EVENTS, workflow_state
+from .integrity import _EVENTS, VERDICTS, workflow_state
 from .registry import PAIRS, register
 
 _PHRASES = " OR ".join(f"contains(lower(base_text || chr(10) || cand_text), '{p}')" for p in review.MANDATORY)
@@ -203,3 +203,69 @@ def late_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = events.where("event_type IN ('click', 'error')").select("id", "digest", F.col("ts").alias("answered_at"), F.expr("event_type = 'click' AND value > 30").alias("ok"))
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     return late.settled(late.answered(requests, results, 200000)).select("id", "digest", shown("asked_at").alias("asked"), "outcome", shown("answered_at").alias("answered"))
+
+
+@register("s10_commits", """
+WITH f AS (SELECT doc_id, length(coalesce(text, '')) AS n, coalesce(text, '') AS t FROM documents),
+l AS (SELECT doc_id, CASE WHEN n % 7 = 0 THEN '' ELSE sha256(t) END || CASE WHEN n % 5 = 0 THEN ' ' ELSE chr(31) END || t[1:40] || chr(31) || '2026-01-' || lpad(CAST(n % 28 + 1 AS VARCHAR), 2, '0') || CASE WHEN n % 3 = 0 THEN chr(31) || 'x' ELSE '' END AS line FROM f),
+p AS (SELECT doc_id, line, strpos(line, chr(31)) AS a FROM l),
+q AS (SELECT *, strpos(line[a + 1:], chr(31)) AS b FROM p)
+SELECT doc_id, line[:a - 1] AS sha, line[a + 1:a + b - 1] AS subject, line[a + b + 1:] AS committed_at FROM q WHERE a > 1 AND b > 0""")
+def commit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a repository's log, some of them broken."""
+    t, n, of = F.coalesce("text", F.lit("")), F.length(F.coalesce("text", F.lit(""))), lambda k: n % k == 0
+    time = F.concat(F.lit("2026-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.when(of(3), F.lit("\x1fx")).otherwise(""))
+    line = F.concat(F.when(of(7), "").otherwise(F.sha2(t, 256)), F.when(of(5), " ").otherwise("\x1f"), F.substring(t, 1, 40), F.lit("\x1f"), time)
+    return records.commits(tables.documents(spark, sf_dir).select("doc_id", line.alias("line")), "line")
+
+
+@register("k10_event_lines", "SELECT CAST(json_object('event_id', event_id, 'event_type', event_type, 'props', CASE WHEN event_id % 5 <> 0 THEN props END, 'user_id', user_id) AS VARCHAR) AS value FROM events")
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of JSON."""
+    events = tables.read(spark, sf_dir, "events")
+    return records.event_lines(events.select("user_id", "event_id", F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("props"), "event_type"))
+
+
+@register("p21_locations", """
+WITH f AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents),
+e AS (SELECT doc_id, list_filter([CASE WHEN n % 2 = 0 THEN ['line', 'own'] END, CASE WHEN n % 3 = 0 THEN ['page', CASE WHEN n % 5 = 0 THEN 'new' ELSE 'old' END] WHEN n % 5 = 0 THEN ['page', 'new'] END, CASE WHEN n % 7 = 0 THEN ['unit', CAST(n AS VARCHAR)] END], lambda x: x IS NOT NULL) AS m FROM f)
+SELECT doc_id, CASE WHEN len(m) > 0 THEN array_to_string(list_transform(m, lambda x: x[1] || '=' || x[2]), ',') END AS location FROM e""")
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F-map: where a finding stands, with what a rule adds to it."""
+    n = F.length(F.coalesce("text", F.lit("")))
+    entry = lambda k, name, value: F.when(n % k == 0, F.struct(F.lit(name), value))
+    as_map = lambda *entries: F.map_from_entries(F.array_compact(F.array(*entries)))
+    own = as_map(entry(2, "line", F.lit("own")), entry(3, "page", F.lit("old")))
+    extra = F.create_map(F.lit("page"), F.when(n % 5 == 0, "new"), F.lit("unit"), F.when(n % 7 == 0, n.cast("string")))
+    merged = F.array_sort(F.map_entries(records.merged_location(own, extra)))
+    shown = F.array_join(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return tables.documents(spark, sf_dir).select("doc_id", shown.alias("location"))
+
+
+@register("p25_error_envelopes", """
+WITH f AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(coalesce(text, '')) AS h FROM documents),
+c AS (SELECT *, ['MALFORMED_ARCHIVE', 'INTEGRITY_MISMATCH', 'ANALYSIS_NOT_FOUND', 'AUTHENTICATION_FAILED', 'SERVICE_NOT_CONFIGURED', 'RISK_SERVICE_ERROR', 'OSError'][n % 7 + 1] AS raw, [422, 409, 404, 401, 503, 502, 500][n % 7 + 1] AS status FROM f)
+SELECT doc_id, 'FAILED' AS analysis_status, 'BLOCK' AS decision, CAST(NULL AS INTEGER) AS risk_score, 'QUARANTINE' AS index_action, CASE WHEN status = 500 THEN 'INTERNAL_GATEWAY_ERROR' ELSE raw END AS code,
+  CASE WHEN status = 500 THEN 'the gateway could not complete the request safely' ELSE h END AS message, status = 500 OR n % 3 = 0 AS retryable, CAST(status AS INTEGER) AS status FROM c""")
+def error_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P25: errors as answers that close: failed, blocked, quarantined, without a score; details of unexpected ones stay inside."""
+    t = F.coalesce("text", F.lit(""))
+    code = F.element_at(F.array(*map(F.lit, ("MALFORMED_ARCHIVE", "INTEGRITY_MISMATCH", "ANALYSIS_NOT_FOUND", "AUTHENTICATION_FAILED", "SERVICE_NOT_CONFIGURED", "RISK_SERVICE_ERROR", "OSError"))), (F.length(t) % 7 + 1).cast("int"))
+    errors = tables.documents(spark, sf_dir).select("doc_id", code.alias("code"), F.sha2(t, 256).alias("message"), (F.length(t) % 3 == 0).alias("retryable"))
+    return records.envelope(errors).drop("findings")
+
+
+@register("k11_evaluation_report", f"""
+WITH {PAIRS}, {VERDICTS},
+r AS (SELECT CASE WHEN mutation = 0 THEN 'normal' WHEN mutation IN (1, 4, 5) THEN 'attack' ELSE 'review' END AS category, decision AS actual, length(base_text) AS ms FROM d),
+x AS (SELECT *, CASE category WHEN 'normal' THEN 'ALLOW' WHEN 'attack' THEN 'BLOCK' ELSE 'REVIEW' END AS expected FROM r),
+y AS (SELECT count(*) AS total, count(*) FILTER (actual = expected) AS passed, round(count(*) FILTER (category = 'attack' AND actual = 'BLOCK') / count(*) FILTER (category = 'attack'), 4) AS attack_detection_rate,
+  round(count(*) FILTER (category = 'normal' AND actual = 'ALLOW') / count(*) FILTER (category = 'normal'), 4) AS normal_allow_rate, round(avg(ms), 3) AS average_analysis_ms FROM x)
+SELECT *, CAST(json_object('total', total, 'passed', passed, 'attack_detection_rate', attack_detection_rate, 'normal_allow_rate', normal_allow_rate, 'average_analysis_ms', average_analysis_ms) AS VARCHAR) AS report FROM y""")
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals, rates and the mean time of an evaluation, as columns and as JSON."""
+    pairs = tables.pairs(tables.spread(tables.documents(spark, sf_dir)))
+    found = risk.verdicts(changes.change_arrays(pairs, "mutation", F.length("base_text").alias("ms")))
+    kind = F.when(F.col("mutation") == 0, "normal").when(F.col("mutation").isin(1, 4, 5), "attack").otherwise("review")
+    expected = F.when(kind == "normal", "ALLOW").when(kind == "attack", "BLOCK").otherwise("REVIEW")
+    return records.report(found.select(kind.alias("category"), expected.alias("expected"), F.col("decision").alias("actual"), F.col("ms").alias("elapsed_ms")))
