@@ -19,11 +19,52 @@ def covered_fraction(text: str, cover: str) -> Column:
     return F.coalesce(F.try_divide(width * height, F.when((t("x1") > t("x0")) & (t("y1") > t("y0")), area)), F.lit(0.0))
 
 
+def _level(box: Column) -> Column:
+    """The level of the grid on which a box is no larger than a cell: cells of level n are 2^n wide and high. Null for a box
+    without area, which meets nothing."""
+    size = F.greatest(box["x1"] - box["x0"], box["y1"] - box["y0"])
+    sound = (box["x1"] > box["x0"]) & (box["y1"] > box["y0"])
+    return F.when(sound, F.greatest(F.lit(0), F.ceil(F.log2(size))).cast("int"))
+
+
+def _cell(x: Column, level: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), level)).cast("bigint")
+
+
+def _placed(rows: DataFrame, keys: list[str], box: str, level: Column) -> DataFrame:
+    """Each row once for each cell of a level that its box touches, at most four from its own level on."""
+    b = F.col(box)
+    rows = rows.withColumn("_level", level)
+    across = lambda x, y: F.explode(F.sequence(_cell(b[x], F.col("_level")), _cell(b[y], F.col("_level"))))
+    return rows.withColumn("_x", across("x0", "x1")).withColumn("_y", across("y0", "y1")).select(*keys, "_level", "_x", "_y", box)
+
+
+def meeting(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, s): rows of two tables of boxes (keys, x0, y0, x1, y1, …) as structs, for each pair of one key that shares an
+    area, once.
+
+    Boxes lie on a grid of as many levels as there are sizes; a box looks for others of its own size or larger in the few
+    cells of each level that it touches, so no two boxes are compared that don't touch one cell. A pair that meets in
+    several cells counts in that of the corner where the common area begins.
+    """
+    held = [rows.withColumn(name, F.struct(*[F.col(c) for c in rows.columns])).withColumn("_own", _level(F.col(name))).where("_own IS NOT NULL").select(*keys, name, "_own") for rows, name in ((left, "t"), (right, "s"))]
+    top = held[0].select(*keys, "_own").union(held[1].select(*keys, "_own")).groupBy(*keys).agg(F.max("_own").alias("_top"))
+    cell = [*keys, "_level", "_x", "_y"]
+    corner = [F.greatest("t.x0", "s.x0"), F.greatest("t.y0", "s.y0")]
+    once = (F.col("_x") == _cell(corner[0], F.col("_level"))) & (F.col("_y") == _cell(corner[1], F.col("_level")))
+    out = None
+    for small, large, name, other, above in ((held[0], held[1], "t", "s", 0), (held[1], held[0], "s", "t", 1)):
+        upper = small.join(top, keys).where(F.col("_own") + above <= F.col("_top")).withColumn("_up", F.explode(F.sequence(F.col("_own") + above, F.col("_top"))))
+        found = _placed(upper, keys, name, F.col("_up")).join(_placed(large, keys, other, F.col("_own")), cell).where(overlap(F.col("t"), F.col("s")) & once).select(*keys, "t", "s")
+        out = found if out is None else out.union(found)
+    return out
+
+
 def occluded(texts: DataFrame, covers: DataFrame) -> DataFrame:
-    """The texts (page, seq, x0, y0, x1, y1) that a cover of their page with a later seq and enough opacity hides: a
-    semi-join by page, whose boxes bound it."""
-    later = (F.col("t.page") == F.col("c.page")) & (F.col("c.seq") > F.col("t.seq")) & (covered_fraction("t", "c") >= COVERED_FROM)
-    return texts.alias("t").join(covers.where(F.col("opacity") >= OPAQUE_FROM).alias("c"), later, "left_semi")
+    """The texts (page, seq, x0, y0, x1, y1) that a cover of their page with a later seq and enough opacity hides."""
+    pairs = meeting(texts, covers.where(F.col("opacity") >= OPAQUE_FROM), ["page"])
+    hidden = pairs.where((F.col("s.seq") > F.col("t.seq")) & (covered_fraction("t", "s") >= COVERED_FROM)).select("t").distinct()
+    return texts.withColumn("_t", F.struct(*texts.columns)).join(hidden, F.col("_t").eqNullSafe(F.col("t")), "left_semi").drop("_t")
 
 
 def hidden_run(vanish: Column, web_hidden: Column, color: Column, highlight: Column, size: Column) -> Column:
@@ -67,11 +108,8 @@ def trace_color(channels: Column) -> Column:
 def traced(traces: DataFrame, spans: DataFrame) -> DataFrame:
     """(page, trace, span) of traces and spans (page, trace or span, key, x0, y0, x1, y1) that are of one text and share an
     area; a trace whose text no span of its page has goes to the spans of which, or of itself, half is shared."""
-    box = lambda p: F.struct(*[F.col(f"{p}.{k}").alias(k) for k in ("x0", "y0", "x1", "y1")])
-    t, s = traces.alias("t"), spans.alias("s")
-    page = F.col("t.page") == F.col("s.page")
-    out = [F.col("t.page").alias("page"), F.col("t.trace").alias("trace"), F.col("s.span").alias("span")]
-    same = t.join(s, page & (F.col("t.key") == F.col("s.key")) & overlap(box("t"), box("s"))).select(*out)
-    alone = traces.join(spans.select("page", "key").distinct(), ["page", "key"], "left_anti").alias("t")
     half = (covered_fraction("t", "s") >= 0.5) | (covered_fraction("s", "t") >= 0.5)
-    return same.union(alone.join(s, page & overlap(box("t"), box("s")) & half).select(*out))
+    out = ["t.page", "t.trace", "s.span"]
+    same = meeting(traces, spans, ["page", "key"]).select(*out)
+    alone = traces.join(spans.select("page", "key").distinct(), ["page", "key"], "left_anti")
+    return same.union(meeting(alone.select(*traces.columns), spans, ["page"]).where(half).select(*out))
