@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from . import runtime
 from .text_arrays import distinct
 
-CACHE = 300_000
+CACHE, CACHED = 300_000, 256
+#: After the last match.
+NONE = (-2, None)
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -42,33 +44,39 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         if pieces:
             self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in pieces), default=1)
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.cache: dict[str, int] = {}
 
     def word(self, word: str) -> int:
-        """The number of pieces of the best segmentation."""
-        n = len(word)
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, score) in self.automaton.iter(word) if len(self.automaton) else ():
-            matches[end + 1 - length].append((end + 1, score))
-        best, count, fresh = [0.0] + [0.0] * n, [0] * (n + 1), [True] * (n + 1)
-        fresh[0] = False
-        for at in range(n):
-            single = False
-            for end, score in matches[at]:
-                total = best[at] + score
-                if fresh[end] or total > best[end]:
-                    best[end], count[end], fresh[end] = total, count[at] + 1, False
-                single |= end == at + 1
+        """The number of pieces of the best segmentation. Matches come by their end, longest first; scores and counts are held
+        for as many places as the longest piece is long."""
+        size = self.longest + 1
+        best, count = [0.0] * size, [0] * size
+        matches = self.automaton.iter(word) if len(self.automaton) else iter(())
+        at, match = next(matches, NONE)
+        for end in range(1, len(word) + 1):
+            top, pieces, single = None, 0, False
+            while at + 1 == end:
+                length, score = match
+                begin = (end - length) % size
+                total = best[begin] + score
+                if top is None or total > top:
+                    top, pieces = total, count[begin] + 1
+                single |= length == 1
+                at, match = next(matches, NONE)
             if not single:
-                total = best[at] + self.unknown
-                if fresh[at + 1] or total > best[at + 1]:
-                    best[at + 1], fresh[at + 1] = total, False
-                    count[at + 1] = count[at] + (len(word[at].encode()) if self.byte_fallback else 1)
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        self.cache[word] = count[n]
-        return count[n]
+                begin = (end - 1) % size
+                total = best[begin] + self.unknown
+                if top is None or total > top:
+                    top, pieces = total, count[begin] + (len(word[end - 1].encode()) if self.byte_fallback else 1)
+            best[end % size], count[end % size] = top, pieces
+        total = count[len(word) % size]
+        if len(word) <= CACHED:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            self.cache[word] = total
+        return total
 
     def texts(self, texts: list[str]) -> np.ndarray:
         """Piece counts of texts. Equal words are looked up once."""

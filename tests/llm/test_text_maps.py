@@ -237,3 +237,24 @@ def test_lexing_long_texts_takes_little_memory():
 def test_a_sum_without_bound_is_weighed_whole():
     text = "".join(f'part{i} = "{c}{i % 10}"\n' for i, c in enumerate("aBcDeFgHiJ")) + "all = " + " + ".join(f"part{i}" for i in range(10)) + "\n" + "filler = x + filler\n" * 3000 + "token = all + filler\n"
     assert {text[a:b] for a, _, b in secrets.lexed_spans(text)} >= {f"{c}{i}" for i, c in enumerate("aBcDeFgHiJ")}
+
+
+def test_token_counts_of_long_words_by_a_window():
+    rng = random.Random(5)
+    pieces = [("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))), -float(rng.randint(1, 9))) for _ in range(40)]
+    own = piece_counts.Counter(list(dict(pieces).items()))
+    for size in (1, 2, 7, 400, 5000):
+        word = "".join(rng.choice("abcdé") for _ in range(size))
+        best = [(0.0, 0)] + [None] * size
+        for end in range(1, size + 1):
+            for begin in range(max(0, end - 6), end):
+                score = dict(pieces).get(word[begin:end])
+                if score is None and end - begin == 1:
+                    score = own.unknown
+                if score is not None and (best[end] is None or best[begin][0] + score > best[end][0]):
+                    best[end] = best[begin][0] + score, best[begin][1] + (len(word[begin:end].encode()) if dict(pieces).get(word[begin:end]) is None else 1)
+        assert own.word(word) == best[size][1]
+    tracemalloc.start()
+    own.word("abcd" * 100_000)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
