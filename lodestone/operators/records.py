@@ -10,7 +10,7 @@ FIELD = "\x1f"
 
 # fixed values: the status of each error; whatever isn't listed is an internal one
 STATUSES = {
-    "INDEXGUARD_ERROR": 422, "UNSUPPORTED_FORMAT": 422, "UNSUPPORTED_LEGACY_HWP": 422, "FORMAT_MISMATCH": 422, "FILE_TOO_LARGE": 422, "MALFORMED_ARCHIVE": 422,
+    "UNSUPPORTED_FORMAT": 422, "UNSUPPORTED_LEGACY_HWP": 422, "FORMAT_MISMATCH": 422, "FILE_TOO_LARGE": 422, "MALFORMED_ARCHIVE": 422,
     "ENCRYPTED_DOCUMENT": 422, "MALFORMED_DOCUMENT": 422, "INVALID_REQUEST": 422, "INTEGRITY_MISMATCH": 409, "ANALYSIS_NOT_FOUND": 404, "INDEX_DENIED": 409,
     "STALE_BASELINE_VERSION": 409, "AUTHENTICATION_FAILED": 401, "SERVICE_NOT_CONFIGURED": 503, "WORKFLOW_CONFLICT": 409, "RISK_SERVICE_ERROR": 502,
 }
