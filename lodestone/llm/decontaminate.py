@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Document frequencies of hashed words are counted over all documents.
-2. A distributed randomised SVD of TF-IDF passages gives a latent space: each task multiplies its passages with the
-   current basis and sends sums by block of dimensions; the driver orthogonalises a matrix of fixed size. The space is the
-   index of the search: it is fitted on all items and, by default, on about ``FIT_DOCUMENTS`` whole documents chosen by
-   hash (on all of them with ``fit_documents=None``); every passage of every document is searched.
+1. All texts are split into words once, kept as two bytes a word; document frequencies of hashed words are counted over
+   all documents.
+2. A distributed randomised SVD of the TF-IDF matrix of all passages of all documents and items gives a latent space: each
+   task multiplies its passages with the current basis (at first a sparse one of random signs) and sends sums by block of
+   dimensions; the driver orthogonalises a matrix of fixed size.
 3. Every window of ``WINDOW`` words (``SHORT_WINDOW`` for short items) of every document, at every ``STRIDE``th word, is
    projected and compared with every item, or with passages of a window's length that tile an item of over ``LONG``
    words; windows whose cosine is ``COSINE`` or more are candidates. Axes are scaled by their singular values, so that
@@ -33,13 +33,15 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from .quality import KIND, tokens
-from .text_arrays import BASE, LOWER, Prefix, mix, pieces, utf8
+from .text_arrays import BASE, LOWER, Prefix, mix, pieces, ranges, utf8
 
 BITS, RANK, SPARE, ROUNDS = 15, 160, 8, 1
-#: Items of a block; input of a task of the fit, each of which sends sums of 22 MB at most, and bytes multiplied at once.
-BLOCK, FIT_BYTES, FIT_PIECE = 4096, 128 << 20, 64 << 10
-#: The documents that the latent space is fitted on, about.
-FIT_DOCUMENTS = 4096
+#: Items of a block; input of a task of the fit, each of which sends sums of 22 MB at most, and passages multiplied at once.
+BLOCK, FIT_BYTES, FIT_PASSAGES = 4096, 128 << 20, 8192
+#: Signs of each dimension in the first basis; rows that are added one by one before their sums are added.
+SIGNS, ADDED = 4, 32
+#: Columns of a basis multiplied at once, so that what is looked up stays in a core's cache.
+SLICE = 24
 #: Words of a window, of one for items of fewer than ``SHORT`` words, and from one window to the next.
 WINDOW, SHORT_WINDOW, SHORT, STRIDE = 32, 16, 24, 8
 #: Items of more words are compared by passages of a window's length.
@@ -64,66 +66,156 @@ def dims(word: np.ndarray) -> np.ndarray:
     return (word >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+HASHED = "words binary, dims binary"
+
+
+def hashed(texts: DataFrame) -> DataFrame:
+    """Of runs of documents: how many words each has (4 bytes), and the dimensions of these words (2 bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch["text"])
+            for a, b in pieces(offsets):
+                word, row = word_tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                both = np.bincount(row, minlength=b - a).astype(np.uint32), dims(word).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in both], ["words", "dims"])
+
+    return texts.select("text").mapInArrow(run, HASHED)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words of each document, dimension of each word)"""
+    for batch in batches:
+        for words, dim in zip(batch["words"], batch["dims"], strict=True):
+            yield np.frombuffer(words.as_buffer(), np.uint32).astype(np.int64), np.frombuffer(dim.as_buffer(), np.uint16).astype(np.int64)
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted keys: where each begins, and how many there are of it."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    return first, np.diff(np.r_[first, len(key)])
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count, rows = np.zeros(1 << BITS, np.int64), 0
-    for batch in batches:
-        data, offsets = utf8(batch["text"])
-        rows += batch.num_rows
-        for a, b in pieces(offsets):
-            word, row = word_tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            count += np.bincount(np.unique(row << BITS | dims(word)) & ((1 << BITS) - 1), minlength=1 << BITS)
+    for words, dim in _runs(batches):
+        rows += len(words)
+        key = np.sort(np.repeat(np.arange(len(words)), words) << BITS | dim)
+        count += np.bincount(key[_counted(key)[0]] & ((1 << BITS) - 1), minlength=1 << BITS)
     at = np.flatnonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[rows, count[at]], pa.int64())], ["dim", "n"])
 
 
-def inverse_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Of each dimension, over all documents, and how many these are. The driver sees 2**BITS sums at most."""
-    counts = docs.select("text").mapInArrow(_frequencies, "dim bigint, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+def inverse_frequencies(seen: DataFrame) -> np.ndarray:
+    """Of each dimension, over all documents of ``hashed``. The driver sees 2**BITS sums at most."""
+    counts = seen.mapInArrow(_frequencies, "dim bigint, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     total = sum(r.n for r in counts if r.dim < 0)
     frequency = np.zeros(1 << BITS)
     for r in counts:
         if r.dim >= 0:
             frequency[r.dim] = r.n
-    return np.log((total + 1) / (frequency + 1)).astype(np.float32) + np.float32(0.01), total
-
-
-def _passages(text: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse unit TF-IDF rows of non-overlapping passages: row, dimension, value."""
-    data, offsets = utf8(text)
-    word, row = word_tokens(data, offsets)
-    first = np.searchsorted(row, row)
-    passage = row * (1 << 32) + (np.arange(len(row)) - first) // WINDOW
-    _, passage = np.unique(passage, return_inverse=True)
-    key, count = np.unique(passage << BITS | dims(word), return_counts=True)
-    passage, dim = key >> BITS, key & ((1 << BITS) - 1)
-    value = count * idf[dim]
-    norm = np.sqrt(np.bincount(passage, value * value))
-    return passage, dim, (value / norm[passage]).astype(np.float32)
-
-
-def _project(passage: np.ndarray, dim: np.ndarray, value: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-    return np.add.reduceat(np.take(basis, dim, axis=0) * value[:, None], first)
-
-
-def _multiply(state):
-    """Sums of A'(A basis) by block of dimensions."""
+    return np.log((total + 1) / (frequency + 1)).astype(np.float32) + np.float32(0.01)
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Passage and dimension of each word, sorted, of non-overlapping passages of a document: ``FIT_PASSAGES`` at once."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    total = 0
+
+    def out() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words, dim = (np.concatenate(x) for x in zip(*held, strict=True))
+        size = -(-words // WINDOW)
+        place = np.arange(len(dim)) - np.repeat(np.cumsum(words) - words, words)
+        passage = np.repeat(np.cumsum(size) - size, words) + place // WINDOW
+        for n in range(0, int(size.sum()), FIT_PASSAGES):
+            a, b = np.searchsorted(passage, (n, n + FIT_PASSAGES))
+            key = np.sort(passage[a:b] - n << BITS | dim[a:b])
+            yield key >> BITS, key & ((1 << BITS) - 1)
+
+    for words, dim in _runs(batches):
+        size = int((-(-words // WINDOW)).sum())
+        if held and total + size > FIT_PASSAGES:
+            yield from out()
+            held, total = [], 0
+        held.append((words, dim))
+        total += size
+    if held:
+        yield from out()
+
+
+Plan = tuple[list[np.ndarray], np.ndarray, "Plan | None", np.ndarray, np.ndarray]
+
+
+def plan_of(place: np.ndarray, size: np.ndarray) -> Plan:
+    """How ``run_sums`` adds rows: the places added at each step, the order of the runs, and for long runs, which go in parts
+    of ``ADDED`` places, how to add up the parts, of which runs these are, and where the parts of each run end."""
+    parts = -(-size // ADDED)
+    ends, rest = np.cumsum(parts) - 1, None
+    more = np.flatnonzero(parts > 1)
+    if len(more):
+        rest = plan_of(ranges((ends + 1 - parts)[more], parts[more]), parts[more])
+        last, size = size - (parts - 1) * ADDED, np.full(int(parts.sum()), ADDED)
+        size[ends] = last
+    order = np.argsort(-size, kind="stable")
+    start, size = (np.cumsum(size) - size)[order], size[order]
+    counts = np.searchsorted(-size, -np.arange(int(size.max(initial=0))))
+    return [place[start[:n] + i] for i, n in enumerate(counts.tolist())], order, rest, more, ends
+
+
+def run_sums(rows: np.ndarray, plan: Plan) -> np.ndarray:
+    """Of each run of places: the sum of the rows there. All runs go on together, place by place."""
+    steps, order, rest, more, ends = plan
+    out = np.zeros((len(order), rows.shape[1]), rows.dtype)
+    if steps:
+        total, next_rows = np.take(rows, steps[0], axis=0), np.empty_like(out)
+        for at in steps[1:]:
+            # clip: what is in range needs no second buffer
+            np.take(rows, at, axis=0, out=next_rows[: len(at)], mode="clip")
+            total[: len(at)] += next_rows[: len(at)]
+        out[order] = total
+    if rest is None:
+        return out
+    whole = out[ends]
+    whole[more] = run_sums(out, rest)
+    return whole
+
+
+def _signs(columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """The columns where each dimension's row of the first basis isn't 0, and the signs there."""
+    rng = np.random.default_rng(11)
+    return rng.integers(0, columns, (1 << BITS, SIGNS)), rng.choice(np.array([-1.0, 1.0]), (1 << BITS, SIGNS))
+
+
+def _multiply(state, columns: int):
+    """Sums of A'(A basis) by block of dimensions, where A holds the unit TF-IDF rows of all passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis = state.value
-        basis = np.ascontiguousarray(basis, np.float32)
-        total = np.zeros_like(basis)
-        for batch in batches:
-            _, offsets = utf8(batch["text"])
-            for a, b in pieces(offsets, FIT_PIECE):
-                passage, dim, value = _passages(batch["text"].slice(a, b - a), idf)
-                if not len(dim):
-                    continue
-                y = _project(passage, dim, value, basis)
-                order = np.argsort(dim, kind="stable")
-                dim, passage, value = dim[order], passage[order], value[order]
-                first = np.flatnonzero(np.r_[True, dim[1:] != dim[:-1]])
-                total[dim[first]] += np.add.reduceat(y[passage] * value[:, None], first)
+        if basis is None:
+            column, sign = _signs(columns)
+            sign = sign * idf[:, None]
+        slices = [slice(a, min(a + SLICE, columns)) for a in range(0, columns, SLICE)]
+        weighted = [] if basis is None else [np.ascontiguousarray(basis[:, of], np.float32) * idf[:, None] for of in slices]
+        totals = [np.zeros((1 << BITS, of.stop - of.start), np.float32) for of in slices]
+        for passage, dim in _passages(batches):
+            first, count = _counted(passage << BITS | dim)
+            square = np.bincount(passage[first], (count * idf[dim[first]]) ** 2).astype(np.float32)[:, None]
+            if basis is None:
+                cell = np.take(column, dim, axis=0)
+                cell += (passage * columns)[:, None]
+                y = np.bincount(cell.ravel(), np.take(sign, dim, axis=0).ravel(), len(square) * columns).reshape(-1, columns)
+            else:
+                to_passages = plan_of(dim, np.bincount(passage))
+            order = np.argsort(dim.astype(np.uint16), kind="stable")
+            size = np.bincount(dim, minlength=1 << BITS)
+            at = np.flatnonzero(size)
+            to_words = plan_of(passage[order], size[at])
+            for i, of in enumerate(slices):
+                part = y[:, of].astype(np.float32) if basis is None else run_sums(weighted[i], to_passages)
+                # a word's row of the product is its weight times the sum over its passages, each over its norm twice
+                part /= square
+                totals[i][at] += run_sums(part, to_words)
+        total = np.concatenate(totals, axis=1) * idf[:, None]
         for k in range(len(total) // _DIM_BLOCK):
             block = total[k * _DIM_BLOCK : (k + 1) * _DIM_BLOCK]
             if block.any():
@@ -164,17 +256,18 @@ def orthonormal(product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors of the passages' TF-IDF matrix, each over its singular value, by randomised
-    subspace iteration."""
+    """The leading right singular vectors of the TF-IDF matrix of the passages of ``hashed`` texts, each over its singular
+    value, by randomised subspace iteration."""
     spark = passages.sparkSession
-    basis = np.random.default_rng(11).standard_normal((1 << BITS, rank + SPARE), dtype=np.float32)
+    basis, columns = None, rank + SPARE
     for _ in range(ROUNDS + 1):
-        sent = spark.sparkContext.broadcast((idf, basis.astype(np.float16)))
-        sums = passages.mapInArrow(_multiply(sent), "block int, sums binary").repartition(6, "block").sortWithinPartitions("block").mapInArrow(_add_blocks, "block int, sums binary").toArrow()
+        width = columns if basis is None else basis.shape[1]
+        sent = spark.sparkContext.broadcast((idf, None if basis is None else basis.astype(np.float16)))
+        sums = passages.mapInArrow(_multiply(sent, width), "block int, sums binary").repartition(6, "block").sortWithinPartitions("block").mapInArrow(_add_blocks, "block int, sums binary").toArrow()
         sent.destroy()
-        product = np.zeros((1 << BITS, basis.shape[1]), np.float32)
+        product = np.zeros((1 << BITS, width), np.float32)
         for block, part in zip(sums["block"].to_pylist(), sums["sums"], strict=True):
-            product[block * _DIM_BLOCK : (block + 1) * _DIM_BLOCK] = np.frombuffer(part.as_buffer(), np.float32).reshape(-1, basis.shape[1])
+            product[block * _DIM_BLOCK : (block + 1) * _DIM_BLOCK] = np.frombuffer(part.as_buffer(), np.float32).reshape(-1, width)
         # the product is A'A applied to the basis before: its left singular vectors are the right ones of A
         basis, squares = orthonormal(product)
     known = squares[:rank] > 1e-6 * squares[:1]
@@ -409,24 +502,19 @@ class Matcher:
                     yield a + r, item, near, best[0]
 
 
-def fit_texts(docs: DataFrame, items: DataFrame, total: int, fit_documents: int | None) -> DataFrame:
-    """(text) of all items and of about ``fit_documents`` of ``total`` documents, by hash; dealt to few tasks, as each sends
-    sums of a fixed size."""
-    if fit_documents is not None and total > fit_documents:
-        chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < int((1 << 40) * fit_documents / total))
-        return runtime.checkpoint(chosen.select("text").union(items.select("text")).repartition(runtime.parts(items, FIT_BYTES, 6)))
-    return docs.select("text").union(items.select("text")).coalesce(runtime.parts(docs, FIT_BYTES, 6))
-
-
-def matchers(docs: DataFrame, benchmark: DataFrame, fit_documents: int | None = FIT_DOCUMENTS) -> Iterator:
-    """A broadcast matcher for each block of items. ``docs(doc_id, text)``, ``benchmark(item_id, text)``."""
+def matchers(docs: DataFrame, benchmark: DataFrame, fit_documents: None = None) -> Iterator:
+    """A broadcast matcher for each block of items. ``docs(doc_id, text)``, ``benchmark(item_id, text)``. The latent space is
+    fitted on all passages of both; ``fit_documents`` has no other value than None, which says so."""
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     blocks = -(-items.count() // BLOCK)
     if not blocks:
         return
-    idf, total = inverse_frequencies(docs)
-    space = (latent_space(fit_texts(docs, items, total, fit_documents), idf) * idf[:, None]).astype(np.float16)
+    seen, path = runtime.written(hashed(docs))
+    idf = inverse_frequencies(seen)
+    fitted = seen.union(hashed(items)).coalesce(runtime.parts(docs, FIT_BYTES, 6))
+    space = (latent_space(fitted, idf, RANK) * idf[:, None]).astype(np.float16)
+    runtime.forget(spark, path)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
         yield spark.sparkContext.broadcast(Matcher(space, items_of(sorted((r.item_id, r.text) for r in rows))))

@@ -426,3 +426,72 @@ def test_sizes_of_tables_without_files(spark, folder):
     for df in (own, own.join(own.select("doc_id"), "doc_id"), files.join(files.select("doc_id"), "doc_id")):
         assert 50_000 < runtime.size_in_bytes(df) < 2_000_000 and runtime.parts(df, 10_000) < 200
     assert runtime.parts(files, 1 << 30) == 12 and runtime.parts(own.limit(0), 1) == 12
+
+
+def test_latent_space_is_of_all_passages(spark):
+    """Products and the space against dense algebra over every passage of more documents than were once drawn."""
+    rng = random.Random(43)
+    vocabulary = [words(rng, 1) + str(i) for i in range(60)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice((1, 5, 33)))) for _ in range(6000)] + [None, ""]
+    # words of one document alone: a fit on some of the documents gives most of them no place
+    texts += [f"only{i} stands{i} here{i}" for i in range(40)] + ["many " * 3000 + "ends"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = decontaminate.hashed(docs)
+    idf = decontaminate.inverse_frequencies(seen)
+    rows, sets = [], []
+    for t in texts:
+        dim = decontaminate.dims(decontaminate.word_tokens(*decontaminate.utf8(pa.array([t or ""])))[0])
+        sets.append(set(dim.tolist()))
+        for a in range(0, len(dim), decontaminate.WINDOW):
+            row = np.zeros(1 << decontaminate.BITS)
+            np.add.at(row, dim[a : a + decontaminate.WINDOW], 1)
+            rows.append((row * idf)[:, None])
+    known = sorted(set().union(*sets))
+    for d in known:
+        assert abs(idf[d] - np.log((len(texts) + 1) / (sum(d in s for s in sets) + 1)) - 0.01) < 1e-4
+    a = np.stack([r[known, 0] / np.linalg.norm(r) for r in rows])
+    space = decontaminate.latent_space(seen, idf, rank=len(known))
+    assert not np.delete(space, known, axis=0).any() and (np.abs(space[known]).sum(1) > 0).all()
+    # all axes, each over its singular value: the inverse of A'A on what the product can tell from 0
+    values, vectors = np.linalg.eigh(a.T @ a)
+    keep = values > 1e-2 * values[-1]
+    got = vectors[:, keep].T @ (space[known] @ space[known].T) @ vectors[:, keep]
+    assert np.allclose(np.diag(got) * values[keep], 1, atol=0.15)
+
+
+def test_benchmark_space_comes_from_every_document(spark, folder):
+    """Words of one document each, of more documents than ``find`` and the pipeline once fitted on."""
+    docs = [(i, f"own{i} alone{i}") for i in range(9000)]
+    items = pa.table({"item_id": pa.array([1], pa.int64()), "text": ["what the benchmark asks"]})
+    path = folder(docs, benchmark=items)
+    read = lambda name: spark.read.parquet(f"{path}/{name}.parquet")
+    (matcher,) = decontaminate.matchers(read("documents").select("doc_id", "text"), read("benchmark"))
+    word = decontaminate.word_tokens(*decontaminate.utf8(pa.array([t for _, t in docs])))[0]
+    used = np.bincount(decontaminate.dims(word), minlength=1 << decontaminate.BITS) > 0
+    assert (np.abs(matcher.value.space[used]).sum(1) > 0).mean() > 0.9
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(5)
+    rows = rng.standard_normal((50, 3)).astype(np.float32)
+    for size in ([1], [32, 1, 33, 64, 65, 2000, 1], [5] * 9, []):
+        place = rng.integers(0, 50, sum(size))
+        ends = np.cumsum(size).astype(int)
+        want = [rows[place[e - n : e]].sum(0) for n, e in zip(size, ends, strict=True)]
+        assert np.allclose(decontaminate.run_sums(rows, decontaminate.plan_of(place, np.array(size, np.int64))), np.array(want).reshape(-1, 3), atol=1e-3)
+
+
+def test_texts_of_a_tree_are_bounded(monkeypatch):
+    """Of tasks of exact sets only small ones share a tree; a task comes whole however its rows are batched."""
+    monkeypatch.setattr(ngram_join, "SMALL_BYTES", 1000, raising=False)
+    seen, real = [], ngram_join.numbered_shingles
+    monkeypatch.setattr(ngram_join, "numbered_shingles", lambda data, *more: seen.append(len(data)) or real(data, *more))
+    line = lambda t, i: " ".join(f"{w}{t}" for w in "some words that are the same here and there but at the very end".split()) * 2 + f" row{i}"
+    rows = [(t, -1, 100 * t + i, line(t, i)) for t, n in enumerate((3, 2, 20, 1, 1, 9, 1)) for i in range(n)]
+    schema = pa.schema([("task", pa.int64()), ("side", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
+    batches = [pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows[a : a + 4], strict=True), schema, strict=True)], schema=schema) for a in range(0, len(rows), 4)]
+    got = {(u, v) for b in ngram_join._link(60, 3)(iter(batches)) for u, v in zip(b["u"].to_pylist(), b["v"].to_pylist(), strict=True)}
+    assert got == {(d, d // 100 * 100) for _, _, d, _ in rows if d % 100}
+    sizes = [sum(len(r[3]) for r in rows if r[0] == t) for t in range(7)]
+    assert sum(seen) == sum(sizes) and all(s <= 1000 or s in sizes for s in seen)
+    assert len(seen) < 7
