@@ -45,8 +45,9 @@ from .text_arrays import mix, numbered_shingles, pieces, ranges, row_starts, shi
 SHINGLE, THRESHOLD = 3, 90
 #: Bytes of stored input for each bucket, and the most partitions of a shuffle; beyond it one holds several buckets.
 BUCKET_BYTES, MOST_PARTITIONS = 6 << 20, 1 << 16
-#: Shingles of a task of exact sets; documents of a component that meet all its chunks.
-CHUNK, PIVOTS = 1 << 20, 256
+#: Shingles of a task of exact sets; bytes of the texts of small tasks that share a tree; documents of a component that
+#: meet all its chunks.
+CHUNK, SMALL_BYTES, PIVOTS = 1 << 19, 1 << 22, 256
 #: Children of a tree's node; node pairs looked at once, and words of their bitmaps.
 FANOUT, BLOCK, BLOCK_WORDS = 8, 4096, 1 << 18
 #: Least and most 64-bit words of a candidate's bitmap; between them there are so many shingles a word, over the part of
@@ -60,8 +61,9 @@ COMMON = 8
 SALTS = 64
 #: Words of the bitmaps of a bucket's tree, but for those of one shingle.
 TREE_WORDS = 1 << 20
-#: Entries that a task holds before it sends them.
-HELD = 1 << 19
+#: Entries that a task holds before it sends them: what goes to a bucket at once stays well under a megabyte, as larger rows
+#: fill the executors' heaps.
+HELD = 1 << 17
 
 
 @lru_cache(maxsize=4)
@@ -308,8 +310,10 @@ def _sign(buckets: int, threshold: int, size: int, shared):
 
 
 def _candidates(bodies: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of edges that connects the documents of a bucket that may link."""
-    parts = [spread(body, "i8", "i8", "u8", "u8", "u4", "u4") for body in bodies]
+    """A forest of edges that connects the documents of a bucket that may link. ``bodies`` is emptied on the way."""
+    parts = []
+    while bodies:
+        parts.append(spread(bodies.pop(), "i8", "i8", "u8", "u8", "u4", "u4"))
     shift = np.cumsum([0, *(len(p[0]) for p in parts)])
     ids, size, flat, value = (np.concatenate([p[i] for p in parts]) for i in range(4))
     row = np.concatenate([p[4].astype(np.int64) + s for p, s in zip(parts, shift[:-1].tolist(), strict=True)])
@@ -372,9 +376,11 @@ def _meet(threshold: int):
         return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=none)
 
     def close(held: list[tuple[bytes | None, bytes | None]]) -> Iterator[pa.RecordBatch]:
-        if bodies := [h[0] for h in held if h[0] is not None]:
+        bodies, hot = ([h[i] for h in held if h[i] is not None] for i in (0, 1))
+        held.clear()
+        if bodies:
             yield edges(*_candidates(bodies, threshold))
-        if hot := [spread(h[1], "u8", "i8") for h in held if h[1] is not None]:
+        if hot := [spread(h, "u8", "i8") for h in hot]:
             yield edges(*_star(*(np.concatenate(x) for x in zip(*hot, strict=True)))[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +393,6 @@ def _meet(threshold: int):
             for k, body, hot in zip(batch["bucket"].to_pylist(), batch["body"].to_pylist(), batch["hot"].to_pylist(), strict=True):
                 if k != bucket and held:
                     yield from close(held)
-                    held = []
                 bucket = k
                 held.append((body, hot))
         if held:
@@ -455,10 +460,16 @@ def _link(threshold: int, size: int):
     """Of rows sorted by task: (doc_id, the least doc_id that it is linked with here). Small tasks share a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        total, task = 0, None
+        Rows = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+        ended: Rows = []
+        held: Rows = []
+        task = None
 
-        def flush() -> pa.RecordBatch:
+        def apart(ended: Rows, held: Rows) -> bool:
+            """A task of two sides is alone in its tree; others join as long as their text is small."""
+            return bool(ended and held) and (sum(len(h[3]) for h in ended + held) > SMALL_BYTES or ended[-1][1][-1] >= 0 or held[-1][1][-1] >= 0)
+
+        def flush(held: Rows) -> pa.RecordBatch:
             ids, side, data = (np.concatenate([h[i] for h in held]) for i in (0, 1, 3))
             offsets = np.cumsum(np.r_[0, np.concatenate([h[2] for h in held])])
             value, row = numbered_shingles(data, offsets, size)
@@ -473,15 +484,18 @@ def _link(threshold: int, size: int):
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
             edge = np.flatnonzero(np.r_[True, (tasks[1:] != tasks[:-1])]).tolist() if len(tasks) else []
             for a, b in zip(edge, [*edge, len(tasks)][1:], strict=True):
-                # a task of two sides is alone in its tree; others join until there is enough text
-                if held and tasks[a] != task and (total > 1 << 22 or sides[a] >= 0 or held[-1][1][-1] >= 0):
-                    yield flush()
-                    held, total = [], 0
+                if held and tasks[a] != task:
+                    if apart(ended, held):
+                        yield flush(ended)
+                        ended = []
+                    ended, held = ended + held, []
                 task = tasks[a]
-                held.append((ids[a:b].astype(np.int64), sides[a:b].astype(np.int64), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]]))
-                total += int(offsets[b] - offsets[a])
-        if held:
-            yield flush()
+                held.append((ids[a:b].astype(np.int64), sides[a:b].astype(np.int64), np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]].copy()))
+        if apart(ended, held):
+            yield flush(ended)
+            ended = []
+        if ended or held:
+            yield flush(ended + held)
 
     return run
 
@@ -507,7 +521,7 @@ def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: in
     buckets = runtime.parts(docs, BUCKET_BYTES)
     shared = spark.sparkContext.broadcast(frequencies(docs, threshold, size))
     sent = docs.mapInArrow(_sign(buckets, threshold, size, shared), SENT)
-    met = sent.repartition(min(buckets, MOST_PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "u bigint, v bigint")
+    met = sent.repartitionById(min(buckets, MOST_PARTITIONS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "u bigint, v bigint")
     candidates, path = runtime.written(components(met))
     shared.destroy()
     out = confirmed(docs, sets, candidates, threshold, size)
