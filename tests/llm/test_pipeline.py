@@ -94,3 +94,15 @@ def test_registered():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in names} >= {f"op{i}" for i in range(1, 11)} and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def test_decontamination_stage_fits_on_all_documents(spark, folder, monkeypatch):
+    """The stage's latent space comes from every row that the stage before wrote."""
+    from lodestone.llm import decontaminate
+
+    seen, real = [], decontaminate.latent_space
+    count = lambda passages: sum(len(r["words"]) // 4 for r in passages.select("words").collect())
+    monkeypatch.setattr(decontaminate, "latent_space", lambda passages, *more: seen.append(count(passages)) or real(passages, *more))
+    path = folder([(i, f"own{i} alone{i}") for i in range(6000)], benchmark=pa.table({"item_id": pa.array([1], pa.int64()), "text": ["what the benchmark asks"]}))
+    assert corpus_pipeline.drop_benchmark(spark, spark.read.parquet(f"{path}/documents.parquet"), path).count() == 6000
+    assert seen == [6001]
