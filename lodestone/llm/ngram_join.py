@@ -3,7 +3,8 @@
 1. Order. Shingles are ordered by how frequent they are in all documents (a table of fixed size, by hash; any order gives
    right results, this one keeps what is common out of the way).
 2. Candidates. Of linked sets, each has one of the other's shingles among its first size - ceil(threshold * size) + 1.
-   A document goes to the buckets of those, as its size and a bitmap of its shingles, whose length follows from the size
+   Documents that share such a shingle with no set of a size and place that may link are found first, by sizes and places
+   alone. Any other goes to the buckets of those shingles, as its size and a bitmap of its shingles, whose length follows from the size
    (the tree of the next shorter bitmaps gets folded ones of sets that can link into it). A bucket holds signature trees:
    leaves are (shingle, document), nodes hold OR-combined bitmaps, size ranges and ranges of shingles. A dual traversal
    drops node pairs that have no shingle in common, whose sizes can't link, whose greatest possible overlap is too
@@ -64,6 +65,8 @@ TREE_WORDS = 1 << 20
 #: Entries that a task holds before it sends them: what goes to a bucket at once stays well under a megabyte, as larger rows
 #: fill the executors' heaps.
 HELD = 1 << 17
+#: Bits of the filter of doc_ids, as a power of two: 8 MB at any size.
+FILTER_BITS = 26
 
 
 @lru_cache(maxsize=4)
@@ -222,7 +225,8 @@ def frequencies(docs: DataFrame, threshold: int, size: int) -> np.ndarray:
         at = np.flatnonzero(total > max(1, mean + 1.5 * mean**0.5))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], ["cell", "n"])
 
-    counted = docs.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n >= {COMMON}").toArrow()
+    with runtime.freeing(docs.sparkSession):
+        counted = docs.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).where(f"n >= {COMMON}").toArrow()
     out = np.zeros(CELLS, np.uint8)
     out[counted["cell"].to_numpy()] = np.log2(counted["n"].to_numpy()).astype(np.uint8)
     return out
@@ -255,6 +259,15 @@ def _star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return key[first], doc[first], edge[0], edge[1]
 
 
+def _by_bucket(place: np.ndarray, entries: tuple[np.ndarray, ...]) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """Each bucket, and what of the entries goes there."""
+    order = np.argsort(place, kind="stable")
+    place, entries = place[order], tuple(e[order] for e in entries)
+    edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
+    for a, b in zip(edge.tolist(), [*edge.tolist(), len(place)][1:], strict=True):
+        yield int(place[a]), tuple(e[a:b] for e in entries)
+
+
 def first_shingles(value: np.ndarray, row: np.ndarray, count: np.ndarray, weight: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(value, row, how many of the set come from it on) of the shingles by which a set can't miss one that it links with."""
     order = np.lexsort((value, weight[_cell(value)], row))
@@ -264,7 +277,8 @@ def first_shingles(value: np.ndarray, row: np.ndarray, count: np.ndarray, weight
     return value[keep], row[keep], (count[row] - place)[keep]
 
 
-def _sign(buckets: int, threshold: int, size: int, shared):
+def _sign(buckets: int, threshold: int, size: int, shared, bare: bool = False):
+    """What documents send to buckets. If ``bare``, it goes without bitmaps, and documents with hot shingles pass through."""
     bounds = classes(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,24 +293,28 @@ def _sign(buckets: int, threshold: int, size: int, shared):
             begins = np.cumsum(words) - words
             out: dict[int, list[bytes | None]] = {}
             hot = weight[_cell(value)] >= HOT.bit_length() - 1
+            if bare:
+                passing = np.unique(ids[at[hot]])
+                place, entries = _bucket(value[~hot], buckets), (value[~hot], at[~hot], rest[~hot])
+                for k, (part, of, left) in _by_bucket(place, entries):
+                    rows, inverse = np.unique(of, return_inverse=True)
+                    out[k] = [squeeze(ids[rows], count[rows], part, inverse.astype(np.uint32), left.astype(np.uint32)), None]
+                return _sent([(k, *two) for k, two in out.items()], passing, passing, buckets)
             own = np.searchsorted(bounds, count[at[hot]], "right") - 1
             tagged = [mix(value[hot] ^ mix((own + step).astype(np.uint64) + np.uint64(1))) for step in (0, 1)]
             key, doc, u, v = _star(np.concatenate(tagged), np.tile(ids[at[hot]], 2))
             for blobs, place, entries in ((0, _bucket(value[~hot], buckets), (value[~hot], at[~hot], rest[~hot])), (1, _bucket(key, buckets), (key, doc))):
-                order = np.argsort(place, kind="stable")
-                place, entries = place[order], [e[order] for e in entries]
-                edge = np.flatnonzero(np.r_[True, place[1:] != place[:-1]]) if len(place) else place
-                for a, b in zip(edge.tolist(), [*edge.tolist(), len(place)][1:], strict=True):
+                for k, part in _by_bucket(place, entries):
                     if blobs:
-                        body = squeeze(entries[0][a:b], entries[1][a:b])
+                        body = squeeze(*part)
                     else:
-                        rows, inverse = np.unique(entries[1][a:b], return_inverse=True)
-                        body = squeeze(ids[rows], count[rows], bits[ranges(begins[rows], words[rows])], entries[0][a:b], inverse.astype(np.uint32), entries[2][a:b].astype(np.uint32))
-                    out.setdefault(int(place[a]), [None, None])[blobs] = body
+                        rows, inverse = np.unique(part[1], return_inverse=True)
+                        body = squeeze(ids[rows], count[rows], bits[ranges(begins[rows], words[rows])], part[0], inverse.astype(np.uint32), part[2].astype(np.uint32))
+                    out.setdefault(k, [None, None])[blobs] = body
             return _sent([(k, *two) for k, two in out.items()], np.ascontiguousarray(u), v, buckets)
 
         for value, row, count, own in _documents(batches, threshold, size):
-            bits = flat_bitmaps(value, row, words_of(count, threshold))
+            bits = np.zeros(0, np.uint64) if bare else flat_bitmaps(value, row, words_of(count, threshold))
             value, row, rest = first_shingles(value, row, count, weight, threshold)
             held.append((value, row + sets, rest, own, count, bits))
             total, sets = total + len(value), sets + len(own)
@@ -309,6 +327,37 @@ def _sign(buckets: int, threshold: int, size: int, shared):
     return run
 
 
+def partners(value: np.ndarray, size: np.ndarray, rest: np.ndarray, threshold: int) -> np.ndarray:
+    """Which entries (a first shingle, its set's size, how many of the set come from it on) have another one of the same
+    shingle with whose set the overlap may be large enough."""
+    if not len(value):
+        return np.zeros(0, bool)
+    order = np.lexsort((size, value))
+    value, size, rest = value[order], size[order], rest[order]
+    # sets x and y can link if y has at most so many shingles as x has room for, and x as y
+    room = ((100 + threshold) * rest - threshold * size) // threshold
+    group = np.cumsum(np.r_[False, value[1:] != value[:-1]]) << 32
+    most = np.maximum.accumulate(group + room)
+    before = np.r_[-1, most[:-1]]
+    # the greatest but one: what a greater one takes the place of counts
+    second = np.maximum.accumulate(np.minimum(group + room, before))
+    last = np.searchsorted(group + size, group + room, "right") - 1
+    own = (last >= np.arange(len(value))) & (most[last] == group + room)
+    out = np.zeros(len(value), bool)
+    out[order] = (last >= 0) & (np.where(own, second[last], most[last]) >= group + size)
+    return out
+
+
+def _paired(bodies: list[bytes], threshold: int) -> np.ndarray:
+    """The documents of a bucket that may link with another one there. ``bodies`` is emptied on the way."""
+    parts = []
+    while bodies:
+        ids, size, value, row, rest = spread(bodies.pop(), "i8", "i8", "u8", "u4", "u4")
+        parts.append((ids[row], size[row], value, rest.astype(np.int64)))
+    ids, size, value, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return np.unique(ids[partners(value, size, rest, threshold)])
+
+
 def _candidates(bodies: list[bytes], threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of edges that connects the documents of a bucket that may link. ``bodies`` is emptied on the way."""
     parts = []
@@ -368,8 +417,9 @@ def _grown(label: np.ndarray, value: np.ndarray, rest: np.ndarray, bits: np.ndar
     return traverse(tree, tree, label, threshold, leaf, ordered=True)
 
 
-def _meet(threshold: int):
-    """Candidate edges of buckets. Rows are sorted by bucket."""
+def _meet(threshold: int, bare: bool = False):
+    """Candidate edges of buckets; if ``bare``, the documents that may have some, each as an edge to itself. Rows are sorted
+    by bucket."""
     none = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -378,7 +428,10 @@ def _meet(threshold: int):
     def close(held: list[tuple[bytes | None, bytes | None]]) -> Iterator[pa.RecordBatch]:
         bodies, hot = ([h[i] for h in held if h[i] is not None] for i in (0, 1))
         held.clear()
-        if bodies:
+        if bodies and bare:
+            ids = _paired(bodies, threshold)
+            yield edges(ids, ids)
+        elif bodies:
             yield edges(*_candidates(bodies, threshold))
         if hot := [spread(h, "u8", "i8") for h in hot]:
             yield edges(*_star(*(np.concatenate(x) for x in zip(*hot, strict=True)))[2:])
@@ -520,24 +573,49 @@ def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: in
     spark = docs.sparkSession
     buckets = runtime.parts(docs, BUCKET_BYTES)
     shared = spark.sparkContext.broadcast(frequencies(docs, threshold, size))
-    sent = docs.mapInArrow(_sign(buckets, threshold, size, shared), SENT)
-    met = sent.repartitionById(min(buckets, MOST_PARTITIONS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_meet(threshold), "u bigint, v bigint")
-    candidates, path = runtime.written(components(met))
+
+    def met(docs: DataFrame, bare: bool) -> DataFrame:
+        sent = docs.mapInArrow(_sign(buckets, threshold, size, shared, bare), SENT)
+        return sent.repartitionById(min(buckets, MOST_PARTITIONS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_meet(threshold, bare), "u bigint, v bigint")
+
+    # bitmaps are most of what is sent, so only documents that share a first shingle with another one send theirs
+    able, first = runtime.written(met(docs, True).select(F.col("u").alias("doc_id")).distinct())
+    candidates, path = runtime.written(components(met(holding(docs, able), False)))
     shared.destroy()
     out = confirmed(docs, sets, candidates, threshold, size)
-    runtime.forget(spark, path)
+    for old in (first, path):
+        runtime.forget(spark, old)
     return out
 
 
+def holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text) whose doc_id may be in ``ids``: all that are, and such others as share a bit of a filter
+    of fixed size, which the join after it drops. Texts that join nothing are not shuffled for it."""
+    spark = docs.sparkSession
+    bit = F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - FILTER_BITS})")
+    words = ids.select(bit.alias("bit")).groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    table[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch["bit"].to_numpy()
+            yield batch.select(["doc_id", "text"]).filter(pa.array(shared.value[at >> 6] >> (at & 63) & 1 == 1))
+
+    docs = docs.select("doc_id", "text")
+    return docs.withColumn("bit", bit).mapInArrow(run, docs.schema)
+
+
 def confirmed(docs: DataFrame, sets: DataFrame, candidates: DataFrame, threshold: int, size: int) -> DataFrame:
     """(doc_id, component) of the documents whose sets link within components of candidates(doc_id, component), decided by
     words: the exact step of ``links``, for candidates of any origin."""
     spark = docs.sparkSession
     partitions = min(runtime.parts(docs, BUCKET_BYTES), MOST_PARTITIONS)
 
-    def compared(tasks: DataFrame) -> DataFrame:
-        """Edges found in tasks(doc_id, task, side)."""
-        dealt = docs.join(tasks, "doc_id").repartition(partitions, "task").sortWithinPartitions("task", "side")
+    def compared(tasks: DataFrame, ids: DataFrame) -> DataFrame:
+        """Edges found in tasks(doc_id, task, side), whose doc_ids are those of ``ids``."""
+        dealt = holding(docs, ids).join(tasks, "doc_id").repartition(partitions, "task").sortWithinPartitions("task", "side")
         return dealt.select("task", "side", "doc_id", "text").mapInArrow(_link(threshold, size), "u bigint, v bigint")
 
     weight = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum("n_shingles").alias("weight"))
@@ -548,7 +626,7 @@ def confirmed(docs: DataFrame, sets: DataFrame, candidates: DataFrame, threshold
     own = placed.select("doc_id", F.when(F.col("chunks") > 1, chunked).otherwise(F.col("component")).alias("task"), F.lit(-1).alias("side"))
     pivots = placed.where((F.col("chunks") > 1) & (F.pmod(F.xxhash64("doc_id", F.lit(1)), "n") < PIVOTS))
     pivots = pivots.withColumn("mine", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).where("chunk <> mine")
-    found, kept = runtime.written(compared(own.union(pivots.select("doc_id", chunked.alias("task"), F.lit(-1).alias("side")))))
+    found, kept = runtime.written(compared(own.union(pivots.select("doc_id", chunked.alias("task"), F.lit(-1).alias("side"))), candidates))
     large = placed.where("chunks > 1")
     if large.limit(1).count():
         named = large.join(components(found).withColumnRenamed("component", "part"), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
@@ -566,7 +644,7 @@ def confirmed(docs: DataFrame, sets: DataFrame, candidates: DataFrame, threshold
         within = own.select("doc_id", F.xxhash64(F.lit("rest"), "component", F.least("group", "other"), F.greatest("group", "other")).alias("task"), side.alias("side"))
         first = rest.withColumn("chunk", numbers("chunks")).select("doc_id", named_task("main", "group", "chunk"), F.lit(0).alias("side"))
         second = apart.where("NOT rest").withColumn("group", numbers("groups")).select("doc_id", named_task("main", "group", "chunk"), F.lit(1).alias("side"))
-        found = found.union(compared(within.union(first).union(second)))
+        found = found.union(compared(within.union(first).union(second), large))
     out, _ = runtime.written(components(found))
     runtime.forget(spark, kept)
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ from lodestone import session
 
 #: Arrow batches of text stay near this size whatever the row length, so that a Python worker's memory is bounded.
 BATCH_ROWS, BATCH_BYTES = 4000, 4 << 20
+#: Whether a query's shuffle files go with its end.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -45,10 +49,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a query has shuffled is deleted when the query ends, and not when the driver happens to collect its
+    garbage. For queries whose result is all that is used of them."""
+    before = spark.conf.get(FREE)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before)
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` as a table written in the shared folder, and its path, for ``forget``."""
+    """``df`` as a table written in the shared folder, and its path, for ``forget``. Its shuffles are deleted."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freeing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

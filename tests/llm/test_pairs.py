@@ -495,3 +495,49 @@ def test_texts_of_a_tree_are_bounded(monkeypatch):
     sizes = [sum(len(r[3]) for r in rows if r[0] == t) for t in range(7)]
     assert sum(seen) == sum(sizes) and all(s <= 1000 or s in sizes for s in seen)
     assert len(seen) < 7
+
+
+def test_entries_with_partners_are_those_of_all_pairs():
+    """Sizes and places alone tell which documents may link: no pair that the trees would join is left out."""
+    rng = np.random.default_rng(5)
+    for threshold in (80, 90):
+        value = rng.integers(0, 60, 600).astype(np.uint64)
+        size = rng.integers(8, 60, 600)
+        rest = size - rng.integers(0, size + 1 - -(-threshold * size // 100))
+        meet = (value[:, None] == value) & ((100 + threshold) * np.minimum(rest[:, None], rest) >= threshold * (size[:, None] + size))
+        np.fill_diagonal(meet, False)
+        got = ngram_join.partners(value, size, rest, threshold)
+        assert got.tolist() == meet.any(1).tolist()
+        assert 0 < got.sum() < len(got)
+    assert not len(ngram_join.partners(*(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64)), 90))
+
+
+def test_texts_that_join_nothing_are_not_shuffled(spark, monkeypatch):
+    """Of 2000 texts of which ten are near copies, few reach the exact comparison's join, at either of its steps."""
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(2000)]
+    rows += [(5000 + i, " ".join(f"v{k}" for k in range(40 + i % 2))) for i in range(10)]
+    seen = []
+
+    def noted(docs, ids, held=ngram_join.holding):
+        out = held(docs, ids)
+        seen.append((out.count(), {r.doc_id for r in ids.collect()} - {r.doc_id for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(ngram_join, "holding", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()}
+    assert got == {i: min(i, 5000) for i, _ in rows}
+    assert len(seen) == 2 and all(n < 100 and not lost for n, lost in seen)
+
+
+def test_written_tables_free_their_shuffles(spark):
+    """The setting holds for the writing query alone, whatever it was before."""
+    from lodestone.llm import runtime
+
+    before = spark.conf.get(runtime.FREE)
+    with runtime.freeing(spark):
+        assert spark.conf.get(runtime.FREE) == "true"
+    assert spark.conf.get(runtime.FREE) == before
+    table, _ = runtime.written(spark.range(100).repartition(3, "id"))
+    assert spark.conf.get(runtime.FREE) == before
+    assert table.count() == table.distinct().count() == 100
