@@ -115,3 +115,23 @@ def test_candidates_over_partition_borders(spark, monkeypatch):
     got = {frozenset(r) for r in edges.distinct().collect()}
     assert all(len({x // 3 for x in pair}) == 1 for pair in got)
     assert {x for pair in got for x in pair} == set(range(12)) and len(got) >= 8
+
+
+def test_texts_without_candidates_are_not_shuffled(spark, monkeypatch):
+    """The exact step joins texts of candidates only, and such few others as its filter lets through."""
+    from lodestone.llm import ngram_join
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40))) for i in range(1000)] + [(5000 + i, " ".join(f"v{k}" for k in range(60 + i % 2))) for i in range(6)]
+    seen = []
+
+    def noted(docs, ids, held=ngram_join.holding):
+        seen.append(held(docs, ids))
+        return seen[-1]
+
+    monkeypatch.setattr(ngram_join, "holding", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in minhash_forest.join(docs).collect()}
+    assert got == {i: min(i, 5000) for i, _ in rows}
+    assert len(seen) == 1
+    ids = {r.doc_id for r in seen[0].collect()}
+    assert {5000, 5001} <= ids and len(ids) < 100
