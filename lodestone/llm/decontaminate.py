@@ -408,9 +408,12 @@ class Matcher:
         """Sums of the places of each stride's words. The last row of the space is what is no word."""
         place = block[:, None] + np.arange(STRIDE)
         filled = np.where(place < np.r_[block[1:], len(dim)][:, None], np.r_[dim, 0][np.minimum(place, len(dim))], len(self.space) - 1)
-        total = np.take(self.space, filled[:, 0], axis=0)
-        for i in range(1, STRIDE):
-            total += np.take(self.space, filled[:, i], axis=0)
+        filled = np.ascontiguousarray(filled.T)
+        total = np.take(self.space, filled[0], axis=0)
+        rows = np.empty_like(total)
+        for at in filled[1:]:
+            # clip: what is in range needs no second buffer
+            total += np.take(self.space, at, axis=0, out=rows, mode="clip")
         return total
 
     def _may_hold(self, word: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -444,27 +447,33 @@ class Matcher:
             word, row = word_tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             if not len(word):
                 continue
-            start = np.searchsorted(row, row)
-            block = np.flatnonzero((np.arange(len(row)) - start) % STRIDE == 0)
+            first, last = np.searchsorted(row, np.arange(b - a), "left"), np.searchsorted(row, np.arange(b - a), "right")
+            block = np.flatnonzero((np.arange(len(row)) - first[row]) % STRIDE == 0)
             sums = self._strides(dims(word), block)
             own = row[block]
             #: of each row and item: (first word, end, cosine or None) of regions
             regions: dict[tuple[int, int], list[tuple[int, int, float | None]]] = defaultdict(list)
-            width = 0
+            width, window = 1, sums.copy()
+            norm = None
             for strides, numbers, starts, vectors in self.groups:
-                if strides != width:
-                    width, window = strides, sums.copy()
-                    for step in range(1, strides):
-                        later = sums[step:].copy()
-                        later[own[step:] != own[:-step]] = 0
-                        window[:-step] += later
-                    norm = (np.linalg.norm(window, axis=1) + 1e-9)[:, None]
-                cosine = (window @ vectors.T) / norm
-                at, which = np.nonzero(cosine >= COSINE)
+                # groups come by their windows' length, so a longer window goes on from a shorter one
+                if strides != width or norm is None:
+                    for step in range(width, strides):
+                        apart = np.flatnonzero(own[step:] != own[:-step])
+                        kept_rows = window[apart]
+                        window[:-step] += sums[step:]
+                        window[apart] = kept_rows
+                    width, norm = strides, np.linalg.norm(window, axis=1) + 1e-9
+                product = window @ vectors.T
+                # a little less than what is asked for, so that rounding loses nothing; what passes is divided
+                at, which = np.divmod(np.flatnonzero(product >= (np.float32(COSINE - 1e-4) * norm)[:, None]), product.shape[1])
+                cosine = product[at, which] / norm[at]
+                near = cosine >= COSINE
+                at, which, cosine = at[near], which[near], cosine[near]
                 size = self.sizes[numbers[which]]
                 low = block[at] - starts[which] - size // 2
                 high = block[at] + size // 2 + np.where(size > LONG, size - starts[which], np.maximum(size, strides * STRIDE))
-                for r, i, x, y, c in zip(own[at].tolist(), numbers[which].tolist(), low.tolist(), high.tolist(), cosine[at, which].tolist(), strict=True):
+                for r, i, x, y, c in zip(own[at].tolist(), numbers[which].tolist(), low.tolist(), high.tolist(), cosine.tolist(), strict=True):
                     regions[r, i].append((x, y, c))
             for key, of in regions.items():
                 of.sort()
@@ -477,7 +486,6 @@ class Matcher:
                         merged.append((x, y, c))
                     last_low = x
                 regions[key] = merged
-            first, last = np.searchsorted(row, np.arange(b - a), "left"), np.searchsorted(row, np.arange(b - a), "right")
             runs = {k: word_runs(word, row, k) for k in {s.k for s in self.seeds}}
             for seeds in self.seeds:
                 for i, p, x, y in zip(*(z.tolist() for z in seeds.regions(*runs[seeds.k], last[row], self.sizes, self.needs, self.before)), strict=True):

@@ -541,3 +541,26 @@ def test_written_tables_free_their_shuffles(spark):
     table, _ = runtime.written(spark.range(100).repartition(3, "id"))
     assert spark.conf.get(runtime.FREE) == before
     assert table.count() == table.distinct().count() == 100
+
+
+def test_windows_and_cosines_are_those_of_each_window_by_itself():
+    """What is looked up and added by strides for all windows at once is what each one's words give, and no window at the
+    cosine that is asked for is lost to rounding."""
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(rng.choice(words, n)) for n in (20, 30, 32, 48, 12)]
+    matcher = decontaminate.Matcher((rng.standard_normal((1 << decontaminate.BITS, 8)) * 0.1).astype(np.float16), decontaminate.items_of(list(enumerate(texts))))
+    docs = [" ".join([*rng.choice(words, k), *texts[k % 5].split(), *rng.choice(words, 5)]) for k in range(0, 41)] + ["", "w1"]
+    got = {(r, i.number): (round(c, 4), s) for r, i, c, s in matcher.matches(pa.array(docs))}
+    for r, text in enumerate(docs[:41]):
+        cosine, share = got[r, r % 5]
+        dim = decontaminate.dims(decontaminate.word_tokens(*decontaminate.utf8(pa.array([text])))[0])
+        best = -1.0
+        for strides, numbers, _, vectors in matcher.groups:
+            mine = vectors[numbers == r % 5]
+            for a in range(0, len(dim), decontaminate.STRIDE) if len(mine) else ():
+                window = matcher.space[dim[a : a + strides * decontaminate.STRIDE]].sum(0)
+                best = max(best, float((mine @ window).max() / (np.linalg.norm(window) + 1e-9)))
+        assert share == 1.0
+        assert cosine <= round(best, 4) + 2e-4
+    assert not [r for r, _ in got if r > 40]
