@@ -574,13 +574,12 @@ def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: in
     buckets = runtime.parts(docs, BUCKET_BYTES)
     shared = spark.sparkContext.broadcast(frequencies(docs, threshold, size))
 
-    def met(docs: DataFrame, bare: bool) -> DataFrame:
-        sent = docs.mapInArrow(_sign(buckets, threshold, size, shared, bare), SENT)
+    def met(sent: DataFrame, bare: bool) -> DataFrame:
         return sent.repartitionById(min(buckets, MOST_PARTITIONS), F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(_meet(threshold, bare), "u bigint, v bigint")
 
     # bitmaps are most of what is sent, so only documents that share a first shingle with another one send theirs
-    able, first = runtime.written(met(docs, True).select(F.col("u").alias("doc_id")).distinct())
-    candidates, path = runtime.written(components(met(holding(docs, able), False)))
+    able, first = runtime.written(met(docs.mapInArrow(_sign(buckets, threshold, size, shared, True), SENT), True).select(F.col("u").alias("doc_id")).distinct())
+    candidates, path = runtime.written(components(met(holding(docs, able, _sign(buckets, threshold, size, shared), SENT), False)))
     shared.destroy()
     out = confirmed(docs, sets, candidates, threshold, size)
     for old in (first, path):
@@ -588,9 +587,13 @@ def links(docs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD, size: in
     return out
 
 
-def holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def holding(docs: DataFrame, ids: DataFrame, then: Step = iter, schema: str | None = None) -> DataFrame:
     """The rows of docs(doc_id, text) whose doc_id may be in ``ids``: all that are, and such others as share a bit of a filter
-    of fixed size, which the join after it drops. Texts that join nothing are not shuffled for it."""
+    of fixed size, which the join after it drops. Texts that join nothing are not shuffled for it. What ``then`` makes of these
+    rows comes from the same Python worker, as each further one would hold memory of its own."""
     spark = docs.sparkSession
     bit = F.expr(f"shiftrightunsigned(xxhash64(doc_id), {64 - FILTER_BITS})")
     words = ids.select(bit.alias("bit")).groupBy(F.expr("bit >> 6").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS int)))").alias("bits")).toArrow()
@@ -598,13 +601,13 @@ def holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
     table[words["word"].to_numpy()] = words["bits"].to_numpy()
     shared = spark.sparkContext.broadcast(table)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch["bit"].to_numpy()
             yield batch.select(["doc_id", "text"]).filter(pa.array(shared.value[at >> 6] >> (at & 63) & 1 == 1))
 
     docs = docs.select("doc_id", "text")
-    return docs.withColumn("bit", bit).mapInArrow(run, docs.schema)
+    return docs.withColumn("bit", bit).mapInArrow(lambda batches: then(kept(batches)), schema or docs.schema)
 
 
 def confirmed(docs: DataFrame, sets: DataFrame, candidates: DataFrame, threshold: int, size: int) -> DataFrame:

@@ -518,10 +518,13 @@ def test_texts_that_join_nothing_are_not_shuffled(spark, monkeypatch):
     rows += [(5000 + i, " ".join(f"v{k}" for k in range(40 + i % 2))) for i in range(10)]
     seen = []
 
-    def noted(docs, ids, held=ngram_join.holding):
+    def noted(docs, ids, *then, held=ngram_join.holding):
         out = held(docs, ids)
         seen.append((out.count(), {r.doc_id for r in ids.collect()} - {r.doc_id for r in out.collect()}))
-        return out
+        made = held(docs, ids, *then)
+        # one Python worker a task, whatever follows the filter
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        return made
 
     monkeypatch.setattr(ngram_join, "holding", noted)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
