@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .text_arrays import distinct
+from .text_arrays import distinct, pieces, utf8
 
 #: The most pieces that a worker keeps encoded; beyond it the cache starts anew.
 CACHE = 200_000
 #: The most entries of the pair-compatibility table that a worker keeps.
 PAIRS = 200_000
+#: Bytes of text that are encoded at once: what is held beside a batch is a multiple of that, and not of the batch.
+PIECE = 512 << 10
 #: Kinds of code points in the split pattern.
 OTHER, LETTER, NUMBER, WHITE = range(4)
 #: Code points that Unicode 17 made letters or numbers; the tokenizer, of an earlier version, has them as other.
@@ -255,6 +257,13 @@ def codec(content: str) -> Codec:
     return _LOADED[key]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in runs of about ``PIECE`` bytes of text; a longer text is a run of its own."""
+    for batch in batches:
+        for a, b in pieces(utf8(batch["_text"])[1], PIECE):
+            yield batch.slice(a, b - a)
+
+
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -265,16 +274,16 @@ def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(content.value)
-        for batch in batches:
+        for part in slices(batches):
             counts, digests, decoded, kept = [], [], [], []
-            for written in own.encode([t or "" for t in batch["_text"].to_pylist()]):
+            for written in own.encode([t or "" for t in part["_text"].to_pylist()]):
                 ids = np.fromstring(written, np.int64, sep=",") if written else np.zeros(0, np.int64)
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(written.encode()).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
                 if keep_ids:
                     kept.append(ids.astype(np.int32))
-            arrays = [batch["_id"], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+            arrays = [part["_id"], pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
             names = ["_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
                 arrays, names = [*arrays, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]

@@ -520,9 +520,12 @@ def matchers(docs: DataFrame, benchmark: DataFrame, fit_documents: None = None)
         return
     seen, path = runtime.written(hashed(docs))
     idf = inverse_frequencies(seen)
-    fitted = seen.union(hashed(items)).coalesce(runtime.parts(docs, FIT_BYTES, 6))
+    # the items' words are written too: made within the fit's tasks, they would take each a second Python worker
+    asked, asked_path = runtime.written(hashed(items))
+    fitted = seen.union(asked).coalesce(runtime.parts(docs, FIT_BYTES, 6))
     space = (latent_space(fitted, idf, RANK) * idf[:, None]).astype(np.float16)
-    runtime.forget(spark, path)
+    for done in (path, asked_path):
+        runtime.forget(spark, done)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
         yield spark.sparkContext.broadcast(Matcher(space, items_of(sorted((r.item_id, r.text) for r in rows))))

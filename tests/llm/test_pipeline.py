@@ -106,3 +106,22 @@ def test_decontamination_stage_fits_on_all_documents(spark, folder, monkeypatch)
     path = folder([(i, f"own{i} alone{i}") for i in range(6000)], benchmark=pa.table({"item_id": pa.array([1], pa.int64()), "text": ["what the benchmark asks"]}))
     assert corpus_pipeline.drop_benchmark(spark, spark.read.parquet(f"{path}/documents.parquet"), path).count() == 6000
     assert seen == [6001]
+
+
+def test_fit_takes_one_python_worker_a_task(spark, folder, monkeypatch):
+    """The fit's input is read and not made by another Python step of the same task."""
+    from lodestone.llm import decontaminate
+
+    plans, real = [], decontaminate.latent_space
+    monkeypatch.setattr(decontaminate, "latent_space", lambda passages, *more: plans.append(passages._jdf.queryExecution().executedPlan().toString()) or real(passages, *more))
+    path = folder([(1, "what is asked here"), (2, None)], benchmark=pa.table({"item_id": pa.array([1], pa.int64()), "text": ["what is asked"]}))
+    assert corpus_pipeline.drop_benchmark(spark, spark.read.parquet(f"{path}/documents.parquet"), path).count() == 1
+    assert len(plans) == 1 and "MapInArrow" not in plans[0]
+
+
+def test_texts_are_encoded_in_runs_of_bounded_size():
+    texts = ["a b c " * 20_000, None, "", "é" * 2000, *["word " * 1000] * 300, "long " * 200_000, "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["_id", "_text"])
+    runs = list(bpe.slices(iter([batch, batch.slice(0, 0), batch.slice(3, 2)])))
+    assert [t for r in runs for t in r["_text"].to_pylist()] == texts + texts[3:5] and [i for r in runs for i in r["_id"].to_pylist()] == [*range(len(texts)), 3, 4]
+    assert all(r.num_rows == 1 or sum(len((t or "").encode()) for t in r["_text"].to_pylist()) <= bpe.PIECE for r in runs) and len(runs) > 4
