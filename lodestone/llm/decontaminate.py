@@ -32,16 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import runtime
-from .quality import KIND, tokens
-from .text_arrays import BASE, LOWER, Prefix, mix, pieces, ranges, utf8
+from .quality import KIND
+from .text_arrays import BASE, LOWER, Prefix, mix, pieces, ranges, runs, utf8
 
 BITS, RANK, SPARE, ROUNDS = 15, 160, 8, 1
 #: Items of a block; input of a task of the fit, each of which sends sums of 22 MB at most, and passages multiplied at once.
-BLOCK, FIT_BYTES, FIT_PASSAGES = 4096, 128 << 20, 8192
+BLOCK, FIT_BYTES, FIT_PASSAGES = 4096, 128 << 20, 16384
 #: Signs of each dimension in the first basis; rows that are added one by one before their sums are added.
 SIGNS, ADDED = 4, 32
 #: Columns of a basis multiplied at once, so that what is looked up stays in a core's cache.
 SLICE = 24
+#: The dimensions in most documents, whose part of the fit's products is a dense product of counts.
+DENSE = 64
 #: Words of a window, of one for items of fewer than ``SHORT`` words, and from one window to the next.
 WINDOW, SHORT_WINDOW, SHORT, STRIDE = 32, 16, 24, 8
 #: Items of more words are compared by passages of a window's length.
@@ -50,16 +52,16 @@ LONG = 48
 SEED, SEED_ITEMS = 3, 256
 COSINE, COMMON, ANSWER = 0.6, 0.75, 0.5
 _DIM_BLOCK = 1024
+#: Bytes of which words are runs.
+WORD = KIND == 1
 #: Bytes of text whose words are projected at once.
 PIECE = 256 << 10
 
 
 def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint and row of each lower-cased word."""
-    low = LOWER[data]
-    start, end, row = tokens(low, offsets)
-    word = KIND[low[start]] == 1
-    return Prefix(low).spans(start[word], end[word]), row[word]
+    start, end, row = runs(WORD[data], offsets)
+    return Prefix(LOWER[data]).spans(start, end), row
 
 
 def dims(word: np.ndarray) -> np.ndarray:
@@ -75,7 +77,7 @@ def hashed(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch["text"])
-            for a, b in pieces(offsets):
+            for a, b in pieces(offsets, PIECE):
                 word, row = word_tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 both = np.bincount(row, minlength=b - a).astype(np.uint32), dims(word).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in both], ["words", "dims"])
@@ -186,34 +188,54 @@ def _signs(columns: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, columns, (1 << BITS, SIGNS)), rng.choice(np.array([-1.0, 1.0]), (1 << BITS, SIGNS))
 
 
+def _split(passage: np.ndarray, dim: np.ndarray, place: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How often each passage has each of the dimensions that have a place, and passage and dimension of all other words."""
+    at = place[dim]
+    own = at >= 0
+    counts = np.bincount(passage[own] * DENSE + at[own], minlength=passages * DENSE).reshape(-1, DENSE)
+    return counts.astype(np.float32), passage[~own], dim[~own]
+
+
 def _multiply(state, columns: int):
     """Sums of A'(A basis) by block of dimensions, where A holds the unit TF-IDF rows of all passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, basis = state.value
+        often = np.argsort(idf, kind="stable")[:DENSE]
+        place = np.full(1 << BITS, -1, np.int16)
+        place[often] = np.arange(DENSE)
         if basis is None:
             column, sign = _signs(columns)
             sign = sign * idf[:, None]
+            dense = np.bincount((np.arange(DENSE)[:, None] * columns + column[often]).ravel(), sign[often].ravel(), DENSE * columns).reshape(-1, columns).astype(np.float32)
         slices = [slice(a, min(a + SLICE, columns)) for a in range(0, columns, SLICE)]
         weighted = [] if basis is None else [np.ascontiguousarray(basis[:, of], np.float32) * idf[:, None] for of in slices]
         totals = [np.zeros((1 << BITS, of.stop - of.start), np.float32) for of in slices]
         for passage, dim in _passages(batches):
             first, count = _counted(passage << BITS | dim)
             square = np.bincount(passage[first], (count * idf[dim[first]]) ** 2).astype(np.float32)[:, None]
+            counts, passage, dim = _split(passage, dim, place, len(square))
             if basis is None:
                 cell = np.take(column, dim, axis=0)
                 cell += (passage * columns)[:, None]
-                y = np.bincount(cell.ravel(), np.take(sign, dim, axis=0).ravel(), len(square) * columns).reshape(-1, columns)
+                y = np.bincount(cell.ravel(), np.take(sign, dim, axis=0).ravel(), len(square) * columns).reshape(-1, columns) + counts @ dense
             else:
-                to_passages = plan_of(dim, np.bincount(passage))
+                size = np.bincount(passage, minlength=len(square))
+                some = np.flatnonzero(size)
+                to_passages = plan_of(dim, size[some])
             order = np.argsort(dim.astype(np.uint16), kind="stable")
             size = np.bincount(dim, minlength=1 << BITS)
             at = np.flatnonzero(size)
             to_words = plan_of(passage[order], size[at])
             for i, of in enumerate(slices):
-                part = y[:, of].astype(np.float32) if basis is None else run_sums(weighted[i], to_passages)
+                if basis is None:
+                    part = y[:, of].astype(np.float32)
+                else:
+                    part = counts @ weighted[i][often]
+                    part[some] += run_sums(weighted[i], to_passages)
                 # a word's row of the product is its weight times the sum over its passages, each over its norm twice
                 part /= square
+                totals[i][often] += counts.T @ part
                 totals[i][at] += run_sums(part, to_words)
         total = np.concatenate(totals, axis=1) * idf[:, None]
         for k in range(len(total) // _DIM_BLOCK):
@@ -463,7 +485,7 @@ class Matcher:
                         kept_rows = window[apart]
                         window[:-step] += sums[step:]
                         window[apart] = kept_rows
-                    width, norm = strides, np.linalg.norm(window, axis=1) + 1e-9
+                    width, norm = strides, np.sqrt(np.einsum("ij,ij->i", window, window)) + 1e-9
                 product = window @ vectors.T
                 # a little less than what is asked for, so that rounding loses nothing; what passes is divided
                 at, which = np.divmod(np.flatnonzero(product >= (np.float32(COSINE - 1e-4) * norm)[:, None]), product.shape[1])

@@ -567,3 +567,41 @@ def test_windows_and_cosines_are_those_of_each_window_by_itself():
         assert share == 1.0
         assert cosine <= round(best, 4) + 2e-4
     assert not [r for r, _ in got if r > 40]
+
+
+def test_frequent_words_of_the_fit_are_a_dense_product(monkeypatch):
+    """The product is A'(A basis), though only rare words' rows are added one by one."""
+    rng = np.random.default_rng(3)
+    d, columns = decontaminate, 30
+    words = np.array([0, 5, 70, 0, 200, 33], np.uint32)
+    dim = np.where(rng.random(int(words.sum())) < 0.8, rng.integers(0, 40, int(words.sum())), rng.integers(0, 1 << d.BITS, int(words.sum()))).astype(np.uint16)
+    idf = np.full(1 << d.BITS, 3.0, np.float32)
+    idf[:40] = 0.5 + np.arange(40, dtype=np.float32) / 100
+    added, real = [], d.plan_of
+    monkeypatch.setattr(d, "plan_of", lambda place, size: added.append(len(place)) or real(place, size))
+    rows, at = [], 0
+    for n in words.tolist():
+        for a in range(at, at + n, d.WINDOW):
+            row = np.bincount(dim[a : min(a + d.WINDOW, at + n)], minlength=1 << d.BITS) * idf
+            rows.append(row / np.linalg.norm(row))
+        at += n
+    matrix = np.array(rows)
+    column, sign = d._signs(columns)
+    first = np.zeros((1 << d.BITS, columns))
+    np.add.at(first, (np.arange(1 << d.BITS)[:, None], column), sign)
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (words, dim)], ["words", "dims"])
+    for basis in (None, rng.standard_normal((1 << d.BITS, columns)).astype(np.float32)):
+        state = type("State", (), {"value": (idf, basis)})
+        got = np.zeros((1 << d.BITS, columns))
+        for out in d._multiply(state, columns)(iter([batch])):
+            got[out["block"][0].as_py() * 1024 :][:1024] = np.frombuffer(out["sums"][0].as_buffer(), np.float32).reshape(-1, columns)
+        assert np.allclose(got, matrix.T @ (matrix @ (first if basis is None else basis)), atol=1e-3)
+    assert added and max(added) < len(dim) / 2
+
+
+def test_words_of_texts_are_runs_of_letters_and_digits():
+    texts = ["Ab-c d", "", "é9,,x", "--", "tail", "head tail\n"]
+    word, row = decontaminate.word_tokens(*decontaminate.utf8(pa.array(texts)))
+    want = [(i, w.lower()) for i, t in enumerate(texts) for w in re.findall(r"[0-9A-Za-zé]+", t)]
+    alone = [decontaminate.word_tokens(*decontaminate.utf8(pa.array([w])))[0].tolist() for _, w in want]
+    assert row.tolist() == [i for i, _ in want] and [[x] for x in word.tolist()] == alone and len(set(word.tolist())) == len({w for _, w in want})
