@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 from . import runtime
 from .quality import KIND
-from .text_arrays import BASE, LOWER, Prefix, mix, pieces, ranges, runs, utf8
+from .text_arrays import BASE, byte_values, mix, pieces, ranges, run_prints, runs, utf8
 
 BITS, RANK, SPARE, ROUNDS = 15, 160, 8, 1
 #: Items of a block; input of a task of the fit, each of which sends sums of 22 MB at most, and passages multiplied at once.
 BLOCK, FIT_BYTES, FIT_PASSAGES = 4096, 128 << 20, 8192
 #: Signs of each dimension in the first basis; rows that are added one by one before their sums are added.
 SIGNS, ADDED = 4, 32
-#: Columns of a basis multiplied at once, so that what is looked up stays in a core's cache.
-SLICE = 24
+#: Columns of a basis multiplied at once, and runs whose rows are added at once: what is looked up and added stays in a core's cache.
+SLICE, RUNS = 56, 1024
 #: The dimensions in most documents, whose part of the fit's products is a dense product of counts.
 DENSE = 64
 #: Words of a window, of one for items of fewer than ``SHORT`` words, and from one window to the next.
@@ -54,14 +54,15 @@ COSINE, COMMON, ANSWER = 0.6, 0.75, 0.5
 _DIM_BLOCK = 1024
 #: Bytes of which words are runs.
 WORD = KIND == 1
-#: Bytes of text whose words are projected at once.
-PIECE = 256 << 10
+_INSIDE, _VALUES = WORD.astype(np.uint8).tobytes(), byte_values(WORD)
+#: Bytes of text whose words are projected at once, so that their arrays stay in a core's cache.
+PIECE = 64 << 10
 
 
 def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint and row of each lower-cased word."""
-    start, end, row = runs(WORD[data], offsets)
-    return Prefix(LOWER[data]).spans(start, end), row
+    start, end, row = runs(np.frombuffer(data.tobytes().translate(_INSIDE), bool), offsets)
+    return run_prints(data, start, end, _VALUES), row
 
 
 def dims(word: np.ndarray) -> np.ndarray:
@@ -119,20 +120,20 @@ def inverse_frequencies(seen: DataFrame) -> np.ndarray:
     return np.log((total + 1) / (frequency + 1)).astype(np.float32) + np.float32(0.01)
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Passage and dimension of each word, sorted, of non-overlapping passages of a document: ``FIT_PASSAGES`` at once."""
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Passage and dimension of each word as one number, sorted, of non-overlapping passages of a document: ``FIT_PASSAGES``
+    at once."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     total = 0
 
-    def out() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def out() -> Iterator[np.ndarray]:
         words, dim = (np.concatenate(x) for x in zip(*held, strict=True))
         size = -(-words // WINDOW)
         place = np.arange(len(dim)) - np.repeat(np.cumsum(words) - words, words)
         passage = np.repeat(np.cumsum(size) - size, words) + place // WINDOW
         for n in range(0, int(size.sum()), FIT_PASSAGES):
             a, b = np.searchsorted(passage, (n, n + FIT_PASSAGES))
-            key = np.sort(passage[a:b] - n << BITS | dim[a:b])
-            yield key >> BITS, key & ((1 << BITS) - 1)
+            yield np.sort((passage[a:b] - n << BITS | dim[a:b]).astype(np.int32))
 
     for words, dim in _runs(batches):
         size = int((-(-words // WINDOW)).sum())
@@ -165,16 +166,22 @@ def plan_of(place: np.ndarray, size: np.ndarray) -> Plan:
 
 
 def run_sums(rows: np.ndarray, plan: Plan) -> np.ndarray:
-    """Of each run of places: the sum of the rows there. All runs go on together, place by place."""
+    """Of each run of places: the sum of the rows there. ``RUNS`` runs go on together, place by place."""
     steps, order, rest, more, ends = plan
-    out = np.zeros((len(order), rows.shape[1]), rows.dtype)
-    if steps:
-        total, next_rows = np.take(rows, steps[0], axis=0), np.empty_like(out)
+    out = np.empty((len(order), rows.shape[1]), rows.dtype)
+    held = np.empty((2, min(RUNS, len(order)), rows.shape[1]), rows.dtype)
+    for a in range(0, len(order), RUNS):
+        which = order[a : a + RUNS]
+        total, next_rows = held[:, : len(which)]
+        # clip: what is in range needs no second buffer
+        np.take(rows, steps[0][a : a + RUNS], axis=0, out=total, mode="clip")
         for at in steps[1:]:
-            # clip: what is in range needs no second buffer
+            at = at[a : a + RUNS]
+            if not len(at):
+                break
             np.take(rows, at, axis=0, out=next_rows[: len(at)], mode="clip")
             total[: len(at)] += next_rows[: len(at)]
-        out[order] = total
+        out[which] = total
     if rest is None:
         return out
     whole = out[ends]
@@ -188,12 +195,14 @@ def _signs(columns: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, columns, (1 << BITS, SIGNS)), rng.choice(np.array([-1.0, 1.0]), (1 << BITS, SIGNS))
 
 
-def _split(passage: np.ndarray, dim: np.ndarray, place: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(key: np.ndarray, count: np.ndarray, place: np.ndarray, passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How often each passage has each of the dimensions that have a place, and passage and dimension of all other words."""
-    at = place[dim]
+    at = place[key & ((1 << BITS) - 1)]
     own = at >= 0
-    counts = np.bincount(passage[own] * DENSE + at[own], minlength=passages * DENSE).reshape(-1, DENSE)
-    return counts.astype(np.float32), passage[~own], dim[~own]
+    counts = np.zeros((passages, DENSE), np.float32)
+    counts[key[own] >> BITS, at[own]] = count[own]
+    rest = np.repeat(key[~own], count[~own]).astype(np.int64)
+    return counts, rest >> BITS, rest & ((1 << BITS) - 1)
 
 
 def _multiply(state, columns: int):
@@ -206,33 +215,27 @@ def _multiply(state, columns: int):
         place[often] = np.arange(DENSE)
         if basis is None:
             column, sign = _signs(columns)
-            sign = sign * idf[:, None]
-            dense = np.bincount((np.arange(DENSE)[:, None] * columns + column[often]).ravel(), sign[often].ravel(), DENSE * columns).reshape(-1, columns).astype(np.float32)
+            basis = np.zeros((1 << BITS, columns), np.float32)
+            np.add.at(basis, (np.arange(1 << BITS)[:, None], column), sign)
         slices = [slice(a, min(a + SLICE, columns)) for a in range(0, columns, SLICE)]
-        weighted = [] if basis is None else [np.ascontiguousarray(basis[:, of], np.float32) * idf[:, None] for of in slices]
+        weighted = [np.ascontiguousarray(basis[:, of], np.float32) * idf[:, None] for of in slices]
+        del basis
         totals = [np.zeros((1 << BITS, of.stop - of.start), np.float32) for of in slices]
-        for passage, dim in _passages(batches):
-            first, count = _counted(passage << BITS | dim)
-            square = np.bincount(passage[first], (count * idf[dim[first]]) ** 2).astype(np.float32)[:, None]
-            counts, passage, dim = _split(passage, dim, place, len(square))
-            if basis is None:
-                cell = np.take(column, dim, axis=0)
-                cell += (passage * columns)[:, None]
-                y = np.bincount(cell.ravel(), np.take(sign, dim, axis=0).ravel(), len(square) * columns).reshape(-1, columns) + counts @ dense
-            else:
-                size = np.bincount(passage, minlength=len(square))
-                some = np.flatnonzero(size)
-                to_passages = plan_of(dim, size[some])
+        for key in _passages(batches):
+            first, count = _counted(key)
+            key = key[first]
+            square = np.bincount(key >> BITS, (count * idf[key & ((1 << BITS) - 1)]) ** 2).astype(np.float32)[:, None]
+            counts, passage, dim = _split(key, count, place, len(square))
+            size = np.bincount(passage, minlength=len(square))
+            some = np.flatnonzero(size)
+            to_passages = plan_of(dim, size[some])
             order = np.argsort(dim.astype(np.uint16), kind="stable")
             size = np.bincount(dim, minlength=1 << BITS)
             at = np.flatnonzero(size)
             to_words = plan_of(passage[order], size[at])
-            for i, of in enumerate(slices):
-                if basis is None:
-                    part = y[:, of].astype(np.float32)
-                else:
-                    part = counts @ weighted[i][often]
-                    part[some] += run_sums(weighted[i], to_passages)
+            for i in range(len(slices)):
+                part = counts @ weighted[i][often]
+                part[some] += run_sums(weighted[i], to_passages)
                 # a word's row of the product is its weight times the sum over its passages, each over its norm twice
                 part /= square
                 totals[i][often] += counts.T @ part
@@ -488,7 +491,10 @@ class Matcher:
                     width, norm = strides, np.sqrt(np.einsum("ij,ij->i", window, window)) + 1e-9
                 product = window @ vectors.T
                 # a little less than what is asked for, so that rounding loses nothing; what passes is divided
-                at, which = np.divmod(np.flatnonzero(product >= (np.float32(COSINE - 1e-4) * norm)[:, None]), product.shape[1])
+                least = np.float32(COSINE - 1e-4) * norm
+                some = np.flatnonzero(product.max(1) >= least)
+                at, which = np.nonzero(product[some] >= least[some, None])
+                at = some[at]
                 cosine = product[at, which] / norm[at]
                 near = cosine >= COSINE
                 at, which, cosine = at[near], which[near], cosine[near]

@@ -68,6 +68,21 @@ class Prefix:
         return mix((self.sums[length:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
 
 
+def byte_values(inside: np.ndarray) -> np.ndarray:
+    """Of each byte: what it counts in ``run_prints``, with A-Z as a-z, and 0 for what is not inside a run."""
+    return np.where(inside, _BYTE_VALUES[LOWER], np.uint64(0))
+
+
+def run_prints(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """What ``Prefix`` of the lower-cased data gives for the runs, where these are all that ``values`` counts."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(1 << max(16, int(len(data)).bit_length()))
+    value = np.take(values, data)
+    value *= up[: len(data)]
+    return mix(np.add.reduceat(value, start) * down[start] + (end - start).astype(np.uint64))
+
+
 #: Spans of more bytes are hashed and compared one by one.
 LONG = 512
 _LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
