@@ -3,6 +3,7 @@ over rows that aren't plain ASCII; the rest is built-in."""
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -22,6 +23,11 @@ BIDI_CLASSES = ("BN", "FSI", "LRE", "LRI", "LRO", "PDF", "PDI", "RLE", "RLI", "R
 PLAIN = r"^[\x20-\x7E\t\n\r]*$"
 
 
+@cache
+def _plain() -> re.Pattern:
+    return re.compile(PLAIN)
+
+
 @cache
 def control_tokens() -> dict[int, str]:
     """For ``str.translate``: what stands for each invisible control that isn't white space."""
@@ -35,10 +41,14 @@ def _nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 
 
+def shown_text(text: str) -> str:
+    """``shown`` of one text, for use in batches."""
+    return text if _plain().match(text) else unicodedata.normalize("NFC", text).translate(control_tokens())
+
+
 @pandas_udf(StringType())
 def _shown(text: pd.Series) -> pd.Series:
-    tokens = control_tokens()
-    return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t).translate(tokens))
+    return text.map(lambda t: t if t is None else shown_text(t))
 
 
 def _where_needed(change, text: Column) -> Column:

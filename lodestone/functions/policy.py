@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,17 +57,25 @@ def has_prompt_injection(text: Column) -> Column:
 
 
 def has_policy_term(text: Column) -> Column:
-    low = casefold(text)
-    found = F.lit(False)
-    for term in POLICY_TERMS:
-        found = found | low.contains(term)
-    return F.coalesce(found, F.lit(False))
+    def found(low: Column) -> Column:
+        return reduce(lambda out, term: out | low.contains(term), POLICY_TERMS, F.lit(False))
+
+    # folded once for all terms
+    return F.coalesce(F.transform(F.array(casefold(text)), found)[0], F.lit(False))
+
+
+def _ranges(points: tuple[int, ...]) -> str:
+    """Ascending code points as ranges of a character class, of which a pattern tests few."""
+    firsts = [p for p in points if p - 1 not in points]
+    lasts = [p for p in points if p + 1 not in points]
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts, strict=True))
 
 
 def control_points(text: Column) -> Column:
-    """Sorted distinct U+XXXX of suspicious control characters."""
-    cls = "[" + "".join(chr(c) for c in CONTROL_POINTS) + "]"
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({cls})"), F.lit(1)), lambda c: F.concat(F.lit("U+"), F.hex(F.encode(c, "UTF-16BE"))))))
+    """Sorted distinct U+XXXX of suspicious control characters. A text of lower code points alone isn't searched."""
+    found = F.regexp_extract_all(text, F.lit(f"([{_ranges(CONTROL_POINTS)}])"), F.lit(1))
+    names = F.array_sort(F.array_distinct(F.transform(found, lambda c: F.concat(F.lit("U+"), F.hex(F.encode(c, "UTF-16BE"))))))
+    return F.when(text.isNull() | text.rlike(f"[{chr(CONTROL_POINTS[0])}-{chr(CONTROL_POINTS[-1])}]"), names).otherwise(F.array().cast("array<string>"))
 
 
 def collapse(text: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from itertools import takewhile
+from operator import eq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lodestone.functions import normalize, policy
-from lodestone.operators.alignment import unequal_blocks
+from lodestone.operators.alignment import KINDS, unequal_blocks
 
 
 def snapshot_events(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -34,6 +38,7 @@ def scan_events(scans: DataFrame) -> DataFrame:
 
 BLOCKS = ArrayType(StructType().add("kind", StringType()).add("before", ArrayType(StringType())).add("after", ArrayType(StringType())))
 NUMBERS = ArrayType(StructType().add("before", ArrayType(StringType())).add("after", ArrayType(StringType())))
+LINE_END = re.compile("\r\n|\n|\r")
 
 
 def _list(values) -> list:
@@ -54,16 +59,71 @@ def _changed_numbers(values: pd.Series) -> pd.Series:
     return values.map(lambda pairs: None if pairs is None else [parts(p) for p in pairs])
 
 
-# the optimizer may copy an expression into a filter that it infers, as from a generator; these are to run once a row
-changed_blocks, changed_numbers = _changed_blocks.asNondeterministic(), _changed_numbers.asNondeterministic()
+def units(text: str) -> list[str]:
+    """Normalized non-empty lines of a text."""
+    return [line for line in (" ".join(part.split()) for part in LINE_END.split(normalize.shown_text(text))) if line]
+
+
+def _shared(a: str, b: str, most: int) -> int:
+    """The length of the common start of two texts, ``most`` at most."""
+    low, high = 0, most
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a.startswith(b[low:mid], low) else (low, mid - 1)
+    return low
+
+
+def _shared_end(a: str, b: str, most: int) -> int:
+    """The length of their common end."""
+    low, high = 0, most
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a.endswith(b[len(b) - mid : len(b) - low], 0, len(a) - low) else (low, mid - 1)
+    return low
+
+
+def edited(before: str, after: str) -> list[tuple[str, list, list]] | None:
+    """``unequal_blocks`` of the units of two texts by the lines between their common start and end alone, or None where
+    these don't tell.
+
+    They do where the common start is a longest common block, as no longer one fits in: what follows it is nothing on one
+    side, or a single unit on each. They do as well where nothing stands before the common end but a single unit on one
+    side: the other side as a whole is a longest common block, and if it fits in earlier too, all units are that one.
+    """
+    head = before.rfind("\n", 0, _shared(before, after, min(len(before), len(after)))) + 1
+    tail = _shared_end(before, after, min(len(before), len(after)) - head)
+    starts = lambda text: (at := len(text) - tail) == head or text[at - 1] == "\n"
+    if tail and not (starts(before) and starts(after)):
+        at = after.find("\n", len(after) - tail)
+        tail = len(after) - at - 1 if at >= 0 else 0
+    b, a = units(before[head : len(before) - tail]), units(after[head : len(after) - tail])
+    if b == a:
+        return []
+    if not after[len(after) - tail :].strip(" \t\r\n"):
+        same = sum(1 for _ in takewhile(bool, map(eq, b, a)))
+        x, y = b[same:], a[same:]
+        if not x or not y or len(x) == len(y) == 1:
+            return [(KINDS[bool(x), bool(y)], x, y)]
+    if not after[:head].strip(" \t\r\n"):
+        same = sum(1 for _ in takewhile(bool, map(eq, reversed(b), reversed(a))))
+        x, y = b[: len(b) - same], a[: len(a) - same]
+        if len(x) + len(y) == 1:
+            return [(KINDS[bool(x), bool(y)], x, y)]
+    return None
 
 
-def unit_array(text: Column) -> Column:
-    """Normalized non-empty lines; a text without one is a unit as a whole, if anything is left of it."""
-    clean = lambda units: F.filter(F.transform(units, policy.collapse), lambda x: x != "")
-    own = normalize.shown(text)
-    lines = clean(F.split(own, "\r\n|\n|\r"))
-    return F.when(F.size(lines) > 0, lines).otherwise(clean(F.array(own)))
+@pandas_udf(BLOCKS)
+def _changed_units(before: pd.Series, after: pd.Series) -> pd.Series:
+    def blocks(b: str | None, a: str | None) -> list[dict]:
+        b, a = b or "", a or ""
+        found = edited(b, a) if b != a else []
+        return [dict(zip(("kind", "before", "after"), block, strict=True)) for block in (unequal_blocks(units(b), units(a)) if found is None else found)]
+
+    return pd.Series([blocks(b, a) for b, a in zip(before, after, strict=True)])
+
+
+# the optimizer may copy an expression into a filter that it infers, as from a generator; these are to run once a row
+changed_blocks, changed_numbers, changed_units = _changed_blocks.asNondeterministic(), _changed_numbers.asNondeterministic(), _changed_units.asNondeterministic()
 
 
 def _as_changes(blocks: Column) -> Column:
@@ -84,11 +144,10 @@ def change_arrays(pairs: DataFrame, *kept: str | Column) -> DataFrame:
     """(doc_id, changes, controls) and the further columns: each pair's changes with their changed numbers as one array,
     empty where the normalized units are equal, and the suspicious controls of the candidate; equal texts never reach
     Python."""
-    points = policy.control_points(F.col("cand_text")).alias("controls")
-    both = pairs.select("doc_id", unit_array(F.col("base_text")).alias("b"), unit_array(F.col("cand_text")).alias("a"), points, *kept)
-    rest = [c for c in both.columns if c not in ("doc_id", "b", "a")]
-    differ = F.col("b") != F.col("a")
-    aligned = both.select("doc_id", changed_blocks(F.when(differ, F.col("b")), F.when(differ, F.col("a"))).alias("blocks"), *rest)
+    base, cand = F.col("base_text"), F.col("cand_text")
+    differ = ~base.eqNullSafe(cand)
+    aligned = pairs.select("doc_id", changed_units(F.when(differ, base), F.when(differ, cand)).alias("blocks"), policy.control_points(cand).alias("controls"), *kept)
+    rest = [c for c in aligned.columns if c not in ("doc_id", "blocks")]
     return aligned.select("doc_id", _as_changes(F.col("blocks")).alias("changes"), *rest).select("doc_id", with_numbers(F.col("changes")).alias("changes"), *rest)
 
 

@@ -43,15 +43,21 @@ def decided(events: DataFrame, blobs: DataFrame, analyzer: Analyzer = assessed)
     side = lambda name: blobs.select(F.col("sha256").alias(f"{name}_sha256"), F.col("text").alias(f"{name}_text"), F.lit(True).alias(f"{name}_there"))
     # a new file is its own baseline
     rows = rows.select("*", F.col("after_sha256").alias("cand_sha256"), F.coalesce("before_sha256", "after_sha256").alias("base_sha256"))
-    rows = rows.join(side("cand"), "cand_sha256", "left").join(side("base"), "base_sha256", "left")
+    idle = ~F.col("last") | F.coalesce(F.col("event") == "DELETED", F.lit(False))
+    same = F.col("base_sha256").eqNullSafe(F.col("cand_sha256"))
+    # texts go to where they are needed only: none to what is held anyway, one to what is its own baseline
+    one = rows.where(~idle & same).join(side("cand"), "cand_sha256", "left").withColumn("base_there", F.col("cand_there"))
+    two = rows.where(~idle & ~same).join(side("cand"), "cand_sha256", "left").join(side("base"), "base_sha256", "left")
+    rows = two.unionByName(one, True).unionByName(rows.where(idle), True)
     fault = (
         F.when(~F.col("last"), "superseded_in_batch")
         .when(F.col("event") == "DELETED", "deletion_requires_explicit_operator_review")
         .when(F.col("cand_there").isNull(), "source_snapshot_failed")
         .when(F.col("base_there").isNull(), "baseline_snapshot_missing")
-        .when(F.col("cand_text").isNull() | F.col("base_text").isNull(), "prepare_failed")
+        .when(F.col("cand_text").isNull() | (F.col("base_text").isNull() & ~same), "prepare_failed")
     )
     rows, path = scratch.written(rows.withColumn("fault", fault))
+    rows = rows.withColumn("base_text", F.when(same, F.col("cand_text")).otherwise(F.col("base_text")))
     sound = rows.where("fault IS NULL")
     found = sound.join(analyzer(sound.select("path", "base_text", "cand_text", "base_sha256", "cand_sha256")), "path", "left")
     name = F.concat(F.lit("watch:"), F.col("path"))

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.operators.alignment import SuffixAutomaton, matching_blocks, unequal_blocks
-from lodestone.operators.changes import change_arrays
+from lodestone.operators.changes import change_arrays, edited, units
 
 KINDS = {"insert": "ADD", "delete": "DELETE", "replace": "REPLACE"}
 
@@ -79,6 +79,26 @@ def test_long_sequences_take_seconds(sides):
     assert unequal_blocks(*small) == by_library(*small)
 
 
+LINES = st.lists(st.sampled_from(["a", "a", "b", " a", "cafe\u0301", "caf\u00e9", "", " ", "\u200b", "\u0301"]), max_size=6)
+ENDS = st.sampled_from(["\n", "\n", "\r\n", "\r", "\n\n"])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(LINES, LINES, LINES, LINES, ENDS, st.booleans())
+def test_edited_lines_tell_what_whole_texts_do(head, one, other, tail, end, last):
+    before, after = (end.join([*head, *part, *tail]) + end * last for part in (one, other))
+    want = by_library(units(before), units(after))
+    for b, a, blocks in ((before, after, want), (before, before + "x", by_library(units(before), units(before + "x"))), (before, "x" + end + before, by_library(units(before), units("x" + end + before)))):
+        assert edited(b, a) in (None, [(kind, x, y) for kind, x, y in blocks])
+
+
+def test_single_edits_are_told_by_their_lines():
+    text = "\n".join(f"line {n % 3}" for n in range(50))
+    edits = [text + "\nmore", text[:-1] + "x", text + "\n\n", "first\n" + text, text.replace("line 1", "line  1")]
+    assert all(edited(text, e) is not None and edited(e, text) is not None for e in edits[:4])
+    assert edited(text, edits[0]) == [("ADD", [], ["more"])] and edited(edits[3], text) == [("DELETE", ["first"], [])] and edited(text, edits[2]) == []
+
+
 def test_documents_of_repeated_lines(spark):
     before = "\n".join(["same line"] * 4000)
     after = "\n".join(["same line"] * 2000 + ["new line"] + ["same line"] * 2000)
