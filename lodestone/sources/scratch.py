@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether a query's shuffle files go with its end.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset and all runs in one process (tests) a local one."""
     context = spark.sparkContext
@@ -23,10 +29,23 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a query has shuffled is deleted when the query ends, and not when the driver happens to collect its
+    garbage. For queries whose result is all that is used of them."""
+    before = spark.conf.get(FREE)
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before)
+
+
 def written(df: DataFrame, *partitions: str) -> tuple[DataFrame, str]:
-    """``df`` as a table written in the shared folder, and its path, for ``forget``."""
+    """``df`` as a table written in the shared folder, and its path, for ``forget``. Its shuffles are deleted."""
     path = new_path(df.sparkSession)
-    df.write.partitionBy(*partitions).parquet(path)
+    with freeing(df.sparkSession):
+        df.write.partitionBy(*partitions).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.sources import scratch
+
 FOLDERS = 64
 
 
@@ -70,7 +72,8 @@ class VersionedTable:
         if self.version() != expected:
             raise StaleVersion(f"expected version {expected}, found {self.version()}")
         name = uuid.uuid4().hex
-        rows.write.parquet(f"{self.folder}/data/{name}")
+        with scratch.freeing(rows.sparkSession):
+            rows.write.parquet(f"{self.folder}/data/{name}")
         mark = self._path(f"{self.folder}/versions/{expected + 1:012d}")
         try:
             stream = self._fs.create(mark, False)
